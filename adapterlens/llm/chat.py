@@ -91,9 +91,9 @@ pieces as (
 placed as (
   select *, coalesce(sum(length(head) + length(body) + 1) over (
     partition by conv_id, perspective order by chunk, turn nulls first, role, said
-    rows between unbounded preceding and 1 preceding), 0) as at from pieces)
-select conv_id, perspective, chunk, cast(min(at) as bigint) as "start",
+    rows between unbounded preceding and 1 preceding), 0) as pos from pieces)
+select conv_id, perspective, chunk, cast(min(pos) as bigint) as "start",
   string_agg(head || body || chr(10), '' order by turn nulls first, role, said) as text,
-  coalesce(string_agg((at + length(head)) || ':' || (at + length(head) + length(body)), ',' order by at) filter (own), '') as masks
+  coalesce(string_agg((pos + length(head)) || ':' || (pos + length(head) + length(body)), ',' order by pos) filter (own), '') as masks
 from placed group by conv_id, perspective, chunk
 """
