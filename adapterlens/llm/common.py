@@ -125,3 +125,28 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def batch_column(function: Callable[[list], list], ddl: str):
+    """A column function that maps short lists of texts to lists of values, in Arrow batches.
+
+    Other columns of the row stay in the JVM. Marked nondeterministic so that a filter on the
+    result is not pushed below it, which would run it twice.
+    """
+    from pyspark.sql.functions import arrow_udf
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_type(_parse_datatype_string(ddl))
+
+    @arrow_udf(ddl)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(function(texts.slice(at, ROWS_AT_ONCE).to_pylist()), type=kind) for at in range(0, len(texts), ROWS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+    return run.asNondeterministic()
+
+
+def text_column(function: Callable[[str | None], object], ddl: str):
+    """`batch_column` of a function of one text."""
+    return batch_column(lambda texts: [function(x) for x in texts], ddl)

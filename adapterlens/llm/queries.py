@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from adapterlens.llm.chat import OP6_SQL, op6_chat_rotation
+from adapterlens.llm.pii import op10_pii_crf
+from adapterlens.llm.quality import op7_quality_rules
 from adapterlens.llm.sharding import op5_sharding
+from adapterlens.llm.simhash import op1_simhash_dedup
 from adapterlens.llm.url_filter import op4_sql, op4_url_filter
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op6_chat_rotation": op6_chat_rotation,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_pii_crf": op10_pii_crf,
 }
 ORACLES = {"op4_url_filter": op4_sql(), "op6_chat_rotation": OP6_SQL}
