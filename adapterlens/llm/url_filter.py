@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import ascii_lower, broadcast_if_small, connected_components, table
+from adapterlens.llm.common import ascii_lower, connected_components, table
 
 #: (verdict, host, path prefix)
 RULES = [
