@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from adapterlens.llm.chat import OP6_SQL, op6_chat_rotation
 from adapterlens.llm.decontaminate import op9_decontamination
+from adapterlens.llm.html_extract import op3_html_extraction
 from adapterlens.llm.pii import op10_pii_crf
 from adapterlens.llm.quality import op7_quality_rules
 from adapterlens.llm.sentencepiece_scan import op8_sentencepiece
@@ -15,6 +16,7 @@ from adapterlens.llm.url_filter import op4_sql, op4_url_filter
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op6_chat_rotation": op6_chat_rotation,
