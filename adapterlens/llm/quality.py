@@ -68,7 +68,7 @@ def text_stats(text: str | None) -> dict:
     }
 
 
-def features(s: str = "s") -> dict[str, Column]:
+def features(s: str = "_stats") -> dict[str, Column]:
     """What rules compare with thresholds, from the statistics in struct `s`."""
     share = lambda a, b: F.col(f"{s}.{a}") / F.greatest(F.col(f"{s}.{b}"), F.lit(1))
     return {
@@ -193,7 +193,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> t
         docs.select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")
         .dropDuplicates(["doc_id"])
-        .select("doc_id", "quality", text_column(text_stats, STATS)("text").alias("s"))
+        .select("doc_id", "quality", text_column(text_stats, STATS)("text").alias("_stats"))
         .select("doc_id", "quality", *[c.alias(k) for k, c in features().items()])
         .toPandas()
         .sort_values("doc_id")
@@ -202,16 +202,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> t
 
 
 def with_quality(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
-    """Add struct `s` (the statistics), base_failed and kept to every row of docs(text, ...)."""
+    """Add struct _stats, _failed and _kept to every row of docs(text, ...)."""
     stats = text_column(text_stats, STATS)
-    failed = (F.col("s.n_words") < 10) | (100 * F.col("s.n_repeat_words") > 20 * F.col("s.n_words"))
+    failed = (F.col("_stats.n_words") < 10) | (100 * F.col("_stats.n_repeat_words") > 20 * F.col("_stats.n_words"))
     return (
-        docs.withColumn("s", stats("text"))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & list_column(rules, features()))
+        docs.withColumn("_stats", stats("text"))
+        .withColumn("_failed", failed)
+        .withColumn("_kept", ~F.col("_failed") & list_column(rules, features()))
     )
 
 
+def only_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that the base check and the learned list keep, with their own columns."""
+    rules = learn_list(*labelled_sample(docs, labels, sample))
+    return with_quality(docs, rules).where("_kept").select(docs.columns)
+
+
 def judge_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, the five base statistics, base_failed, kept.
 
@@ -222,7 +228,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """
     rules = learn_list(*labelled_sample(docs, labels, sample))
     judged = with_quality(docs.select("doc_id", "text"), rules)
-    return judged.select("doc_id", "s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words", "base_failed", "kept")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *[f"_stats.{n}" for n in names], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,6 +164,16 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLO
     return dealt.mapInArrow(_shard_links(radius), "a long, b long").distinct()
 
 
+def _classes(own: DataFrame, radius: int, blocks: int, tree: int) -> DataFrame:
+    """fp, least: the least `row` of own(row, fp) over all fingerprints reachable from each one."""
+    prints = own.groupBy("fp").agg(F.min("row").alias("least"))
+    roots = connected_components(fingerprint_links(prints.select("fp"), radius, blocks, tree))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("fp"), "root")
+    of_root = members.join(prints, "fp").groupBy("root").agg(F.min("least").alias("shared"))
+    joined = members.join(of_root, "root").select("fp", "shared")
+    return prints.join(joined, "fp", "left").select(F.bitwise_not(F.bitwise_not("fp")).alias("fp"), F.coalesce("shared", "least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs(doc_id, text).
 
@@ -174,13 +184,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     ignored. Empty in, empty out.
     """
     own = cut(docs.select("doc_id", text_column(lambda t: fingerprint(t, words), "bigint")("text").alias("fp")))
-    prints = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(fingerprint_links(prints.select("fp"), radius, blocks, tree))
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("fp"), "root")
-    of_root = members.join(prints, "fp").groupBy("root").agg(F.min("least").alias("class_id"))
-    joined = members.join(of_root, "root").select("fp", "class_id")
-    known = prints.join(joined, "fp", "left").select(F.bitwise_not(F.bitwise_not("fp")).alias("fp"), F.coalesce("class_id", "least").alias("component_id"))
-    return own.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = _classes(own.select(F.col("doc_id").alias("row"), "fp"), radius, blocks, tree)
+    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
+    """docs with one row of each near-duplicate class: that of the least doc_id (nulls last), and of
+    the least text hash among equals. Of rows that repeat both doc_id and text one stays.
+
+    Texts move only for the rows that are left out or repeated: the lists of those are joined to
+    the table, by broadcast while they are short.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("hash"))
+    own = cut(docs.select(row.alias("row"), text_column(lambda t: fingerprint(t, words), "bigint")("text").alias("fp")))
+    judged = own.join(_classes(own, radius, blocks, tree), "fp")
+    out = judged.groupBy("row").agg(F.max(F.col("row") != F.col("least")).alias("left_out"), F.count("*").alias("n")).where("left_out or n > 1")
+    out = cut(out.select(F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_hash"), "left_out"))
+    listed = broadcast_if_small(out, out.count())
+    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_hash"))
+    once = docs.join(listed.where("not left_out"), same).dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return docs.join(listed, same, "left_anti").unionByName(once)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
