@@ -14,6 +14,11 @@ RANK_TOKEN = r"(?i)^rank\d+(\.\d+)?$"
 SIZE_TOKEN = r"(?i)^\d+(\.\d+)?[bm]$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens_of(text: Column) -> Column:
     return F.filter(F.split(text, "_"), lambda t: t != "")
 
@@ -51,9 +56,7 @@ def subset_name(model_dir: Column, model_name: Column) -> Column:
 
 def strip_rank_tokens(subset: Column) -> Column:
     """Tokens before the first rank token."""
-    tokens = tokens_of(subset)
-    at = _first(tokens, RANK_TOKEN)
-    return F.when(at > 0, _upto(tokens, at - 1)).otherwise(tokens)
+    return let(tokens_of(subset), lambda t: let(_first(t, RANK_TOKEN), lambda at: F.when(at > 0, _upto(t, at - 1)).otherwise(t)))
 
 
 def family_length(tokens: Column, prefix: Column) -> Column:
@@ -88,10 +91,12 @@ def attack_name(remainder: Column, mixed: Column) -> Column:
     )
 
 
+def _without_family(tokens: Column, family: Column) -> Column:
+    return let(tokens, lambda t: let(family, lambda f: F.when((F.size(f) > 0) & (_upto(t, F.size(f)) == f), _after(t, F.size(f))).otherwise(t)))
+
+
 def dataset_group(subset: Column, family: Column) -> Column:
     """The dataset in a folder's name: without the family, leading variants, attack and rank."""
-    tokens, own = tokens_of(subset), tokens_of(family)
-    rest = F.when((F.size(own) > 0) & (_upto(tokens, F.size(own)) == own), _after(tokens, F.size(own))).otherwise(tokens)
     zero = F.struct(F.lit(False).alias("past"), F.lit("").alias("held"), F.expr("cast(array() as array<string>)").alias("kept"))
 
     def step(acc: Column, t: Column) -> Column:
@@ -106,22 +111,28 @@ def dataset_group(subset: Column, family: Column) -> Column:
             kept.alias("kept"),
         )
 
-    trimmed = F.aggregate(rest, zero, step, lambda acc: F.when(acc["held"] != "", F.array_append(acc["kept"], F.lit("lora"))).otherwise(acc["kept"]))
-    stop = F.array_position(F.transform(trimmed, lambda t: t.rlike(RANK_TOKEN) | F.lower(t).isin(list(ATTACKS))), True)
-    named = F.when(stop > 0, _upto(trimmed, stop - 1)).otherwise(trimmed)
-    other = F.filter(trimmed, lambda t: ~t.rlike(RANK_TOKEN))
-    return F.when(F.size(named) > 0, F.array_join(named, "_")).when(F.size(other) > 0, F.array_join(other, "_")).otherwise(F.coalesce(F.nullif(subset, F.lit("")), F.lit("unknown")))
+    def trimmed(rest: Column) -> Column:
+        return F.aggregate(rest, zero, step, lambda acc: F.when(acc["held"] != "", F.array_append(acc["kept"], F.lit("lora"))).otherwise(acc["kept"]))
+
+    def named(rest: Column) -> Column:
+        stop = F.array_position(F.transform(rest, lambda t: t.rlike(RANK_TOKEN) | F.lower(t).isin(list(ATTACKS))), True)
+        head = let(stop, lambda at: F.when(at > 0, _upto(rest, at - 1)).otherwise(rest))
+        other = F.array_join(F.filter(rest, lambda t: ~t.rlike(RANK_TOKEN)), "_")
+        return F.coalesce(F.nullif(F.array_join(head, "_"), F.lit("")), F.nullif(other, F.lit("")), F.nullif(subset, F.lit("")), F.lit("unknown"))
+
+    return let(trimmed(_without_family(tokens_of(subset), tokens_of(family))), named)
 
 
 def adapter_variant(subset: Column, family: Column) -> Column:
     """`lora` unless a variant is named after the family; a pair such as lora_plus wins over single names."""
-    tokens, own = tokens_of(F.lower(subset)), tokens_of(F.lower(family))
-    rest = F.when(_upto(tokens, F.size(own)) == own, _after(tokens, F.size(own))).otherwise(tokens)
-    singles = F.filter(rest, lambda t: t.isin(VARIANTS))
-    joined = F.concat(F.lit("_"), F.array_join(rest, "_"), F.lit("_"))
-    out = F.when(F.size(singles) > 0, F.element_at(singles, -1)).otherwise("lora")
-    plus, only = (F.length(joined) - F.length(F.regexp_replace(joined, rf"^(.*)_{p}_", "$1")) > 0 for p in VARIANT_PAIRS)
-    return F.when(plus, VARIANT_PAIRS[0]).when(only, VARIANT_PAIRS[1]).otherwise(out)
+    def variant(rest: Column) -> Column:
+        joined = F.concat(F.lit("_"), F.array_join(rest, "_"), F.lit("_"))
+        out = F.coalesce(F.try_element_at(F.filter(rest, lambda t: t.isin(VARIANTS)), F.lit(-1)), F.lit("lora"))
+        for pair in reversed(VARIANT_PAIRS):
+            out = F.when(joined.contains(f"_{pair}_"), pair).otherwise(out)
+        return out
+
+    return let(_without_family(tokens_of(F.lower(subset)), tokens_of(F.lower(family))), variant)
 
 
 def parse_rank(name: Column) -> Column:

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from adapterlens.functions import names as N
 
 
+def _fixed(df: DataFrame, **columns) -> DataFrame:
+    """Add columns behind a generator, which the planner does not copy into what refers to them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def with_subsets(adapter: DataFrame) -> DataFrame:
     """Add subset and its stem tokens to adapter(model_dir, model_name, ...)."""
-    return adapter.withColumn("subset", N.subset_name(F.col("model_dir"), F.col("model_name"))).withColumn("stem", N.strip_rank_tokens(F.col("subset")))
+    named = _fixed(adapter, subset=N.subset_name(F.col("model_dir"), F.col("model_name")))
+    return _fixed(named, stem=N.strip_rank_tokens(F.col("subset")))
 
 
 def cohort_prefix(adapter: DataFrame, by: str) -> DataFrame:
@@ -39,11 +45,12 @@ def identities(adapter: DataFrame, prefix: list[str] | None = None) -> DataFrame
     """All identity columns of adapter(model_dir, model_name, label): subset, family, attack, flags, groups."""
     rows = with_subsets(adapter)
     cohort = F.array(*map(F.lit, prefix)) if prefix else F.expr("cast(array() as array<string>)")
-    rows = rows.withColumn("model_family", N.model_family(F.col("stem"), cohort)).withColumn("remainder", N.family_remainder(F.col("stem"), cohort))
+    rows = _fixed(rows, model_family=N.model_family(F.col("stem"), cohort), remainder=N.family_remainder(F.col("stem"), cohort))
     rows = rows.join(subset_label_flags(rows), "subset")
-    rows = rows.withColumn("attack", N.attack_name(F.col("remainder"), F.col("subset_has_clean") & F.col("subset_has_backdoor")))
-    rows = rows.withColumn("dataset_group", N.dataset_group(F.col("subset"), F.col("model_family"))).withColumn("variant", N.adapter_variant(F.col("subset"), F.col("model_family")))
-    return rows.withColumn("attack_name", F.col("attack.name")).withColumn("attack_name_source", F.col("attack.source")).drop("attack", "stem", "remainder")
+    attack = N.attack_name(F.col("remainder"), F.col("subset_has_clean") & F.col("subset_has_backdoor"))
+    group, variant = N.dataset_group(F.col("subset"), F.col("model_family")), N.adapter_variant(F.col("subset"), F.col("model_family"))
+    rows = _fixed(rows, attack=attack, dataset_group=group, variant=variant)
+    return rows.select("*", F.col("attack.name").alias("attack_name"), F.col("attack.source").alias("attack_name_source")).drop("attack", "stem", "remainder")
 
 
 def assert_unique_adapters(adapter: DataFrame, key: str = "model_name") -> DataFrame:

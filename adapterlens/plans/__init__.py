@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("naming", "schemas", "spectra")
+MODULES = ("naming", "schemas", "spectra", "features", "splitting", "evaluation")
 FLAGSHIP = "flagship"
 
 
