@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("naming", "schemas", "spectra", "features", "splitting", "evaluation")
+MODULES = ("naming", "schemas", "spectra", "features", "splitting", "evaluation", "storing", "training")
 FLAGSHIP = "flagship"
 
 
