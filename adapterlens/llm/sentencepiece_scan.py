@@ -12,6 +12,7 @@ document's small matrices gives every chunk its edge states, and chunks are trac
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from adapterlens.llm.common import ROWS_AT_ONCE, table
 
@@ -27,10 +29,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a chunk. Documents of over two chunks take the scan.
 CHUNK = 16_384
-#: Parts remembered per Python worker before the memory is emptied.
-REMEMBERED = 300_000
+#: Parts (of up to SHORT characters) remembered per Python worker before the memory is emptied.
+REMEMBERED = 150_000
+SHORT = 40
+NO_PIECE = 1 << 62
 NEVER = -(1 << 60)
 Transfer = dict[tuple[int, int], tuple[int, int]]
+#: What each Python worker remembers, by vocabulary, over the tasks that it runs: part -> ids as bytes.
+_REMEMBERED: dict[int, dict[str, bytes]] = {}
 #: What an unknown character scores below the least piece.
 UNKNOWN_PENALTY = 10
 
@@ -52,10 +58,7 @@ class Pieces:
         line = "" if any("\n" in p for p in self.score) else "\n"
         # Parts end before a space that follows something else, and around a line end, if no piece holds one inside.
         self.part = None if across else re.compile(f"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if line else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[int, np.ndarray]] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        self.key = hash((type(self).__name__, tuple(pieces)))
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -104,32 +107,40 @@ class Pieces:
             hit = self.score.get(piece)
             if hit:
                 out.append(hit[0])
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
             else:
-                out.append(self.unknown)
+                out.extend(reversed(self._unknown_ids(piece)))
             end -= length[end]
         return out[::-1]
 
-    def solve(self, part: str) -> tuple[int, np.ndarray]:
-        """Score and ids of a part that no piece reaches across; remembered."""
-        got = self.known.get(part)
-        if got is None:
-            best, length = self.forward(part, len(part), {0: 0})
-            got = best[-1], np.array(self.ids_of(part, length, len(part)), dtype=np.int32)
-            if len(part) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[part] = got
-        return got
+    def _unknown_ids(self, piece: str) -> list[int]:
+        """Pieces of an unknown character's UTF-8 bytes, or the unknown piece in a model without them."""
+        return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+
+    def best_of(self, part: str) -> list[int]:
+        """Ids of a part that no piece reaches across."""
+        return self.ids_of(part, self.forward(part, len(part), {0: 0})[1], len(part))
+
+    def solve(self, parts: list[str]) -> bytes:
+        """Ids of parts that no piece reaches across, as 32-bit numbers in a row; short ones are remembered."""
+        known = _REMEMBERED.setdefault(self.key, {})
+        out = []
+        for part in parts:
+            got = known.get(part)
+            if got is None:
+                got = array("i", self.best_of(part)).tobytes()
+                if len(part) <= SHORT:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[part] = got
+            out.append(got)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
         if not text:
             return np.zeros(0, dtype=np.int32)
         text = normalised(text)
-        parts = self.part.findall(text) if self.part else [text]
-        return np.concatenate([self.solve(p)[1] for p in parts])
+        return np.frombuffer(self.solve(self.part.findall(text) if self.part else [text]), dtype=np.int32)
 
     def decode(self, ids: list[int] | np.ndarray | None) -> str:
         """The text of ids; invalid byte sequences become U+FFFD."""
@@ -154,7 +165,7 @@ class Pieces:
         runs = {k: self.forward(text[: cuts[0]] if cuts else text, cuts[0] if cuts else size, {k: 0}) for k in range(n)}
         if cuts:
             first, last = cuts
-            middle = sum(self.solve(p)[0] for p in self.part.findall(text[first:last]))
+            middle = sum(self.forward(p, len(p), {0: 0})[0][-1] for p in self.part.findall(text[first:last]))
             best, _ = self.forward(text[last:], size - last, {0: 0})
             paths = {k: (r[0][first], self._lengths(r[1], first)) for k, r in runs.items() if first < len(r[0]) and r[0][first] > NEVER}
             order = {k: i for i, k in enumerate(sorted(paths, key=lambda k: paths[k][1]))}
@@ -190,8 +201,8 @@ class Pieces:
         return self._joined(text[:first], left, first, text[first:last], text[last:], right, size - last + end)
 
     def _joined(self, head: str, left: list[int], first: int, middle: str, tail: str, right: list[int], end: int) -> np.ndarray:
-        inner = [self.solve(p)[1] for p in self.part.findall(middle)]
-        return np.concatenate([np.array(self.ids_of(head, left, first), dtype=np.int32), *inner, np.array(self.ids_of(tail, right, end), dtype=np.int32)])
+        inner = np.frombuffer(self.solve(self.part.findall(middle)), dtype=np.int32)
+        return np.concatenate([np.array(self.ids_of(head, left, first), dtype=np.int32), inner, np.array(self.ids_of(tail, right, end), dtype=np.int32)])
 
 
 class PairPieces(Pieces):
@@ -205,20 +216,37 @@ class PairPieces(Pieces):
 
     def __init__(self, pieces: list[tuple[str, float, str]], unknown: int = 0):
         super().__init__(pieces, unknown)
+        self.rank = {p: -s for p, (_, s) in self.score.items()}
         self.fitting: dict[tuple[str, str], bool] = {}
 
     def __getstate__(self) -> dict:
-        return super().__getstate__() | {"fitting": {}}
+        return self.__dict__ | {"fitting": {}}
+
+    def best_of(self, part: str) -> list[int]:
+        """Short parts are merged outright; the lattice finds the same way in linear time for long ones."""
+        if len(part) > SHORT:
+            return super().best_of(part)
+        out: list[int] = []
+        for piece in self.merged(part):
+            hit = self.score.get(piece)
+            out += (hit[0],) if hit else self._unknown_ids(piece)
+        return out
 
     def merged(self, text: str) -> list[str]:
         """Merge the neighbours whose union scores best, leftmost first, until none is a piece."""
-        out = list(text)
-        while len(out) > 1:
-            best = max(((self.score[a + b][1], -i) for i, (a, b) in enumerate(zip(out, out[1:], strict=False)) if a + b in self.score), default=None)
-            if best is None:
+        out, rank = list(text), self.rank.get
+        ranks = [rank(a + b, NO_PIECE) for a, b in zip(text, text[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == NO_PIECE:
                 break
-            i = -best[1]
-            out[i : i + 2] = [out[i] + out[i + 1]]
+            i = ranks.index(best)
+            out[i] += out.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(out[i - 1] + out[i], NO_PIECE)
+            if i < len(ranks):
+                ranks[i] = rank(out[i] + out[i + 1], NO_PIECE)
         return out
 
     def fits(self, left: str, right: str) -> bool:
@@ -343,27 +371,35 @@ def _ids_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 
-def ids_column(pieces: Pieces):
-    """A column function: text -> array of ids, for texts that are not giant."""
-    from pyspark.sql.functions import arrow_udf
+def _with_columns(df: DataFrame, source: str, added: str, function) -> DataFrame:
+    """Add the columns of schema `added` = function(array of `source`), in short Arrow batches that
+    are passed on at once, so that neither side holds the long arrays of many rows."""
+    more = DataType.fromDDL(added).fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*part.columns, *function(part.column(source))], names=[*part.schema.names, *(f.name for f in more)])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *more]))
 
-    @arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [_ids_array([pieces.encode(t) for t in texts.slice(at, ROWS_AT_ONCE).to_pylist()]) for at in range(0, len(texts), ROWS_AT_ONCE)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    return run.asNondeterministic()
+def with_ids(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """Add ids and round_trip (whether they decode to the text) to docs(text, ...), for texts that
+    are not giant."""
 
+    def made(texts: pa.Array) -> list[pa.Array]:
+        texts = texts.to_pylist()
+        ids = [pieces.encode(t) for t in texts]
+        return [_ids_array(ids), pa.array([pieces.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)], pa.bool_())]
 
-def decoded(encoded: DataFrame, pieces: Pieces, column: str = "ids") -> DataFrame:
-    """Replace the ids in `column` by column `text`; null ids give an empty text."""
-    from pyspark.sql.functions import arrow_udf
+    return _with_columns(docs, "text", "ids array<int>, round_trip boolean", made)
 
-    @arrow_udf("string")
-    def run(ids: pa.Array) -> pa.Array:
-        return pa.array([pieces.decode(x.values.to_numpy() if x.is_valid else None) for x in ids], pa.string())
 
-    return encoded.withColumn("text", run(column)).drop(column)
+def decoded(encoded: DataFrame, pieces: Pieces) -> DataFrame:
+    """Add column `decoded`, the text of column `ids`; null ids give an empty text."""
+    return _with_columns(encoded, "ids", "decoded string", lambda ids: [pa.array([pieces.decode(x.values.to_numpy() if x.is_valid else None) for x in ids], pa.string())])
 
 
 def _map_chunks(df: DataFrame, function, schema: str) -> DataFrame:
@@ -416,23 +452,23 @@ def scan_encode(texts: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFra
 
 
 def encode_documents(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
-    """All rows and columns of docs(text, ...) with `ids`, the piece ids of the whole text.
+    """All rows and columns of docs(text, ...) with ids, the piece ids of the whole text, and
+    round_trip, whether decoding them gives the text back.
 
     A null or empty text has no ids. Unknown characters become their UTF-8 bytes' pieces, or the
-    unknown piece in a model without them. U+2581 in a text reads as a space. Repeated giant texts
-    are solved once. Empty in, empty out.
+    unknown piece in a model without them. U+2581 in a text reads as a space, and then round_trip
+    is false. Repeated giant texts are solved once. Empty in, empty out.
     """
     giant = F.coalesce(F.length("text") > 2 * chunk, F.lit(False))
-    short = docs.where(~giant).withColumn("ids", ids_column(pieces)("text"))
+    short = with_ids(docs.where(~giant), pieces)
     key = F.sha2("text", 256)
     solved = scan_encode(docs.where(giant).select(key.alias("key"), "text").dropDuplicates(["key"]), pieces, chunk)
-    long = docs.where(giant).withColumn("_key", key).join(solved.withColumnRenamed("key", "_key"), "_key").drop("_key")
-    return short.unionByName(long)
+    back = decoded(solved.withColumnRenamed("key", "_key"), pieces)
+    long = docs.where(giant).withColumn("_key", key).join(back, "_key").withColumn("round_trip", F.col("decoded") == F.col("text"))
+    return short.unionByName(long.drop("_key", "decoded"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and whether decoding gives the text back."""
-    pieces = Pieces.load(MODEL)
-    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
-    back = decoded(encoded.withColumn("_ids", F.col("ids")).withColumnRenamed("text", "_text"), pieces, "_ids")
-    return back.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.col("text").eqNullSafe(F.coalesce("_text", F.lit(""))).alias("round_trip"))
+    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), Pieces.load(MODEL))
+    return encoded.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "round_trip")

@@ -289,11 +289,11 @@ def test_documents_of_all_sizes(spark, pieces):
     long = "The long text goes on and on, without an end. " * 120 + "x" * 3000 + " done"
     rows = [(1, None, "x"), (2, "", "x"), (3, "short one", "x"), (4, long, "x"), (4, long, "x"), (None, long[::-1], "x")]
     got = sp.encode_documents(documents(spark, rows), pieces, chunk=500)
-    assert got.columns == ["doc_id", "text", "extra", "ids"]
+    assert got.columns == ["doc_id", "text", "extra", "ids", "round_trip"]
     for r in got.collect():
         assert r.ids == pieces.encode(r.text).tolist()
-        assert pieces.decode(r.ids) == (r.text or "")
+        assert pieces.decode(r.ids) == (r.text or "") and r.round_trip
     assert got.count() == 6
-    back = sp.decoded(got.drop("text"), pieces)
-    assert sorted(r.text for r in back.collect()) == sorted(r[1] or "" for r in rows)
+    back = sp.decoded(got, pieces)
+    assert sorted(r.decoded for r in back.collect()) == sorted(r[1] or "" for r in rows)
     assert sp.encode_documents(documents(spark, []), pieces).count() == 0
