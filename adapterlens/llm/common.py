@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Rows that a batch map hands to its function at once.
 ROWS_AT_ONCE = 256
+#: Rows of an Arrow batch of texts.
+ROWS_A_BATCH = 1_000
 #: Broadcasts are asked for up to this many rows of a few dozen bytes; beyond, the join is shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -41,6 +43,17 @@ def broadcast_if_small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= bound else df
 
 
+def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About `rows` rows of df (all, if it has no more): those whose hash of `keys` is low.
+
+    A count and a filter; nothing is sorted or gathered. Rows with equal keys stand or fall together.
+    """
+    n, steps = df.count(), 1 << 30
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(steps)) < int(steps * rows / n))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,21 +76,15 @@ def word_segments(text: str, size: int = 1 << 22) -> Iterator[list[bytes]]:
         start = end
 
 
-def map_rows(df: DataFrame, function: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """Apply `function` to short lists of rows inside Arrow batches; narrow, no shuffle."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def short_batches(rows: int = ROWS_A_BATCH) -> None:
+    """Let Spark hand texts to Python in Arrow batches of at most `rows` rows.
 
-    fields = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = function(batch.slice(at, ROWS_AT_ONCE).to_pylist())
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=fields)
-
-    return df.mapInArrow(run, schema)
+    The default of ten thousand rows would hold tens of megabytes of text in every worker, and as
+    much in the JVM. A lower setting of the session stays.
+    """
+    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
 
 
 def _unpartitioned(column: Column, kind: str) -> Column:
@@ -138,6 +145,7 @@ def batch_column(function: Callable[[list], list], ddl: str):
     from pyspark.sql.types import _parse_datatype_string
 
     kind = to_arrow_type(_parse_datatype_string(ddl))
+    short_batches()
 
     @arrow_udf(ddl)
     def run(texts: pa.Array) -> pa.Array:

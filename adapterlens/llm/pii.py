@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import batch_column, table
+from adapterlens.llm.common import batch_column, bounded_sample, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Documents and tokens that the field is trained on, at most: those with the least hash.
-TRAIN_DOCS, TRAIN_TOKENS = 2_000, 20_000
+#: Documents sampled for training (about as many; a tenth of them hold digits), and tokens at most.
+TRAIN_DOCS, TRAIN_TOKENS = 20_000, 20_000
 #: Marginal probability from which the field's label adds a span.
 SURE = 0.9
 #: Message rounds, and the share of the old message that is kept.
@@ -245,11 +245,11 @@ def fit_field(seen: list[list[str]], labels: np.ndarray, chain: np.ndarray, skip
 
 
 def train_field(docs: DataFrame, most_docs: int = TRAIN_DOCS, most_tokens: int = TRAIN_TOKENS) -> Field:
-    """Fit the field on a bounded sample: `most_docs` texts, of which `most_tokens` tokens at most.
+    """Fit the field on a bounded sample: about `most_docs` texts, of which `most_tokens` tokens at most.
 
     Tasks turn the sampled texts into tokens with features and edges; only these come to the driver.
     """
-    picked = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text")).limit(most_docs)
+    picked = bounded_sample(docs.select("doc_id", "text"), most_docs, "doc_id", "text").where(F.col("text").rlike("[0-9@]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
