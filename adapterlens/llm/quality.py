@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import table, text_column
+from adapterlens.llm.common import bounded_sample, table, text_column
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
-#: Labelled rows that the list is learned from, at most: those with the least hash of doc_id.
+#: Labelled rows that the list is learned from, about: those with a low hash of doc_id.
 SAMPLE = 10_000
 #: Thresholds tried per feature, conditions per rule, rules per list.
 THRESHOLDS, CONDITIONS, RULES = 48, 4, 12
@@ -181,14 +181,9 @@ def list_column(rules: list[list[Condition]], named: dict[str, Column]) -> Colum
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features and badness of at most `rows` labelled documents; this bounded table comes to the driver."""
-    picked = (
-        labels.where("doc_id is not null and quality is not null")
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
+    """Features and badness of about `rows` labelled documents; this bounded table comes to the driver."""
+    known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
+    picked = bounded_sample(known, rows, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     got = (
         docs.select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")
