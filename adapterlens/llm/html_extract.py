@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import batch_column, cut, table
+from adapterlens.llm.common import batch_column, bounded_sample, cut, table
 
-#: Pages that the trees are fitted on, at most: those with the least hash of page_id.
+#: Pages that the trees are fitted on, about: those with a low hash of page_id.
 SAMPLE_PAGES = 240
 TREES, DEPTH = 16, 4
 
@@ -401,14 +401,14 @@ def labelled_nodes(source: str, seed: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def fit_trees(pages: DataFrame, most: int = SAMPLE_PAGES) -> Trees:
-    """Fit the trees with MLlib on nodes of at most `most` pages, which tasks make into rows.
+    """Fit the trees with MLlib on nodes of about `most` pages, which tasks make into rows.
 
     Without a page to learn from, nothing is known and all nodes count as main.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    picked = pages.where("html is not null").select("page_id", "html").orderBy(F.xxhash64("page_id", "html")).limit(most)
+    picked = bounded_sample(pages.select("page_id", "html"), most, "page_id").where("html is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
