@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from adapterlens.llm.common import ROWS_AT_ONCE, table
+from adapterlens.llm.common import ROWS_AT_ONCE, short_batches, table
 
 #: The public vocabulary file that the query uses; a parameter everywhere else.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -30,7 +30,7 @@ SPACE = "▁"
 #: Characters of a chunk. Documents of over two chunks take the scan.
 CHUNK = 16_384
 #: Parts (of up to SHORT characters) remembered per Python worker before the memory is emptied.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 SHORT = 40
 NO_PIECE = 1 << 62
 NEVER = -(1 << 60)
@@ -375,6 +375,7 @@ def _with_columns(df: DataFrame, source: str, added: str, function) -> DataFrame
     """Add the columns of schema `added` = function(array of `source`), in short Arrow batches that
     are passed on at once, so that neither side holds the long arrays of many rows."""
     more = DataType.fromDDL(added).fields
+    short_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

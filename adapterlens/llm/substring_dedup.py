@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import broadcast_if_small, cut, table
+from adapterlens.llm.common import broadcast_if_small, cut, short_batches, table
 
 #: Words that a run of repeated units needs to be removed.
 MIN_WORDS = 25
@@ -50,6 +50,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([text_hash] * n, pa.int64()), *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(UNIT_SCHEMA)[2:], strict=True)]], schema=UNIT_SCHEMA)
 
+    short_batches()
     own = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return own.mapInArrow(run, "doc_id bigint, text_hash bigint, unit int, start bigint, stop bigint, words int, hi bigint, lo bigint")
 
