@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adapterlens.llm.common import broadcast_if_small, connected_components, cut, table, text_column, word_segments
@@ -25,6 +25,14 @@ WORDS, RADIUS = 3, 3
 #: Bit blocks. RADIUS blocks can differ, so shards agree on the others: 2 of 5 blocks, 25 bits or
 #: more, 10 choices. Over 1e9 distinct fingerprints, 6 blocks give 20 choices of 31 bits or more.
 BLOCKS = 5
+#: Near duplicates proper: five-word shingle sets with a similarity of ALIKE[0] / ALIKE[1] or more.
+EXACT_WORDS, ALIKE = 5, (4, 5)
+#: Bands of least values that propose pairs beside the fingerprints, and values per band.
+BANDS, BAND = 28, 5
+MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 32, 1 << 63, BANDS * BAND, dtype=np.uint64) | np.uint64(1)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Rounds of stars before all pairs that are left are compared, and pairs per member from which stars are worth it.
+STARS, STAR_FROM = 8, 20
 #: Members of a tree. Larger shards are split in parts, and a tree is built for every two parts.
 TREE = 4096
 
@@ -35,7 +43,22 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     A bit is set if it is set in over half of the shingles' XXH64 values, repeats included. A text
     of fewer words has one shingle of all; no words give zero.
     """
-    ones, n, tail = np.zeros(64, dtype=np.int64), 0, []
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for values in shingle_values(text, words):
+        for at in range(0, len(values), 1 << 16):
+            part = values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(values)
+    value = int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return value - (1 << 64) if value >> 63 else value
+
+
+def shingle_values(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 values of the word shingles of a lower-cased (A-Z) text, segment by segment.
+
+    A text of fewer words has one shingle of all; no words give nothing.
+    """
+    n, tail = 0, []
     join, digest = b" ".join, xxhash.xxh64_intdigest
     for segment in word_segments(text or ""):
         have = tail + [w.lower() for w in segment] if len(segment) < 8 else tail + join(segment).lower().split()
@@ -44,18 +67,34 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
             continue
         shingles = map(join, zip(*(have[i:] for i in range(words)), strict=False))
         values = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
-        for at in range(0, len(values), 1 << 16):
-            part = values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(values)
+        yield values
         tail = have[len(have) - words + 1 :]
-    if not n:
-        if not tail:
-            return 0
-        value = digest(join(tail), SEED)
-    else:
-        value = int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
-    return value - (1 << 64) if value >> 63 else value
+    if not n and tail:
+        yield np.array([digest(join(tail), SEED)], dtype=np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct values of the five-word shingles of a text, ascending."""
+    parts = [np.unique(v) for v in shingle_values(text, EXACT_WORDS)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def sketch(text: str | None, words: int = WORDS) -> dict:
+    """fp: the fingerprint; node: a digest of the shingle set; n: its size; buckets: a digest of
+    each band of least values under seeded permutations. Sets that are x alike share a bucket with
+    probability 1 - (1 - x ** BAND) ** BANDS, which is 0.99998 at 0.8."""
+    own = shingle_set(text)
+    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(own), 512):
+        part = own[at : at + 512]
+        mixed = part[None, :] * MULTIPLIERS[:, None]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= ODD
+        least = np.minimum(least, mixed.min(axis=1))
+    rows = least.reshape(BANDS, BAND).astype("<u8")
+    digest = lambda data, seed: int(np.uint64(xxhash.xxh3_64_intdigest(data, seed)).astype(np.int64))
+    return {"fp": fingerprint(text, words), "node": digest(own.astype("<u8").tobytes(), SEED), "n": len(own), "buckets": [digest(r.tobytes(), k) for k, r in enumerate(rows)]}
 
 
 def masks(radius: int, blocks: int) -> list[int]:
@@ -188,16 +227,96 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
+def _alike_classes(docs: DataFrame, row: Column, words: int, radius: int, blocks: int, tree: int) -> DataFrame:
+    """row, least: the least row reachable over pairs whose five-word shingle sets are alike.
+
+    Pairs are proposed by fingerprints within `radius` bits and by shared buckets, and each is
+    compared exactly. In a bucket all members are first compared with one of them; a pair whose
+    ends are in one class by then need not be compared, so a large group of copies costs about a
+    pair per member. All other pairs of a bucket are compared.
+    """
+    found = text_column(lambda t: sketch(t, words), "struct<fp:bigint,node:bigint,n:int,buckets:array<bigint>>")
+    own = cut(docs.select(row.alias("row"), found("text").alias("s")).select("row", "s.*"))
+    nodes = cut(own.groupBy("node", "fp", "n").agg(F.min("row").alias("least")))
+    dealt = own.select("node", "n", F.explode("buckets").alias("bucket"))
+    shared = cut(dealt.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"))
+    members = cut(dealt.join(broadcast_if_small(shared, shared.count()), "bucket").distinct())
+
+    of_print = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x"))
+    near = fingerprint_links(of_print.select("fp"), radius, blocks, tree)
+    end = lambda k: of_print.select(F.col("fp").alias(k), F.col("x").alias(f"x{k}"))
+    proposed = near.join(end("a"), "a").join(end("b"), "b").select("xa", "xb").unionByName(nodes.join(of_print, "fp").select(F.struct("node", "n").alias("xa"), F.col("x").alias("xb")))
+    proposed = cut(proposed.where("xa.node <> xb.node"))
+
+    def pairs(df: DataFrame) -> DataFrame:
+        """Ends in order, without pairs that differ too much in size."""
+        ordered = df.where("xa.node <> xb.node").select(F.least("xa", "xb").alias("p"), F.greatest("xa", "xb").alias("q"))
+        apart = F.least("p.n", "q.n") * ALIKE[1] >= F.greatest("p.n", "q.n") * ALIKE[0]
+        return ordered.where(apart).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+    first = pairs(proposed)
+    wanted = members.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    source = cut(nodes.join(wanted, "node", "left_semi").select("node", F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_hash")))
+    as_set = text_column(lambda t: shingle_set(t).astype(np.int64), "array<bigint>")
+    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text).eqNullSafe(F.col("_hash")))
+    texts = docs.join(broadcast_if_small(source, source.count()), same).select("node", "text").dropDuplicates(["node"])
+    sets = cut(texts.select("node", as_set("text").alias("set")))
+
+    def alike(df: DataFrame) -> DataFrame:
+        side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        enough = both * ALIKE[1] >= (F.size("set_a") + F.size("set_b") - both) * ALIKE[0]
+        return df.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
+
+    links, tested, n = None, None, members.count()
+    for k in range(STARS + 2):
+        if k:
+            roots = connected_components(links)
+            now = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+            mixed = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).where("n * n > q")
+            left = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0
+            if not left:
+                break
+            now = now.join(mixed.select("bucket"), "bucket", "left_semi")
+            star = k <= STARS and left > STAR_FROM * n
+        else:
+            now, star = members.withColumn("root", F.lit(None).cast("bigint")), True
+        value = F.struct(F.xxhash64(F.lit(k), "node").alias("_by") if k else F.col("node").alias("_by"), "node", "n", "root")
+        if star:
+            other = now.groupBy("bucket").agg(F.min(value).alias("c")).select("bucket", F.struct("c.node", "c.n").alias("xb"), F.col("c.root").alias("root_b"))
+        else:
+            other = now.select("bucket", F.struct("node", "n").alias("xb"), F.col("root").alias("root_b"))
+        met = now.join(other, "bucket").where("root is null or root <> root_b").where("node > xb.node" if not star else "node <> xb.node").select(F.struct("node", "n").alias("xa"), "xb")
+        fresh = pairs(met if k else met.unionByName(proposed))
+        fresh = cut(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"))
+        good = cut(alike(fresh))
+        links = good if links is None else links.unionByName(good)
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        if k and not star:
+            break
+    roots = connected_components(links)
+    labelled = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    of_root = labelled.groupBy("root").agg(F.min("least").alias("shared"))
+    joined = labelled.join(of_root, "root").select("node", F.col("shared").alias("least"))
+    return own.select("row", "node").join(joined, "node").select("row", "least")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE, exact: bool = False) -> DataFrame:
     """docs with one row of each near-duplicate class: that of the least doc_id (nulls last), and of
     the least text hash among equals. Of rows that repeat both doc_id and text one stays.
 
+    Classes are those of fingerprints within `radius`, or with `exact` those of five-word shingle
+    sets that are 0.8 alike or more.
+
     Texts move only for the rows that are left out or repeated: the lists of those are joined to
     the table, by broadcast while they are short.
     """
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("hash"))
-    own = cut(docs.select(row.alias("row"), text_column(lambda t: fingerprint(t, words), "bigint")("text").alias("fp")))
-    judged = own.join(_classes(own, radius, blocks, tree), "fp")
+    if exact:
+        judged = _alike_classes(docs, row, words, radius, blocks, tree)
+    else:
+        own = cut(docs.select(row.alias("row"), text_column(lambda t: fingerprint(t, words), "bigint")("text").alias("fp")))
+        judged = own.join(_classes(own, radius, blocks, tree), "fp")
     out = judged.groupBy("row").agg(F.max(F.col("row") != F.col("least")).alias("left_out"), F.count("*").alias("n")).where("left_out or n > 1")
     out = cut(out.select(F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_hash"), "left_out"))
     listed = broadcast_if_small(out, out.count())

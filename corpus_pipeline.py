@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from adapterlens.llm import decontaminate, pii, quality, sentencepiece_scan, simhash
 from adapterlens.llm.common import shared_dir, table
 
-#: SimHash links of this stage: 3-word fingerprints, as in the operator's own query, that differ in
-#: up to 6 bits. Fingerprints of texts whose five-word shingles are 0.8 alike or more differ in 2
-#: to 11 bits; unrelated texts practically never come within 6.
+#: SimHash candidates of this stage: 3-word fingerprints, as in the operator's own query, that differ
+#: in up to 6 bits. Fingerprints of texts whose five-word shingles are 0.8 alike or more differ in 2
+#: to 11 bits, so bands of least shingle values propose pairs too; every pair is compared exactly.
 RADIUS, BLOCKS = 6, 8
 
 
@@ -26,8 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
-    return simhash.keep_one(docs, radius=RADIUS, blocks=BLOCKS)
+    """Keep one document of each group whose five-word shingles are 0.8 alike or more."""
+    return simhash.keep_one(docs, radius=RADIUS, blocks=BLOCKS, exact=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,3 +131,31 @@ def test_passage_inside_lines_goes_and_the_rest_stays(spark):
     (run,) = substring_dedup.repeated_runs(docs).collect()
     assert rows[0][1][run.start : run.stop].strip() == passage and run.kept_in == [1]
     assert substring_dedup.repeated_runs(documents(spark, [])).count() == 0
+
+
+def test_exact_classes_match_brute_force(spark, sf_dir, monkeypatch):
+    """Edited copies beyond 6 bits go, and texts within 6 bits that are not 0.8 alike stay."""
+    r = random.Random(5)
+    rows = [(x.doc_id, x.text, "x") for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for k in range(25):
+        words = [f"{r.choice('abcdef')}{r.randint(0, 400)}" for _ in range(150)]
+        for c, edits in enumerate((0, 1, 2, 3, 4)):
+            new = words[:]
+            for at in r.sample(range(len(new)), edits):
+                new[at] = f"edit{at}"
+            rows.append((10_000 + 10 * k + c, " ".join(new), "x"))
+    block = " ".join(f"b{i}" for i in range(12))
+    rows += [(20_000, " ".join([block] * 20 + [f"left{i}" for i in range(12)]), "x"), (20_001, " ".join([block] * 20 + [f"right{i}" for i in range(12)]), "x")]
+    sets = {}
+    for i, t, _ in rows:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    prints = {i: plain_fingerprint(t) for i, t, _ in rows}
+    far = sum(alike(a, b) and (prints[a] ^ prints[b]).bit_count() > 6 for a in sets for b in sets if a < b)
+    assert far > 10 and (prints[20_000] ^ prints[20_001]).bit_count() <= 6 and not alike(20_000, 20_001)
+    want = set(components(sorted(sets), alike).values())
+    for stars in (simhash.STAR_FROM, 0):
+        monkeypatch.setattr(simhash, "STAR_FROM", stars)
+        kept = {x.doc_id for x in simhash.keep_one(documents(spark, rows), radius=6, blocks=8, exact=True).collect()}
+        assert kept == want
