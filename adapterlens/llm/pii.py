@@ -2,7 +2,8 @@
 
 The patterns give the base spans. The field labels tokens with digits or an at-sign. Neighbours in
 the text share a chain potential, and repeats of the same address or number share a skip
-potential however far apart they stand; loopy message passing makes their labels agree. It is
+potential with a hub, so that they are two steps apart wherever they stand; loopy message passing
+makes their labels agree. It is
 trained by pseudo-likelihood on tokens labelled by the base patterns, with the patterns' own
 evidence hidden from half of them, so that form, neighbours and repeats must speak.
 """
@@ -27,8 +28,9 @@ LABELS = ("other", *KINDS)
 TRAIN_DOCS, TRAIN_TOKENS = 20_000, 20_000
 #: Marginal probability from which the field's label adds a span.
 SURE = 0.9
-#: Message rounds, and the share of the old message that is kept.
-ROUNDS, DAMPING = 8, 0.3
+#: Messages pass until none changes by more than this. The share of the old message that is kept
+#: grows by a part every so many rounds, so that loops that swing settle too.
+SETTLED, DAMPING, PATIENCE = 1e-4, 0.3, 100
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -123,18 +125,19 @@ def token_key(token: str) -> str | None:
 
 
 def graph(texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """Candidate tokens of the texts and their chain and skip edges (pairs of token numbers).
+    """Candidate tokens of the texts, their chain edges (pairs of token numbers) and their skip
+    edges (token number, hub number).
 
-    A token is (text number, start, end, features, base label or 0). A skip edge joins a token
-    with the last one before it that has the same key, so a key of many repeats costs one edge each.
+    A token is (text number, start, end, features, base label or 0). Each key that a text
+    repeats has one hub, joined to all tokens of that key, so many repeats cost one edge each.
     """
-    tokens, chain, skip = [], [], []
+    tokens, chain, skip, n_hubs = [], [], [], 0
     for n, text in enumerate(texts):
         if not text or not CANDIDATE.search(text):
             continue
         spans = base_spans(text)
         places = [m.span() for m in TOKEN.finditer(text)]
-        last: dict[str, int] = {}
+        places_of: dict[str, list[int]] = {}
         was, s = -2, 0
         for i, (a, b) in enumerate(places):
             word = text[a:b]
@@ -152,13 +155,22 @@ def graph(texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
             was = i
             key = token_key(word)
             if key:
-                if key in last:
-                    skip.append((last[key], me))
-                last[key] = me
+                places_of.setdefault(key, []).append(me)
+        for same in places_of.values():
+            if len(same) > 1:
+                skip += [(me, n_hubs) for me in same]
+                n_hubs += 1
     pairs = lambda e: np.array(e, dtype=np.int64).reshape(-1, 2)
     return tokens, pairs(chain), pairs(skip)
 
 
+def repeats(skip: np.ndarray) -> np.ndarray:
+    """Pairs of tokens that follow one another at a hub, for the fit."""
+    by_hub = skip[np.lexsort((skip[:, 0], skip[:, 1]))]
+    same = by_hub[1:, 1] == by_hub[:-1, 1]
+    return np.column_stack([by_hub[:-1, 0][same], by_hub[1:, 0][same]])
+
+
 class Field:
     """Weights of the skip-chain field; plain arrays, a few kilobytes."""
 
@@ -174,24 +186,50 @@ class Field:
                 out[i, base] += 20  # the patterns' own spans stand
         return out
 
-    def marginals(self, tokens: list[tuple], chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Sum-product messages both ways over all edges at once."""
+    def beliefs(self, tokens: list[tuple], chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Marginals of tokens with skip edges to hubs, as `graph` gives them.
+
+        A hub holds the labels that the patterns gave to its tokens, so that evidence reaches
+        every repeat by one potential; what else the tokens tell comes by two. The potential
+        counts once for a key of two tokens and twice for more, as a repeat has one or two
+        neighbours in the fit.
+        """
+        hubs = int(skip[:, 1].max()) + 1 if len(skip) else 0
+        strength = np.minimum(np.bincount(skip[:, 1], minlength=hubs)[skip[:, 1]] - 1, 2)
+        known = np.zeros((hubs, len(LABELS)))
+        for t, h in skip.tolist():
+            if tokens[t][4]:
+                known[h, tokens[t][4]] = 20
+        return self.marginals(tokens, chain, skip + [0, len(tokens)], known, strength)[: len(tokens)]
+
+    def marginals(self, tokens: list[tuple], chain: np.ndarray, skip: np.ndarray, hubs: np.ndarray | None = None, strength: np.ndarray | None = None) -> np.ndarray:
+        """Sum-product messages both ways over all edges at once, until they settle.
+
+        hubs: own scores of the variables that follow the tokens; strength: how often each skip
+        edge's potential counts.
+        """
         own = self.logits(tokens)
+        own = own if hubs is None else np.concatenate([own, hubs])
         edges = np.concatenate([chain, skip])
         if not len(edges):
             return _softmax(own)
-        kind = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
+        kind = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0) * (1 if strength is None else strength[:, None, None])])
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         weight = np.concatenate([kind, kind.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(source), len(LABELS)))
-        for _ in range(ROUNDS):
+        change, rounds = np.inf, 0
+        while change > SETTLED:
             belief = own.copy()
             np.add.at(belief, target, message)
             out = belief[source] - message[back]
             new = np.logaddexp.reduce(out[:, :, None] + weight, axis=1)
             new -= new.max(axis=1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
+            change = np.abs(new - message).max()
+            keep = 1 - (1 - DAMPING) / (1 + rounds // PATIENCE)
+            if keep > 0.99:  # no fixed point in reach: the average of the swing stands
+                break
+            message, rounds = keep * message + (1 - keep) * new, rounds + 1
         belief = own.copy()
         np.add.at(belief, target, message)
         return _softmax(belief)
@@ -255,7 +293,7 @@ def train_field(docs: DataFrame, most_docs: int = TRAIN_DOCS, most_tokens: int =
         for batch in batches:
             tokens, chain, skip = graph(batch.column("text").to_pylist())
             before: list[list[list[int]]] = [[[], []] for _ in tokens]
-            for at, edges in enumerate((chain, skip)):
+            for at, edges in enumerate((chain, repeats(skip))):
                 for a, b in edges.tolist():
                     before[b][at].append(b - a)
             for at in range(0, len(tokens), 4096):
@@ -279,7 +317,7 @@ def added_spans(texts: list[str], field: Field, sure: float = SURE) -> list[list
     tokens, chain, skip = graph(texts)
     if not tokens:
         return out
-    p = field.marginals(tokens, chain, skip)
+    p = field.beliefs(tokens, chain, skip)
     best = p.argmax(axis=1)
     joined = {b: a for a, b in chain.tolist()}
     for i, (n, a, b, _, base) in enumerate(tokens):

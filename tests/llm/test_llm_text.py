@@ -297,3 +297,24 @@ def test_documents_of_all_sizes(spark, pieces):
     back = sp.decoded(got, pieces)
     assert sorted(r.decoded for r in back.collect()) == sorted(r[1] or "" for r in rows)
     assert sp.encode_documents(documents(spark, []), pieces).count() == 0
+
+
+def test_evidence_reaches_every_repeat():
+    """A number recognised once pulls its fiftieth repeat as it does the first."""
+    k = len(pii.LABELS)
+    field = pii.Field({}, np.zeros((0, k)), np.zeros((k, k)), 3 * np.eye(k))
+    tokens, chain, skip = pii.graph([" and ".join(["4111111111111111", *["x4111111111111111x"] * 50])])
+    tokens = [(*t[:4], pii.LABELS.index("card") if not i else 0) for i, t in enumerate(tokens)]
+    field.logits = lambda tokens: np.array([[20.0 * (t[4] == label) * (label > 0) for label in range(k)] for t in tokens])
+    p = field.beliefs(tokens, chain, skip)[:, pii.LABELS.index("card")]
+    assert len(p) == 51 and p[1:].min() > 0.9 and np.ptp(p[1:]) < 1e-3
+
+
+def test_messages_run_down_a_long_chain():
+    k, n = len(pii.LABELS), 60
+    field = pii.Field({}, np.zeros((0, k)), 6 * np.eye(k), np.eye(k))
+    own = np.zeros((n, k))
+    own[0, 2] = 20
+    field.logits = lambda tokens: own
+    p = field.marginals([None] * n, np.array([(i, i + 1) for i in range(n - 1)]), np.zeros((0, 2), dtype=np.int64))
+    assert p[30, 2] > 0.6
