@@ -3,7 +3,8 @@
 The test items are the indexed side. Every passage of every training text (a window of two
 neighbouring blocks of words) is a query that retrieves all items whose BM25 score reaches a share
 of the score the item gives itself. A retrieved item counts as leaked if both its question and its
-answer are covered by five-word runs that the passage contains.
+answer are covered by five-word runs that the passage contains; of a shorter question or answer the
+run is the whole.
 """
 
 from __future__ import annotations
@@ -56,7 +57,6 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = words
         self.question = [question_words(t or "", len(w)) for (_, t), w in zip(items, words, strict=True)]
-        self.runs = [min(RUN, len(w)) for w in words]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.span = max([WORDS, *map(len, words)])
         n = len(self.vocabulary)
@@ -161,13 +161,22 @@ class Index:
                 for t in ahead:
                     seek(t, pivot)
 
-    def overlap(self, item: int, passage: set[tuple[bytes, ...]]) -> tuple[float, float]:
-        """Shares of the question's and the answer's words that lie in runs of the passage."""
-        words, run, q = self.words[item], self.runs[item], self.question[item]
+    def overlap(self, item: int, passage: list[bytes]) -> tuple[float, float]:
+        """Shares of the question's and the answer's words that lie in runs of the passage.
+
+        Runs are taken over the item, and over question and answer by themselves, so that one of
+        fewer than RUN words has a run of its own.
+        """
+        words, q = self.words[item], self.question[item]
         hit = np.zeros(len(words), dtype=bool)
-        for i in range(len(words) - run + 1):
-            if tuple(words[i : i + run]) in passage:
-                hit[i : i + run] = True
+        held: dict[int, set[tuple[bytes, ...]]] = {}
+        for start, stop in ((0, len(words)), (0, q), (q, len(words))):
+            run = min(RUN, stop - start)
+            if run and run not in held:
+                held[run] = set(zip(*(passage[k:] for k in range(run)), strict=False))
+            for i in range(start, stop - run + 1 if run else start):
+                if tuple(words[i : i + run]) in held[run]:
+                    hit[i : i + run] = True
         return float(hit[:q].mean()), float(hit[q:].mean()) if q < len(words) else 1.0
 
     def leaks(self, text: str | None) -> list[dict]:
@@ -180,8 +189,7 @@ class Index:
             inside = slice(w * self.span, (w + 2) * self.span)
             terms = np.unique(ids[inside])
             for item, score in self.retrieve(terms[terms >= 0].tolist()):
-                part, run = words[inside], self.runs[item]
-                question, answer = self.overlap(item, set(zip(*(part[k:] for k in range(run)), strict=False)))
+                question, answer = self.overlap(item, words[inside])
                 if question >= OVERLAP and answer >= OVERLAP:
                     best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, question, answer))
         return [{"item_id": self.ids[i], "score": round(s, 6), "question": round(q, 6), "answer": round(a, 6)} for i, (s, q, a) in sorted(best.items())]

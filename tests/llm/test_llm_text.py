@@ -318,3 +318,17 @@ def test_messages_run_down_a_long_chain():
     field.logits = lambda tokens: own
     p = field.marginals([None] * n, np.array([(i, i + 1) for i in range(n - 1)]), np.zeros((0, 2), dtype=np.int64))
     assert p[30, 2] > 0.6
+
+
+def test_short_answers_leak_with_their_question(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France? Paris"), (2, "Name it?\nThe old mill hill near the river"), (3, "Which town has the tallest hill? Upper Mill")], "item_id long, text string")
+    rows = [
+        (1, "We ask: what is the capital of France? The answer is Paris.", "x"),
+        (2, "What is the capital of France? Nobody says.", "x"),
+        (3, "They name it often, and it is the old mill hill near the river", "x"),
+        (4, "Which town has the tallest hill? (a) Upper Mill", "x"),
+        (5, "Which town has the tallest hill? Mill and Upper", "x"),
+    ]
+    got = decontaminate.find_leaks(documents(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.question, r.answer) for r in got) == [(1, 1, 1.0, 1.0), (3, 2, 1.0, 1.0), (4, 3, 1.0, 1.0)]
+    assert {r.doc_id for r in decontaminate.without_leaks(documents(spark, rows), bench).collect()} == {2, 5}
