@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,12 @@ DIGIT = re.compile(r"[0-9]")
 CANDIDATE = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+#: A token that can be a part of a number written with spaces.
+PART = re.compile(r"[(+]*[0-9][0-9().-]*")
+#: Digits that two forms of a number share at its end, at least, and digits of a number at most.
+TAIL, MOST_DIGITS = 7, 19
+#: Digits of a country code at most.
+COUNTRY = 3
 EDGE = "\"'()[]{}<>,;:!?#*$%&|."
 
 Span = tuple[int, int, str]
@@ -121,14 +128,61 @@ def token_key(token: str) -> str | None:
     if "@" in core:
         return core
     digits = NOT_DIGIT.sub("", core)
-    return digits[-7:] if len(digits) >= 7 else None
+    return digits[-TAIL:] if len(digits) >= TAIL else None
+
+
+def numbers(text: str, places: list[tuple[int, int]], spans: list[Span]) -> dict[int, int]:
+    """First -> last token of the numbers that are written over several tokens.
+
+    They are the tokens of a base span, and neighbouring ones whose joined digits are those of a
+    base span of the text or end alike, one being a whole suffix of the other. A token before
+    those of the base span is not part of the number; behind one, only a country code may lack.
+    """
+    out: dict[int, int] = {}
+    known: dict[str, set[str]] = {}
+    starts = [a for a, _ in places]
+    done = -1
+    for a, b, kind in spans:
+        if kind in ("card", "phone"):
+            digits = NOT_DIGIT.sub("", text[a:b])
+            known.setdefault(digits[-TAIL:], set()).add(digits)
+            first, last = bisect_right(starts, a) - 1, bisect_left(starts, b) - 1
+            if first > done and last > first:
+                out[first] = done = last
+    if not known:
+        return out
+    i = 0
+    while i < len(places):
+        if i in out:
+            i = out[i] + 1
+            continue
+        digits, lead, best, k = "", 0, None, i
+        spare = COUNTRY if i and PART.fullmatch(text[slice(*places[i - 1])]) else MOST_DIGITS
+        while k < len(places) and k not in out and len(digits) <= MOST_DIGITS:
+            word = text[slice(*places[k])]
+            if not PART.fullmatch(word.strip(EDGE) if k == i else word.rstrip(EDGE)):
+                break
+            digits += NOT_DIGIT.sub("", word)
+            lead = lead or len(digits)
+            ends = known.get(digits[-TAIL:], ()) if k > i else ()
+            if any(x.endswith(digits) and len(x) - len(digits) <= spare or digits.endswith(x) and len(digits) - len(x) < lead for x in ends):
+                best = k
+            if word[-1] in ",;:!?":
+                break
+            k += 1
+        if best is not None:
+            out[i] = best
+            i = best
+        i += 1
+    return out
 
 
 def graph(texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """Candidate tokens of the texts, their chain edges (pairs of token numbers) and their skip
     edges (token number, hub number).
 
-    A token is (text number, start, end, features, base label or 0). Each key that a text
+    A token is (text number, start, end, features, base label or 0); a number written over several
+    words is one. Each key that a text
     repeats has one hub, joined to all tokens of that key, so many repeats cost one edge each.
     """
     tokens, chain, skip, n_hubs = [], [], [], 0
@@ -139,7 +193,12 @@ def graph(texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
         places = [m.span() for m in TOKEN.finditer(text)]
         places_of: dict[str, list[int]] = {}
         was, s = -2, 0
+        whole, passed = numbers(text, places, spans), -1
         for i, (a, b) in enumerate(places):
+            if i <= passed:
+                continue
+            passed = whole.get(i, i)
+            b = places[passed][1]
             word = text[a:b]
             if word.isalpha() or not CANDIDATE.search(word):
                 continue
@@ -147,12 +206,12 @@ def graph(texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
                 s += 1
             label = next((LABELS.index(k) for x, y, k in spans[s : s + 4] if x < b and y > a), 0)
             before = text[slice(*places[i - 1])] if i else ""
-            after = text[slice(*places[i + 1])] if i + 1 < len(places) else ""
+            after = text[slice(*places[passed + 1])] if passed + 1 < len(places) else ""
             me = len(tokens)
             tokens.append((n, a, b, token_features(word, before[:64], after[:64]), label))
             if was == i - 1:
                 chain.append((me - 1, me))
-            was = i
+            was = passed
             key = token_key(word)
             if key:
                 places_of.setdefault(key, []).append(me)

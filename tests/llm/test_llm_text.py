@@ -332,3 +332,20 @@ def test_short_answers_leak_with_their_question(spark):
     got = decontaminate.find_leaks(documents(spark, rows), bench).collect()
     assert sorted((r.doc_id, r.item_id, r.question, r.answer) for r in got) == [(1, 1, 1.0, 1.0), (3, 2, 1.0, 1.0), (4, 3, 1.0, 1.0)]
     assert {r.doc_id for r in decontaminate.without_leaks(documents(spark, rows), bench).collect()} == {2, 5}
+
+
+def test_numbers_with_spaces_share_a_hub_with_their_repeats(spark):
+    """Spaced phones and cards are one token, tied to later forms that the patterns do not take."""
+    text = "call +1 555 123 4567 now, or 555 123 4567. pay 4111 1111 1111 1111 today; 12 4111 1111 1111 1111 53538 and 999 123 4567"
+    tokens, _, skip = pii.graph([text])
+    hub = dict(skip.tolist())
+    words = {text[a:b]: hub.get(i) for i, (_, a, b, _, _) in enumerate(tokens)}
+    assert words["+1 555 123 4567"] == words["555 123 4567."] is not None
+    at = [hub.get(i) for i, (_, a, b, _, _) in enumerate(tokens) if text[a:b] == "4111 1111 1111 1111"]
+    assert len(at) == 2 and at[0] == at[1] is not None
+    assert "999" in words and "12" in words and "53538" in words
+    k = len(pii.LABELS)
+    field = pii.Field({}, np.zeros((0, k)), np.zeros((k, k)), 4 * np.eye(k))
+    field.logits = lambda tokens: np.array([[20.0 * (t[4] == label) * (label > 0) for label in range(k)] for t in tokens])
+    (added,) = pii.added_spans([text], field)
+    assert [(text[a:b], kind) for a, b, kind in added] == [("555 123 4567", "phone"), ("4111 1111 1111 1111", "card")]
