@@ -17,6 +17,10 @@ ROWS_AT_ONCE = 256
 ROWS_A_BATCH = 1_000
 #: Broadcasts are asked for up to this many rows of a few dozen bytes; beyond, the join is shuffled.
 BROADCAST_ROWS = 100_000
+#: Rows of a few dozen bytes that make a partition worth its files.
+ROWS_A_PART = 50_000
+#: A key of over so many rows is joined without a shuffle, if such keys are few.
+HOT_ROWS = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,20 +28,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's, or one of our own where none is named (tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Where none is named, a local session (as in tests) gets one of its own; on a cluster that is an
+    error, since executors would not see it.
+    """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    named, set_ = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if set_.isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute `df` once and cut its lineage with a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh(stem: str, *taken: DataFrame | str) -> str:
+    """A column name from `stem` that none of the tables has and none of the names is."""
+    names = {c.lower() for t in taken for c in ([t] if isinstance(t, str) else t.columns)}
+    name = f"_{stem}"
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a counted side for broadcast if it has `bound` rows at most."""
     return F.broadcast(df) if rows <= bound else df
@@ -95,7 +120,29 @@ def _unpartitioned(column: Column, kind: str) -> Column:
     return F.concat(column, F.lit("")) if kind == "string" else F.bitwise_not(F.bitwise_not(column))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as `rows` counted rows need, if it has more: few rows in hundreds of
+    partitions cost a file each at every step. Nothing is shuffled."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_PART)))
+
+
+def join_counted(rows: DataFrame, lookup: DataFrame, key: str, total: int, kind: str = "bigint") -> DataFrame:
+    """Inner join of rows with lookup(key, n, ...), which has each key once, where n is how many rows
+    have it and `total` how many rows there are.
+
+    Keys of many rows are so few that they are broadcast, and their rows never meet in a task; the
+    others are shuffled and have a bounded number of rows each.
+    """
+    hot = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
+    frequent = F.broadcast(lookup.where(F.col("n") > hot).drop("n"))
+    rare = lookup.where(F.col("n") <= hot).drop("n")
+    here = rows.join(frequent, key)
+    there = rows.join(frequent.select(key), key, "left_anti")
+    rest = there.join(F.broadcast(rare), key) if total <= BROADCAST_ROWS else there.join(rare.withColumn(key, _unpartitioned(F.col(key), kind)), key)
+    return here.unionByName(rest)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label the nodes of an undirected graph.
 
     edges: columns a, b (both long or both string). Returns node, root, where root is the least
@@ -103,35 +150,34 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     end and self-links are ignored, an empty table gives an empty result.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), which need rounds in
-    proportion to the logarithm of the longest path squared at most. Each round shuffles the edges
-    by one end and is cut by a checkpoint; nothing but two numbers comes to the driver.
+    proportion to the logarithm of the longest path squared at most, until nothing changes. Each
+    round shuffles the edges by one end and is cut by a checkpoint; nothing but two numbers comes to
+    the driver.
     """
     kind = dict(edges.dtypes)["a"]
-    now = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    def with_least(df: DataFrame) -> DataFrame:
-        least = df.groupBy("u").agg(F.min("v").alias("m")).select(_unpartitioned(F.col("u"), kind).alias("u"), "m")
-        return df.join(least, "u")
+    before, after = None, state(now)
+    while after[0] and after != before:
+        before, few = after, 2 * after[0]
+
+        def with_least(df: DataFrame, few: int = few) -> DataFrame:
+            least = gathered(df.groupBy("u").agg(F.min("v").alias("m")), few)
+            if few <= BROADCAST_ROWS:
+                return df.join(F.broadcast(least), "u")
+            return df.join(least.select(_unpartitioned(F.col("u"), kind).alias("u"), "m"), "u")
 
-    before = state(now)
-    if not before[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(most_rounds):
+        now = gathered(now, few)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = gathered(with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), few)
         near = with_least(large)
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(near.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(gathered(small.unionByName(near.select("u", F.col("m").alias("v"))).distinct(), few))
         after = state(now)
-        if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = after
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return gathered(now, after[0]).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def batch_column(function: Callable[[list], list], ddl: str):

@@ -5,15 +5,17 @@ neighbours that all fit in a byte-pair model. Texts are cut where no
 piece can reach across, and the parts are solved once each and remembered. A giant document is
 split into chunks at fixed places that may cut through pieces. A chunk's transfer matrix holds the
 best score from each place where a piece from the left may end to each place where a piece may end
-beyond the right edge; matrices combine associatively in the (max, +) semiring. One scan over a
-document's small matrices gives every chunk its edge states, and chunks are traced back apart.
+beyond the right edge; matrices combine associatively in the (max, +) semiring, in a tree of grouped
+steps. Going down the tree, the states at the edges of a group give those of its members, and the
+chunks are traced back apart.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,25 +24,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from adapterlens.llm.common import ROWS_AT_ONCE, short_batches, table
+from adapterlens.llm.common import ROWS_AT_ONCE, cut, fresh, short_batches, table
 
 #: The public vocabulary file that the query uses; a parameter everywhere else.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a chunk. Documents of over two chunks take the scan.
 CHUNK = 16_384
-#: Parts (of up to SHORT characters) remembered per Python worker before the memory is emptied.
-REMEMBERED = 100_000
+#: Matrices that one step of the scan's tree combines, at most.
+FAN = 512
+#: Characters of a text at most: a value of Spark's holds 2 GB.
+MOST_CHARACTERS = 1 << 31
+#: Parts (of up to SHORT characters) that a Python worker remembers in each of two generations.
+REMEMBERED = 200_000
 SHORT = 40
+#: Characters of the texts whose parts are solved together, about.
+CHARACTERS_AT_ONCE = 1 << 20
 NO_PIECE = 1 << 62
 NEVER = -(1 << 60)
+#: (from, to) -> (score, preference among equal ones)
 Transfer = dict[tuple[int, int], tuple[int, int]]
-#: What each Python worker remembers, by vocabulary, over the tasks that it runs: part -> ids as bytes.
-_REMEMBERED: dict[int, dict[str, bytes]] = {}
 #: What an unknown character scores below the least piece.
 UNKNOWN_PENALTY = 10
 
 
+class Memory:
+    """Ids of parts that were solved before, in two generations: when the younger is full it becomes
+    the older one, from which parts return as they are met. Parts of over SHORT characters are
+    forgotten at once. `odd` are those whose ids do not decode to them."""
+
+    def __init__(self, solve: Callable[[list[str]], list[bytes]], returns: Callable[[list[str], list[bytes]], list[bool]], most: int = REMEMBERED):
+        self.solve, self.returns, self.most = solve, returns, most
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+        self.long: list[str] = []
+
+    def recall(self, lists: list[list[str]]) -> dict[str, bytes]:
+        """A table that holds all parts of the lists, until it is asked for the next time."""
+        for part in self.long:
+            self.young.pop(part, None)
+        if len(self.young) >= self.most:
+            self.older, self.young = self.young, {}
+            self.odd.intersection_update(self.older)
+        young, older = self.young, self.older
+        missing = []
+        for part in set().union(*lists).difference(young):
+            if part in older:
+                young[part] = older[part]
+            else:
+                missing.append(part)
+        solved = self.solve(missing)
+        young.update(zip(missing, solved, strict=True))
+        self.odd.update(p for p, r in zip(missing, self.returns(missing, solved), strict=True) if not r)
+        self.long = [p for p in missing if len(p) > SHORT]
+        return young
+
+
+#: The memory of a Python worker by vocabulary, kept over the tasks that it runs.
+_MEMORIES: dict[int, Memory] = {}
+#: Pairs of pieces that fit or not, by vocabulary, as the lattice met them.
+_FITTING: dict[int, dict[tuple[str, str], bool]] = {}
+
+
 class Pieces:
     """The vocabulary as plain tables. Scores are whole numbers, so that sums are exact in any order."""
 
@@ -58,6 +104,8 @@ class Pieces:
         line = "" if any("\n" in p for p in self.score) else "\n"
         # Parts end before a space that follows something else, and around a line end, if no piece holds one inside.
         self.part = None if across else re.compile(f"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if line else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.line = line
+        self.part_start = re.compile(f"(?<=[^{SPACE}])(?={SPACE})" + ("|(?<=\n)|(?=\n)" if line else ""))
         self.key = hash((type(self).__name__, tuple(pieces)))
 
     @staticmethod
@@ -116,31 +164,58 @@ class Pieces:
         """Pieces of an unknown character's UTF-8 bytes, or the unknown piece in a model without them."""
         return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
+    def memory(self) -> Memory:
+        """This worker's memory under this vocabulary."""
+        if self.key not in _MEMORIES:
+            _MEMORIES[self.key] = Memory(self.solved, self.returned)
+        return _MEMORIES[self.key]
+
     def best_of(self, part: str) -> list[int]:
         """Ids of a part that no piece reaches across."""
         return self.ids_of(part, self.forward(part, len(part), {0: 0})[1], len(part))
 
-    def solve(self, parts: list[str]) -> bytes:
-        """Ids of parts that no piece reaches across, as 32-bit numbers in a row; short ones are remembered."""
-        known = _REMEMBERED.setdefault(self.key, {})
-        out = []
-        for part in parts:
-            got = known.get(part)
-            if got is None:
-                got = array("i", self.best_of(part)).tobytes()
-                if len(part) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = got
-            out.append(got)
-        return b"".join(out)
+    def solved(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, as 32-bit numbers in a row."""
+        return [array("i", self.best_of(p)).tobytes() for p in parts]
+
+    def returned(self, parts: list[str], ids: list[bytes]) -> list[bool]:
+        """Whether the ids of each part decode to it."""
+        want = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in parts]
+        have = list(map(self.surface.__getitem__, np.frombuffer(b"".join(ids), dtype=np.int32).tolist()))
+        places = np.cumsum([0, *(len(i) // 4 for i in ids)])
+        ends = np.cumsum([0, *map(len, have)])[places]
+        if b"".join(have) == b"".join(want) and np.array_equal(np.diff(ends), list(map(len, want))):
+            return [True] * len(parts)
+        return [b"".join(have[a:b]) == w for a, b, w in zip(places.tolist(), places[1:].tolist(), want, strict=False)]
+
+    def parts(self, text: str | None) -> list[str]:
+        """The parts of a text, with the mark that the model puts first; none of an empty one."""
+        text = normalised(text) if text else ""
+        return self.part.findall(text) if self.part else [text] if text else []
+
+    def solve(self, parts: list[str]) -> np.ndarray:
+        """Ids of parts that no piece reaches across, one after another."""
+        return np.frombuffer(b"".join(map(self.memory().recall([parts]).__getitem__, parts)), dtype=np.int32)
+
+    def solve_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bool]]:
+        """Ids of each text, and whether they decode to it: all its parts must do so alone, and it
+        must not hold the mark that reads as a space. Parts are solved once for many texts."""
+        at = 0
+        while at < len(texts):
+            parts, size = [], 0
+            while at < len(texts) and size < CHARACTERS_AT_ONCE:
+                size += len(texts[at] or "")
+                parts.append(self.parts(texts[at]))
+                at += 1
+            known = self.memory().recall(parts)
+            odd = self.memory().odd
+            for ps, text in zip(parts, texts[at - len(parts) : at], strict=True):
+                ids = np.frombuffer(b"".join(map(known.__getitem__, ps)), dtype=np.int32)
+                yield ids, SPACE not in (text or "") and (not odd or odd.isdisjoint(ps))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        text = normalised(text)
-        return np.frombuffer(self.solve(self.part.findall(text) if self.part else [text]), dtype=np.int32)
+        return next(self.solve_all([text]))[0]
 
     def decode(self, ids: list[int] | np.ndarray | None) -> str:
         """The text of ids; invalid byte sequences become U+FFFD."""
@@ -149,10 +224,19 @@ class Pieces:
 
     def cuts(self, text: str, low: int, high: int) -> tuple[int, int] | None:
         """First and last place from `low` up to `high` that no piece reaches across, if there is one."""
-        if self.part is None:
+        low = max(low, 1)
+        first = self.part_start.search(text, low) if self.part else None
+        if first is None or first.start() >= high:
             return None
-        starts = [m.start() for m in self.part.finditer(text) if max(low, 1) <= m.start() < high]
-        return (starts[0], starts[-1]) if starts else None
+        last = text.rfind(SPACE, low, high)
+        while last > low and text[last - 1] == SPACE:
+            last -= 1
+        if last == low and text[last - 1] == SPACE:
+            last = first.start()
+        if self.line:
+            end = text.rfind("\n", low - 1, high)
+            last = max(last, end + 1 if 0 <= end < high - 1 else end)
+        return first.start(), max(last, first.start())
 
     def transfer(self, text: str, back: int, size: int) -> Transfer:
         """A chunk's matrix: {(from, to): (score, preference among equal ones)}, without the hopeless.
@@ -201,7 +285,7 @@ class Pieces:
         return self._joined(text[:first], left, first, text[first:last], text[last:], right, size - last + end)
 
     def _joined(self, head: str, left: list[int], first: int, middle: str, tail: str, right: list[int], end: int) -> np.ndarray:
-        inner = np.frombuffer(self.solve(self.part.findall(middle)), dtype=np.int32)
+        inner = self.solve(self.part.findall(middle))
         return np.concatenate([np.array(self.ids_of(head, left, first), dtype=np.int32), inner, np.array(self.ids_of(tail, right, end), dtype=np.int32)])
 
 
@@ -217,21 +301,134 @@ class PairPieces(Pieces):
     def __init__(self, pieces: list[tuple[str, float, str]], unknown: int = 0):
         super().__init__(pieces, unknown)
         self.rank = {p: -s for p, (_, s) in self.score.items()}
-        self.fitting: dict[tuple[str, str], bool] = {}
+        self._tables: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"fitting": {}}
+        return self.__dict__ | {"_tables": None}
+
+    def tables(self) -> tuple:
+        """Arrays for merging many parts at once: the symbol of each character, sorted keys of the
+        symbol pairs that are a piece together, with that piece and its rank. Symbols are piece ids,
+        and numbers beyond for characters that are no piece."""
+        if self._tables is None:
+            symbol = {p: i for p, (i, _) in self.score.items()}
+            beyond = len(self.surface)
+            for c in sorted({c for p in self.score for c in p} - symbol.keys()):
+                symbol[c] = beyond = beyond + 1
+            of_character = np.full(0x110000, beyond + 1, dtype=np.int64)
+            of_character[[ord(c) for c in symbol if len(c) == 1]] = [i for c, i in symbol.items() if len(c) == 1]
+            wide = beyond + 2
+            rows = sorted((symbol[p[:k]] * wide + symbol[p[k:]], i, self.rank[p]) for p, (i, _) in self.score.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol)
+            keys, pieces, ranks = np.array([*rows, (NO_PIECE, 0, NO_PIECE)], dtype=np.int64).T.copy()
+            self._tables = of_character, keys, pieces, ranks, wide
+        return self._tables
+
+    def solved(self, parts: list[str]) -> list[bytes]:
+        """Short parts are merged side by side in arrays, one merge of each part at a time: the
+        neighbours whose union has the best rank, leftmost of equal ones, until none is a piece.
+        Long parts and those with characters that are no piece go through `best_of`."""
+        out: list[bytes] = [b""] * len(parts)
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        of_character = self.tables()[0]
+        symbols = of_character[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")] if parts else length
+        start = np.cumsum(length) - length
+        known = np.add.reduceat(symbols >= len(self.surface), start) == 0 if parts else length > 0
+        widths = [0, 4, 6, 8, 10, 12, 16, 24, SHORT]
+        for low, wide in zip(widths, widths[1:], strict=False):
+            rows = np.flatnonzero(known & (length > low) & (length <= wide))
+            for at in range(0, len(rows), 1 << 16):
+                some = rows[at : at + (1 << 16)]
+                self._merge(symbols, start[some], length[some], wide, some, out)
+        for i in np.flatnonzero(~known | (length > SHORT)).tolist():
+            out[i] = array("i", self.best_of(parts[i])).tobytes()
+        return out
+
+    def _merge(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, wide: int, rows: np.ndarray, out: list[bytes]) -> None:
+        """Merge parts of at most `wide` symbols and put their ids into `out` at `rows`."""
+        _, keys, pieces, ranks, base = self.tables()
+        n, place = len(start), np.arange(wide)
+        inside = place < length[:, None]
+        now = np.where(inside, symbols[np.minimum(start[:, None] + place, len(symbols) - 1)], base)
+
+        def pair(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rank and piece of each two symbols together."""
+            key = left * base + right
+            hit = np.searchsorted(keys, key)
+            good = keys[hit] == key
+            return np.where(good, ranks[hit], NO_PIECE), pieces[hit]
+
+        rank, piece = np.full((n, wide), NO_PIECE), np.zeros((n, wide), np.int64)
+        if wide > 1:
+            both = inside[:, 1:]
+            left, right = now[:, :-1][both], now[:, 1:][both]
+            rank[:, :-1][both], piece[:, :-1][both] = pair(left, right)
+        after = np.minimum(place + 1, wide) * np.ones((n, 1), np.int64)  # the next symbol's place
+        after[after >= length[:, None]] = wide
+        before = np.tile(place - 1, (n, 1))
+        alive = inside.copy()
+        open_ = np.arange(n)
+        while len(open_):
+            best = rank[open_].argmin(axis=1)
+            more = rank[open_, best] < NO_PIECE
+            open_, best = open_[more], best[more]
+            gone = after[open_, best]
+            now[open_, best] = piece[open_, best]
+            alive[open_, gone] = False
+            rank[open_, gone] = NO_PIECE
+            following = after[open_, gone]
+            after[open_, best] = following
+            some = following < wide
+            before[open_[some], following[some]] = best[some]
+            rank[open_[~some], best[~some]] = NO_PIECE
+            r, b = open_[some], best[some]
+            rank[r, b], piece[r, b] = pair(now[r, b], now[r, following[some]])
+            some = best > 0
+            r, b = open_[some], best[some]
+            a = before[r, b]
+            rank[r, a], piece[r, a] = pair(now[r, a], now[r, b])
+        data = now[alive].astype(np.int32).tobytes()
+        ends = 4 * np.cumsum(alive.sum(axis=1))
+        for row, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[row] = data[a:b]
 
     def best_of(self, part: str) -> list[int]:
-        """Short parts are merged outright; the lattice finds the same way in linear time for long ones."""
-        if len(part) > SHORT:
-            return super().best_of(part)
+        """The one way of fitting pieces through the part: longest piece first, a step back where
+        none fits. A place is reached in one way only, so one that led nowhere is never tried again."""
+        known, fits = self.score, self.fits
+        end, at, last = len(part), 0, ""
+        path: list[str] = []
+        dead: set[int] = set()
+        tries = [iter(range(self.longest, 0, -1))]
+        while at < end:
+            for n in tries[-1]:
+                piece, j = part[at : at + n], at + n
+                if j <= end and j not in dead and (n == 1 or piece in known) and fits(last, piece):
+                    path.append(piece)
+                    at, last = j, piece
+                    tries.append(iter(range(self.longest, 0, -1)))
+                    break
+            else:
+                dead.add(at)
+                tries.pop()
+                at -= len(path.pop())
+                last = path[-1] if path else ""
         out: list[int] = []
-        for piece in self.merged(part):
-            hit = self.score.get(piece)
+        for piece in path:
+            hit = known.get(piece)
             out += (hit[0],) if hit else self._unknown_ids(piece)
         return out
 
+    def fits(self, left: str, right: str) -> bool:
+        """Whether merging `left + right` gives these two."""
+        known = _FITTING.setdefault(self.key, {})
+        got = known.get((left, right))
+        if got is None:
+            got = self.merged(left + right) == ([left, right] if left else [right])
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[left, right] = got
+        return got
+
     def merged(self, text: str) -> list[str]:
         """Merge the neighbours whose union scores best, leftmost first, until none is a piece."""
         out, rank = list(text), self.rank.get
@@ -249,15 +446,6 @@ class PairPieces(Pieces):
                 ranks[i] = rank(out[i] + out[i + 1], NO_PIECE)
         return out
 
-    def fits(self, left: str, right: str) -> bool:
-        got = self.fitting.get((left, right))
-        if got is None:
-            got = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.fitting) >= 2 * REMEMBERED:
-                self.fitting.clear()
-            self.fitting[left, right] = got
-        return got
-
     def lattice(self, text: str, size: int, at: int, before: str) -> list[int]:
         """Length of the one fitting piece that ends at each place, from place `at` after piece `before`."""
         end = len(text)
@@ -331,24 +519,36 @@ def normalised(text: str) -> str:
 
 
 def combine(a: Transfer, b: Transfer) -> Transfer:
-    """Max-plus product of two matrices; associative. Of equal scores the preferred stands."""
+    """Max-plus product of two matrices; associative. Of equal scores the preferred stands.
+
+    Preferences only order the ways to one place, so they are numbered anew there.
+    """
     after: dict[int, list[tuple[int, int, int]]] = {}
     for (i, j), (score, prefer) in b.items():
         after.setdefault(i, []).append((j, score, prefer))
-    out: Transfer = {}
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for (i, k), (score, prefer) in a.items():
         for j, more, then in after.get(k, ()):
-            out[i, j] = max(out.get((i, j), (NEVER, 0)), (score + more, then * 64 + prefer))
-    return out
+            best[i, j] = max(best.get((i, j), (NEVER, 0, 0)), (score + more, then, prefer))
+    ways: dict[int, set[tuple[int, int]]] = {}
+    for (_, j), (_, then, prefer) in best.items():
+        ways.setdefault(j, set()).add((then, prefer))
+    order = {j: {w: n for n, w in enumerate(sorted(ws))} for j, ws in ways.items()}
+    return {(i, j): (score, order[j][then, prefer]) for (i, j), (score, then, prefer) in best.items()}
+
 
+def end_state(whole: Transfer) -> int:
+    """The best state in which a text ends, with no piece beyond its end."""
+    return max((to for at, to in whole if at == 0 and to % 64 == 0), key=lambda to: whole[0, to])
 
-def edge_states(matrices: list[Transfer]) -> list[tuple[int, int]]:
-    """(from, to) of every chunk on the best way through all, from state 0 to a piece's end at the end.
 
-    Forward, the best score of each state at each edge; backward, the state that each chunk is
+def edge_states(matrices: list[Transfer], start: int, end: int) -> list[tuple[int, int]]:
+    """(from, to) of every matrix on the best way through all, from state `start` to state `end`.
+
+    Forward, the best score of each state at each edge; backward, the state that each matrix is
     entered in, by score and then preference.
     """
-    at, before = {0: 0}, []
+    at, before = {start: 0}, []
     for m in matrices:
         before.append(at)
         now: dict[int, int] = {}
@@ -356,15 +556,23 @@ def edge_states(matrices: list[Transfer]) -> list[tuple[int, int]]:
             if i in at:
                 now[j] = max(now.get(j, NEVER), at[i] + score)
         at = now
-    end = max((s for s in at if s % 64 == 0), key=at.__getitem__)
     states = []
     for v, m in zip(reversed(before), reversed(matrices), strict=True):
-        start = max((i for i, j in m if j == end and i in v), key=lambda i: (v[i] + m[i, end][0], m[i, end][1]))
-        states.append((start, end))
-        end = start
+        begin = max((i for i, j in m if j == end and i in v), key=lambda i: (v[i] + m[i, end][0], m[i, end][1]))
+        states.append((begin, end))
+        end = begin
     return states[::-1]
 
 
+def packed(m: Transfer) -> bytes:
+    return zlib.compress(np.array([(i, j, s, p) for (i, j), (s, p) in m.items()], dtype="<i8").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> Transfer:
+    rows = np.frombuffer(zlib.decompress(data), dtype="<i8").reshape(-1, 4).tolist()
+    return {(i, j): (s, p) for i, j, s, p in rows}
+
+
 def _ids_array(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, parts)])
     values = np.concatenate([np.zeros(0, np.int32), *parts])
@@ -386,21 +594,21 @@ def _with_columns(df: DataFrame, source: str, added: str, function) -> DataFrame
     return df.mapInArrow(run, StructType([*df.schema.fields, *more]))
 
 
-def with_ids(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """Add ids and round_trip (whether they decode to the text) to docs(text, ...), for texts that
-    are not giant."""
+def with_ids(docs: DataFrame, pieces: Pieces, ids: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """Add the ids and, if named, whether they decode to the text, to docs(text, ...), for texts
+    that are not giant."""
 
     def made(texts: pa.Array) -> list[pa.Array]:
-        texts = texts.to_pylist()
-        ids = [pieces.encode(t) for t in texts]
-        return [_ids_array(ids), pa.array([pieces.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)], pa.bool_())]
+        found = list(pieces.solve_all(texts.to_pylist()))
+        out = [_ids_array([ids for ids, _ in found])]
+        return [*out, pa.array([back for _, back in found], pa.bool_())] if round_trip else out
 
-    return _with_columns(docs, "text", "ids array<int>, round_trip boolean", made)
+    return _with_columns(docs, "text", f"`{ids}` array<int>" + (f", `{round_trip}` boolean" if round_trip else ""), made)
 
 
-def decoded(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """Add column `decoded`, the text of column `ids`; null ids give an empty text."""
-    return _with_columns(encoded, "ids", "decoded string", lambda ids: [pa.array([pieces.decode(x.values.to_numpy() if x.is_valid else None) for x in ids], pa.string())])
+def decoded(encoded: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """Add column `text`, what the ids in column `ids` stand for; null ids give an empty text."""
+    return _with_columns(encoded, ids, f"`{text}` string", lambda rows: [pa.array([pieces.decode(x.values.to_numpy() if x.is_valid else None) for x in rows], pa.string())])
 
 
 def _map_chunks(df: DataFrame, function, schema: str) -> DataFrame:
@@ -414,62 +622,108 @@ def _map_chunks(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def scan_encode(texts: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
-    """key, ids of giant texts(key, text) with distinct keys, by the max-plus scan.
+def chunks_of(texts: DataFrame, longest: int, chunk: int) -> DataFrame:
+    """key, c, back, size, part of texts(key, text): chunk c with `back` characters before and up to
+    `longest - 1` after it. One pass over each text; the chunks of one are spread over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, text = batch.column(0)[i].as_py(), normalised(batch.column(1)[i].as_py())
+                for first in range(0, len(text), chunk * ROWS_AT_ONCE):
+                    rows = []
+                    for at in range(first, min(first + chunk * ROWS_AT_ONCE, len(text)), chunk):
+                        back = longest if at >= longest else at
+                        rows.append({"key": key, "c": at // chunk, "back": back, "size": min(chunk, len(text) - at), "part": text[at - back : at + chunk + longest - 1]})
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([("key", pa.string()), ("c", pa.int32()), ("back", pa.int32()), ("size", pa.int32()), ("part", pa.string())])
+    return texts.select("key", "text").mapInArrow(run, "key string, c int, back int, size int, part string").repartition("key", "c")
+
+
+def levels(chunk: int, fan: int = FAN) -> int:
+    """Steps of the tree over the chunks of the longest text that there can be."""
+    n, out = -(-MOST_CHARACTERS // chunk), 0
+    while n > 1:
+        n, out = -(-n // fan), out + 1
+    return out
 
-    Only matrices meet per document: a few hundred numbers for each chunk of `chunk` characters,
-    which a text's own limit of 2 GB bounds. Chunks of one document are spread over tasks.
+
+def scan(matrices: DataFrame, steps: int, fan: int = FAN) -> DataFrame:
+    """key, c, start, end: the edge states of matrices(key, c, cells).
+
+    Upwards, each `fan` neighbouring matrices become one by `combine`, until each key has one.
+    Downwards, each group's states give its members'. No group holds over `fan` matrices.
     """
-    n = pieces.longest
-    whole = F.concat(F.lit(SPACE), F.replace(F.col("text"), F.lit(" "), F.lit(SPACE)))
-    numbered = texts.select("key", whole.alias("text")).select("key", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / chunk).cast("int") - 1)).alias("c"))
-    back = F.when(F.col("c") > 0, n).otherwise(0)
-    chunks = numbered.select(
-        "key",
-        "c",
-        back.alias("back"),
-        F.least(F.lit(chunk), F.length("text") - F.col("c") * chunk).cast("int").alias("size"),
-        F.substr("text", F.col("c") * chunk + 1 - back, back + chunk + n - 1).alias("part"),
-    ).repartition("key", "c")
 
-    def measure(r: dict) -> dict:
-        m = pieces.transfer(r["part"], r["back"], r["size"])
-        return {"key": r["key"], "c": r["c"], "cells": [x for (i, j), (score, prefer) in m.items() for x in (i, j, score, prefer)]}
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("c")
+        whole = unpacked(frame["cells"].iloc[0])
+        for cells in frame["cells"].iloc[1:]:
+            whole = combine(whole, unpacked(cells))
+        return pd.DataFrame({"key": frame["key"].iloc[:1], "c": frame["g"].iloc[:1], "cells": [packed(whole)]})
 
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+    def walked(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("c")
-        cells = [np.asarray(x).reshape(-1, 4).tolist() for x in frame["cells"]]
-        states = edge_states([{(i, j): (score, prefer) for i, j, score, prefer in x} for x in cells])
+        states = edge_states([unpacked(x) for x in frame["cells"]], int(frame["start"].iloc[0]), int(frame["end"].iloc[0]))
         return pd.DataFrame({"key": frame["key"], "c": frame["c"], "start": [s for s, _ in states], "end": [e for _, e in states]})
 
+    group = F.floor(F.col("c") / fan).cast("int")
+    tree = [matrices.select("key", "c", "cells")]
+    for _ in range(steps):
+        tree.append(tree[-1].withColumn("g", group).groupBy("key", "g").applyInPandas(joined, "key string, c int, cells binary"))
+    states = _map_chunks(tree.pop(), lambda r: {"key": r["key"], "c": 0, "start": 0, "end": end_state(unpacked(r["cells"]))}, "key string, c int, start int, end int")
+    while tree:
+        above = states.select("key", F.col("c").alias("g"), "start", "end")
+        states = tree.pop().withColumn("g", group).join(above, ["key", "g"]).groupBy("key", "g").applyInPandas(walked, "key string, c int, start int, end int")
+    return states
+
+
+def scan_encode(texts: DataFrame, pieces: Pieces, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """key, ids of giant texts(key, text) with distinct keys, by the max-plus scan."""
+    chunks = chunks_of(texts, pieces.longest, chunk)
+
+    def measure(r: dict) -> dict:
+        return {"key": r["key"], "c": r["c"], "cells": packed(pieces.transfer(r["part"], r["back"], r["size"]))}
+
     def emit(r: dict) -> dict:
-        return {"key": r["key"], "c": r["c"], "ids": pieces.trace(r["part"], r["back"], r["size"], r["start"], r["end"]).tolist()}
+        return {"key": r["key"], "c": r["c"], "ids": pieces.trace(r["part"], r["back"], r["size"], r["start"], r["end"])}
 
-    matrices = _map_chunks(chunks, measure, "key string, c int, cells array<bigint>")
-    states = matrices.groupBy("key").applyInPandas(scan, "key string, c int, start int, end int")
+    matrices = cut(_map_chunks(chunks, measure, "key string, c int, cells binary"))
+    states = cut(scan(matrices, levels(chunk, fan), fan))
     traced = _map_chunks(chunks.join(states, ["key", "c"]), emit, "key string, c int, ids array<int>")
     ordered = F.sort_array(F.collect_list(F.struct("c", "ids")))
     return traced.groupBy("key").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
 
 
-def encode_documents(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
-    """All rows and columns of docs(text, ...) with ids, the piece ids of the whole text, and
-    round_trip, whether decoding them gives the text back.
+def encode_documents(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK, ids: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """All rows and columns of docs(text, ...) with column `ids`, the piece ids of the whole text,
+    and, if named, column `round_trip`, whether decoding them gives the text back.
 
     A null or empty text has no ids. Unknown characters become their UTF-8 bytes' pieces, or the
     unknown piece in a model without them. U+2581 in a text reads as a space, and then round_trip
-    is false. Repeated giant texts are solved once. Empty in, empty out.
+    is false. Repeated rows are all kept; repeated giant texts are solved once. A column of docs
+    with an added name is an error; all other names are free. Empty in, empty out.
     """
+    added = [ids, *([round_trip] if round_trip else [])]
+    if clash := {c.lower() for c in docs.columns} & {a.lower() for a in added}:
+        raise ValueError(f"docs has columns of the added names: {sorted(clash)}")
     giant = F.coalesce(F.length("text") > 2 * chunk, F.lit(False))
-    short = with_ids(docs.where(~giant), pieces)
-    key = F.sha2("text", 256)
+    short = with_ids(docs.where(~giant), pieces, ids, round_trip)
+    key, own = F.sha2("text", 256), fresh("key", docs, *added)
     solved = scan_encode(docs.where(giant).select(key.alias("key"), "text").dropDuplicates(["key"]), pieces, chunk)
-    back = decoded(solved.withColumnRenamed("key", "_key"), pieces)
-    long = docs.where(giant).withColumn("_key", key).join(back, "_key").withColumn("round_trip", F.col("decoded") == F.col("text"))
-    return short.unionByName(long.drop("_key", "decoded"))
+    if round_trip:
+        solved = decoded(solved, pieces).withColumn("back", F.sha2("decoded", 256) == F.col("key"))
+    solved = solved.select(F.col("key").alias(own), F.col("ids").alias(ids), *([F.col("back").alias(round_trip)] if round_trip else []))
+    long = docs.where(giant).withColumn(own, key).join(solved, own)
+    return short.unionByName(long.drop(own))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and whether decoding gives the text back."""
-    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), Pieces.load(MODEL))
+    """doc_id, ids, n_tokens and whether decoding gives the text back, for every document.
+
+    Nulls, empty, long and repeated texts: as `encode_documents` says.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_documents(docs, Pieces.load(MODEL), round_trip="round_trip")
     return encoded.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "round_trip")

@@ -1,12 +1,14 @@
 """Quality rules, personal data, decontamination and SentencePiece against plain versions."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adapterlens.llm import decontaminate, pii, quality
 from adapterlens.llm import sentencepiece_scan as sp
@@ -229,10 +231,16 @@ def odd_texts():
             yield "".join(r.choice(alphabet) for _ in range(r.randint(1, 120)))
 
 
-def chunked(p, text, size):
+def cut_in_chunks(p, text, size):
     whole, n = sp.normalised(text), p.longest
-    chunks = [(whole[max(0, i - n) : i + size + n - 1], min(n, i), min(size, len(whole) - i)) for i in range(0, len(whole), size)]
-    states = sp.edge_states([p.transfer(*c) for c in chunks])
+    return [(whole[max(0, i - n) : i + size + n - 1], min(n, i), min(size, len(whole) - i)) for i in range(0, len(whole), size)]
+
+
+def chunked(p, text, size):
+    chunks = cut_in_chunks(p, text, size)
+    matrices = [p.transfer(*c) for c in chunks]
+    whole = functools.reduce(sp.combine, matrices)
+    states = sp.edge_states(matrices, 0, sp.end_state(whole))
     return np.concatenate([p.trace(*c, a, b) for c, (a, b) in zip(chunks, states, strict=True)]).tolist()
 
 
@@ -240,11 +248,55 @@ def test_ids_equal_the_library_and_come_back(pieces, spark, sf_dir):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
-    texts = [*odd_texts(), *(r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect())]
-    for text in texts:
+    for text in odd_texts():
         ids = pieces.encode(text).tolist()
         assert ids == library.encode(text)
         assert pieces.decode(ids) == text
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = sp.op8_sentencepiece(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert r.ids == library.encode(texts[r.doc_id] or "") and r.n_tokens == len(r.ids) and r.round_trip
+
+
+def test_parts_merge_in_arrays_as_one_by_one(pieces):
+    r = random.Random(3)
+    parts = list({"".join(r.choice(a) for _ in range(r.randint(1, 45))) for a in ("▁the nrsaio", "abé", "aaab", "漢\n1", "▁") for _ in range(300)})
+    for part, ids in zip(parts, pieces.solved(parts), strict=True):
+        assert ids == np.array(pieces.best_of(part), dtype=np.int32).tobytes()
+        assert "".join(pieces.merged(part)) == part
+    assert pieces.solved([]) == [] and all(pieces.returned(parts, pieces.solved(parts)))
+    assert pieces.returned(["▁a", "b"], [pieces.solved(["▁a"])[0], b""]) == [True, False]
+
+
+def test_memory_keeps_two_generations():
+    asked = []
+    memory = sp.Memory(lambda parts: asked.extend(parts) or [p.encode() for p in parts], lambda parts, ids: [p != "odd" for p in parts], most=2)
+    for parts in (["a", "b", "odd"], ["c", "a"], ["d" * 50], ["a"]):
+        known = memory.recall([parts])
+        assert [known[p] for p in parts] == [p.encode() for p in parts]
+    assert sorted(asked) == ["a", "b", "c", "d" * 50, "odd"]
+
+
+def test_scan_in_a_tree_of_small_groups(spark, pieces):
+    unigram = sp.Pieces([(p, -float(len(p) % 7 + 1), "normal") for p in pieces.score])
+    rows = [(str(i), t) for i, t in enumerate(odd_texts()) if len(t) > 60]
+    texts = spark.createDataFrame(rows, "key string, text string")
+    for p in (pieces, unigram):
+        got = {r.key: r.ids for r in sp.scan_encode(texts, p, chunk=17, fan=3000).collect()}
+        assert got == {k: p.encode(t).tolist() for k, t in rows}
+    matrices = spark.createDataFrame([("k", c, bytearray(sp.packed(pieces.transfer(*x)))) for c, x in enumerate(cut_in_chunks(pieces, "the thin hinterland, " * 20, 16))], "key string, c int, cells binary")
+    two, five = ([tuple(r) for r in sp.scan(matrices, steps, fan).orderBy("c").collect()] for steps, fan in ((1, 64), (4, 3)))
+    assert two == five
+
+
+def test_a_name_in_use_is_an_error(spark, pieces):
+    with pytest.raises(ValueError):
+        sp.encode_documents(documents(spark, []).withColumnRenamed("extra", "IDS"), pieces)
+    clash = documents(spark, [(1, "of a text " * 30, "x"), (2, "b", "y")]).withColumnRenamed("extra", "_key").withColumn("key", F.lit(1)).withColumn("decoded", F.lit(2))
+    got = sp.encode_documents(clash, pieces, chunk=50, round_trip="back")
+    assert got.columns == [*clash.columns, "ids", "back"]
+    assert sorted((r._key, r.key, r.decoded, r.back) for r in got.collect()) == [("x", 1, 2, True), ("y", 1, 2, True)]
 
 
 def test_chunks_equal_the_whole_for_both_kinds(pieces):
@@ -288,7 +340,7 @@ def test_matrices_combine_associatively(pieces):
 def test_documents_of_all_sizes(spark, pieces):
     long = "The long text goes on and on, without an end. " * 120 + "x" * 3000 + " done"
     rows = [(1, None, "x"), (2, "", "x"), (3, "short one", "x"), (4, long, "x"), (4, long, "x"), (None, long[::-1], "x")]
-    got = sp.encode_documents(documents(spark, rows), pieces, chunk=500)
+    got = sp.encode_documents(documents(spark, rows), pieces, chunk=500, round_trip="round_trip")
     assert got.columns == ["doc_id", "text", "extra", "ids", "round_trip"]
     for r in got.collect():
         assert r.ids == pieces.encode(r.text).tolist()
