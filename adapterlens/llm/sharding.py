@@ -2,15 +2,18 @@
 
 Records hash into thousands of virtual slots that never change. Bytes are summed per slot, and a
 versioned map says which shard holds each slot. Rebalancing edits the map and writes the next
-version; records never hash anew.
+version; records never hash anew. Every version names all slots, those that are still empty too, so that
+records which come later have their place.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import table
+from adapterlens.llm.common import shared_dir, table
 
 #: Virtual slots. The map has this many rows at most, which bounds its broadcast.
 SLOTS = 4096
@@ -36,12 +39,10 @@ def slot_bytes(records: DataFrame) -> DataFrame:
     return records.groupBy("vslot").agg(F.sum("size").alias("bytes"))
 
 
-def _placed(slots: Column, shards: int) -> Column:
-    """array<struct<bytes, vslot>> -> array<struct<vslot, shard>>: largest first, each to the lightest shard."""
-    zero = F.struct(
-        F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"),
-        F.expr("cast(array() as array<struct<vslot: int, shard: int>>)").alias("map"),
-    )
+def _placed(slots: Column, loads: Column) -> Column:
+    """array<struct<bytes, vslot>> -> array<struct<vslot, shard>>: in order, each to the shard that is
+    lightest by then; loads: bytes that each shard has before."""
+    zero = F.struct(loads.alias("loads"), F.expr("cast(array() as array<struct<vslot: int, shard: int>>)").alias("map"))
 
     def step(acc: Column, slot: Column) -> Column:
         shard = (F.array_position(acc["loads"], F.array_min(acc["loads"])) - 1).cast("int")
@@ -53,14 +54,9 @@ def _placed(slots: Column, shards: int) -> Column:
     return F.aggregate(slots, zero, step, lambda acc: acc["map"])
 
 
-def first_map(stats: DataFrame, shards: int) -> DataFrame:
-    """Version 1 of the slot map: version, vslot, shard. stats is `slot_bytes`, one short row per slot."""
-    ordered = F.sort_array(F.collect_list(F.struct("bytes", "vslot")), asc=False)
-    return (
-        stats.agg(_placed(ordered, shards).alias("map"))
-        .select(F.inline("map"))
-        .select(F.lit(1).alias("version"), "vslot", "shard")
-    )
+def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Version 1 of the slot map: version, vslot, shard. Every slot has a shard, whatever lies in it."""
+    return spark.range(slots).select(F.lit(1).alias("version"), F.col("id").cast("int").alias("vslot"), F.pmod("id", F.lit(shards)).cast("int").alias("shard"))
 
 
 def newest(slot_map: DataFrame) -> DataFrame:
@@ -69,6 +65,24 @@ def newest(slot_map: DataFrame) -> DataFrame:
     return slot_map.join(F.broadcast(last), "version")
 
 
+def rebalanced_map(slot_map: DataFrame, stats: DataFrame, shards: int) -> DataFrame:
+    """The next version, in which shards hold nearly equal bytes.
+
+    Each shard keeps its largest slots up to the mean load, and its empty ones; the others move,
+    largest first, each to the shard that is lightest by then.
+    """
+    held = newest(slot_map).join(F.broadcast(stats), "vslot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("long")))
+    falling = Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot")
+    mean = held.agg((F.sum("bytes") / shards).alias("mean"))
+    upto = F.sum("bytes").over(falling.rowsBetween(Window.unboundedPreceding, 0))
+    held = held.select("vslot", "shard", "bytes", upto.alias("upto"), F.row_number().over(falling).alias("place")).join(F.broadcast(mean))
+    stays = (F.col("upto") <= F.col("mean")) | (F.col("place") == 1) | (F.col("bytes") == 0)
+    loads = held.groupBy("shard").agg(F.sum(F.when(stays, F.col("bytes")).otherwise(0)).alias("load"), F.collect_list(F.when(~stays, F.struct("bytes", "vslot"))).alias("moving"))
+    whole = loads.agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("loads"), F.sort_array(F.flatten(F.collect_list("moving")), asc=False).alias("moving"))
+    before = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.try_element_at("loads", i), F.lit(0).cast("long")))
+    return edited_map(slot_map, whole.select(F.inline(_placed(F.col("moving"), before))))
+
+
 def grown_map(slot_map: DataFrame, stats: DataFrame, shards: int) -> DataFrame:
     """The next version with one more shard, which takes whole slots from each of the others.
 
@@ -96,8 +110,10 @@ def edited_map(slot_map: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def store_map(slot_map: DataFrame, path: str) -> None:
-    """Append a version to the stored map; earlier versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    """Add a version to the stored map; earlier versions stay readable. One that is there already is
+    an error."""
+    (version,) = {r.version for r in slot_map.select("version").distinct().collect()}
+    slot_map.select("vslot", "shard").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
@@ -108,9 +124,11 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Give every record its shard and its place there, counted from 0 without gaps.
 
     Places are numbered in each (slot, part) and lifted by the counts of what comes before in the
-    shard: two short tables of at most SLOTS * PARTS rows, so no task holds a shard.
+    shard: two short tables of at most SLOTS * PARTS rows, so no task holds a shard. A record whose
+    slot is not in the map is an error.
     """
-    named = records.join(F.broadcast(slot_map), "vslot")
+    missing = F.raise_error(F.concat(F.lit("the map lacks slot "), F.col("vslot").cast("string"))).cast("int")
+    named = records.join(F.broadcast(slot_map), "vslot", "left").withColumn("shard", F.coalesce("shard", missing))
     parts = named.groupBy("shard", "vslot", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("vslot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -119,21 +137,25 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(offsets), ["vslot", "part"]).withColumn("slot", (F.col("place") + F.col("offset")).cast("long"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Put every row of docs(doc_id, text) into a shard.
 
-    Law `bytes`: shards get nearly equal sizes. slot_map: a stored version to follow (it must name
-    all slots); without one, version 1 is made from these records. Returns doc_id, size,
-    text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard (null under this
-    law), virtual_slot, map_version.
+    Law `bytes`: shards get nearly equal sizes. path: the folder of a stored map, whose newest
+    version is followed as it is. Without one, a map is stored in the shared folder: version 1 deals
+    the slots evenly, version 2 is that map edited for the bytes of these records, and is followed.
+    Returns doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0),
+    grown_shard (null under this law), virtual_slot, map_version.
 
     A null text counts as empty, with size 1 and checksum 0. A null doc_id hashes like any value.
     Repeated rows are kept, each with a place of its own; which of two equal rows gets which place
     does not matter, as they are equal. Further columns are ignored. An empty table gives none.
     """
-    records = sized(docs, slots)
-    slot_map = first_map(slot_bytes(records), shards) if slot_map is None else slot_map
-    return assign(records, slot_map).select(
+    spark, records = docs.sparkSession, sized(docs, slots)
+    if path is None:
+        path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+        store_map(first_map(spark, shards, slots), path)
+        store_map(rebalanced_map(read_map(spark, path), slot_bytes(records), shards), path)
+    return assign(records, read_map(spark, path)).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -147,4 +169,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, slot_
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 15 of every document. Nulls, repeats and empty tables: as `shard_documents` says."""
     return shard_documents(table(spark, sf_dir, "documents"))

@@ -142,17 +142,38 @@ def test_shards_are_balanced_and_gapless(spark, sf_dir):
 def test_slot_maps_are_versioned_and_growth_moves_into_the_new_shard(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     records = sharding.sized(docs, slots=64)
-    stats = sharding.slot_bytes(records)
-    one = sharding.first_map(stats, 3)
-    sharding.store_map(one, str(tmp_path / "map"))
-    two = sharding.grown_map(sharding.read_map(spark, str(tmp_path / "map")), stats, 3)
-    sharding.store_map(two, str(tmp_path / "map"))
-    old, new = ({r.vslot: r.shard for r in m.collect()} for m in (one, sharding.read_map(spark, str(tmp_path / "map"))))
-    moved = {s for s in old if old[s] != new[s]}
-    assert moved and all(new[s] == 3 for s in moved) and {r.version for r in sharding.read_map(spark, str(tmp_path / "map")).collect()} == {2}
-    edited = sharding.edited_map(two, spark.createDataFrame([(next(iter(old)), 9)], "vslot int, shard int"))
-    assert {r.version for r in edited.collect()} == {3} and {r.shard for r in edited.collect()} >= {9}
-    assert sharding.shard_documents(docs, 4, 64, two).where("map_version = 2").count() == docs.count()
+    stats, path = sharding.slot_bytes(records), str(tmp_path / "map")
+    sharding.store_map(sharding.first_map(spark, 3, 64), path)
+    balanced = sharding.rebalanced_map(sharding.read_map(spark, path), stats, 3)
+    sharding.store_map(balanced, path)
+    sharding.store_map(sharding.grown_map(sharding.read_map(spark, path), stats, 3), path)
+    maps = collections.defaultdict(dict)
+    for r in spark.read.parquet(path).collect():
+        maps[r.version][r.vslot] = r.shard
+    assert sorted(maps) == [1, 2, 3] and all(len(m) == 64 for m in maps.values())
+    load = lambda m: sorted(sum(r.bytes for r in stats.collect() if m[r.vslot] == s) for s in range(3))
+    assert load(maps[2])[2] - load(maps[2])[0] < load(maps[1])[2] - load(maps[1])[0]
+    kept = sum(maps[1][v] == maps[2][v] for v in maps[1])
+    assert 64 > kept >= 32
+    moved = {v for v in maps[2] if maps[2][v] != maps[3][v]}
+    assert moved and all(maps[3][v] == 3 for v in moved)
+    edited = sharding.edited_map(sharding.read_map(spark, path), spark.createDataFrame([(5, 9)], "vslot int, shard int"))
+    assert {r.version for r in edited.collect()} == {4} and {r.vslot for r in edited.collect() if r.shard == 9} == {5}
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        sharding.store_map(balanced, path)
+    assert sharding.shard_documents(docs, 4, 64, path).where("map_version = 3").count() == docs.count()
+
+
+def test_later_records_follow_a_stored_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    first, later = (spark.createDataFrame([(i, f"text {i}") for i in range(a, a + 100)], "doc_id long, text string") for a in (0, 100))
+    sharding.store_map(sharding.first_map(spark, 16), path)
+    sharding.store_map(sharding.rebalanced_map(sharding.read_map(spark, path), sharding.slot_bytes(sharding.sized(first)), 16), path)
+    got = sharding.shard_documents(later, path=path).collect()
+    assert sorted(r.doc_id for r in got) == list(range(100, 200)) and {r.map_version for r in got} == {2}
+    part = spark.read.parquet(path).where("vslot < 7")
+    with pytest.raises(Exception, match="lacks slot"):
+        sharding.assign(sharding.sized(later), sharding.newest(part)).collect()
 
 
 def test_shard_edges(spark):
