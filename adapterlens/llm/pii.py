@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import batch_column, bounded_sample, table
+from adapterlens.llm.common import batch_column, bounded_sample, fresh, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -54,6 +54,12 @@ EDGE = "\"'()[]{}<>,;:!?#*$%&|."
 Span = tuple[int, int, str]
 
 
+def byte(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or 0) <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -77,7 +83,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, done))
     if DIGIT.search(text):
         if "." in text:
-            found += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+            found += [(*m.span(), "ip") for m in IP.finditer(text) if all(map(byte, m[0].split(".")))]
         for m in CARD.finditer(text):
             if 12 <= m.end() - m.start():
                 digits = NOT_DIGIT.sub("", m[0])
@@ -99,7 +105,7 @@ def _bucket(n: int, *edges: int) -> int:
 def token_features(token: str, before: str, after: str) -> list[str]:
     """What the field sees of a token: its form and that of its neighbours."""
     core = token.strip(EDGE)
-    groups = [g for g in NOT_DIGIT.split(core) if g] if len(core) < 200 else [core[:200]]
+    groups = [g for g in NOT_DIGIT.split(core) if g]
     digits = "".join(groups)
     letters = any(c.isalpha() for c in core)
     out = [
@@ -116,7 +122,7 @@ def token_features(token: str, before: str, after: str) -> list[str]:
         f"after={'d' if DIGIT.search(after) else 'w'}{'(' if after.startswith('(') else ''}",
     ]
     if not letters and len(groups) == 4 and core.count(".") == 3:
-        out.append(f"quad={all(len(g) < 4 and int(g) <= 255 for g in groups)}")
+        out.append(f"quad={all(map(byte, groups))}")
     if not letters and 12 <= len(digits) <= 19:
         out.append(f"luhn={luhn(digits)}")
     return [*out, f"{out[0]},{out[1]},{out[5]}"]
@@ -208,7 +214,7 @@ def graph(texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
             before = text[slice(*places[i - 1])] if i else ""
             after = text[slice(*places[passed + 1])] if passed + 1 < len(places) else ""
             me = len(tokens)
-            tokens.append((n, a, b, token_features(word, before[:64], after[:64]), label))
+            tokens.append((n, a, b, token_features(word, before, after), label))
             if was == i - 1:
                 chain.append((me - 1, me))
             was = passed
@@ -344,9 +350,12 @@ def fit_field(seen: list[list[str]], labels: np.ndarray, chain: np.ndarray, skip
 def train_field(docs: DataFrame, most_docs: int = TRAIN_DOCS, most_tokens: int = TRAIN_TOKENS) -> Field:
     """Fit the field on a bounded sample: about `most_docs` texts, of which `most_tokens` tokens at most.
 
-    Tasks turn the sampled texts into tokens with features and edges; only these come to the driver.
+    Tasks turn the sampled texts into tokens with features and edges; only these come to the driver,
+    in the order of a hash of their document, so that the fit is the same however rows are dealt.
+    Repeated rows count once. Null texts have no tokens.
     """
     picked = bounded_sample(docs.select("doc_id", "text"), most_docs, "doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+    picked = picked.select(F.xxhash64(F.lit("order"), "doc_id", "text").alias("h"), "text").dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,11 +364,14 @@ def train_field(docs: DataFrame, most_docs: int = TRAIN_DOCS, most_tokens: int =
             for at, edges in enumerate((chain, repeats(skip))):
                 for a, b in edges.tolist():
                     before[b][at].append(b - a)
+            hashes = batch.column("h").to_pylist()
             for at in range(0, len(tokens), 4096):
-                rows = [{"seen": t[3], "label": t[4], "chain": e[0], "skip": e[1]} for t, e in zip(tokens[at : at + 4096], before[at : at + 4096], strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("seen", pa.list_(pa.string())), ("label", pa.int32()), ("chain", pa.list_(pa.int64())), ("skip", pa.list_(pa.int64()))]))
+                rows = [{"h": hashes[t[0]], "at": t[1], "seen": t[3], "label": t[4], "chain": e[0], "skip": e[1]} for t, e in zip(tokens[at : at + 4096], before[at : at + 4096], strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    rows = picked.mapInArrow(run, "seen array<string>, label int, chain array<bigint>, skip array<bigint>").limit(most_tokens).collect()
+    schema = pa.schema([("h", pa.int64()), ("at", pa.int64()), ("seen", pa.list_(pa.string())), ("label", pa.int32()), ("chain", pa.list_(pa.int64())), ("skip", pa.list_(pa.int64()))])
+    found = picked.mapInArrow(run, "h bigint, at bigint, seen array<string>, label int, chain array<bigint>, skip array<bigint>")
+    rows = found.orderBy("h", "at").limit(most_tokens).collect()
     labels = np.array([r.label for r in rows], dtype=np.int64)
     seen = []
     for i, r in enumerate(rows):
@@ -438,5 +450,19 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     return found.select("doc_id", *[f"r.n_{k}" for k in KINDS], "r.base_sha256", "r.spans")
 
 
+def without_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """All rows and columns of docs(text, n_chars, ...), with each span of personal data in `text`
+    replaced by its kind in brackets, and `n_chars` counted anew.
+
+    A null text stays null, with a null n_chars. Repeated rows are treated alike. Further columns
+    pass whatever their names. Empty in, empty out.
+    """
+    found = spans_column(train_field(docs) if field is None else field, redact=True)
+    own = fresh("found", docs)
+    clean = docs.withColumn(own, found("text")).withColumn("text", F.when(F.col("text").isNotNull(), F.col(f"{own}.redacted")))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select([f"`{c}`" for c in docs.columns])
+
+
 def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every document. Nulls, empty, long and repeated texts: as `find_personal_data` says."""
     return find_personal_data(table(spark, sf_dir, "documents"))
