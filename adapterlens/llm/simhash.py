@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import broadcast_if_small, connected_components, cut, table, text_column, word_segments
+from adapterlens.llm.common import BROADCAST_ROWS, broadcast_if_small, connected_components, cut, fresh, gathered, join_counted, table, text_column, word_segments
 
 SEED = 42
 WORDS, RADIUS = 3, 3
@@ -31,9 +31,11 @@ EXACT_WORDS, ALIKE = 5, (4, 5)
 BANDS, BAND = 28, 5
 MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 32, 1 << 63, BANDS * BAND, dtype=np.uint64) | np.uint64(1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Rounds of stars before all pairs that are left are compared, and pairs per member from which stars are worth it.
-STARS, STAR_FROM = 8, 20
-#: Members of a tree. Larger shards are split in parts, and a tree is built for every two parts.
+#: Earliest members of its buckets that a text is compared with before blocks are.
+FIRSTS = 4
+#: Sets and set values of a block's part, about, and cells of an incidence matrix.
+BLOCK_SETS, BLOCK_VALUES, CELLS = 1_000, 500_000, 1 << 22
+#: Members of a tree. Larger shards are dealt again by the bits that are left.
 TREE = 4096
 
 
@@ -97,13 +99,18 @@ def sketch(text: str | None, words: int = WORDS) -> dict:
     return {"fp": fingerprint(text, words), "node": digest(own.astype("<u8").tobytes(), SEED), "n": len(own), "buckets": [digest(r.tobytes(), k) for k, r in enumerate(rows)]}
 
 
-def masks(radius: int, blocks: int) -> list[int]:
-    """The bits that two fingerprints within `radius` share for some entry: all choices of blocks."""
-    if not radius < blocks <= 64:
+def masks(radius: int, blocks: int, agreed: int = 0) -> list[int]:
+    """The bits that two fingerprints within `radius` share for some entry: all choices of blocks.
+
+    agreed: bits that they are known to share; the others are parted into blocks, and each mask
+    holds all of the agreed ones.
+    """
+    if not radius < blocks:
         raise ValueError("there must be more blocks than differing bits")
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    block = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-    return [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    open_ = [b for b in range(64) if not agreed >> b & 1]
+    edges = [len(open_) * i // blocks for i in range(blocks + 1)]
+    block = [sum(1 << b for b in open_[edges[i] : edges[i + 1]]) for i in range(blocks)]
+    return [agreed | sum(block[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
 def linked(values: list[int], radius: int) -> list[int]:
@@ -162,55 +169,82 @@ def _shard_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            now = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("choice", "shard", "lo", "hi", "fp")])
+            now = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("mask", "shard", "fp")])
             now = now if rest is None else np.concatenate([rest, now])
-            edge = np.flatnonzero((now[1:, :4] != now[:-1, :4]).any(axis=1)) + 1
+            edge = np.flatnonzero((now[1:, :2] != now[:-1, :2]).any(axis=1)) + 1
             cuts = [0, *edge.tolist()]
             found: list[tuple[int, int]] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b - a > 1:
-                    found += links(now[a:b, 4])
+                    found += links(now[a:b, 2])
             rest = now[cuts[-1] :]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=out)
-        if rest is not None and len(rest) > 1 and (found := links(rest[:, 4])):
+        if rest is not None and len(rest) > 1 and (found := links(rest[:, 2])):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=out)
 
     return run
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
-    """Links a, b that join all fingerprints of prints(fp), distinct, into their components.
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    Every two fingerprints within `radius` meet in a shard. A shard of over `tree` members is
-    split into parts by hash, and each two parts share a tree, so none holds over about two parts
-    while every two members still meet.
+
+def dealt(prints: DataFrame, radius: int, blocks: int, tree: int) -> tuple[list[DataFrame], int]:
+    """Shards (mask, shard, fp) of prints(fp), distinct, in which every two fingerprints within
+    `radius` meet; and how many prints there are.
+
+    mask tells the bits that a shard's members agree on, shard those bits. A shard of over `tree`
+    members is dealt again by blocks of the bits that are left, each time a fixed number of copies
+    of a member, until it has `tree` members or so few bits are left that it cannot have more.
     """
-    chosen = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("shard")) for i, m in enumerate(masks(radius, blocks))])
-    keyed = prints.select("fp", F.inline(chosen))
-    big = cut(keyed.groupBy("choice", "shard").count().where(F.col("count") > tree))
-    n_big = big.count()
-    one = F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-    if n_big:
-        parts = big.select("choice", "shard", F.ceil(F.col("count") / tree).cast("int").alias("parts"))
-        keyed = keyed.join(broadcast_if_small(parts, n_big), ["choice", "shard"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("own"))
-        pairs = F.transform(others, lambda i: F.struct(F.least(i, F.col("own")).alias("lo"), F.greatest(i, F.col("own")).alias("hi")))
-        keyed = keyed.select("choice", "shard", "fp", F.inline(F.when(F.col("parts").isNull(), F.array(one)).otherwise(pairs)))
-    else:
-        keyed = keyed.select("choice", "shard", "fp", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-    dealt = keyed.repartition("choice", "shard", "lo", "hi").sortWithinPartitions("choice", "shard", "lo", "hi", "fp")
-    return dealt.mapInArrow(_shard_links(radius), "a long, b long").distinct()
+    shard = lambda m: F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("shard"))
+    open_, done, total = masks(radius, blocks), [], prints.count()
+    now = prints.select("fp", F.inline(F.array(*map(shard, open_))))
+    while True:
+        deep = [m for m in open_ if 64 - m.bit_count() > max(radius + 2, tree.bit_length() - 1)]
+        big = now.where(F.col("mask").isin([_signed(m) for m in deep])).groupBy("mask", "shard").agg(F.count("*").alias("n")).where(F.col("n") > tree) if deep else None
+        big = cut(gathered(big, total)) if big is not None else None
+        found = {r["mask"] & (2**64 - 1) for r in big.select("mask").distinct().collect()} if big is not None else set()
+        if not found:
+            return [*done, now], total
+        n_big = big.count()
+        listed = broadcast_if_small(big.select("mask", "shard"), n_big)
+        done.append(now.join(listed, ["mask", "shard"], "left_anti"))
+        again = now.join(listed, ["mask", "shard"], "left_semi")
+        parts = {m: masks(radius, min(blocks, 64 - m.bit_count()), m) for m in found}
+        case = None
+        for m, more in parts.items():
+            choices = F.array(*[shard(x) for x in more])
+            case = F.when(F.col("mask") == _signed(m), choices) if case is None else case.when(F.col("mask") == _signed(m), choices)
+        now = cut(again.select("fp", F.inline(case)).distinct())
+        open_ = list({x for more in parts.values() for x in more})
 
 
-def _classes(own: DataFrame, radius: int, blocks: int, tree: int) -> DataFrame:
-    """fp, least: the least `row` of own(row, fp) over all fingerprints reachable from each one."""
-    prints = own.groupBy("fp").agg(F.min("row").alias("least"))
-    roots = connected_components(fingerprint_links(prints.select("fp"), radius, blocks, tree))
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("fp"), "root")
-    of_root = members.join(prints, "fp").groupBy("root").agg(F.min("least").alias("shared"))
-    joined = members.join(of_root, "root").select("fp", "shared")
-    return prints.join(joined, "fp", "left").select(F.bitwise_not(F.bitwise_not("fp")).alias("fp"), F.coalesce("shared", "least").alias("least"))
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
+    """Links a, b that join all fingerprints of prints(fp), distinct, into their components: a
+    BK-tree per shard."""
+    shards, total = dealt(prints, radius, blocks, tree)
+    out = None
+    for rows in shards:
+        placed = rows.select("mask", "shard", "fp").repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp")
+        found = placed.mapInArrow(_shard_links(radius), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def _classes(own: DataFrame, radius: int, blocks: int, tree: int) -> tuple[DataFrame, int]:
+    """fp, n, least: how many rows of own(row, fp) have each fingerprint, and the least `row` over all
+    fingerprints reachable from it; and the number of rows."""
+    total = own.count()
+    prints = cut(gathered(own.groupBy("fp").agg(F.min("row").alias("least"), F.count("*").alias("n")), total))
+    roots = cut(connected_components(fingerprint_links(prints.select("fp"), radius, blocks, tree)))
+    members = gathered(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), total).select(F.col("node").alias("fp"), "root")
+    known = members.join(broadcast_if_small(prints.select("fp", "least"), total), "fp")
+    of_root = gathered(known.groupBy("root").agg(F.min("least").alias("shared"), F.count("*").alias("n")), total)
+    shared = join_counted(members, of_root, "root", total).select("fp", "shared")
+    classes = prints.join(broadcast_if_small(shared, total), "fp", "left").select("fp", "n", F.coalesce("shared", "least").alias("least"))
+    return cut(gathered(classes, total)), total
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
@@ -223,82 +257,145 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     ignored. Empty in, empty out.
     """
     own = cut(docs.select("doc_id", text_column(lambda t: fingerprint(t, words), "bigint")("text").alias("fp")))
-    classes = _classes(own.select(F.col("doc_id").alias("row"), "fp"), radius, blocks, tree)
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    classes, total = _classes(own.select(F.col("doc_id").alias("row"), "fp"), radius, blocks, tree)
+    return join_counted(own, classes, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def enough(both, one, other):
+    """Whether sets of sizes `one` and `other` with `both` members in common are alike."""
+    return both * ALIKE[1] >= (one + other - both) * ALIKE[0]
+
+
+def alike_pairs(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, cross: bool) -> np.ndarray:
+    """Pairs (i, j), i < j, of sets that are alike and have different roots; with `cross`, only pairs
+    of different sides. Intersections are counted in a product of incidence matrices, some of the
+    distinct values at a time."""
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(value)[value] > 1
+    _, value = np.unique(value[shared], return_inverse=True)
+    row = row[shared]
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    wide = max(1, CELLS // len(sets))
+    for at in range(0, int(value[-1]) + 1 if len(value) else 0, wide):
+        low, high = np.searchsorted(value, [at, at + wide])
+        x = np.zeros((len(sets), wide), dtype=np.float32)
+        x[row[low:high], value[low:high] - at] = 1
+        both += x @ x.T
+    good = enough(both, size[:, None], size[None, :]) & (roots[:, None] != roots[None, :])
+    if cross:
+        good &= side[:, None] != side[None, :]
+    return np.argwhere(np.triu(good, 1))
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block (bucket, cross, lo, hi) -> links (a, b) of alike members."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(block: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, root, side, sets = (list(x) for x in zip(*(r[1:] for r in block), strict=True))
+        pairs = alike_pairs(sets, np.array(root), np.array(side), block[0][0][1] or block[0][0][2] != block[0][0][3])
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(node)[pairs[:, k]]) for k in (0, 1)], schema=out)
+
+    block: list[tuple] = []
+    for batch in batches:
+        keys = zip(*(batch.column(k).to_pylist() for k in ("bucket", "cross", "lo", "hi")), strict=True)
+        sets = batch.column("set")
+        for i, (key, *rest) in enumerate(zip(keys, *(batch.column(k).to_pylist() for k in ("node", "root", "side")), strict=True)):
+            if block and block[0][0] != key:
+                yield from links(block)
+                block = []
+            block.append((key, *rest, sets[i].values.to_numpy()))
+    if block:
+        yield from links(block)
+
+
+def blocks_of(members: DataFrame) -> DataFrame:
+    """bucket, cross, lo, hi, side, node, root: which members(bucket, node, n, root) meet in a task.
+
+    In a bucket, the members of its most frequent root need not be compared with each other. They
+    and the rest are parted, by how many there are and by the sizes of their sets; each two parts of
+    the rest meet, and each part of the rest meets each of the others. Buckets of one root are left out.
+    """
+    per = members.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum("n").alias("v"))
+    first = F.struct("k", "root", "v")
+    mixed = per.groupBy("bucket").agg(F.max(first).alias("x"), F.sum("k").alias("k"), F.sum("v").alias("v")).where("k > x.k")
+    parts = lambda k, v: F.greatest(F.ceil(k / BLOCK_SETS), F.ceil(v / BLOCK_VALUES)).cast("int")
+    mixed = mixed.select("bucket", F.col("x.root").alias("main"), parts(F.col("x.k"), F.col("x.v")).alias("p"), parts(F.col("k") - F.col("x.k"), F.col("v") - F.col("x.v")).alias("q"))
+    is_main = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("p")).otherwise(F.col("q"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    block = lambda cross, lo, hi, side: F.struct(F.lit(cross).alias("cross"), lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    of_main = F.transform(upto(F.col("q")), lambda j: block(True, j, F.col("own"), F.lit(1)))
+    with_rest = F.transform(upto(F.col("q")), lambda j: block(False, F.least("own", j), F.greatest("own", j), (F.col("own") > j).cast("int")))
+    with_main = F.transform(upto(F.col("p")), lambda j: block(True, F.col("own"), j, F.lit(0)))
+    placed = members.join(mixed, "bucket").withColumn("own", own)
+    return placed.select("bucket", "node", "root", F.inline(F.when(is_main, of_main).otherwise(F.concat(with_rest, with_main))))
 
 
 def _alike_classes(docs: DataFrame, row: Column, words: int, radius: int, blocks: int, tree: int) -> DataFrame:
     """row, least: the least row reachable over pairs whose five-word shingle sets are alike.
 
-    Pairs are proposed by fingerprints within `radius` bits and by shared buckets, and each is
-    compared exactly. In a bucket all members are first compared with one of them; a pair whose
-    ends are in one class by then need not be compared, so a large group of copies costs about a
-    pair per member. All other pairs of a bucket are compared.
+    Pairs are proposed by fingerprints within `radius` bits and by shared buckets, and compared
+    exactly. First each member is compared with a few of the earliest ones of its buckets, which
+    joins most of a group of copies at about a pair per member. Then all members of a bucket that
+    are in different classes by then are compared, in blocks of bounded size.
     """
     found = text_column(lambda t: sketch(t, words), "struct<fp:bigint,node:bigint,n:int,buckets:array<bigint>>")
     own = cut(docs.select(row.alias("row"), found("text").alias("s")).select("row", "s.*"))
-    nodes = cut(own.groupBy("node", "fp", "n").agg(F.min("row").alias("least")))
-    dealt = own.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = cut(dealt.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"))
-    members = cut(dealt.join(broadcast_if_small(shared, shared.count()), "bucket").distinct())
-
-    of_print = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x"))
+    total = own.count()
+    nodes = cut(gathered(own.groupBy("node", "fp", "n").agg(F.min("row").alias("least"), F.count("*").alias("copies")), total))
+    small = lambda df, rows=total: broadcast_if_small(df, rows)
+    rank = F.struct(F.col("row.unknown").alias("u"), F.col("row.doc_id").alias("d"), "node")
+    dealt_ = own.select("node", "n", rank.alias("rank"), F.explode("buckets").alias("bucket"))
+    shared = dealt_.groupBy("bucket").agg(F.min("rank").alias("first"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket", F.col("first.node").alias("first"), F.col("first").alias("rank"))
+    shared = cut(gathered(shared, total))
+    n_shared = shared.count()
+    members = dealt_.select("bucket", "node", "n").join(broadcast_if_small(shared.select("bucket"), n_shared), "bucket", "left_semi").distinct()
+    members = cut(gathered(members, total))
+    n = members.count()
+
+    of_print = gathered(nodes.groupBy("fp").agg(F.min("node").alias("x")), total)
     near = fingerprint_links(of_print.select("fp"), radius, blocks, tree)
-    end = lambda k: of_print.select(F.col("fp").alias(k), F.col("x").alias(f"x{k}"))
-    proposed = near.join(end("a"), "a").join(end("b"), "b").select("xa", "xb").unionByName(nodes.join(of_print, "fp").select(F.struct("node", "n").alias("xa"), F.col("x").alias("xb")))
-    proposed = cut(proposed.where("xa.node <> xb.node"))
-
-    def pairs(df: DataFrame) -> DataFrame:
-        """Ends in order, without pairs that differ too much in size."""
-        ordered = df.where("xa.node <> xb.node").select(F.least("xa", "xb").alias("p"), F.greatest("xa", "xb").alias("q"))
-        apart = F.least("p.n", "q.n") * ALIKE[1] >= F.greatest("p.n", "q.n") * ALIKE[0]
-        return ordered.where(apart).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-
-    first = pairs(proposed)
-    wanted = members.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    source = cut(nodes.join(wanted, "node", "left_semi").select("node", F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_hash")))
+    end = lambda k: small(of_print.select(F.col("fp").alias(k), F.col("x").alias(f"x{k}")))
+    proposed = near.join(end("a"), "a").join(end("b"), "b").select(F.col("xa").alias("a"), F.col("xb").alias("b"))
+    proposed = proposed.unionByName(nodes.join(small(of_print), "fp").select(F.col("node").alias("a"), F.col("x").alias("b")))
+    firsts = members.join(broadcast_if_small(shared, n_shared), "bucket").where("node <> first").groupBy("node").agg(F.slice(F.sort_array(F.collect_set("rank")), 1, FIRSTS).alias("r"))
+    proposed = proposed.unionByName(firsts.select(F.col("node").alias("a"), F.explode("r.node").alias("b")))
+    pairs = proposed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    size = lambda k: small(nodes.groupBy("node").agg(F.max("n").alias(f"n{k}")).withColumnRenamed("node", k))
+    apart = F.least("na", "nb") * ALIKE[1] >= F.greatest("na", "nb") * ALIKE[0]
+    pairs = cut(gathered(pairs.join(size("a"), "a").join(size("b"), "b").where(apart).select("a", "b"), total))
+    n_pairs = pairs.count()
+
+    wanted = members.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    source = nodes.join(small(wanted, n + 2 * n_pairs), "node", "left_semi").groupBy("node").agg(F.min("least").alias("least")).select("node", F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_hash"))
+    source = cut(gathered(source, total))
     as_set = text_column(lambda t: shingle_set(t).astype(np.int64), "array<bigint>")
     same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text).eqNullSafe(F.col("_hash")))
-    texts = docs.join(broadcast_if_small(source, source.count()), same).select("node", "text").dropDuplicates(["node"])
-    sets = cut(texts.select("node", as_set("text").alias("set")))
-
-    def alike(df: DataFrame) -> DataFrame:
-        side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        enough = both * ALIKE[1] >= (F.size("set_a") + F.size("set_b") - both) * ALIKE[0]
-        return df.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
-
-    links, tested, n = None, None, members.count()
-    for k in range(STARS + 2):
-        if k:
-            roots = connected_components(links)
-            now = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-            mixed = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).where("n * n > q")
-            left = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0
-            if not left:
-                break
-            now = now.join(mixed.select("bucket"), "bucket", "left_semi")
-            star = k <= STARS and left > STAR_FROM * n
-        else:
-            now, star = members.withColumn("root", F.lit(None).cast("bigint")), True
-        value = F.struct(F.xxhash64(F.lit(k), "node").alias("_by") if k else F.col("node").alias("_by"), "node", "n", "root")
-        if star:
-            other = now.groupBy("bucket").agg(F.min(value).alias("c")).select("bucket", F.struct("c.node", "c.n").alias("xb"), F.col("c.root").alias("root_b"))
-        else:
-            other = now.select("bucket", F.struct("node", "n").alias("xb"), F.col("root").alias("root_b"))
-        met = now.join(other, "bucket").where("root is null or root <> root_b").where("node > xb.node" if not star else "node <> xb.node").select(F.struct("node", "n").alias("xa"), "xb")
-        fresh = pairs(met if k else met.unionByName(proposed))
-        fresh = cut(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"))
-        good = cut(alike(fresh))
-        links = good if links is None else links.unionByName(good)
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        if k and not star:
-            break
-    roots = connected_components(links)
-    labelled = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    of_root = labelled.groupBy("root").agg(F.min("least").alias("shared"))
-    joined = labelled.join(of_root, "root").select("node", F.col("shared").alias("least"))
-    return own.select("row", "node").join(joined, "node").select("row", "least")
+    sets = docs.join(broadcast_if_small(source, source.count()), same).select("node", as_set("text").alias("set"))
+    sets = cut(sets.dropDuplicates(["node"]))
+
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    links = cut(gathered(two.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), n_pairs))
+    roots = cut(connected_components(links))
+    now = cut(gathered(members.join(small(roots, n_pairs), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), n))
+    placed = cut(gathered(blocks_of(now), n))
+    n_placed = placed.count()
+    if n_placed:
+        met = placed.join(sets, "node") if n_placed > BROADCAST_ROWS else sets.join(F.broadcast(placed), "node")
+        met = met.select("bucket", "cross", "lo", "hi", "side", "node", "root", "set").repartition("bucket", "cross", "lo", "hi").sortWithinPartitions("bucket", "cross", "lo", "hi", "side", "node")
+        more = cut(gathered(met.mapInArrow(_block_links, "a long, b long").distinct(), n))
+        roots = connected_components(links.unionByName(more))
+    labelled = cut(nodes.join(small(roots, n_pairs + n), "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root")))
+    of_root = gathered(labelled.groupBy("root").agg(F.min("least").alias("shared"), F.count("*").alias("n")), total)
+    classes = join_counted(labelled, of_root, "root", total).groupBy("node").agg(F.min("shared").alias("least"), F.sum("copies").alias("n"))
+    return join_counted(own.select("row", "node"), cut(gathered(classes, total)), "node", total).select("row", "least")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE, exact: bool = False) -> DataFrame:
@@ -306,24 +403,32 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks:
     the least text hash among equals. Of rows that repeat both doc_id and text one stays.
 
     Classes are those of fingerprints within `radius`, or with `exact` those of five-word shingle
-    sets that are 0.8 alike or more.
+    sets that are 0.8 alike or more. Null, empty and wordless texts are one class. Further columns
+    pass whatever their names; of rows equal in doc_id and text any may be the one that stays. Empty
+    in, empty out.
 
     Texts move only for the rows that are left out or repeated: the lists of those are joined to
     the table, by broadcast while they are short.
     """
+    plain = docs.select("doc_id", "text")
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("hash"))
     if exact:
-        judged = _alike_classes(docs, row, words, radius, blocks, tree)
+        judged = _alike_classes(plain, row, words, radius, blocks, tree)
     else:
-        own = cut(docs.select(row.alias("row"), text_column(lambda t: fingerprint(t, words), "bigint")("text").alias("fp")))
-        judged = own.join(_classes(own, radius, blocks, tree), "fp")
+        own = cut(plain.select(row.alias("row"), text_column(lambda t: fingerprint(t, words), "bigint")("text").alias("fp")))
+        classes, total = _classes(own, radius, blocks, tree)
+        judged = join_counted(own, classes, "fp", total)
     out = judged.groupBy("row").agg(F.max(F.col("row") != F.col("least")).alias("left_out"), F.count("*").alias("n")).where("left_out or n > 1")
-    out = cut(out.select(F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_hash"), "left_out"))
+    id_, hash_, gone = (fresh(x, docs) for x in ("id", "hash", "gone"))
+    out = cut(out.select(F.col("row.doc_id").alias(id_), F.col("row.hash").alias(hash_), F.col("left_out").alias(gone)))
     listed = broadcast_if_small(out, out.count())
-    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_hash"))
-    once = docs.join(listed.where("not left_out"), same).dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    own_columns = [f"`{c}`" for c in docs.columns]
+    once = docs.join(listed.where(~F.col(gone)), same).dropDuplicates(["doc_id", "text"]).select(own_columns)
     return docs.join(listed, same, "left_anti").unionByName(once)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document. Nulls, empty and long texts, ties, repeats, empty
+    tables and further columns: as `near_duplicates` says."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -155,7 +155,76 @@ def test_exact_classes_match_brute_force(spark, sf_dir, monkeypatch):
     far = sum(alike(a, b) and (prints[a] ^ prints[b]).bit_count() > 6 for a in sets for b in sets if a < b)
     assert far > 10 and (prints[20_000] ^ prints[20_001]).bit_count() <= 6 and not alike(20_000, 20_001)
     want = set(components(sorted(sets), alike).values())
-    for stars in (simhash.STAR_FROM, 0):
-        monkeypatch.setattr(simhash, "STAR_FROM", stars)
+    for firsts, sets in ((simhash.FIRSTS, simhash.BLOCK_SETS), (1, 3)):
+        monkeypatch.setattr(simhash, "FIRSTS", firsts)
+        monkeypatch.setattr(simhash, "BLOCK_SETS", sets)
         kept = {x.doc_id for x in simhash.keep_one(documents(spark, rows), radius=6, blocks=8, exact=True).collect()}
         assert kept == want
+
+
+def test_alike_pairs_match_plain_counts(monkeypatch):
+    import numpy as np
+
+    r = random.Random(8)
+    base = [r.getrandbits(60) for _ in range(40)]
+    sets = [np.array(sorted({r.getrandbits(60) if r.random() < 0.12 else b for b in base}), dtype=np.int64) for _ in range(30)] + [np.zeros(0, np.int64)] * 2
+    roots, side = np.array([k % 11 for k in range(32)]), np.array([k % 2 for k in range(32)])
+    for cells in (simhash.CELLS, 64):
+        monkeypatch.setattr(simhash, "CELLS", cells)
+        for cross in (False, True):
+            both = lambda i, j: len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            want = [(i, j) for i in range(32) for j in range(i + 1, 32) if 5 * both(i, j) >= 4 * (len(sets[i]) + len(sets[j]) - both(i, j)) and roots[i] != roots[j] and (not cross or side[i] != side[j])]
+            assert len(want) > 3 and [tuple(x) for x in simhash.alike_pairs(sets, roots, side, cross).tolist()] == want
+
+
+def test_every_two_members_of_different_roots_meet_in_a_block(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 4)
+    rows = [(1, k, 9, 7 if k < 20 else k) for k in range(33)] + [(2, k, 9, 7) for k in range(9)]
+    placed = simhash.blocks_of(spark.createDataFrame(rows, "bucket long, node long, n int, root long")).collect()
+    met = set()
+    for x in placed:
+        for y in placed:
+            same = (x.bucket, x.cross, x.lo, x.hi) == (y.bucket, y.cross, y.lo, y.hi)
+            if same and x.node < y.node and x.root != y.root and (x.side != y.side or not x.cross and x.lo == x.hi):
+                met.add((x.node, y.node))
+    assert {x.bucket for x in placed} == {1}
+    assert met == {(a, b) for a in range(33) for b in range(a + 1, 33) if b >= 20}
+
+
+def test_shard_of_fifty_trees_is_dealt_again(spark):
+    """Fingerprints that agree on most bits overflow a shard; no link is lost and no part copied over and over."""
+    r = random.Random(9)
+    tree, low = 8, [1 << b for b in range(64)]
+    near = [sum(low[b] for b in r.sample(range(12), r.randint(0, 12))) | sum(low[b] for b in r.sample(range(40, 64), r.randint(0, 2))) for _ in range(500)]
+    values = sorted({v - (1 << 64) if v >> 63 else v for v in near})
+    assert len(values) > 50 * tree / 2
+    want = components(values, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    shards, n = simhash.dealt(prints, 3, 5, tree)
+    assert n == len(values) and len(shards) > 1
+    links = {frozenset((x.a, x.b)) for x in simhash.fingerprint_links(prints, tree=tree).collect()}
+    assert components(values, lambda a, b: frozenset((a, b)) in links) == want
+
+
+def test_names_in_use_pass(spark):
+    taken = "doc_id long, text string, left_out string, _hash string, _id int, _gone int, least int"
+    rows = [(1, "a b c d e f", "x", "y", 1, 2, 3), (2, "a b c d e f", "x", "y", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, taken)
+    for exact in (False, True):
+        assert [tuple(r) for r in simhash.keep_one(docs, exact=exact).collect()] == rows[:1]
+        assert simhash.keep_one(docs.where("false"), exact=exact).count() == 0
+    nothing = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (None, " ", "z")], "doc_id long, text string, extra string")
+    assert [r.doc_id for r in simhash.keep_one(nothing, exact=True).collect()] == [1]
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from adapterlens.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 1, k) for k in range(60)], "k long, v int")
+    lookup = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    lookup = lookup.withColumn("w", lookup.k * 10)
+    for bound in (common.BROADCAST_ROWS, 20):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+        got = sorted((r.k, r.v, r.w) for r in common.join_counted(rows, lookup, "k", 60).collect())
+        assert got == sorted((r.k, r.v, r.k * 10) for r in rows.collect())
