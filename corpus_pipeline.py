@@ -37,9 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind in brackets, and count the characters anew."""
-    found = pii.spans_column(pii.train_field(docs), redact=True)
-    clean = docs.withColumn("_found", found("text")).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_found.redacted")))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pii.without_personal_data(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
