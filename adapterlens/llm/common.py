@@ -126,9 +126,10 @@ def gathered(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_A_PART)))
 
 
-def join_counted(rows: DataFrame, lookup: DataFrame, key: str, total: int, kind: str = "bigint") -> DataFrame:
-    """Inner join of rows with lookup(key, n, ...), which has each key once, where n is how many rows
-    have it and `total` how many rows there are.
+def join_counted(rows: DataFrame, lookup: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of rows with lookup(*keys, n, ...), which has each key once, where n is how many
+    rows have it and `total` how many rows there are. lookup is best cut before, as it is read twice
+    and should bring no partitioning of its own.
 
     Keys of many rows are so few that they are broadcast, and their rows never meet in a task; the
     others are shuffled and have a bounded number of rows each.
@@ -136,10 +137,9 @@ def join_counted(rows: DataFrame, lookup: DataFrame, key: str, total: int, kind:
     hot = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
     frequent = F.broadcast(lookup.where(F.col("n") > hot).drop("n"))
     rare = lookup.where(F.col("n") <= hot).drop("n")
-    here = rows.join(frequent, key)
-    there = rows.join(frequent.select(key), key, "left_anti")
-    rest = there.join(F.broadcast(rare), key) if total <= BROADCAST_ROWS else there.join(rare.withColumn(key, _unpartitioned(F.col(key), kind)), key)
-    return here.unionByName(rest)
+    here = rows.join(frequent, keys)
+    there = rows.join(frequent.select(keys), keys, "left_anti")
+    return here.unionByName(there.join(broadcast_if_small(rare, total), keys))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

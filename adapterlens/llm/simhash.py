@@ -30,11 +30,10 @@ EXACT_WORDS, ALIKE = 5, (4, 5)
 #: Bands of least values that propose pairs beside the fingerprints, and values per band.
 BANDS, BAND = 28, 5
 MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 32, 1 << 63, BANDS * BAND, dtype=np.uint64) | np.uint64(1)
-ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Earliest members of its buckets that a text is compared with before blocks are.
 FIRSTS = 4
 #: Sets and set values of a block's part, about, and cells of an incidence matrix.
-BLOCK_SETS, BLOCK_VALUES, CELLS = 1_000, 500_000, 1 << 22
+BLOCK_SETS, BLOCK_VALUES, CELLS = 500, 250_000, 1 << 21
 #: Members of a tree. Larger shards are dealt again by the bits that are left.
 TREE = 4096
 
@@ -84,16 +83,14 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 def sketch(text: str | None, words: int = WORDS) -> dict:
     """fp: the fingerprint; node: a digest of the shingle set; n: its size; buckets: a digest of
-    each band of least values under seeded permutations. Sets that are x alike share a bucket with
+    each band of least values under seeded permutations (of values that are random already, a
+    multiplication is one). Sets that are x alike share a bucket with
     probability 1 - (1 - x ** BAND) ** BANDS, which is 0.99998 at 0.8."""
     own = shingle_set(text)
     least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(own), 512):
         part = own[at : at + 512]
-        mixed = part[None, :] * MULTIPLIERS[:, None]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= ODD
-        least = np.minimum(least, mixed.min(axis=1))
+        least = np.minimum(least, (part[None, :] * MULTIPLIERS[:, None]).min(axis=1))
     rows = least.reshape(BANDS, BAND).astype("<u8")
     digest = lambda data, seed: int(np.uint64(xxhash.xxh3_64_intdigest(data, seed)).astype(np.int64))
     return {"fp": fingerprint(text, words), "node": digest(own.astype("<u8").tobytes(), SEED), "n": len(own), "buckets": [digest(r.tobytes(), k) for k, r in enumerate(rows)]}
@@ -198,27 +195,23 @@ def dealt(prints: DataFrame, radius: int, blocks: int, tree: int) -> tuple[list[
     members is dealt again by blocks of the bits that are left, each time a fixed number of copies
     of a member, until it has `tree` members or so few bits are left that it cannot have more.
     """
-    shard = lambda m: F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("shard"))
-    open_, done, total = masks(radius, blocks), [], prints.count()
-    now = prints.select("fp", F.inline(F.array(*map(shard, open_))))
+    spark, done, total = prints.sparkSession, [], prints.count()
+    choices = F.array(*[F.lit(_signed(m)) for m in masks(radius, blocks)])
+    now = prints.select("fp", F.explode(choices).alias("mask")).withColumn("shard", F.col("fp").bitwiseAND(F.col("mask")))
+    left = max(radius + 2, tree.bit_length() - 1)  # with so few open bits a shard is small or cannot be parted
     while True:
-        deep = [m for m in open_ if 64 - m.bit_count() > max(radius + 2, tree.bit_length() - 1)]
-        big = now.where(F.col("mask").isin([_signed(m) for m in deep])).groupBy("mask", "shard").agg(F.count("*").alias("n")).where(F.col("n") > tree) if deep else None
-        big = cut(gathered(big, total)) if big is not None else None
-        found = {r["mask"] & (2**64 - 1) for r in big.select("mask").distinct().collect()} if big is not None else set()
+        sizes = now.where(64 - F.bit_count("mask") > left).groupBy("mask", "shard").agg(F.count("*").alias("n"))
+        big = cut(gathered(sizes.where(F.col("n") > tree).select("mask", "shard"), total))
+        found = [r["mask"] & (2**64 - 1) for r in big.select("mask").distinct().collect()]
         if not found:
             return [*done, now], total
-        n_big = big.count()
-        listed = broadcast_if_small(big.select("mask", "shard"), n_big)
+        listed = broadcast_if_small(big, big.count())
         done.append(now.join(listed, ["mask", "shard"], "left_anti"))
-        again = now.join(listed, ["mask", "shard"], "left_semi")
-        parts = {m: masks(radius, min(blocks, 64 - m.bit_count()), m) for m in found}
-        case = None
-        for m, more in parts.items():
-            choices = F.array(*[shard(x) for x in more])
-            case = F.when(F.col("mask") == _signed(m), choices) if case is None else case.when(F.col("mask") == _signed(m), choices)
-        now = cut(again.select("fp", F.inline(case)).distinct())
-        open_ = list({x for more in parts.values() for x in more})
+        # Masks are choices of blocks of choices of blocks, whatever the prints: a short table.
+        finer = [(_signed(m), _signed(x)) for m in found for x in masks(radius, min(blocks, 64 - m.bit_count()), m)]
+        finer = broadcast_if_small(spark.createDataFrame(finer, "mask long, finer long"), len(finer))
+        again = now.join(listed, ["mask", "shard"], "left_semi").join(finer, "mask")
+        now = cut(again.select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("shard")).distinct())
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
@@ -241,8 +234,8 @@ def _classes(own: DataFrame, radius: int, blocks: int, tree: int) -> tuple[DataF
     roots = cut(connected_components(fingerprint_links(prints.select("fp"), radius, blocks, tree)))
     members = gathered(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), total).select(F.col("node").alias("fp"), "root")
     known = members.join(broadcast_if_small(prints.select("fp", "least"), total), "fp")
-    of_root = gathered(known.groupBy("root").agg(F.min("least").alias("shared"), F.count("*").alias("n")), total)
-    shared = join_counted(members, of_root, "root", total).select("fp", "shared")
+    of_root = cut(gathered(known.groupBy("root").agg(F.min("least").alias("shared"), F.count("*").alias("n")), total))
+    shared = join_counted(members, of_root, ["root"], total).select("fp", "shared")
     classes = prints.join(broadcast_if_small(shared, total), "fp", "left").select("fp", "n", F.coalesce("shared", "least").alias("least"))
     return cut(gathered(classes, total)), total
 
@@ -258,7 +251,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     """
     own = cut(docs.select("doc_id", text_column(lambda t: fingerprint(t, words), "bigint")("text").alias("fp")))
     classes, total = _classes(own.select(F.col("doc_id").alias("row"), "fp"), radius, blocks, tree)
-    return join_counted(own, classes, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    return join_counted(own, classes, ["fp"], total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def enough(both, one, other):
@@ -393,9 +386,9 @@ def _alike_classes(docs: DataFrame, row: Column, words: int, radius: int, blocks
         more = cut(gathered(met.mapInArrow(_block_links, "a long, b long").distinct(), n))
         roots = connected_components(links.unionByName(more))
     labelled = cut(nodes.join(small(roots, n_pairs + n), "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root")))
-    of_root = gathered(labelled.groupBy("root").agg(F.min("least").alias("shared"), F.count("*").alias("n")), total)
-    classes = join_counted(labelled, of_root, "root", total).groupBy("node").agg(F.min("shared").alias("least"), F.sum("copies").alias("n"))
-    return join_counted(own.select("row", "node"), cut(gathered(classes, total)), "node", total).select("row", "least")
+    of_root = cut(gathered(labelled.groupBy("root").agg(F.min("least").alias("shared"), F.count("*").alias("n")), total))
+    classes = join_counted(labelled, of_root, ["root"], total).groupBy("node").agg(F.min("shared").alias("least"), F.sum("copies").alias("n"))
+    return join_counted(own.select("row", "node"), cut(gathered(classes, total)), ["node"], total).select("row", "least")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE, exact: bool = False) -> DataFrame:
@@ -417,7 +410,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks:
     else:
         own = cut(plain.select(row.alias("row"), text_column(lambda t: fingerprint(t, words), "bigint")("text").alias("fp")))
         classes, total = _classes(own, radius, blocks, tree)
-        judged = join_counted(own, classes, "fp", total)
+        judged = join_counted(own, classes, ["fp"], total)
     out = judged.groupBy("row").agg(F.max(F.col("row") != F.col("least")).alias("left_out"), F.count("*").alias("n")).where("left_out or n > 1")
     id_, hash_, gone = (fresh(x, docs) for x in ("id", "hash", "gone"))
     out = cut(out.select(F.col("row.doc_id").alias(id_), F.col("row.hash").alias(hash_), F.col("left_out").alias(gone)))

@@ -1,8 +1,8 @@
 """Substring dedup by hashing normalised text units.
 
-Lines are cut at sentence ends into units. Units are normalised and hashed; digests are grouped
-over all documents, and the earliest ranked occurrence of each is kept. Later occurrences go,
-where enough of them stand in a row, with their places in the original text on record.
+Lines are cut at the ends of sentences and clauses into units. Units are normalised and hashed;
+digests are grouped over all documents, and the earliest ranked occurrence of each is kept. Later
+occurrences go, with their places in the original text on record.
 """
 
 from __future__ import annotations
@@ -15,20 +15,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import broadcast_if_small, cut, short_batches, table
+from adapterlens.llm.common import broadcast_if_small, cut, fresh, join_counted, short_batches, table, text_column
 
-#: Words that a run of repeated units needs to be removed.
-MIN_WORDS = 25
-SENTENCE_END = re.compile(r"[.!?]+[\"')\]]*[\x20\t]+")
+#: Words that a run of repeated units needs in the query: a few words that recur by chance stay.
+QUERY_WORDS = 25
+UNIT_END = re.compile(r"[.!?,;:]+[\"')\]]*[\x20\t]+")
 UNIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("unit", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 
 
 def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, stop, normalised words) of the units of a text: sentences within lines; code points."""
+    """(start, stop, normalised words) of the units of a text: clauses within lines; code points."""
     at = 0
     for line in text.split("\n"):
         start = 0
-        for end in [*(m.end() for m in SENTENCE_END.finditer(line)), len(line)]:
+        for end in [*(m.end() for m in UNIT_END.finditer(line)), len(line)]:
             words = line[start:end].lower().split()
             if words:
                 yield at + start, at + end, words
@@ -36,16 +36,19 @@ def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
         at += len(line) + 1
 
 
+def digest(words: list[str]) -> tuple[int, int]:
+    data = xxhash.xxh3_128_digest(" ".join(words))
+    return int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:], "big", signed=True)
+
+
 def unit_rows(docs: DataFrame) -> DataFrame:
     """One row per unit of docs(doc_id, text): place, number of words and 128-bit digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text_hash, text in zip(*(batch.column(c) for c in ("doc_id", "text_hash", "text")), strict=True):
-                doc_id, text_hash, rows = doc_id.as_py(), text_hash.as_py(), []
-                for k, (a, b, words) in enumerate(units(text.as_py())):
-                    digest = xxhash.xxh3_128_digest(" ".join(words))
-                    rows.append((k, a, b, len(words), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+                doc_id, text_hash = doc_id.as_py(), text_hash.as_py()
+                rows = [(k, a, b, len(words), *digest(words)) for k, (a, b, words) in enumerate(units(text.as_py()))]
                 if rows:
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([text_hash] * n, pa.int64()), *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(UNIT_SCHEMA)[2:], strict=True)]], schema=UNIT_SCHEMA)
@@ -55,23 +58,27 @@ def unit_rows(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id bigint, text_hash bigint, unit int, start bigint, stop bigint, words int, hi bigint, lo bigint")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Removed passages of docs(doc_id, text): doc_id, start, stop, n_units, n_words, kept_in.
+def repeated_runs(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """Removed passages of docs(doc_id, text): doc_id, text_hash, start, stop, n_units, n_words, kept_in.
 
     start and stop (exclusive) are code points in the original text. kept_in lists the documents
-    that keep the earliest occurrences, ascending; it may name the document itself. A run is
-    removed if its repeated units stand next to each other and have `min_words` words or more.
+    that keep the earliest occurrences, ascending; it may name the document itself. Repeated units
+    that stand next to each other are one run; with `min_words`, runs of fewer words stay.
 
     Rank: by doc_id (nulls last), then the text's hash, then place. Rows that repeat both doc_id
     and text are one document. Null and empty texts have no units. Further columns are ignored.
     Empty in, empty out.
+
+    A first pass counts halves of digests, eight bytes each, so that only units which may repeat
+    travel with their places in the second.
     """
+    halves = text_column(lambda t: [digest(words)[0] for _, _, words in units(t or "")], "array<bigint>")
+    counts = docs.select(F.explode(halves("text")).alias("hi")).groupBy("hi").agg(F.count("*").alias("n")).where("n > 1")
+    counts = cut(counts.select("hi"))
+    rows = cut(unit_rows(docs).join(broadcast_if_small(counts, counts.count()), "hi", "left_semi").select("doc_id", "text_hash", "unit", "start", "stop", "words", "hi", "lo"))
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "start")
-    rows = unit_rows(docs)
-    # Partial sums come before the shuffle, so a digest in every document is one row per task.
-    first = rows.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").drop("last")
-    first = cut(first)
-    later = rows.join(broadcast_if_small(first, first.count()), ["hi", "lo"]).where(rank != F.col("first"))
+    first = rows.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    later = join_counted(rows, cut(first), ["hi", "lo"], rows.count()).where(rank != F.col("first"))
     later = later.select("doc_id", "text_hash", "unit", "start", "stop", "words", F.col("first.doc_id").alias("kept")).dropDuplicates(["doc_id", "text_hash", "unit"])
     order = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
     islands = later.withColumn("island", F.col("unit") - F.row_number().over(order))
@@ -89,16 +96,27 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows of docs with the removed runs cut out of `text`, and `removed`: their places."""
-    runs = repeated_runs(docs, min_words).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    joined = keyed.join(runs.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    step = lambda acc, r: F.struct(F.concat(acc["kept"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (r["start"] - acc["at"]).cast("int"))).alias("kept"), r["stop"].alias("at"))
-    zero = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("at"))
-    kept = F.aggregate("removed", zero, step, lambda acc: F.concat(acc["kept"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"))))
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).drop("text_hash", "_id", "_hash")
+def without_repeats(docs: DataFrame, min_words: int = 1, removed: str = "removed") -> DataFrame:
+    """All rows of docs(doc_id, text, ...) with the repeated runs cut out of `text`, and column
+    `removed`: their places in the original, null where nothing goes.
+
+    Ranks, nulls, repeats and empty tables: as `repeated_runs` says; every row that repeats a
+    document loses what the document loses. A column of docs with the added name is an error; all
+    other names are free.
+    """
+    if removed.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {removed}")
+    id_, hash_, runs_ = (fresh(x, docs, removed) for x in ("id", "hash", "runs"))
+    runs = repeated_runs(docs.select("doc_id", "text"), min_words).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(runs_))
+    joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left")
+    ends = F.concat(F.transform(runs_, lambda r: r["start"]), F.array(F.length("text").cast("long")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs_, lambda r: r["stop"]))
+    kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substr(F.col("text"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))), "")
+    text = F.when(F.col(runs_).isNull(), F.col("text")).otherwise(kept)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col(runs_).alias(removed))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_runs(table(spark, sf_dir, "documents")).drop("text_hash")
+    """Runs of QUERY_WORDS words or more that the documents lose. Nulls, empty and long texts, ties,
+    repeats, further columns, empty tables: as `repeated_runs` says."""
+    return repeated_runs(table(spark, sf_dir, "documents"), QUERY_WORDS).drop("text_hash")

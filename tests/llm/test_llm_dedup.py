@@ -97,40 +97,71 @@ def test_keep_one_leaves_one_row_of_each_class(spark):
 
 
 def plain_runs(rows, least):
+    """Units by a character loop: a clause ends with the blanks after its mark, a line with its end."""
     docs = sorted({(d, t) for d, t in rows if t}, key=lambda x: (x[0] is None, x[0]))
     seen, out = {}, []
     for d, t in docs:
+        places, start, at = [], 0, 0
+        while at < len(t):
+            if t[at] == "\n":
+                places.append((start, at))
+                start = at = at + 1
+                continue
+            if t[at] in ".!?,;:":
+                end = at
+                while end < len(t) and t[end] in ".!?,;:":
+                    end += 1
+                while end < len(t) and t[end] in "\"')]":
+                    end += 1
+                blank = end
+                while blank < len(t) and t[blank] in " \t":
+                    blank += 1
+                if blank > end:
+                    places.append((start, blank))
+                    start = at = blank
+                    continue
+            at += 1
+        places.append((start, len(t)))
         run = []
-        for a, b, words in [*substring_dedup.units(t), (None, None, None)]:
-            key = words and tuple(words)
+        for a, b in [*places, (None, None)]:
+            key = tuple(t[a:b].lower().split()) if a is not None else ()
+            if a is not None and not key:
+                continue
             if key in seen:
-                run.append((a, b, len(words), seen[key]))
+                run.append((a, b, len(key), seen[key]))
                 continue
-            if sum(x[2] for x in run) >= least:
+            if run and sum(x[2] for x in run) >= least:
                 out.append((d, run[0][0], run[-1][1], sorted({x[3] for x in run})))
             run = []
-            if words:
+            if key:
                 seen[key] = d
     return out
 
 
-def test_runs_match_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("least", [1, substring_dedup.QUERY_WORDS])
+def test_runs_match_brute_force(spark, sf_dir, least):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    want = plain_runs([(r.doc_id, r.text) for r in docs.collect()], substring_dedup.MIN_WORDS)
-    got = [(r.doc_id, r.start, r.stop, r.kept_in) for r in substring_dedup.repeated_runs(docs).collect()]
+    want = plain_runs([(r.doc_id, r.text) for r in docs.collect()], least)
+    got = [(r.doc_id, r.start, r.stop, r.kept_in) for r in substring_dedup.repeated_runs(docs, least).collect()]
     assert len(want) > 10
     assert sorted(got) == sorted(want)
 
 
 def test_passage_inside_lines_goes_and_the_rest_stays(spark):
     passage = " ".join(f"p{i}" for i in range(30)) + ". " + " ".join(f"q{i}" for i in range(30)) + "."
-    rows = [(2, f"Own words here. {passage} More of mine.", "x"), (1, f"{passage}\nFirst", "x"), (3, "Short line.\nShort line.", "x"), (4, None, "x"), (5, "", "x")]
+    rows = [(2, f"Own words here. {passage} More of mine.", "x"), (1, f"{passage}\nFirst", "x"), (3, "Short line.\nShort line.\nlast", "x"), (4, None, "x"), (5, "", "x"), (3, "Short line.\nShort line.\nlast", "y")]
     docs = documents(spark, rows)
-    kept = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
-    assert kept == {1: rows[1][1], 2: "Own words here. More of mine.", 3: "Short line.\nShort line.", 4: None, 5: ""}
-    (run,) = substring_dedup.repeated_runs(docs).collect()
+    kept = sorted((r.doc_id, r.extra, r.text) for r in substring_dedup.without_repeats(docs, 25).collect())
+    assert [k for k in kept if k[0] != 4] == sorted((d, e, "Own words here. More of mine." if d == 2 else t) for d, t, e in rows if d != 4)
+    every = {(r.doc_id, r.extra): (r.text, r.removed) for r in substring_dedup.without_repeats(docs).collect()}
+    assert every[3, "x"][0] == every[3, "y"][0] == "Short line.\n\nlast" and every[4, "x"] == (None, None)
+    (run,) = substring_dedup.repeated_runs(docs, 25).collect()
     assert rows[0][1][run.start : run.stop].strip() == passage and run.kept_in == [1]
     assert substring_dedup.repeated_runs(documents(spark, [])).count() == 0
+    taken = spark.createDataFrame([(1, "one two. three\none two. ", "a", 1)], "doc_id long, text string, text_hash string, _runs int")
+    assert [tuple(r)[:4] for r in substring_dedup.without_repeats(taken, removed="gone").collect()] == [(1, "one two. three\n", "a", 1)]
+    with pytest.raises(ValueError):
+        substring_dedup.without_repeats(taken, removed="TEXT_hash")
 
 
 def test_exact_classes_match_brute_force(spark, sf_dir, monkeypatch):
@@ -198,11 +229,11 @@ def test_shard_of_fifty_trees_is_dealt_again(spark):
     near = [sum(low[b] for b in r.sample(range(12), r.randint(0, 12))) | sum(low[b] for b in r.sample(range(40, 64), r.randint(0, 2))) for _ in range(500)]
     values = sorted({v - (1 << 64) if v >> 63 else v for v in near})
     assert len(values) > 50 * tree / 2
-    want = components(values, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    want = components(values, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 1)
     prints = spark.createDataFrame([(v,) for v in values], "fp long")
-    shards, n = simhash.dealt(prints, 3, 5, tree)
+    shards, n = simhash.dealt(prints, 1, 3, tree)
     assert n == len(values) and len(shards) > 1
-    links = {frozenset((x.a, x.b)) for x in simhash.fingerprint_links(prints, tree=tree).collect()}
+    links = {frozenset((x.a, x.b)) for x in simhash.fingerprint_links(prints, 1, 3, tree).collect()}
     assert components(values, lambda a, b: frozenset((a, b)) in links) == want
 
 
