@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,11 @@ TREES, DEPTH = 16, 4
 
 # Element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style title textarea iframe select".split())
+INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mn mo mrow ms msqrt msub msup mtext noscript object svg g text tspan template".split()
+)
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 GROUPS = (
     "html body", "article", "main", "section", "div", "p", "h1 h2 h3", "h4 h5 h6", "ul ol dl", "li dt dd", "a", "nav menu", "header", "footer", "aside",
@@ -43,7 +46,8 @@ AGAINST = frozenset(
     "popup promo promoted recommended related reply respond search share sharing sidebar signup site skip social sponsor sponsored subscribe tags teaser toolbar widget".split()
 )
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+STOP = re.compile("[\"'>]")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PART = re.compile(r"[A-Za-z]+")
 CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -53,56 +57,104 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 SCOPE = frozenset("ul ol dl table tbody body article section div main".split())
 
 
+def tags_in(source: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of the tags, comments and declarations of a page in order, by a
+    scan that never goes back; the caller may send the place to go on from. A closing tag's name
+    begins with a slash; comments and declarations have none. What is not closed before the page
+    ends is text, but for a comment, which then reaches to the end.
+    """
+    last = {c: source.rfind(c) for c in "\"'>"}
+    quotes, cdata, at = True, True, 0
+    while 0 <= (at := source.find("<", at)) < last[">"] or source.startswith("<!--", at):
+        name, attrs, end = "", "", -1
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(source)
+        elif cdata and source.startswith("<![CDATA[", at):
+            end = source.find("]]>", at)
+            cdata, end = end >= 0, end + 3 if end >= 0 else source.find(">", at) + 1
+        elif source[at + 1 : at + 2] in ("!", "?"):
+            end = source.find(">", at) + 1
+        elif m := NAME.match(source, at + 1):
+            name, to = m[0].lower(), m.end()
+            while quotes:
+                stop = STOP.search(source, to)
+                if stop is None:  # every later end of a tag is inside of quotes: they count no more
+                    quotes = False
+                elif stop[0] == ">":
+                    end = stop.end()
+                    break
+                else:
+                    to = stop.end() if stop.start() == last[stop[0]] else source.find(stop[0], stop.end()) + 1
+            if not quotes:
+                end = source.find(">", m.end()) + 1
+            attrs = source[m.end() : end - 1]
+        if end <= 0:
+            at += 1
+            continue
+        on = yield at, end, name, attrs
+        at = end if on is None else on
+
+
 class Page:
     """Nodes of one page in page order (node 0 is the root) and its pieces of text.
 
-    texts: (node, block number, text); a block ends where a block-level element begins or ends.
+    texts: (node, block number, text); a block ends where a block-level element begins or ends. Time
+    is in proportion to the length of the page, whatever is unclosed, stray or nested in it.
     """
 
-    __slots__ = ("attrs", "keep", "parent", "tags", "texts")
+    __slots__ = ("attrs", "depth", "keep", "open", "parent", "places", "tags", "texts")
 
     def __init__(self, source: str):
-        self.tags, self.parent, self.attrs, self.keep = ["body"], [-1], [""], [False]
+        self.tags, self.parent, self.attrs, self.keep, self.depth = ["body"], [-1], [""], [False], [0]
         self.texts: list[tuple[int, int, str]] = []
-        stack, block, at = [0], 0, 0
-        seen = TAG.search(source, 0)
-        while at < len(source):
-            stop = seen.start() if seen else len(source)
-            if stop > at:
-                self.texts.append((stack[-1], block, source[at:stop]))
-            if not seen:
+        self.open: list[int] = [0]  # open nodes, outermost first
+        self.places: dict[str, list[int]] = {}  # by name, where they stand there
+        block, done = 0, 0
+        endless: set[str] = set()  # raw elements without an end from here on
+        scan, on = tags_in(source), None
+        while True:
+            try:
+                at, end, name, attrs = scan.send(on) if on is not None else next(scan)
+            except StopIteration:
                 break
-            at, name = seen.end(), (seen[2] or "").lower()
+            on = None
+            if at > done:
+                self.texts.append((self.open[-1], block, source[done:at]))
+            done = end
             if not name:
-                pass
-            elif seen[1]:
+                continue
+            if name[0] == "/":
+                name = name[1:]
                 if name not in INLINE:
                     block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == name:
-                        del stack[k:]
-                        break
+                if self.places.get(name):
+                    self._shut(self.places[name][-1])
             elif name in RAW or name == "head":
                 block += name == "title"
-                if not seen[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>" if name != "head" else r"</head\s*>|<body\b[^>]*>", re.I).search(source, at)
-                    if end or name in ("script", "style"):
-                        at = end.end() if end else len(source)
+                if not attrs.endswith("/") and name not in endless:
+                    found = re.compile(rf"</{re.escape(name)}\b[^<>]*>" if name != "head" else r"</head\s*>|<body\b[^<>]*>", re.I).search(source, done)
+                    if found or name in ("script", "style"):
+                        on = done = found.end() if found else len(source)
+                    else:
+                        endless.add(name)
             elif name in VOID:
                 block += 1
                 if name == "input":
-                    self._add(name, stack[-1], seen[3])
+                    self._add(name, self.open[-1], attrs)
             elif name not in ("html", "body"):
                 if name not in INLINE:
                     block += 1
                 if name in CLOSES_P:
-                    self._close(stack, {"p"}, SCOPE | {"li", "td", "th"})
+                    self._close(("p",), (*SCOPE, "li", "td", "th"))
                 if name in IMPLIED:
-                    self._close(stack, IMPLIED[name], {"ul", "ol", "dl", "table"})
-                node = self._add(name, stack[-1], seen[3])
-                if not seen[3].endswith("/"):
-                    stack.append(node)
-            seen = TAG.search(source, at)
+                    self._close(IMPLIED[name], ("ul", "ol", "dl", "table"))
+                node = self._add(name, self.open[-1], attrs)
+                if not attrs.endswith("/"):
+                    self.places.setdefault(name, []).append(len(self.open))
+                    self.open.append(node)
+        if done < len(source):
+            self.texts.append((self.open[-1], block, source[done:]))
         self._split_texts()
 
     def _add(self, tag: str, parent: int, attrs: str) -> int:
@@ -110,17 +162,21 @@ class Page:
         self.parent.append(parent)
         self.attrs.append(attrs)
         self.keep.append(KEEP in attrs)
+        self.depth.append(self.depth[parent] + 1)
         return len(self.tags) - 1
 
-    def _close(self, stack: list[int], names: set | frozenset, scope: set | frozenset) -> None:
-        """Close the innermost open element of `names`, unless one of `scope` stands before it."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[k]]
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in scope:
-                return
+    def _shut(self, place: int) -> None:
+        """Close the open elements from a place on."""
+        for node in self.open[place:]:
+            self.places[self.tags[node]].pop()
+        del self.open[place:]
+
+    def _close(self, names: Iterable[str], scope: Iterable[str]) -> None:
+        """Close the innermost open element of `names`, unless one of `scope` stands inside it."""
+        inmost = lambda tags: max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        place = inmost(names)
+        if place and place > inmost(t for t in scope if t not in names):
+            self._shut(place)
 
     def _split_texts(self) -> None:
         """Text beside block-level children becomes a node of its own."""
@@ -190,20 +246,10 @@ def node_table(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for node, _, text in page.texts:
             words = text.split()
             own[at + node] += (len(words), text.count(".") + text.count(","), sum(map(len, words)), 1 if "." in text else 0)
-    depth = np.zeros(n, np.int64)
-    level, levels = base[:-1], []
-    root = np.zeros(n, bool)
-    root[level] = True
-    kids = np.flatnonzero(~root)
-    for _ in range(10_000):  # a page nested deeper keeps its deepest nodes on the last level
-        levels.append(level)
-        inside = np.zeros(n, bool)
-        inside[level] = True
-        hit = inside[parent[kids]]
-        level, kids = kids[hit], kids[~hit]
-        depth[level] = len(levels)
-        if not len(level):
-            break
+    depth = np.concatenate([np.array(p.depth) for p in pages])
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.cumsum(np.bincount(depth))[:-1])
+    root = depth == 0
     link = np.zeros(n, bool)
     in_main, in_side, f_up, a_up = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     is_main, is_side = np.isin(group, MAIN_GROUPS), np.isin(group, SIDE_GROUPS)
@@ -294,13 +340,13 @@ def training_pages(source: str, seed: int) -> list[str]:
     paragraphs in many layouts, with the side matter that pages have around and inside the article.
     """
     r = random.Random(seed)
-    plain = [" ".join(p.split()) for p in re.split(r"<[^>]*>", re.sub(r"(?is)<(script|style|head)\b.*?</\1>", " ", source))]
+    plain = [" ".join(entities.escape(t).split()) for _, _, t in Page(source).texts]
     body = [p for p in plain if len(p.split()) > 3] or ["Some words of text that stand here."]
     bits = [w for p in plain for w in p.split()] or ["word"]
     few = lambda a, b: " ".join(r.choice(bits) for _ in range(r.randint(a, b)))
     name = lambda *options: r.choice(options)
     marked = re.sub(r"(?i)<(article|main)\b", rf"<\1 {KEEP}", source)
-    out = [marked]
+    out = [marked] if marked != source else []
     for _ in range(3):
         def links(n: int) -> str:
             return "".join(f'<li><a href="/{k}">{few(1, 4)}</a></li>' for k in range(n))
@@ -453,4 +499,5 @@ def extract_pages(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Nulls, empty, long and malformed pages: as `extract_pages` says."""
     return extract_pages(table(spark, sf_dir, "pages"))

@@ -23,8 +23,9 @@ RULES = [
 #: Up to this many rules are held in the expression; more are joined on the host's suffixes.
 RULES_INLINE = 200
 
-CANONICAL = r"""(?i)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)"""
-REFRESH = r"""(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)"""
+# A tag ends before the next one begins, so that a scan of a page never goes over a place twice.
+LINK, CANONICAL = r"(?i)<link\b[^<>]*>", r"""(?i)\brel\s*=\s*["']?canonical\b"""
+META, REFRESH = r"(?i)<meta\b[^<>]*>", r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH_URL = r"""(?i)\burl\s*=\s*['"]?([^"'\s>;]+)"""
 
@@ -56,9 +57,10 @@ def page_links(pages: DataFrame) -> DataFrame:
     Of each kind, a page's first link counts. Relative targets are read from the page's folder.
     """
     html = F.coalesce("html", F.lit(""))
+    first = lambda tag, kind: F.get(F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.rlike(t, F.lit(kind))), F.lit(0))
     tags = F.array(
-        F.struct(F.regexp_extract(html, CANONICAL, 1).alias("tag"), F.lit(HREF).alias("at")),
-        F.struct(F.regexp_extract(html, REFRESH, 1).alias("tag"), F.lit(REFRESH_URL).alias("at")),
+        F.struct(F.coalesce(first(LINK, CANONICAL), F.lit("")).alias("tag"), F.lit(HREF).alias("at")),
+        F.struct(F.coalesce(first(META, REFRESH), F.lit("")).alias("tag"), F.lit(REFRESH_URL).alias("at")),
     )
     found = pages.select("url", F.explode(tags).alias("t")).where("t.tag <> ''")
     found = found.select("url", F.expr("regexp_replace(regexp_extract(t.tag, t.at, 1), '&amp;', '&')").alias("target")).where("target <> ''")
@@ -152,6 +154,7 @@ def judge_urls(pages: DataFrame, rules: list | DataFrame = RULES, redirects: Dat
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url. Nulls, repeats, further columns: as `judge_urls` says."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
@@ -178,8 +181,8 @@ def op4_sql() -> str:
     return f"""
 with recursive raw as (
   select url, unnest([
-    regexp_extract(regexp_extract(coalesce(html, ''), '{quote(CANONICAL)}', 1), '{quote(HREF)}', 1),
-    regexp_extract(regexp_extract(coalesce(html, ''), '{quote(REFRESH)}', 1), '{quote(REFRESH_URL)}', 1)]) as link
+    regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '{quote(LINK)}'), lambda t: regexp_matches(t, '{quote(CANONICAL)}'))[1], '{quote(HREF)}', 1),
+    regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '{quote(META)}'), lambda t: regexp_matches(t, '{quote(REFRESH)}'))[1], '{quote(REFRESH_URL)}', 1)]) as link
   from pages),
 whole as (
   select url, case when contains(l, '://') then l

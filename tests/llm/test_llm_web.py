@@ -73,6 +73,35 @@ def test_decoding_is_never_contradictory_and_best():
         assert abs(sum(odds[1:][kept[1:]]) - best) < 1e-9
 
 
+HOSTILE = ["<a " * 40_000, "<div>" * 9_000 + "</p>" * 9_000, '<b ">" ' * 20_000, "<b '> " * 20_000, "<li><ul>" + "<b>" * 8_000 + "<li></li>" * 8_000, "<svg>" * 20_000, "<textarea>" * 20_000, "<![CDATA[" * 20_000 + ">", "<!" * 50_000, "<!-- x" * 20_000, "<" * 100_000, "<link " * 30_000, "<meta rel=canonical " * 10_000]
+
+
+def test_malformed_pages_take_linear_time(spark, trees):
+    import time
+
+    began = time.time()
+    for source in HOSTILE:
+        he.extract([source], trees)
+        he.training_pages(source[:20_000], 1)
+    assert time.time() - began < 60
+    pages = spark.createDataFrame([(i, f"http://a.com/{i}", x) for i, x in enumerate(HOSTILE)], "page_id long, url string, html string")
+    assert url_filter.judge_urls(pages).count() == len(HOSTILE) and time.time() - began < 120
+
+
+def test_nothing_of_an_article_is_lost(trees):
+    body = " ".join(f"<p>Paragraph {i} of the article, which has some words, and ends here.</p>" for i in range(12))
+    inside = "<p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <noscript>plain form</noscript> of <object>an object</object> with <svg><text>a label</text></svg> in a long line of text, and more.</p>"
+    page = f"<html><head><title>t</title><style>p {{}}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title of it</h1>{body}{inside}<script>x < 1</script></article><footer>&copy; 2020 Me</footer></body></html>"
+    (text,) = he.extract([page], trees)
+    assert text.startswith("Title of it Paragraph 0 of") and text.endswith("Then x=2 and plain form of an object with a label in a long line of text, and more.")
+
+
+def test_page_structure_survives_stray_and_open_tags():
+    page = he.Page("<p>One<p>two <b>x</b></i><div class='a>b'>y</div>a < b &amp; c<!-- c --><ul><li>1<ul><li>in</ul><li>2</ul></b>end")
+    assert [(page.tags[n], t) for n, _, t in page.texts] == [("p", "One"), ("p", "two "), ("b", "x"), ("div", "y"), ("#text", "a < b & c"), ("#text", "1"), ("li", "in"), ("li", "2"), ("#text", "end")]
+    assert [page.depth[n] for n, _, _ in page.texts] == [1, 1, 2, 1, 1, 3, 4, 2, 1]
+
+
 def test_html_edges(spark, trees):
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (3, "u", "only plain text", "x"), (4, "u", "<p>a &lt;b&gt; &amp;\n c</p>", "x"), (4, "u", "<p>a &lt;b&gt; &amp;\n c</p>", "x"), (5, "u", "<script>var t='</p>'", "x"), (6, "u", "<div>" * 3000 + "deep", "x"), (7, "u", "<p a='<'>x", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -221,24 +250,29 @@ def test_rotation_matches_plain(spark, sf_dir, turns_a_row):
 
 def test_pipeline_keeps_clean_documents_and_applies_decisions(spark, sf_dir):
     import corpus_pipeline
-    from adapterlens.llm import decontaminate, pii, quality, simhash
+    from adapterlens.llm import decontaminate, pii, quality
     from adapterlens.llm.sentencepiece_scan import MODEL, Pieces
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
     rows = {r.doc_id: r.text for r in docs.collect()}
     kept = {r.doc_id for r in quality.judge_quality(docs, labels).where("kept").collect()}
-    prints = {i: simhash.fingerprint(rows[i]) & (2**64 - 1) for i in kept}
-    firsts = set()
+    sets = {}
+    for i in kept:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), rows[i] or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
     parent = {i: i for i in kept}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
     for a in sorted(kept):
         for b in sorted(kept):
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= corpus_pipeline.RADIUS:
-                x, y = a, b
-                while parent[x] != x:
-                    x = parent[x]
-                while parent[y] != y:
-                    y = parent[y]
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if a < b and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     firsts = {i for i in kept if parent[i] == i}
     (index,) = decontaminate.indexes(bench)
