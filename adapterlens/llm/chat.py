@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from adapterlens.llm.common import table
 
-#: Turn numbers that share one output row. Longer dialogues continue in further rows.
+#: Turns that share one output row. Longer dialogues continue in further rows.
 TURNS_A_ROW = 256
 
 
@@ -29,8 +29,9 @@ def rotate(turns: DataFrame, turns_a_row: int = TURNS_A_ROW) -> DataFrame:
     text is empty, a null conv_id is a dialogue of its own. Repeated rows are spoken twice.
     Further columns are ignored. An empty table gives none.
 
-    A chunk holds the turns of one block of `turns_a_row` turn numbers, so a dialogue of any
-    length is rendered in bounded rows; offsets come from sums over blocks.
+    A chunk holds the turns of one block of `turns_a_row` turn numbers, null ones in chunk -1, and is
+    gathered once; offsets are sums over blocks and participants, numbers only, and texts are
+    rendered last, so no participant's copy of a text is shuffled.
     """
     said = turns.select(
         "conv_id",
@@ -39,42 +40,45 @@ def rotate(turns: DataFrame, turns_a_row: int = TURNS_A_ROW) -> DataFrame:
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("said"),
     )
-    blocks = said.groupBy("conv_id", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "said"))).alias("turns"),
-        F.collect_set("role").alias("roles"),
-    )
-    speakers = said.select("conv_id", F.col("role").alias("perspective")).distinct()
-    views = blocks.join(speakers, blocks.conv_id.eqNullSafe(speakers.conv_id)).drop(speakers.conv_id)
+    head = lambda role, own: F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+    body = lambda text: F.concat(text, F.lit("<|end|>"))
+
+    # Lengths of a block as its participants and the others see it: all as user turns, and what is
+    # shorter where the speaker is the perspective.
+    as_user = F.length(head(F.col("role"), F.lit(False))) + F.length(body(F.col("said"))) + 1
+    saved = F.length(head(F.col("role"), F.lit(False))) - F.length(head(F.col("role"), F.lit(True)))
+    by_role = said.groupBy("conv_id", "chunk", "role").agg(F.sum(as_user).alias("n"), F.sum(saved).alias("saved"))
+    blocks = by_role.groupBy("conv_id", "chunk").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("role", "saved"))).alias("saved"))
+    speakers = by_role.select(F.col("conv_id").alias("conv"), F.col("role").alias("perspective")).distinct()
+    lengths = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).select("conv_id", "chunk", "perspective", (F.col("n") - F.coalesce(F.try_element_at("saved", F.col("perspective")), F.lit(0))).alias("n"))
+    before = Window.partitionBy("conv_id", "perspective").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lengths.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+    views = starts.groupBy(F.col("conv_id").alias("conv"), F.col("chunk").alias("block")).agg(F.collect_list(F.struct("perspective", "start")).alias("views"))
 
+    gathered = said.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "said"))).alias("turns"))
+    rows = gathered.join(views, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("chunk") == F.col("block")))
+    rows = rows.select("conv_id", "chunk", "turns", F.inline("views"))
     own = lambda t: t["role"] == F.col("perspective")
-    head = lambda t: F.when(own(t), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
-    body = lambda t: F.concat(t["said"], F.lit("<|end|>"))
-    piece = F.transform("turns", lambda t: F.struct(own(t).alias("own"), head(t).alias("head"), body(t).alias("body")))
-    views = views.withColumn("pieces", piece)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)").alias("spans"))
-
-    def step(acc, p):
-        begin = acc["at"] + F.length(p["head"])
-        end = begin + F.length(p["body"])
-        return F.struct(
-            (end + 1).cast("long").alias("at"),
-            F.when(p["own"], F.array_append(acc["spans"], F.struct(begin.cast("long").alias("s"), end.cast("long").alias("e")))).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    views = views.select(
+    zero = F.struct(F.col("start").alias("at"), F.expr("cast(array() as array<string>)").alias("masks"))
+
+    def step(acc, t):
+        begin = acc["at"] + F.length(head(t["role"], own(t)))
+        end = begin + F.length(body(t["said"]))
+        mask = F.concat_ws(":", begin.cast("string"), end.cast("string"))
+        return F.struct((end + 1).alias("at"), F.when(own(t), F.array_append(acc["masks"], mask)).otherwise(acc["masks"]).alias("masks"))
+
+    return rows.select(
         "conv_id",
         "perspective",
         "chunk",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
-        F.aggregate("pieces", zero, step).alias("done"),
+        "start",
+        F.array_join(F.transform("turns", lambda t: F.concat(head(t["role"], own(t)), body(t["said"]), F.lit("\n"))), "").alias("text"),
+        F.array_join(F.aggregate("turns", zero, step, lambda acc: acc["masks"]), ",").alias("masks"),
     )
-    before = Window.partitionBy("conv_id", "perspective").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    placed = views.withColumn("start", F.coalesce(F.sum("done.at").over(before), F.lit(0)).cast("long"))
-    masks = F.transform("done.spans", lambda s: F.concat_ws(":", (s["s"] + F.col("start")).cast("string"), (s["e"] + F.col("start")).cast("string")))
-    return placed.select("conv_id", "perspective", "chunk", "start", "text", F.array_join(masks, ",").alias("masks"))
 
 
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue as each of its participants sees it. Nulls, ties, repeats: as `rotate` says."""
     return rotate(table(spark, sf_dir, "conversations"))
 
 
