@@ -10,12 +10,13 @@ run is the whole.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import batch_column, table
+from adapterlens.llm.common import batch_column, fresh, table
 
 K1, B = 1.2, 0.75
 #: Share of an item's score for itself from which it is retrieved.
@@ -25,8 +26,10 @@ OVERLAP = 0.6
 RUN = 5
 #: Postings per block, and words per block of a passage at least.
 POSTINGS, WORDS = 32, 64
-#: Items in one index, at most; a larger benchmark is gone through in blocks of this size.
-INDEX_ITEMS = 20_000
+#: Characters of the items in one index, about, and of the indexes that one pass over the texts holds.
+INDEX_CHARACTERS, PASS_CHARACTERS = 4_000_000, 16_000_000
+#: Items of up to CLASS characters are alike in length, then those of up to 4, 16, ... times as many.
+CLASS = 4_000
 EPS = 1e-9
 #: Lower-cased text as bytes: ASCII letters and digits and all above ASCII stay, the rest parts words.
 KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -55,6 +58,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], df: Counter, n_items: int, mean_words: float):
         words = [words_of(t) for _, t in items]
         self.ids = [i for i, _ in items]
+        self.characters = sum(len(t) for _, t in items)
         self.words = words
         self.question = [question_words(t or "", len(w)) for (_, t), w in zip(items, words, strict=True)]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
@@ -181,7 +185,10 @@ class Index:
 
     def leaks(self, text: str | None) -> list[dict]:
         """Verified items of one text: item_id, score, question, answer; the best window of each."""
-        words = words_of(text)
+        return self.leaks_in(words_of(text))
+
+    def leaks_in(self, words: list[bytes]) -> list[dict]:
+        """The same of a text's words."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         best: dict[int, tuple[float, float, float]] = {}
@@ -195,32 +202,59 @@ class Index:
         return [{"item_id": self.ids[i], "score": round(s, 6), "question": round(q, 6), "answer": round(a, 6)} for i, (s, q, a) in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame, most: int = INDEX_ITEMS) -> list[Index]:
-    """Indexes over benchmark(item_id, text), each of about `most` items at most.
+def indexes(benchmark: DataFrame, most: int = INDEX_CHARACTERS) -> Iterator[Index]:
+    """Indexes over benchmark(item_id, text), one after another, each of items of like length and of
+    about `most` characters at most, so that a long item widens the windows of few others.
 
     The driver holds one block of items at a time; document frequencies are those of all items.
     Items without a word cannot be found and are left out.
     """
     items = benchmark.select("item_id", "text").where("text is not null")
-    n = items.count()
-    blocks = max(1, -(-n // most))
-    block = lambda b: [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect() if words_of(r.text)]
-    held = {0: block(0)} if blocks == 1 else {}
+    like = F.greatest(F.lit(0), F.floor(F.log(4.0, F.length("text") / CLASS)) + 1).cast("int")
+    items = items.withColumn("like", like)
+    sizes = {r.like: r.n for r in items.where("text <> ''").groupBy("like").agg(F.sum(F.length("text")).alias("n")).collect()}
+    blocks = [(k, b, -(-n // most)) for k, n in sorted(sizes.items()) for b in range(-(-n // most))]
+
+    def block(at: tuple[int, int, int]) -> list[tuple]:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(at[2]))
+        return [(r.item_id, r.text) for r in items.where((F.col("like") == at[0]) & (part == at[1])).orderBy("item_id", "text").collect() if words_of(r.text)]
+
+    held = {blocks[0]: block(blocks[0])} if len(blocks) == 1 else {}
     df: Counter = Counter()
     total, known = 0, 0
-    for b in range(blocks):
-        for _, t in held.get(b) or block(b):
+    for at in blocks:
+        for _, t in held.get(at) or block(at):
             ws = words_of(t)
             df.update(set(ws))
             total, known = total + len(ws), known + 1
-    return [Index(held.get(b) or block(b), df, known, max(1.0, total / max(1, known))) for b in range(blocks)]
+    for at in blocks:
+        if found := held.get(at) or block(at):
+            yield Index(found, df, known, max(1.0, total / max(1, known)))
+
+
+def passes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The indexes in groups that one pass over the texts holds."""
+    group: list[Index] = []
+    for index in indexes(benchmark):
+        if group and sum(x.characters for x in group) + index.characters > PASS_CHARACTERS:
+            yield group
+            group = []
+        group.append(index)
+    if group:
+        yield group
 
 
 LEAKS = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
 
 
-def leaks_column(index: Index):
-    return batch_column(lambda texts: [index.leaks(t) for t in texts], LEAKS)
+def leaks_column(group: list[Index]):
+    """A column function: text -> leaks of all indexes of a group, by item."""
+
+    def leaks(text: str | None) -> list[dict]:
+        words = words_of(text)
+        return sorted((leak for index in group for leak in index.leaks_in(words)), key=lambda x: x["item_id"])
+
+    return batch_column(lambda texts: [leaks(t) for t in texts], LEAKS)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -228,23 +262,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item of benchmark(item_id, text), with the values of its best passage.
 
     score is the passage's BM25 score over the item's own; question and answer are covered shares.
-    Null and empty texts leak nothing, as do null and wordless items. Items of one word have no
-    answer, which then counts as covered. Repeated rows are reported each. Further columns are
-    ignored. With an empty table on either side there are no rows.
+    Null and empty texts leak nothing, as do null and wordless items; items without an id are left
+    out. Items of one word have no answer, which then counts as covered. Repeated rows are reported
+    each. Further columns are ignored. With an empty table on either side there are no rows.
     """
     out = None
-    for index in indexes(benchmark):
-        found = docs.select("doc_id", leaks_column(index)("text").alias("leaks")).where(F.size("leaks") > 0).select("doc_id", F.inline("leaks"))
+    for group in passes(benchmark.where("item_id is not null")):
+        found = docs.select("doc_id", leaks_column(group)("text").alias("leaks")).where(F.size("leaks") > 0).select("doc_id", F.inline("leaks"))
         out = found if out is None else out.unionByName(found)
-    return out
+    nothing = F.lit(None).cast(LEAKS)
+    return docs.where("false").select("doc_id", F.inline(nothing)) if out is None else out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item leaked."""
-    for index in indexes(benchmark):
-        docs = docs.withColumn("_leaks", leaks_column(index)("text")).where(F.size("_leaks") == 0).drop("_leaks")
+    """The rows of docs(text, ...) in which no item leaked, with their own columns, whatever their
+    names. Nulls, empty texts and tables, repeats: as `find_leaks` says, and nothing leaks there."""
+    own = fresh("leaks", docs)
+    for group in passes(benchmark.where("item_id is not null")):
+        docs = docs.withColumn(own, leaks_column(group)("text")).where(F.size(own) == 0).drop(own)
     return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items of every document. Nulls, empty and long texts, repeats: as `find_leaks` says."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

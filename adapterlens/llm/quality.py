@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import bounded_sample, table, text_column
+from adapterlens.llm.common import bounded_sample, fresh, table, text_column
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -181,13 +181,17 @@ def list_column(rules: list[list[Condition]], named: dict[str, Column]) -> Colum
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features and badness of about `rows` labelled documents; this bounded table comes to the driver."""
+    """Features and badness of about `rows` labelled documents; this bounded table comes to the driver.
+
+    Of several texts of one doc_id that with the least hash counts; of several labels the least.
+    """
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
     picked = bounded_sample(known, rows, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     got = (
         docs.select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id", "quality")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .select("doc_id", "quality", text_column(text_stats, STATS)("text").alias("_stats"))
         .select("doc_id", "quality", *[c.alias(k) for k, c in features().items()])
         .toPandas()
@@ -196,21 +200,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> t
     return {k: got[k].to_numpy(dtype=float) for k in features()}, (got["quality"] == 0).to_numpy()
 
 
-def with_quality(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
-    """Add struct _stats, _failed and _kept to every row of docs(text, ...)."""
-    stats = text_column(text_stats, STATS)
-    failed = (F.col("_stats.n_words") < 10) | (100 * F.col("_stats.n_repeat_words") > 20 * F.col("_stats.n_words"))
+def with_quality(docs: DataFrame, rules: list[list[Condition]], names: tuple[str, str, str] = ("_stats", "_failed", "_kept")) -> DataFrame:
+    """Add a struct of statistics, whether the base check fails and whether the row is kept, to every
+    row of docs(text, ...), under the given names, which docs must not have."""
+    stats, failed, kept = names
+    n_words, n_repeat = F.col(f"{stats}.n_words"), F.col(f"{stats}.n_repeat_words")
     return (
-        docs.withColumn("_stats", stats("text"))
-        .withColumn("_failed", failed)
-        .withColumn("_kept", ~F.col("_failed") & list_column(rules, features()))
+        docs.withColumn(stats, text_column(text_stats, STATS)("text"))
+        .withColumn(failed, (n_words < 10) | (100 * n_repeat > 20 * n_words))
+        .withColumn(kept, ~F.col(failed) & list_column(rules, features(stats)))
     )
 
 
 def only_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that the base check and the learned list keep, with their own columns."""
+    """The rows of docs(doc_id, text, ...) that the base check and the learned list keep, with their
+    own columns, whatever their names. Nulls, repeats and empty tables: as `judge_quality` says."""
     rules = learn_list(*labelled_sample(docs, labels, sample))
-    return with_quality(docs, rules).where("_kept").select(docs.columns)
+    names = tuple(fresh(x, docs) for x in ("stats", "failed", "kept"))
+    return with_quality(docs, rules, names).where(F.col(names[2])).select([f"`{c}`" for c in docs.columns])
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -228,4 +235,5 @@ def judge_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every document. Nulls, empty and long texts, repeats: as `judge_quality` says."""
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
