@@ -1,6 +1,6 @@
 """Substring dedup by hashing normalised text units.
 
-Lines are cut at the ends of sentences and clauses into units. Units are normalised and hashed;
+Lines are cut at the ends of sentences into units. Units are normalised and hashed;
 digests are grouped over all documents, and the earliest ranked occurrence of each is kept. Later
 occurrences go, with their places in the original text on record.
 """
@@ -15,16 +15,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import broadcast_if_small, cut, fresh, join_counted, short_batches, table, text_column
+from adapterlens.llm.common import broadcast_if_small, cut, fresh, short_batches, table
 
 #: Words that a run of repeated units needs in the query: a few words that recur by chance stay.
 QUERY_WORDS = 25
-UNIT_END = re.compile(r"[.!?,;:]+[\"')\]]*[\x20\t]+")
+UNIT_END = re.compile(r"[.!?]+[\"')\]]*[\x20\t]+")
 UNIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("unit", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 
 
 def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, stop, normalised words) of the units of a text: clauses within lines; code points."""
+    """(start, stop, normalised words) of the units of a text: sentences within lines; code points."""
     at = 0
     for line in text.split("\n"):
         start = 0
@@ -68,17 +68,13 @@ def repeated_runs(docs: DataFrame, min_words: int = 1) -> DataFrame:
     Rank: by doc_id (nulls last), then the text's hash, then place. Rows that repeat both doc_id
     and text are one document. Null and empty texts have no units. Further columns are ignored.
     Empty in, empty out.
-
-    A first pass counts halves of digests, eight bytes each, so that only units which may repeat
-    travel with their places in the second.
     """
-    halves = text_column(lambda t: [digest(words)[0] for _, _, words in units(t or "")], "array<bigint>")
-    counts = docs.select(F.explode(halves("text")).alias("hi")).groupBy("hi").agg(F.count("*").alias("n")).where("n > 1")
-    counts = cut(counts.select("hi"))
-    rows = cut(unit_rows(docs).join(broadcast_if_small(counts, counts.count()), "hi", "left_semi").select("doc_id", "text_hash", "unit", "start", "stop", "words", "hi", "lo"))
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "start")
-    first = rows.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
-    later = join_counted(rows, cut(first), ["hi", "lo"], rows.count()).where(rank != F.col("first"))
+    rows = unit_rows(docs)
+    # Partial sums come before the shuffle, so a digest in every document is one row per task.
+    first = rows.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").drop("last")
+    first = cut(first)
+    later = rows.join(broadcast_if_small(first, first.count()), ["hi", "lo"]).where(rank != F.col("first"))
     later = later.select("doc_id", "text_hash", "unit", "start", "stop", "words", F.col("first.doc_id").alias("kept")).dropDuplicates(["doc_id", "text_hash", "unit"])
     order = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
     islands = later.withColumn("island", F.col("unit") - F.row_number().over(order))

@@ -97,7 +97,7 @@ def test_keep_one_leaves_one_row_of_each_class(spark):
 
 
 def plain_runs(rows, least):
-    """Units by a character loop: a clause ends with the blanks after its mark, a line with its end."""
+    """Units by a character loop: a sentence ends with the blanks after its mark, a line with its end."""
     docs = sorted({(d, t) for d, t in rows if t}, key=lambda x: (x[0] is None, x[0]))
     seen, out = {}, []
     for d, t in docs:
@@ -107,9 +107,9 @@ def plain_runs(rows, least):
                 places.append((start, at))
                 start = at = at + 1
                 continue
-            if t[at] in ".!?,;:":
+            if t[at] in ".!?":
                 end = at
-                while end < len(t) and t[end] in ".!?,;:":
+                while end < len(t) and t[end] in ".!?":
                     end += 1
                 while end < len(t) and t[end] in "\"')]":
                     end += 1
