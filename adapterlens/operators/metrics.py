@@ -23,7 +23,14 @@ def softmax(values: Column) -> Column:
 
 
 def align_classes(values: Column, observed: Column, n: int, fill: float = 0.0) -> Column:
-    """Scatter values of observed classes to places 0..n-1; `fill` elsewhere."""
+    """Scatter values of observed classes to places 0..n-1; `fill` elsewhere. A class out of range, or
+    another number of values than classes, is an error."""
+    bad = F.exists(observed, lambda c: (c < 0) | (c >= n)) | (F.size(observed) != F.size(values))
+    message = F.raise_error(F.concat(F.lit("classes that do not fit: "), F.array_join(observed.cast("array<string>"), ","))).cast("array<double>")
+    return F.when(F.coalesce(bad, F.lit(False)), message).otherwise(_placed(values, observed, n, fill))
+
+
+def _placed(values: Column, observed: Column, n: int, fill: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.coalesce(F.get(values, (F.array_position(observed, c) - 1).cast("int")), F.lit(fill)))
 
 
@@ -32,6 +39,19 @@ def backdoor_score(probabilities: Column) -> Column:
     return 1 - F.get(probabilities, F.lit(0))
 
 
+def margin_outputs(margin: Column, negative: int = 0, positive: int = 1) -> tuple[Column, Column]:
+    """(score, predicted) of a margin between two classes of which one is 0, clean: the margin turned
+    towards the other, and the class on its side, the positive one at 0."""
+    if 0 not in (negative, positive) or negative == positive:
+        raise ValueError("one of two different classes must be 0")
+    return (margin if negative == 0 else -margin), F.when(margin >= 0, positive).otherwise(negative)
+
+
+def decision_outputs(values: Column) -> tuple[Column, Column]:
+    """(score, predicted) of values by class: 1 - the softmax of class 0, and the greatest one's place."""
+    return backdoor_score(softmax(values)), predicted_label(values)
+
+
 def predicted_label(probabilities: Column) -> Column:
     """Place of the greatest value, the first of equal ones."""
     return (F.array_position(probabilities, F.array_max(probabilities)) - 1).cast("int")

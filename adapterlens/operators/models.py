@@ -1,7 +1,9 @@
 """Detectors with MLlib, candidate search and selection.
 
-Training tables have model_name, label (0 or 1) and features (vector). scikit-style penalties are
-turned into MLlib's: regParam = 1 / (C * sum of weights), no standardisation inside the learner.
+Training tables have model_name, label (0 to k - 1; 0 is clean) and features (vector). scikit-style
+penalties are turned into MLlib's: regParam = 1 / (C * sum of weights), no standardisation inside the
+learner. Logistic, ridge and both SVMs see features scaled to mean 0 and population deviation 1;
+trees see them as they are.
 """
 
 from __future__ import annotations
@@ -11,25 +13,30 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adapterlens.operators.metrics import auroc
+from adapterlens.operators.metrics import auroc, backdoor_score, decision_outputs, margin_outputs, predicted_label, sigmoid, softmax
+from adapterlens.sources.shared import cut
 
 #: Fits that run side by side.
 PARALLEL = 4
-# Default axes of the candidate grids.
+# Axes of the registered candidate grids.
 GRIDS = {
-    "logistic": {"C": [0.01, 0.1, 1.0, 10.0], "class_weight": ["none", "balanced"]},
-    "ridge": {"alpha": [0.1, 1.0, 10.0, 100.0], "class_weight": ["none", "balanced"]},
-    "linear_svm": {"C": [0.01, 0.1, 1.0, 10.0], "class_weight": ["none", "balanced"]},
-    "adaboost": {"n_estimators": [10, 20], "learning_rate": [0.5, 1.0], "max_depth": [1, 2]},
-    "rbf_svm": {"C": [0.1, 1.0, 10.0], "gamma": ["scale", 0.01]},
-    "random_forest": {"n_estimators": [20, 50], "max_depth": [4, 8], "min_leaf": [1, 2]},
+    "logistic": {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "class_weight": ["none", "balanced"]},
+    "ridge": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "class_weight": ["none", "balanced"]},
+    "linear_svm": {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "class_weight": ["none", "balanced"]},
+    "adaboost": {"max_depth": [1, 2], "n_estimators": [50, 100, 200, 400], "learning_rate": [0.05, 0.1, 0.5, 1.0]},
+    "rbf_svm": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "gamma": ["scale", 0.01, 0.1, 1.0], "class_weight": ["none", "balanced"]},
+    "random_forest": {"n_estimators": [200, 400, 800], "max_depth": [None, 8, 16], "min_leaf": [1, 2, 4], "class_weight": ["none", "balanced"]},
 }
 
 
@@ -40,6 +47,14 @@ def candidate_grid(axes: dict[str, list]) -> list[dict]:
     return [{"task_index": i, **dict(zip(axes, values, strict=True))} for i, values in enumerate(product(*axes.values()))]
 
 
+def model_grid(model: str, axes: dict[str, list] | None = None) -> list[dict]:
+    """Candidates of a registered model: of its own grid, or of other axes with exactly its keys."""
+    own = GRIDS[model]
+    if axes is not None and set(axes) != set(own):
+        raise ValueError(f"the axes of {model} are {sorted(own)}")
+    return candidate_grid({k: (axes or own)[k] for k in own})
+
+
 def as_vectors(rows: DataFrame, column: str = "features") -> DataFrame:
     return rows.withColumn(column, array_to_vector(column))
 
@@ -56,80 +71,138 @@ def weighted(train: DataFrame, class_weight: str = "none") -> DataFrame:
     return train.withColumn("weight", cases)
 
 
+def scaling(train: DataFrame) -> list:
+    """Stages features -> scaled: less the mean, over the population deviation (1 where it is 0)."""
+    found = train.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s")).select("s.variance", "s.count").first()
+    share = (found["count"] - 1) / found["count"]
+    by = [1 / math.sqrt(v * share) if v * share > 0 else 1.0 for v in found.variance]
+    centre = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(train)
+    return [centre, ElementwiseProduct(scalingVec=Vectors.dense(by), inputCol="centred", outputCol="scaled")]
+
+
+def through(stages: list, rows: DataFrame) -> DataFrame:
+    for s in stages:
+        rows = s.transform(rows)
+    return rows
+
+
+def classes_of(train: DataFrame) -> int:
+    """k of labels 0 to k - 1, all of which must occur."""
+    seen = sorted(r.label for r in train.select("label").distinct().collect())
+    if len(seen) < 2 or seen != list(range(len(seen))):
+        raise ValueError(f"labels must be 0 to k - 1, each with rows, and two at least; they are {seen}")
+    return len(seen)
+
+
 class Scorer:
-    """A fitted detector: `score(rows)` adds score."""
+    """A fitted detector. `score(rows)` adds score (higher: more suspect) and predicted (a label).
+
+    kind `probability`: values are shares by label. `margin`: one value, whose sign decides between
+    two labels. `decision`, `softmax`: values by label, whose softmax gives the score.
+    """
 
-    def __init__(self, stages: list, score):
-        self.stages, self._score = stages, score
+    def __init__(self, stages: list, values: Column, kind: str):
+        self.stages, self.values, self.kind = stages, values, kind
 
     def score(self, rows: DataFrame) -> DataFrame:
-        for s in self.stages:
-            rows = s.transform(rows)
-        return rows.withColumn("score", self._score).drop("rawPrediction", "probability", "prediction", "margin")
+        outputs = {"margin": margin_outputs, "decision": decision_outputs, "softmax": decision_outputs, "probability": lambda v: (backdoor_score(v), predicted_label(v))}
+        score, predicted = outputs[self.kind](F.col("_values"))
+        return through(self.stages, rows).withColumn("_values", self.values).select(*[f"`{c}`" for c in rows.columns], score.alias("score"), predicted.alias("predicted"))
 
 
-def _positive(column: str):
+def _second(column: str) -> Column:
     return F.get(vector_to_array(column), F.lit(1))
 
 
 def train_logistic(train: DataFrame, C: float = 1.0, class_weight: str = "none") -> Scorer:
-    rows = weighted(train, class_weight)
+    classes_of(train)
+    scale, rows = scaling(train), weighted(train, class_weight)
     total = rows.agg(F.sum("weight")).first()[0]
-    model = LogisticRegression(regParam=1 / (C * total), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=100).fit(rows)
-    return Scorer([model], _positive("probability"))
+    fit = LogisticRegression(featuresCol="scaled", regParam=1 / (C * total), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=200, tol=1e-9)
+    return Scorer([*scale, fit.fit(through(scale, rows))], vector_to_array("probability"), "probability")
 
 
 def train_ridge(train: DataFrame, alpha: float = 1.0, class_weight: str = "none") -> Scorer:
-    """Least squares on -1 and 1 with an L2 penalty; the score is the fitted value."""
-    rows = weighted(train, class_weight).withColumn("target", 2.0 * F.col("label") - 1)
+    """Least squares on -1 and 1 with an L2 penalty; the score is the fitted value. Of three labels or
+    more, one fit each against the rest."""
+    k, scale = classes_of(train), scaling(train)
+    rows = through(scale, weighted(train, class_weight))
     total = rows.agg(F.sum("weight")).first()[0]
-    model = LinearRegression(labelCol="target", regParam=alpha / total, elasticNetParam=0.0, standardization=False, weightCol="weight", solver="normal").fit(rows)
-    return Scorer([model], F.col("prediction"))
+
+    def fit(label: int):
+        target = rows.withColumn("target", F.when(F.col("label") == label, 1.0).otherwise(-1.0))
+        return LinearRegression(featuresCol="scaled", labelCol="target", predictionCol=f"r{label}", regParam=alpha / total, elasticNetParam=0.0, standardization=False, weightCol="weight", solver="normal").fit(target)
+
+    if k == 2:
+        return Scorer([*scale, fit(1)], F.col("r1"), "margin")
+    return Scorer([*scale, *map(fit, range(k))], F.array(*[f"r{c}" for c in range(k)]), "decision")
+
+
+def _margins(rows: DataFrame, features: str, label: int, C: float, total: float):
+    """A linear SVM of one label against the others: the fitted model and its margin."""
+    target = rows.withColumn("target", (F.col("label") == label).cast("double"))
+    model = LinearSVC(featuresCol=features, labelCol="target", rawPredictionCol=f"raw{label}", predictionCol=f"p{label}", regParam=1 / (C * total), standardization=False, weightCol="weight", maxIter=60)
+    return model.fit(target), _second(f"raw{label}")
 
 
 def train_linear_svm(train: DataFrame, C: float = 1.0, class_weight: str = "none", seed: int = 42) -> Scorer:
-    """Hinge loss; margins become probabilities by a logistic fit on margins of held-out halves."""
-    rows = weighted(train, class_weight)
+    """Hinge loss; margins become probabilities by a logistic fit on margins of held-out halves. Of
+    three labels or more, one fit each against the rest, and the shares are made to sum to 1."""
+    k, scale = classes_of(train), scaling(train)
+    rows = through(scale, weighted(train, class_weight))
     total = rows.agg(F.sum("weight")).first()[0]
-    svm = LinearSVC(regParam=1 / (C * total), standardization=False, weightCol="weight", maxIter=60)
     half = F.pmod(F.xxhash64(F.lit(seed), "model_name"), F.lit(2))
-    margins = None
-    for part in (0, 1):
-        held = svm.fit(rows.where(half != part)).transform(rows.where(half == part)).select("label", "weight", _positive("rawPrediction").alias("m"))
-        margins = held if margins is None else margins.unionByName(held)
-    platt = LogisticRegression(featuresCol="margin", weightCol="weight", maxIter=60).fit(margins.select("label", "weight", array_to_vector(F.array("m")).alias("margin")))
-    slope, offset = float(platt.coefficients[0]), float(platt.intercept)
-    return Scorer([svm.fit(rows)], 1 / (1 + F.exp(-(slope * _positive("rawPrediction") + offset))))
+    stages, shares = [], []
+    for label in [1] if k == 2 else range(k):
+        held_out = None
+        for part in (0, 1):
+            model, margin = _margins(rows.where(half != part), "scaled", label, C, total)
+            held = model.transform(rows.where(half == part)).select((F.col("label") == label).cast("double").alias("label"), "weight", array_to_vector(F.array(margin)).alias("margin"))
+            held_out = held if held_out is None else held_out.unionByName(held)
+        platt = LogisticRegression(featuresCol="margin", weightCol="weight", maxIter=60).fit(held_out)
+        model, margin = _margins(rows, "scaled", label, C, total)
+        stages.append(model)
+        shares.append(sigmoid(float(platt.coefficients[0]) * margin + float(platt.intercept)))
+    if k == 2:
+        return Scorer([*scale, *stages], F.array(1 - shares[0], shares[0]), "probability")
+    whole = sum(shares[1:], shares[0])
+    return Scorer([*scale, *stages], F.array(*[x / whole for x in shares]), "probability")
 
 
 def train_adaboost(train: DataFrame, n_estimators: int = 20, learning_rate: float = 1.0, max_depth: int = 1) -> Scorer:
-    """SAMME for two classes: small trees on rows reweighted where the last one erred."""
-    rows = train.withColumn("weight", F.lit(1.0)).select("label", "features", "weight").cache()
-    n = rows.count()
-    rows, trees, alphas = rows.withColumn("weight", F.lit(1.0 / n)), [], []
-    margin = F.lit(0.0)
+    """SAMME: small trees on rows reweighted where the last one erred. Each round's weights are cut
+    with a checkpoint, so that no round scores the trees before its last."""
+    k = classes_of(train)
+    rows = train.select("label", "features", F.lit(1.0).alias("weight"))
+    trees, alphas = [], []
     for i in range(n_estimators):
         tree = DecisionTreeClassifier(maxDepth=max_depth, weightCol="weight", predictionCol=f"p{i}", rawPredictionCol=f"r{i}", probabilityCol=f"q{i}", seed=i).fit(rows)
-        judged = tree.transform(rows)
-        wrong = judged.agg((F.sum(F.when(F.col(f"p{i}") != F.col("label"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("e")).first().e
-        if wrong >= 0.5 and trees:
+        judged, erred = tree.transform(rows), F.col(f"p{i}") != F.col("label")
+        sums = judged.agg(F.sum(F.when(erred, F.col("weight")).otherwise(0.0)).alias("wrong"), F.sum("weight").alias("all"), F.count("*").alias("n")).first()
+        wrong = min(max(sums.wrong / sums.all, 1e-10), 1 - 1e-10)
+        if wrong >= 1 - 1 / k and trees:
             break
-        alpha = learning_rate * math.log((1 - min(max(wrong, 1e-10), 1 - 1e-10)) / min(max(wrong, 1e-10), 1 - 1e-10))
+        alpha = learning_rate * (math.log((1 - wrong) / wrong) + math.log(k - 1))
         trees.append(tree)
         alphas.append(alpha)
-        margin = margin + alpha * (2 * F.col(f"p{i}") - 1)
         if wrong <= 1e-10:
             break
-        rows = judged.withColumn("weight", F.col("weight") * F.when(F.col(f"p{i}") != F.col("label"), math.exp(alpha)).otherwise(1.0)).select("label", "features", "weight")
-    return Scorer(trees, 1 / (1 + F.exp(-2 * margin / max(sum(alphas), 1e-12))))
-
-
-def train_rbf_svm(train: DataFrame, C: float = 1.0, gamma: str | float = "scale", n_features: int = 256, seed: int = 42) -> Scorer:
-    """A linear SVM on random Fourier features of the RBF kernel; gamma `scale` is 1 / (d * variance)."""
-    values = vector_to_array("features")
-    d = train.select(F.size(values).alias("d")).first().d
+        changed = F.col("weight") * F.when(erred, math.exp(alpha)).otherwise(1.0) * (sums.n / sums.all)
+        rows = cut(judged.select("label", "features", changed.alias("weight")))
+    whole = max(sum(map(abs, alphas)), 1e-12)
+    votes = F.arrays_zip(F.array(*[F.col(f"p{i}") for i in range(len(trees))]).alias("p"), F.array(*[F.lit(a / whole) for a in alphas]).alias("a"))
+    vote = lambda c: F.aggregate(votes, F.lit(0.0), lambda s, x: s + F.when(x["p"] == c, x["a"]).otherwise(-x["a"] / (k - 1)))
+    return Scorer(trees, F.array(*[vote(c) / (k - 1) for c in range(k)]), "softmax")
+
+
+def train_rbf_svm(train: DataFrame, C: float = 1.0, gamma: str | float = "scale", class_weight: str = "none", n_features: int = 256, seed: int = 42) -> Scorer:
+    """A linear SVM on random Fourier features of the RBF kernel; gamma `scale` is 1 / (d * variance).
+    Of three labels or more, one fit each against the rest."""
+    k, scale = classes_of(train), scaling(train)
+    rows, values = through(scale, weighted(train, class_weight)), vector_to_array("scaled")
+    d = rows.select(F.size(values).alias("d")).first().d
     if gamma == "scale":
-        gamma = 1 / (d * max(train.select(F.explode(values).alias("x")).agg(F.var_pop("x")).first()[0], 1e-12))
+        gamma = 1 / (d * max(rows.select(F.explode(values).alias("x")).agg(F.var_pop("x")).first()[0], 1e-12))
     r = np.random.default_rng(seed)
     w, b = r.normal(0, math.sqrt(2 * float(gamma)), (n_features, d)), r.uniform(0, 2 * math.pi, n_features)
 
@@ -139,21 +212,23 @@ def train_rbf_svm(train: DataFrame, C: float = 1.0, gamma: str | float = "scale"
 
         return pd.Series(list(math.sqrt(2 / n_features) * np.cos(np.stack(x.to_numpy()) @ w.T + b)))
 
-    def mapped(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("mapped", array_to_vector(fourier(vector_to_array("features"))))
-
-    n = train.count()
-    svm = LinearSVC(featuresCol="mapped", regParam=1 / (C * n), standardization=False, maxIter=60).fit(mapped(train))
-
     class Lift:
-        transform = staticmethod(mapped)
+        @staticmethod
+        def transform(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("mapped", array_to_vector(fourier(vector_to_array("scaled"))))
 
-    return Scorer([Lift, svm], _positive("rawPrediction"))
+    total = rows.agg(F.sum("weight")).first()[0]
+    mapped = cut(Lift.transform(rows).select("label", "weight", "mapped"))
+    fits = [_margins(mapped, "mapped", label, C, total) for label in ([1] if k == 2 else range(k))]
+    stages, margins = [*scale, Lift, *(m for m, _ in fits)], [m for _, m in fits]
+    return Scorer(stages, margins[0], "margin") if k == 2 else Scorer(stages, F.array(*margins), "decision")
 
 
-def train_random_forest(train: DataFrame, n_estimators: int = 50, max_depth: int | None = 8, min_leaf: int = 1, seed: int = 42) -> Scorer:
-    model = RandomForestClassifier(numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed).fit(train)
-    return Scorer([model], _positive("probability"))
+def train_random_forest(train: DataFrame, n_estimators: int = 50, max_depth: int | None = 8, min_leaf: int = 1, class_weight: str = "none", seed: int = 42) -> Scorer:
+    """A forest; no depth means MLlib's greatest, 30."""
+    classes_of(train)
+    forest = RandomForestClassifier(numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
+    return Scorer([forest.fit(weighted(train, class_weight))], vector_to_array("probability"), "probability")
 
 
 def sequence_inputs(pooled: DataFrame, order: list[str]) -> DataFrame:
@@ -165,39 +240,40 @@ def sequence_inputs(pooled: DataFrame, order: list[str]) -> DataFrame:
 
 
 def train_sequence(train: DataFrame, C: float = 1.0) -> Scorer:
-    """A logistic model over pooled layer sequences (sequence_inputs), scaled by training statistics."""
-    from pyspark.ml.feature import StandardScaler
-
-    scaler = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled").fit(train)
-    model = LogisticRegression(featuresCol="scaled", regParam=1 / (C * train.count()), standardization=False).fit(scaler.transform(train))
-    return Scorer([scaler, model], _positive("probability"))
+    """A logistic model over pooled layer sequences (sequence_inputs)."""
+    return train_logistic(train, C)
 
 
 TRAINERS = {"logistic": train_logistic, "ridge": train_ridge, "linear_svm": train_linear_svm, "adaboost": train_adaboost, "rbf_svm": train_rbf_svm, "random_forest": train_random_forest}
+SEEDED = {"linear_svm", "rbf_svm", "random_forest"}
 
 
 def evaluate_candidates(data: DataFrame, folds: DataFrame, model: str, candidates: list[dict]) -> DataFrame:
-    """fold_result(task_index, fold, metric, status): every candidate on every fold, several at once.
+    """fold_result(task_index, seed, fold, metric, status): every candidate on every fold of every seed,
+    several at once; the metric is the area for clean against all other labels.
 
-    data(model_name, label, features), folds(model_name, fold). A fit that fails keeps its message.
+    data(model_name, label, features), folds(model_name, seed, fold). A fit that its parameters or
+    its rows make impossible keeps its message; any other failure ends the search.
     """
     spark = data.sparkSession
-    placed = data.join(folds.select("model_name", "fold"), "model_name").persist()
-    numbers = sorted(r.fold for r in placed.select("fold").distinct().collect())
+    placed = data.join(folds.select("model_name", "seed", "fold"), "model_name").persist()
+    jobs = sorted((r.seed, r.fold) for r in placed.select("seed", "fold").distinct().collect())
 
-    def one(job: tuple[dict, int]) -> tuple:
-        candidate, fold = job
+    def one(job: tuple[dict, tuple[int, int]]) -> tuple:
+        candidate, (seed, fold) = job
+        params = {k: v for k, v in candidate.items() if k != "task_index"} | ({"seed": seed} if model in SEEDED else {})
+        rows, here = placed.where(F.col("seed") == seed), F.col("fold") == fold
         try:
-            scorer = TRAINERS[model](placed.where(F.col("fold") != fold), **{k: v for k, v in candidate.items() if k != "task_index"})
-            value = auroc(scorer.score(placed.where(F.col("fold") == fold)).select("label", "score")).first().auroc
-            return candidate["task_index"], fold, float(value) if value is not None else None, "ok"
-        except Exception as e:  # the candidate's failure is its result
-            return candidate["task_index"], fold, None, f"failed: {str(e)[:200]}"
+            scored = TRAINERS[model](rows.where(~here).drop("seed", "fold"), **params).score(rows.where(here))
+            value = auroc(scored.select((F.col("label") > 0).cast("int").alias("label"), "score")).first().auroc
+            return candidate["task_index"], seed, fold, float(value) if value is not None else None, "ok"
+        except (ValueError, PySparkException) as e:
+            return candidate["task_index"], seed, fold, None, f"failed: {str(e)[:200]}"
 
     with ThreadPoolExecutor(PARALLEL) as pool:
-        rows = list(pool.map(one, [(c, f) for c in candidates for f in numbers]))
+        rows = list(pool.map(one, [(c, j) for c in candidates for j in jobs]))
     placed.unpersist()
-    return spark.createDataFrame(rows, "task_index int, fold int, metric double, status string")
+    return spark.createDataFrame(rows, "task_index int, seed int, fold int, metric double, status string")
 
 
 def summarize_candidates(fold_result: DataFrame) -> DataFrame:
@@ -217,27 +293,46 @@ def best_fold(fold_result: DataFrame) -> DataFrame:
 
 
 def refit_and_score(data: DataFrame, split: DataFrame, model: str, params: dict) -> tuple[Scorer, DataFrame]:
-    """Fit on rows of role fit; prediction(model_name, label, role, score) of all."""
+    """Fit on rows of role fit; prediction(model_name, label, role, score, predicted) of all."""
     placed = data.join(split.select("model_name", "role"), "model_name")
     scorer = TRAINERS[model](placed.where("role = 'fit'"), **params)
-    return scorer, scorer.score(placed).select("model_name", "label", "role", "score")
-
-
-def save_contract(train: DataFrame, path: str, features: list[str], threshold: float, C: float = 1.0) -> None:
-    """A logistic pipeline and its contract (feature names in order, threshold) in a folder."""
-    model = Pipeline(stages=[LogisticRegression(regParam=1 / (C * train.count()), standardization=False)]).fit(train)
+    return scorer, scorer.score(placed).select("model_name", "label", "role", "score", "predicted")
+
+
+def save_contract(train: DataFrame, path: str, features: list[str], thresholds: dict[str, float], C: float = 1.0, classes: list[str] | None = None) -> None:
+    """A logistic pipeline, its scaling included, and its contract in a folder: feature names in order,
+    how they are normalised, the classes (the first is clean) and the named thresholds."""
+    k = classes_of(train)
+    classes = classes or (["clean", "backdoored"] if k == 2 else [f"class{i}" for i in range(k)])
+    if len(classes) != k:
+        raise ValueError(f"{len(classes)} class names for {k} labels")
+    scorer = train_logistic(train, C)
+    model = Pipeline(stages=scorer.stages).fit(train)  # all stages are fitted already
     model.write().overwrite().save(f"{path}/model")
-    train.sparkSession.createDataFrame([(features, threshold)], "features array<string>, threshold double").write.mode("overwrite").parquet(f"{path}/contract")
+    row = (features, "standard_scaler", classes, thresholds)
+    train.sparkSession.createDataFrame([row], "features array<string>, normalisation string, classes array<string>, thresholds map<string,double>").write.mode("overwrite").parquet(f"{path}/contract")
+
 
+def infer_with_contract(path: str, rows: DataFrame, features: list[str], classes: list[str] | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """model_name, score, predicted (a class), flagged (by threshold) under a saved contract.
 
-def infer_with_contract(path: str, rows: DataFrame, features: list[str]) -> DataFrame:
-    """model_name, score, flagged by a saved contract; the features must be those it names."""
+    The features, and the classes if given, must be those it names; with manifest(model_name), the
+    rows must be exactly its models.
+    """
     spark = rows.sparkSession
     contract = spark.read.parquet(f"{path}/contract").first()
     if list(contract.features) != features:
         raise ValueError("the features are not those of the contract")
-    scored = PipelineModel.load(f"{path}/model").transform(rows)
-    return scored.select("model_name", _positive("probability").alias("score")).withColumn("flagged", F.col("score") >= contract.threshold)
+    if classes is not None and list(contract.classes) != classes:
+        raise ValueError("the classes are not those of the contract")
+    if manifest is not None:
+        have, want = rows.groupBy("model_name").count(), manifest.select("model_name").distinct().withColumn("wanted", F.lit(1))
+        unfit = have.join(want, "model_name", "full").where("`count` is null or wanted is null or `count` > 1").count()
+        if unfit:
+            raise ValueError(f"{unfit} models are missing, repeated or not in the manifest")
+    scored = Scorer([PipelineModel.load(f"{path}/model")], vector_to_array("probability"), "probability").score(rows)
+    flags = F.create_map(*[x for k, v in sorted(contract.thresholds.items()) for x in (F.lit(k), F.col("score") >= v)])
+    return scored.select("model_name", "score", F.get(F.array(*map(F.lit, contract.classes)), F.col("predicted")).alias("predicted"), flags.alias("flagged"))
 
 
 def tuning_report(candidates: DataFrame) -> DataFrame:

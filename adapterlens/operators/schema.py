@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adapterlens.functions import names as N
+from adapterlens.functions.rank import near_equal_part, ordered
 
 
 def tensors_of(block_factor: DataFrame) -> DataFrame:
@@ -105,8 +106,12 @@ def schema_groups(adapter: DataFrame, signature: DataFrame, by_rank: bool = True
 
 
 def balanced_shards(rows: DataFrame, shards: int, group: list[str], order: str) -> DataFrame:
-    """Add `shard`: contiguous parts per group, of which the first n % shards get one more."""
-    return rows.withColumn("shard", F.ntile(shards).over(Window.partitionBy(*group).orderBy(order)) - 1)
+    """Add `shard`: contiguous parts per group, of which the first n % shards get one more.
+
+    Places in the order are exact ranks by parts, so that no task holds a group.
+    """
+    placed = ordered(rows, group, order)
+    return placed.withColumn("shard", near_equal_part(F.col("place"), F.col("n"), F.lit(shards))).drop("place", "n")
 
 
 def qv_mode_fallback(block_factor: DataFrame, groups: DataFrame, mode: str) -> DataFrame:

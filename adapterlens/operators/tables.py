@@ -16,6 +16,8 @@ from adapterlens.operators import catalogue as C
 CELL = ["model_name", "block", "feature"]
 #: Overlapping cells agree if |old - new| <= ATOL + RTOL * |new|.
 ATOL, RTOL = 1e-6, 1e-5
+#: Columns whose order is broadcast.
+BROADCAST_COLUMNS = 100_000
 
 
 def select_feature_groups(feature: DataFrame, groups: list[str] | None) -> DataFrame:
@@ -71,17 +73,21 @@ def _size(rows: DataFrame) -> DataFrame:
 
 def merge_dense(base: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Union of cells, the base's value where both have one; and one row of counts: n_models,
-    n_features, n_cells, overlap, conflicts, missing. A strict merge needs the last two to be 0.
+    n_features, n_cells, overlap, conflicts, missing, repeated (cells that a source has more than
+    once). A strict merge needs the last three to be 0.
 
-    One aggregation on the cell; NaN equals NaN.
+    One aggregation on the cell. Values agree if they are equal (NaN and NaN, an infinity and
+    itself), or both finite and close.
     """
     of = lambda i: F.max(F.when(F.col("src") == i, F.col("value")))
-    cells = _sources(base, incoming).groupBy(*CELL).agg(of(0).alias("old"), of(1).alias("new"))
+    times = lambda i: F.count(F.when(F.col("src") == i, 1))
+    cells = _sources(base, incoming).groupBy(*CELL).agg(of(0).alias("old"), of(1).alias("new"), F.greatest(times(0), times(1)).alias("times"))
     old, new = F.col("old"), F.col("new")
-    close = (F.isnan(old) & F.isnan(new)) | (F.abs(old - new) <= ATOL + RTOL * F.abs(new))
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    close = (old == new) | (finite(old) & finite(new) & (F.abs(old - new) <= ATOL + RTOL * F.abs(new)))
     cells = cells.withColumn("overlap", old.isNotNull() & new.isNotNull()).withColumn("conflict", F.col("overlap") & ~close)
     merged = cells.select(*CELL, F.coalesce("old", "new").alias("value"))
-    clash = cells.agg(F.count(F.when(F.col("overlap"), 1)).alias("overlap"), F.count(F.when(F.col("conflict"), 1)).alias("conflicts"))
+    clash = cells.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in (("overlap", F.col("overlap")), ("conflicts", F.col("conflict")), ("repeated", F.col("times") > 1))])
     return merged, _size(merged).join(clash).withColumn("missing", F.expr("n_models * n_features - n_cells"))
 
 
@@ -97,8 +103,8 @@ def merge_auto(base: DataFrame, incoming: DataFrame) -> tuple[DataFrame, str]:
     """The dense merge, or zero-fill if cells would be missing and no model is shared; and which."""
     merged, stats = merge_dense(base, incoming)
     found = stats.first()
-    if found.conflicts:
-        raise ValueError(f"{found.conflicts} overlapping cells disagree")
+    if found.conflicts or found.repeated:
+        raise ValueError(f"{found.conflicts} overlapping cells disagree, {found.repeated} are repeated")
     if not found.missing:
         return merged, "dense"
     if base.join(incoming, "model_name", "left_semi").isEmpty():
@@ -119,13 +125,23 @@ def merge_labels(*tables: DataFrame) -> DataFrame:
 
 
 def stack_shards(shards: list[DataFrame], manifest: DataFrame, known_bad: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells of all shards in manifest order, and the models without any: model_name, reason
-    (`MissingShardRow`, or what known_bad(model_name, reason) says). Models outside the manifest are
-    in neither; `align_to_manifest` counts them."""
-    rows = _sources(*shards).select(*CELL, "value").join(manifest.select("model_name", "pos"), "model_name")
+    """Cells of all shards in manifest order, and the models that do not fit: model_name, reason. One
+    without a cell has `MissingShardRow`, or what known_bad(model_name, reason) says; one that the
+    manifest does not name has `NotInManifest`. A strict stacking needs none of the latter."""
+    every = _sources(*shards).select(*CELL, "value")
+    rows = every.join(manifest.select("model_name", "pos"), "model_name")
+    extra = every.select("model_name").distinct().join(manifest, "model_name", "left_anti").select("model_name", F.lit("NotInManifest").alias("reason"))
     absent = manifest.select("model_name").join(rows.select("model_name").distinct(), "model_name", "left_anti")
     bad = absent.join(known_bad, "model_name", "left").select("model_name", F.coalesce("reason", F.lit("MissingShardRow")).alias("reason"))
-    return rows, bad
+    return rows, bad.unionByName(extra)
+
+
+def labels_all_or_none(shards: DataFrame) -> DataFrame:
+    """One row: n_shards, n_labelled, ok. shards(shard, model_name, label): either every shard has
+    labels or none has."""
+    per = shards.groupBy("shard").agg((F.count("label") > 0).alias("labelled"))
+    counts = per.agg(F.count("*").alias("n_shards"), F.count(F.when(F.col("labelled"), 1)).alias("n_labelled"))
+    return counts.withColumn("ok", F.col("n_labelled").isin(0) | (F.col("n_labelled") == F.col("n_shards")))
 
 
 def shard_compatible(shards: DataFrame) -> DataFrame:
@@ -147,16 +163,17 @@ def subset_columns(feature: DataFrame, owned: DataFrame, groups: list[str] | Non
     return select_feature_groups(feature.join(owned.select("block", "feature").distinct(), ["block", "feature"], "left_semi"), groups)
 
 
-def lineage_leaves(lineage: DataFrame, roots: DataFrame, most_levels: int = 32) -> DataFrame:
+def lineage_leaves(lineage: DataFrame, roots: DataFrame) -> DataFrame:
     """root, leaf: tables that root was merged from and that were not merged themselves.
 
-    lineage(child, parent): child was made from parent. Follows levels with joins; more levels than
-    `most_levels` mean a cycle, which is an error.
+    lineage(child, parent): child was made from parent. Follows levels with joins, to any depth;
+    more levels than there are children mean a cycle, which is an error.
     """
+    n_children = lineage.select("child").distinct().count()
     edges = lineage.select(F.col("child").alias("at"), F.col("parent").alias("up"))
     level = roots.select(F.col("root"), F.col("root").alias("at")).distinct()
     leaves = None
-    for _ in range(most_levels):
+    for _ in range(n_children + 1):
         done = level.join(edges.select("at").distinct(), "at", "left_anti").select("root", F.col("at").alias("leaf"))
         leaves = done if leaves is None else leaves.unionByName(done)
         level = level.join(edges, "at").select("root", F.col("up").alias("at")).distinct()
@@ -234,9 +251,9 @@ def pivot_vectors(feature: DataFrame, order: DataFrame) -> DataFrame:
     """model_name, features array<double>: dense rows in the given column order, gaps as 0.
 
     One aggregation per model over (place, value) pairs; no pivot over thousands of columns. The
-    order table has one short row per column and is broadcast.
+    order table has one short row per column and is broadcast if it is counted as short.
     """
     width = order.count()
-    cells = feature.join(F.broadcast(order), ["block", "feature"]).groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("value").cast("double")))).alias("cells"))
+    cells = feature.join(F.broadcast(order) if width <= BROADCAST_COLUMNS else order, ["block", "feature"]).groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("value").cast("double")))).alias("cells"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
     return cells.select("model_name", dense.alias("features"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from adapterlens.operators import schema as S
 from adapterlens.sources import manifests as M
 from adapterlens.sources import storage as T
 from adapterlens.sources import views as V
+from adapterlens.sources.shared import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,9 +26,8 @@ def query(name: str, sql: str, *needs: str, more: str = ""):
 
 
 def scratch(spark) -> str:
-    """A fresh folder where the cluster shares files; a local one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-")
-    return f"{base}/tables-{uuid.uuid4().hex}"
+    """A fresh folder where driver and executors share files."""
+    return f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def manifest_texts(spark, sf_dir):
@@ -122,12 +121,12 @@ def _(spark, sf_dir):
     return checks.join(models).select("n_cells", "repeated_cells", F.col("all_models").alias("n_models"), F.col("all_repeated").alias("repeated_models"), "unlisted_models")
 
 
-@query("write_feature_table", "select model_name, block, feature, round(value::double, 3) as value from fx_feature where feature = 'energy'", "fx_feature")
+@query("write_feature_table", "select model_name, block, feature, feature as feature_group, round(value::double, 3) as value from fx_feature", "fx_feature")
 def _(spark, sf_dir):
     path = scratch(spark)
     T.write_feature_table(V.feature(spark, sf_dir), V.catalogue(spark, sf_dir), path)
-    energy = T.read_feature_table(spark, path)[0].where("feature_group = 'energy'")
-    return energy.select("model_name", "block", "feature", F.round(F.col("value").cast("double"), 3).alias("value"))
+    back = T.read_feature_table(spark, path)[0]
+    return back.select("model_name", "block", "feature", "feature_group", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 @query("write_predictions", "select row_number() over (order by model_name) - 1 as index, model_name, coalesce(label::varchar, '') as label, round(score, 9) as backdoor_score from fx_prediction", "fx_prediction")

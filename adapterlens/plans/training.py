@@ -1,4 +1,5 @@
-"""Queries over detectors and candidate selection. Fits have no SQL; tests hold them to closed forms."""
+"""Queries over detectors and candidate selection. SQL can fit a ridge of two features; of other fits
+it checks what must hold, and tests hold them to closed forms."""
 
 from __future__ import annotations
 
@@ -8,9 +9,12 @@ from adapterlens.operators import aggregate as A
 from adapterlens.operators import inputs as I
 from adapterlens.operators import models as M
 from adapterlens.operators import splits as S
+from adapterlens.operators.metrics import auroc
 from adapterlens.plans.storing import scratch
 from adapterlens.sources import views as V
 
+#: Areas that fits must reach on the rows that they were fitted on, and on held-out folds.
+LEAST, HELD_OUT = 0.9, 0.9
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -26,33 +30,71 @@ def query(name: str, sql: str | None = None, *needs: str, more: str = ""):
 
 
 def vectors(spark, sf_dir):
-    """model_name, label, features of every embedding; the label is whether the first number is above 0 or the class odd."""
+    """model_name, label, features of every embedding; the label is whether the first number is above the second."""
     e = F.transform("embedding", lambda x: x.cast("double"))
-    rows = V.read(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("model_name"), (F.col("label") % 2).cast("int").alias("label"), e.alias("features"))
+    rows = V.read(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("model_name"), (F.get("embedding", F.lit(0)) > F.get("embedding", F.lit(1))).cast("int").alias("label"), e.alias("features"))
     return M.as_vectors(rows)
 
 
-def fitted(name: str, **params):
-    @query(f"train_{name}")
+VECTORS = "vec as (select 'v' || vec_id as model_name, cast(embedding[1] > embedding[2] as int) as label, embedding[1]::double as a, embedding[2]::double as b from embeddings)"
+SOUND = "select model_name, label, true as in_range, true as as_good, cast(count(*) over () as bigint) as n_models from {0}"
+
+
+def sound(scored, least: float):
+    """Every scored model, whether its score is a share (or any number, for margins), and whether the
+    area reaches a bound that a fit must reach on these rows."""
+    area = F.broadcast(auroc(scored.select((F.col("label") > 0).cast("int").alias("label"), "score")))
+    n = F.broadcast(scored.agg(F.count("*").alias("n_models")))
+    share = F.col("score").between(-1e6, 1e6) & F.col("predicted").between(0, 1)
+    return scored.join(area).join(n).select("model_name", F.col("label").cast("int").alias("label"), share.alias("in_range"), (F.col("auroc") >= least).alias("as_good"), "n_models")
+
+
+def fitted(name: str, least: float, **params):
+    @query(f"train_{name}", SOUND.format("vec"), "fx_adapter", more=VECTORS)
     def _(spark, sf_dir):
         rows = vectors(spark, sf_dir)
-        return M.TRAINERS[name](rows, **params).score(rows).select("model_name", "label", F.round("score", 6).alias("score"))
+        return sound(M.TRAINERS[name](rows, **params).score(rows), least)
 
 
-fitted("logistic", C=1.0, class_weight="balanced")
-fitted("ridge", alpha=1.0)
-fitted("linear_svm", C=1.0)
-fitted("adaboost", n_estimators=5, max_depth=2)
-fitted("rbf_svm", C=1.0)
-fitted("random_forest", n_estimators=20, max_depth=6)
+fitted("logistic", LEAST, C=1.0, class_weight="balanced")
+fitted("linear_svm", LEAST, C=1.0)
+fitted("adaboost", LEAST, n_estimators=5, max_depth=2)
+fitted("rbf_svm", LEAST, C=1.0)
+fitted("random_forest", LEAST, n_estimators=20, max_depth=6, class_weight="balanced")
 
 
-@query("train_sequence")
+@query(
+    "train_ridge",
+    """select model_name, label, round(m + ((n + 1) * p - r * q) / ((n + 1) * (n + 1) - r * r) * x + ((n + 1) * q - r * p) / ((n + 1) * (n + 1) - r * r) * y, 6) as score, true as agrees
+      from (select model_name, label, x, y, avg(t) over () as m, count(*) over () as n, sum(x * y) over () as r, sum(x * t) over () as p, sum(y * t) over () as q
+        from (select model_name, label, 2.0 * label - 1 as t, (a - avg(a) over ()) / stddev_pop(a) over () as x, (b - avg(b) over ()) / stddev_pop(b) over () as y from vec))""",
+    "fx_adapter",
+    more=VECTORS,
+)
+def _(spark, sf_dir):
+    # two of the numbers of every embedding, for which the normal equations fit into SQL; the fit must
+    # agree with them
+    pair = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
+    rows = V.read(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("model_name"), (F.get("embedding", F.lit(0)) > F.get("embedding", F.lit(1))).cast("int").alias("label"), pair.alias("features")
+    )
+    vectors_ = M.as_vectors(rows)
+    fit = M.train_ridge(vectors_, alpha=1.0).score(vectors_).select("model_name", "score")
+    a, b = F.get("features", F.lit(0)), F.get("features", F.lit(1))
+    spread = F.broadcast(rows.agg(F.avg(a).alias("ma"), F.stddev_pop(a).alias("sa"), F.avg(b).alias("mb"), F.stddev_pop(b).alias("sb")))
+    own = rows.join(spread).select("model_name", "label", (2.0 * F.col("label") - 1).alias("t"), ((a - F.col("ma")) / F.col("sa")).alias("x"), ((b - F.col("mb")) / F.col("sb")).alias("y"))
+    sums = F.broadcast(own.agg(F.avg("t").alias("m"), F.count("*").alias("n"), F.sum(F.expr("x * y")).alias("r"), F.sum(F.expr("x * t")).alias("p"), F.sum(F.expr("y * t")).alias("q")))
+    exact = F.expr("m + ((n + 1) * p - r * q) / ((n + 1) * (n + 1) - r * r) * x + ((n + 1) * q - r * p) / ((n + 1) * (n + 1) - r * r) * y")
+    both = own.join(sums).select("model_name", "label", exact.alias("exact")).join(fit, "model_name")
+    return both.select("model_name", "label", F.round("exact", 6).alias("score"), (F.abs(F.col("score") - F.col("exact")) < 1e-4).alias("agrees"))
+
+
+@query("train_sequence", SOUND.format("(select f.model_name, c.label from (select distinct model_name from fx_feature) f join fx_catalogue c on c.model_name = f.model_name)"), "fx_feature", "fx_catalogue")
 def _(spark, sf_dir):
     pooled = I.pool_layers(A.layer_sequence(V.feature(spark, sf_dir)))
     order = sorted(r.c for r in pooled.select(F.concat_ws("::", "slot", "feature").alias("c")).distinct().collect())
     rows = M.sequence_inputs(pooled, order).join(V.catalogue(spark, sf_dir).select("model_name", "label"), "model_name")
-    return M.train_sequence(rows).score(rows).select("model_name", "label", F.round("score", 6).alias("score"))
+    return sound(M.train_sequence(rows).score(rows), 0.5)
 
 
 @query("candidate_grid", "select cast(row_number() over (order by rank, attack_name) - 1 as int) as task_index, rank, attack_name from (select distinct rank from fx_prediction), (select distinct attack_name from fx_prediction)")
@@ -62,11 +104,12 @@ def _(spark, sf_dir):
     return spark.createDataFrame(M.candidate_grid(axes), "task_index int, rank int, attack_name string")
 
 
-@query("evaluate_candidates")
+@query("evaluate_candidates", "select cast(c as int) as task_index, cast(s as int) as seed, cast(f as int) as fold, 'ok' as status, true as as_good from (select unnest(range(4)) as c), (select unnest([42, 43]) as s), (select unnest(range(2)) as f)")
 def _(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    folds = S.kfold_stratified(rows.select("model_name", "label"), 2, [42])
-    return M.evaluate_candidates(rows, folds, "ridge", M.candidate_grid({"alpha": [1.0, 100.0]})).withColumn("metric", F.round("metric", 6))
+    folds = S.kfold_stratified(rows.select("model_name", "label"), 2, [42, 43])
+    found = M.evaluate_candidates(rows, folds, "ridge", M.model_grid("ridge", {"alpha": [0.1, 10.0], "class_weight": ["none", "balanced"]}))
+    return found.select("task_index", "seed", "fold", "status", (F.col("metric") >= HELD_OUT).alias("as_good"))
 
 
 # fold results out of predictions: a candidate per attack, a fold per dataset and rank
@@ -109,16 +152,18 @@ def _(spark, sf_dir):
     return M.tuning_report(summaries(spark, sf_dir).withColumn("status", status))
 
 
-@query("refit_and_score")
+@query("refit_and_score", "select model_name, label, true as in_range, true as as_good, cast(count(*) over () as bigint) as n_models from vec", "fx_adapter", more=VECTORS)
 def _(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     split = S.calibration_stratified(rows.select("model_name", "label"), 20, 42)
-    _, scored = M.refit_and_score(rows, split, "logistic", {"C": 1.0})
-    return scored.withColumn("score", F.round("score", 6))
+    return sound(M.refit_and_score(rows, split, "logistic", {"C": 1.0})[1], LEAST)
 
 
-@query("infer_with_contract")
+@query("infer_with_contract", "select model_name, true as in_range, true as agrees from vec", "fx_adapter", more=VECTORS)
 def _(spark, sf_dir):
     rows, names, path = vectors(spark, sf_dir), [f"x{i}" for i in range(64)], scratch(spark)
-    M.save_contract(rows, path, names, 0.5)
-    return M.infer_with_contract(path, rows, names).withColumn("score", F.round("score", 6))
+    M.save_contract(rows, path, names, {"even": 0.5, "strict": 0.9})
+    found = M.infer_with_contract(path, rows, names, ["clean", "backdoored"], rows.select("model_name"))
+    flag = lambda k: F.try_element_at("flagged", F.lit(k))
+    agrees = (flag("even") == (F.col("score") >= 0.5)) & (flag("strict") == (F.col("score") >= 0.9)) & ((F.col("predicted") == "backdoored") == (F.col("score") > 0.5))
+    return found.select("model_name", F.col("score").between(0, 1).alias("in_range"), agrees.alias("agrees"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adapterlens.functions.rank import ordered
+
 SECTIONS = ("path", "train", "infer", "cv_always_train")
 #: Candidate files of an adapter, best first.
 ADAPTER_FILES = ("adapter_model.safetensors", "best_model/adapter_model.safetensors")
@@ -75,13 +77,16 @@ def list_available_indices(listing: DataFrame) -> DataFrame:
 
 def round_robin_sample(available: DataFrame, n: int | None = None, span: tuple[int, int] | None = None) -> DataFrame:
     """Rows of available(source_pos, index) to take: all, those with an index in `span`, or n of them,
-    one from each source in turn while it has any. Fewer than n is the caller's error to raise."""
+    one from each source in turn while it has any. Asking for more than there are is an error."""
     if span is not None:
         return available.where(F.col("index").between(*span))
     if n is None:
         return available
-    turn = F.row_number().over(Window.partitionBy("source_pos").orderBy("index"))
-    return available.withColumn("turn", turn).orderBy("turn", "source_pos").limit(n)
+    total = available.count()
+    if n > total:
+        raise ValueError(f"{n} of {total} rows are asked for")
+    turns = ordered(available, ["source_pos"], "index").withColumnRenamed("place", "turn").drop("n")
+    return turns.orderBy("turn", "source_pos").limit(n)
 
 
 def estimate_selection_size(selection: DataFrame, files: DataFrame) -> DataFrame:

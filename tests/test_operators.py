@@ -142,12 +142,51 @@ def test_merges(spark):
     assert tables.merge_dense(base, base)[0].count() == 2  # merging a table with itself changes nothing
 
 
+def test_values_that_are_not_finite_agree_only_with_themselves(spark):
+    nan, inf = float("nan"), float("inf")
+    pairs = [(1.0, 1.0000001, 0), (1.0, 1.1, 1), (1.0, nan, 1), (nan, 1.0, 1), (nan, nan, 0), (1.0, inf, 1), (inf, 1.0, 1), (inf, inf, 0), (inf, -inf, 1), (-inf, -inf, 0)]
+    for old, new, conflicts in pairs:
+        found = tables.merge_dense(feature(spark, ("a", "k", "energy", old)), feature(spark, ("a", "k", "energy", new)))[1].first()
+        assert (found.overlap, found.conflicts, found.repeated) == (1, conflicts, 0), (old, new)
+    twice = feature(spark, ("a", "k", "energy", 1.0), ("a", "k", "energy", 2.0))
+    assert tables.merge_dense(twice, feature(spark, ("b", "k", "energy", 1.0)))[1].first().repeated == 1
+    with pytest.raises(ValueError, match="repeated"):
+        tables.merge_auto(twice, feature(spark, ("b", "k", "energy", 1.0)))
+
+
+def test_stacking_names_models_that_do_not_fit(spark):
+    shards = [feature(spark, ("a", "k", "energy", 1.0)), feature(spark, ("z", "k", "energy", 1.0))]
+    manifest = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "model_name string, pos int")
+    rows, unfit = tables.stack_shards(shards, manifest, spark.createDataFrame([("c", "unreadable")], "model_name string, reason string"))
+    assert [r.model_name for r in rows.collect()] == ["a"]
+    assert {tuple(r) for r in unfit.collect()} == {("b", "MissingShardRow"), ("c", "unreadable"), ("z", "NotInManifest")}
+    labels = spark.createDataFrame([(0, "a", 1), (0, "b", None), (1, "c", None)], "shard int, model_name string, label int")
+    assert tuple(tables.labels_all_or_none(labels).first()) == (2, 1, False)
+    assert tables.labels_all_or_none(labels.where("shard = 0")).first().ok
+
+
+def test_deep_lineage_is_followed(spark):
+    lineage = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)], "child string, parent string")
+    assert [tuple(r) for r in tables.lineage_leaves(lineage, spark.createDataFrame([("n0",)], "root string")).collect()] == [("n0", "n5")]
+
+
+def test_order_by_parts_is_exact(spark):
+    from adapterlens.functions.rank import ordered
+
+    rows = spark.createDataFrame([(k % 3, (k * 7919) % 1009) for k in range(900)], "g int, v long")
+    got = {(r.g, r.v): (r.place, r.n) for r in ordered(rows, ["g"], "v").collect()}
+    for g in range(3):
+        values = sorted(v for h, v in got if h == g)
+        assert all(got[g, v] == (i + 1, len(values)) for i, v in enumerate(values))
+    assert ordered(rows.where("false"), ["g"], "v").count() == 0
+
+
 def test_lineage_cycle_is_an_error(spark):
     roots = spark.createDataFrame([("r",)], "root string")
     lineage = spark.createDataFrame([("r", "m"), ("m", "l1"), ("m", "l2"), ("r", "l1")], "child string, parent string")
     assert {tuple(r) for r in tables.lineage_leaves(lineage, roots).collect()} == {("r", "l1"), ("r", "l2")}
     with pytest.raises(ValueError, match="cycle"):
-        tables.lineage_leaves(lineage.unionByName(spark.createDataFrame([("l1", "r")], "child string, parent string")), roots, 6)
+        tables.lineage_leaves(lineage.unionByName(spark.createDataFrame([("l1", "r")], "child string, parent string")), roots)
 
 
 def test_missing_and_repeated_places(spark):
@@ -230,18 +269,69 @@ def test_models_agree_with_closed_forms(spark):
     y = (x @ np.array([2.0, -1.0, 0.5, 0.0]) + 0.3 * g.normal(size=160) > 0).astype(int)
     df = models.as_vectors(spark.createDataFrame([(f"m{i}", int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y, strict=True))], "model_name string, label int, features array<double>"))
     scored = {r.model_name: r.score for r in models.train_ridge(df, alpha=3.0).score(df).collect()}
-    c, t = x - x.mean(0), 2.0 * y - 1
+    c, t = (x - x.mean(0)) / x.std(0), 2.0 * y - 1
     w = np.linalg.solve(c.T @ c + 3.0 * np.eye(4), c.T @ (t - t.mean()))
     assert np.allclose([scored[f"m{i}"] for i in range(160)], c @ w + t.mean(), atol=1e-4)
     for name in ("logistic", "linear_svm", "random_forest", "rbf_svm", "adaboost"):
         assert metrics.auroc(models.TRAINERS[name](df).score(df).select("label", "score")).first().auroc > 0.95, name
 
 
+def test_three_classes(spark):
+    """Ridge against the normal equations of each class, and every detector tells three clouds apart."""
+    g = np.random.default_rng(7)
+    y = np.arange(150) % 3
+    x = g.normal(size=(150, 3)) + 4 * np.eye(3)[y]
+    df = models.as_vectors(spark.createDataFrame([(f"m{i}", int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y, strict=True))], "model_name string, label int, features array<double>"))
+    c = (x - x.mean(0)) / x.std(0)
+    values = np.column_stack([c @ np.linalg.solve(c.T @ c + 2.0 * np.eye(3), c.T @ (t - t.mean())) + t.mean() for t in (2.0 * (y == k) - 1 for k in range(3))])
+    e = np.exp(values - values.max(1, keepdims=True))
+    got = {r.model_name: r for r in models.train_ridge(df, alpha=2.0).score(df).collect()}
+    assert np.allclose([got[f"m{i}"].score for i in range(150)], 1 - e[:, 0] / e.sum(1), atol=1e-6)
+    assert [got[f"m{i}"].predicted for i in range(150)] == values.argmax(1).tolist()
+    for name in ("logistic", "linear_svm", "adaboost", "rbf_svm", "random_forest"):
+        params = {"n_estimators": 8, "max_depth": 2} if name in ("adaboost", "random_forest") else {}
+        rows = models.TRAINERS[name](df, **params).score(df).collect()
+        assert sum(r.predicted == r.label for r in rows) > 130 and all(0 <= r.score <= 1 for r in rows), name
+    with pytest.raises(ValueError, match="labels"):
+        models.train_ridge(df.where("label <> 1"))
+
+
+def test_grids_have_their_registered_sizes():
+    assert {k: len(models.model_grid(k)) for k in models.GRIDS} == {"logistic": 12, "ridge": 12, "linear_svm": 12, "adaboost": 32, "rbf_svm": 40, "random_forest": 54}
+    assert [c["task_index"] for c in models.model_grid("ridge", {"class_weight": ["none"], "alpha": [1.0, 2.0]})] == [0, 1]
+    with pytest.raises(ValueError, match="axes"):
+        models.model_grid("ridge", {"alpha": [1.0]})
+
+
+def test_candidates_are_judged_by_seed_and_fold(spark):
+    df = models.as_vectors(spark.createDataFrame([(f"m{i}", i % 2, [float(i % 2 * 3 + i % 5), 1.0]) for i in range(40)], "model_name string, label int, features array<double>"))
+    folds = splits.kfold_stratified(df.select("model_name", "label"), 2, [1, 2])
+    found = models.evaluate_candidates(df, folds, "ridge", [{"task_index": 0, "alpha": 1.0}, {"task_index": 1, "alpha": -1.0}]).collect()
+    assert sorted((r.task_index, r.seed, r.fold) for r in found) == [(t, s, f) for t in (0, 1) for s in (1, 2) for f in (0, 1)]
+    assert all(r.metric > 0.8 and r.status == "ok" for r in found if r.task_index == 0)
+    assert all(r.metric is None and r.status.startswith("failed") for r in found if r.task_index == 1)
+
+
+def test_margins_and_classes_that_do_not_fit(spark):
+    row = spark.createDataFrame([(-0.5, [0.1, 0.9], [2, 0])], "m double, v array<double>, c array<int>")
+    for ends, want in (((0, 1), (-0.5, 0)), ((1, 0), (0.5, 1)), ((0, 2), (-0.5, 0))):
+        assert tuple(row.select(*metrics.margin_outputs(F.col("m"), *ends)).first()) == want
+    with pytest.raises(ValueError, match="0"):
+        metrics.margin_outputs(F.col("m"), 1, 2)
+    assert row.select(metrics.align_classes(F.col("v"), F.col("c"), 3)).first()[0] == [0.9, 0.0, 0.1]
+    with pytest.raises(Exception, match="do not fit"):
+        row.select(metrics.align_classes(F.col("v"), F.col("c"), 2)).collect()
+
+
 def test_contract_is_kept(spark, tmp_path):
     df = models.as_vectors(spark.createDataFrame([("a", 0, [0.0, 1.0]), ("b", 1, [1.0, 0.0])], "model_name string, label int, features array<double>"))
-    models.save_contract(df, str(tmp_path), ["x", "y"], 0.5)
-    got = {r.model_name: r.flagged for r in models.infer_with_contract(str(tmp_path), df, ["x", "y"]).collect()}
-    assert got == {"a": False, "b": True}
+    models.save_contract(df, str(tmp_path), ["x", "y"], {"even": 0.5, "all": 0.0})
+    got = {r.model_name: (r.predicted, r.flagged) for r in models.infer_with_contract(str(tmp_path), df, ["x", "y"], ["clean", "backdoored"], df).collect()}
+    assert got == {"a": ("clean", {"even": False, "all": True}), "b": ("backdoored", {"even": True, "all": True})}
+    with pytest.raises(ValueError, match="classes"):
+        models.infer_with_contract(str(tmp_path), df, ["x", "y"], ["clean", "other"])
+    with pytest.raises(ValueError, match="manifest"):
+        models.infer_with_contract(str(tmp_path), df, ["x", "y"], manifest=df.where("model_name = 'a'"))
     with pytest.raises(ValueError, match="contract"):
         models.infer_with_contract(str(tmp_path), df, ["y", "x"])
 
