@@ -346,10 +346,10 @@ def _alike_classes(docs: DataFrame, row: Column, words: int, radius: int, blocks
     rank = F.struct(F.col("row.unknown").alias("u"), F.col("row.doc_id").alias("d"), "node")
     dealt_ = own.select("node", "n", rank.alias("rank"), F.explode("buckets").alias("bucket"))
     shared = dealt_.groupBy("bucket").agg(F.min("rank").alias("first"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket", F.col("first.node").alias("first"), F.col("first").alias("rank"))
-    shared = cut(gathered(shared, total))
+    shared = cut(gathered(shared, BANDS * total))
     n_shared = shared.count()
     members = dealt_.select("bucket", "node", "n").join(broadcast_if_small(shared.select("bucket"), n_shared), "bucket", "left_semi").distinct()
-    members = cut(gathered(members, total))
+    members = cut(gathered(members, BANDS * total))
     n = members.count()
 
     of_print = gathered(nodes.groupBy("fp").agg(F.min("node").alias("x")), total)
@@ -375,7 +375,7 @@ def _alike_classes(docs: DataFrame, row: Column, words: int, radius: int, blocks
 
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    links = cut(gathered(two.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), n_pairs))
+    links = cut(two.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"))  # in as many tasks as the sets need
     roots = cut(connected_components(links))
     now = cut(gathered(members.join(small(roots, n_pairs), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), n))
     placed = cut(gathered(blocks_of(now), n))
