@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that parts words: space and the five ASCII controls after tab, tab included.
 SPACE = r"\x20\x09-\x0D"
-#: Rows that a batch map hands to its function at once.
+#: Rows that a batch map hands to its function at once, and their bytes: a longer one comes alone.
 ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 4 << 20
 #: Rows of an Arrow batch of texts.
 ROWS_A_BATCH = 1_000
 #: Broadcasts are asked for up to this many rows of a few dozen bytes; beyond, the join is shuffled.
@@ -180,8 +183,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return gathered(now, after[0]).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def batch_column(function: Callable[[list], list], ddl: str):
-    """A column function that maps short lists of texts to lists of values, in Arrow batches.
+def by_size(values: pa.Array, rows: int = ROWS_AT_ONCE, size: int = BYTES_AT_ONCE) -> Iterator[pa.Array]:
+    """Slices of `rows` values and `size` bytes (of list items, eight each) at most, or of one value."""
+    if pa.types.is_list(values.type):
+        lengths = pc.multiply(pc.list_value_length(values), 8)
+    else:
+        lengths = pc.binary_length(values)
+    ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        upto = max(at + 1, min(upto, at + rows))
+        yield values.slice(at, upto - at)
+        at = upto
+
+
+def array_column(function: Callable[[pa.Array], pa.Array], ddl: str, rows: int = 1 << 14, size: int = BYTES_AT_ONCE):
+    """A column function that maps arrays of texts, binaries or lists to arrays, slice by slice.
 
     Other columns of the row stay in the JVM. Marked nondeterministic so that a filter on the
     result is not pushed below it, which would run it twice.
@@ -194,13 +212,22 @@ def batch_column(function: Callable[[list], list], ddl: str):
     short_batches()
 
     @arrow_udf(ddl)
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [pa.array(function(texts.slice(at, ROWS_AT_ONCE).to_pylist()), type=kind) for at in range(0, len(texts), ROWS_AT_ONCE)]
+    def run(values: pa.Array) -> pa.Array:
+        parts = [function(part).cast(kind) for part in by_size(values, rows, size)]
         return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 
     return run.asNondeterministic()
 
 
+def batch_column(function: Callable[[list], list], ddl: str):
+    """`array_column` of a function that maps short lists of texts to lists of values."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_type(_parse_datatype_string(ddl))
+    return array_column(lambda texts: pa.array(function(texts.to_pylist()), type=kind), ddl, ROWS_AT_ONCE)
+
+
 def text_column(function: Callable[[str | None], object], ddl: str):
     """`batch_column` of a function of one text."""
     return batch_column(lambda texts: [function(x) for x in texts], ddl)

@@ -1,7 +1,8 @@
-"""Queries over the ten text operators, with SQL where SQL can say the same."""
+"""Queries over the text operators, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
+from adapterlens.llm.byte_bpe import op13_byte_bpe
 from adapterlens.llm.chat import OP6_SQL, op6_chat_rotation
 from adapterlens.llm.decontaminate import op9_decontamination
 from adapterlens.llm.html_extract import op3_html_extraction
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_pii_crf": op10_pii_crf,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES = {"op4_url_filter": op4_sql(), "op6_chat_rotation": OP6_SQL}
