@@ -31,7 +31,7 @@ def odd_texts():
     space = [" "] * 60 + ["\n"] * 10 + list("\t\r\x0b\x0c\x1c\x1f\x85\xa0 ᠎​ 　﻿")
     newer = [chr(c) for c in (0x558, 0x88F, 0x209D, 0x11DE0, 0x1246F)]
     texts = ["".join(r.choice(letters + space + newer) for _ in range(r.randint(0, 300))) for _ in range(400)]
-    texts += ["".join(chr(r.choice([*range(0xD800), *range(0xE000, 0x110000)])) for _ in range(60)) for _ in range(60)]
+    texts += ["".join(chr(c) for c in r.sample(range(0x110000), 60) if not 0xD800 <= c < 0xE000) for _ in range(60)]
     long = ["a" * n for n in (127, 128, 129, 4000)] + [" " * n for n in (1, 2, 3, 130, 3000)]
     return [*texts, *long, "\n \n" * 90, "ab" * 900, "日本語" * 700, "", "<|endoftext|> it's 12345 ok"]
 
