@@ -183,13 +183,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return gathered(now, after[0]).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _sizes(values: pa.Array) -> np.ndarray:
+    """Bytes of each value of an array, about; items of lists count eight."""
+    if pa.types.is_struct(values.type):
+        return sum(map(_sizes, values.flatten()))
+    lengths = pc.multiply(pc.list_value_length(values), 8) if pa.types.is_list(values.type) else pc.binary_length(values)
+    return lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def by_size(values: pa.Array, rows: int = ROWS_AT_ONCE, size: int = BYTES_AT_ONCE) -> Iterator[pa.Array]:
-    """Slices of `rows` values and `size` bytes (of list items, eight each) at most, or of one value."""
-    if pa.types.is_list(values.type):
-        lengths = pc.multiply(pc.list_value_length(values), 8)
-    else:
-        lengths = pc.binary_length(values)
-    ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    """Slices of `rows` values and `size` bytes at most, or of one value."""
+    ends = np.cumsum(_sizes(values))
     at = 0
     while at < len(values):
         upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from adapterlens.llm.alignment import op11_tokenizer_alignment
 from adapterlens.llm.byte_bpe import op13_byte_bpe
 from adapterlens.llm.chat import OP6_SQL, op6_chat_rotation
 from adapterlens.llm.decontaminate import op9_decontamination
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_pii_crf": op10_pii_crf,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_byte_bpe": op13_byte_bpe,
 }
