@@ -9,6 +9,7 @@ place, and rows without a pair leave the matrix.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 import sys
@@ -19,7 +20,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from adapterlens.llm.common import array_column, table
 
@@ -28,8 +28,11 @@ from adapterlens.llm.common import array_column, table
 WIDTHS = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 #: Cells of one matrix.
 CELLS = 1 << 20
-#: Characters of the chunks that a worker remembers; beyond, it forgets all and begins anew.
-REMEMBERED = 1 << 23
+#: Characters of the chunks that a worker remembers, some 20 bytes of memory each; beyond, it forgets
+#: all and begins anew.
+REMEMBERED = 3_000_000
+#: Bytes of texts that are encoded together.
+BYTES = 1 << 20
 #: A rank above all others.
 NEVER = np.iinfo(np.int32).max
 #: Chunks part before white space that follows something else, where no pattern of this kind has a
@@ -325,7 +328,7 @@ def list_parts(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def ids_column(path: str, pattern: str) -> Callable[[Column | str], Column]:
     """Texts -> array<int>, with the vocabulary at `path`."""
-    return array_column(lambda texts: int_lists(*ByteBpe.load(path, pattern).encode(texts.to_pylist())), "array<int>")
+    return array_column(lambda texts: int_lists(*ByteBpe.load(path, pattern).encode(texts.to_pylist())), "array<int>", size=BYTES)
 
 
 def bytes_column(path: str, pattern: str) -> Callable[[Column | str], Column]:
@@ -333,14 +336,17 @@ def bytes_column(path: str, pattern: str) -> Callable[[Column | str], Column]:
     return array_column(lambda ids: binaries(*ByteBpe.load(path, pattern).decode(*list_parts(ids))), "binary")
 
 
-def packed_column() -> Callable[[Column | str], Column]:
-    """array<int> -> the ids as little-endian unsigned 32-bit numbers."""
+def digests_column(path: str, pattern: str) -> Callable[[Column | str], Column]:
+    """array<int> -> how many, the SHA-256 of the ids as little-endian unsigned 32-bit numbers, and of the
+    bytes that they stand for."""
 
-    def pack(ids: pa.Array) -> pa.Array:
-        numbers, offsets = list_parts(ids)
-        return binaries(numbers.astype("<u4").view(np.uint8), 4 * offsets)
+    def run(rows: pa.Array) -> pa.Array:
+        ids, offsets = list_parts(rows)
+        letters, ends = ByteBpe.load(path, pattern).decode(ids, offsets)
+        hexes = [[hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] for data, at in ((ids.astype("<u4").view(np.uint8), 4 * offsets), (letters, ends))]
+        return pa.StructArray.from_arrays([pa.array(np.diff(offsets), pa.int64()), *map(pa.array, hexes)], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return array_column(pack, "binary")
+    return array_column(run, "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -370,5 +376,4 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    both = decode_documents(encoded, path, pattern).withColumn("packed", packed_column()("ids"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", digests_column(path, pattern)("ids").alias("d")).select("doc_id", "d.*")
