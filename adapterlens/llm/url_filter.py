@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.common import ascii_lower, connected_components, table
+from adapterlens.llm.common import ascii_lower, broadcast_if_small, connected_components, cut, join_counted, table
 
 #: (verdict, host, path prefix)
 RULES = [
@@ -90,18 +90,29 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return F.array_max(table)
 
 
+def resolved(rules: list | DataFrame) -> list | DataFrame:
+    """The rules with each (host, path) once: of equal ones with both verdicts, allow holds."""
+    if isinstance(rules, DataFrame):
+        return rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict")).select("verdict", "host", "path")
+    return [(v, h, p) for (h, p), v in dict(sorted({((h, p), v) for v, h, p in rules}, key=lambda r: r[1], reverse=True)).items()]
+
+
 def join_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     """For large rule sets: add column `rule` as above to df(node, host, path, ...).
 
-    rules: verdict, host, path. Each address offers the suffixes of its host and the prefixes of
-    its path as join keys, so no host with many rules multiplies rows; one row per node comes back.
+    rules: verdict, host, path, each (host, path) once. Each address offers the suffixes of its host,
+    and for each suffix that has rules the prefixes of its path of the lengths that they have; one row
+    per node comes back.
     """
+    rules = cut(rules)
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substr(F.col("path"), F.lit(1), i))
-    keyed = df.select("node", F.explode(suffixes).alias("_h"), "path").select("node", "_h", F.explode(prefixes).alias("_p"))
+    hosts = cut(rules.groupBy(F.col("host").alias("_h")).agg(F.collect_set(F.length("path")).alias("_lengths")))
+    keyed = df.select("node", F.explode(suffixes).alias("_h"), "path").join(broadcast_if_small(hosts, hosts.count()), "_h")
+    fitting = F.filter("_lengths", lambda n: n <= F.length("path"))
+    keyed = keyed.select("node", "_h", F.explode(F.transform(fitting, lambda n: F.substr(F.col("path"), F.lit(1), n))).alias("_p"))
     best = F.max(F.struct(F.length(F.concat("_h", "_p")).alias("size"), F.concat("_h", "_p").alias("rule"), "verdict"))
-    named = rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "verdict").dropDuplicates(["_h", "_p"])
+    named = broadcast_if_small(rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "verdict"), rules.count())
     return df.join(keyed.join(named, ["_h", "_p"]).groupBy("node").agg(best.alias("rule")), "node", "left")
 
 
@@ -117,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: list | DataFrame = RULES, redirects: Dat
     """Judge every row of pages(page_id, url, html).
 
     rules: list of (verdict, host, path prefix), or a DataFrame of them when there are over
-    `RULES_INLINE`. redirects: further edges src, dst as addresses. Returns page_id, host, path,
+    `RULES_INLINE`; of equal ones with both verdicts, allow holds. redirects: further edges src, dst as addresses. Returns page_id, host, path,
     rule, verdict, decided_by (`rule`, `class` or `default`), one row per row of `pages`.
 
     Null urls and urls without `://` have an empty host and path, fit no rule, belong to no class
@@ -126,16 +137,18 @@ def judge_urls(pages: DataFrame, rules: list | DataFrame = RULES, redirects: Dat
     """
     if isinstance(rules, list) and len(rules) > RULES_INLINE:
         rules = pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
+    rules = resolved(rules)
     edges = page_links(pages)
     if redirects is not None:
         known = with_parts(with_parts(redirects.select("src", "dst"), "src").withColumnRenamed("node", "a").drop("host", "path"), "dst")
         edges = edges.unionByName(_edges(known.select("a", F.col("node").alias("b"))))
     linked = connected_components(edges)
-    members = linked.unionByName(linked.select(F.col("root").alias("node"), "root")).distinct()
+    members = cut(linked.unionByName(linked.select(F.col("root").alias("node"), "root")).distinct())
     ruled = members.join(_judged(members.select("node").distinct(), rules), "node")
     verdict = F.col("rule.verdict")
-    classes = ruled.groupBy("root").agg(F.max(verdict == "block").alias("blocked"), F.max(verdict == "allow").alias("allowed"))
-    by_class = members.join(classes, "root").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("spread"))
+    classes = cut(ruled.groupBy("root").agg(F.max(verdict == "block").alias("blocked"), F.max(verdict == "allow").alias("allowed"), F.count("*").alias("n")))
+    # A class may hold a third of all addresses: members of large ones do not meet on the root.
+    by_class = join_counted(members, classes, ["root"], members.count()).select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("spread"))
 
     rows = with_parts(pages.select("page_id", "url")).drop("url")
     if isinstance(rules, DataFrame):

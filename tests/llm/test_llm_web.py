@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from adapterlens.llm import chat, sharding, url_filter
 from adapterlens.llm import html_extract as he
@@ -143,6 +144,25 @@ def test_allow_wins_over_block_in_a_class(spark):
     assert (row.verdict, row.decided_by) == ("allow", "class")
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_equal_rules_with_both_verdicts_allow_in_every_form(spark, turned):
+    rules = [("block", "a.com", "/x"), ("allow", "a.com", "/x"), ("block", "a.com", "/x/y"), ("block", "com", "")]
+    rules = rules[::-1] if turned else rules
+    urls = ["http://a.com/x", "http://b.a.com/x/z", "http://a.com/x/y/z", "http://c.com", "http://a.com/" + "long/" * 3000, "http://d.org/x", None]
+    pages = spark.createDataFrame([(i, u, None, "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string")
+    stored = spark.createDataFrame(rules, "verdict string, host string, path string").repartition(3)
+    inline, joined = (sorted(map(tuple, url_filter.judge_urls(pages, r).collect())) for r in (rules, stored))
+    assert inline == joined
+    assert [r[4] for r in inline] == ["allow", "allow", "block", "block", "block", "allow", "allow"]
+
+
+def test_a_class_of_many_members_is_joined_whole(spark):
+    edges = spark.range(3000).select(F.concat(F.lit("http://m.org/"), F.col("id")).alias("src"), F.lit("http://hub.org/es/").alias("dst"))
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://m.org/"), F.col("id")).alias("url"), F.lit(None).cast("string").alias("html"))
+    rows = url_filter.judge_urls(pages, redirects=edges).groupBy("verdict", "decided_by").count().collect()
+    assert [tuple(r) for r in rows] == [("block", "class", 3000)]
+
+
 def test_components_of_paths_stars_and_rings(spark):
     from adapterlens.llm.common import connected_components
 
