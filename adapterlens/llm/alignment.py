@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,10 @@ class Pair:
             entries[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.a_vocabulary = Vocabulary(entries)
         self.b_vocabulary = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.vocab_size()) for p in [self.b.id_to_piece(i)]])
+        # Texts with white space that B's pieces hold are encoded whole; so are all, if pieces span words.
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        joined = " " if any(re.search("[^▁]▁", x) for x in pieces) else "".join(sorted({c for x in pieces for c in x if c in "\t\n\x0b\x0c\r"}))
+        self.whole = re.compile(f"[{joined}]" if joined else "(?!)")
         self.memo = Memo(self._solve)
 
     @staticmethod
@@ -79,27 +85,34 @@ class Pair:
     def load(a_path: str, b_path: str) -> Pair:
         return Pair(a_path, b_path)
 
-    def _solve(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], np.int32), np.fromiter(map(len, found), np.int64, len(found))
+    def _solve(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A's ids of chunks, B's, and for each chunk whether a tokenizer changes its bytes."""
+        found = [[x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]]
+        # B adds the space that a chunk begins with; where it begins with another white space, the
+        # added one is a piece of its own and goes.
+        spaced = [c[0] == " " for c in chunks]
+        ids = self.b.encode([c[1:] if s else c for c, s in zip(chunks, spaced, strict=True)], num_threads=1)
+        space = [self.b.piece_to_id("▁")]  # a lone one is left at the end of a text
+        found.append([space if c == " " else x if s else x[1:] for c, x, s in zip(chunks, ids, spaced, strict=True)])
+        pools = [(np.fromiter(chain.from_iterable(x), np.int32), np.fromiter(map(len, x), np.int64, len(x))) for x in found]
+        said, changed = [c.encode("utf-8", "surrogatepass") for c in chunks], np.zeros(len(chunks), np.int32)
+        for vocabulary, (numbers, lengths) in zip((self.a_vocabulary, self.b_vocabulary), pools, strict=True):
+            spelled, ends = vocabulary.spelled(numbers).tobytes(), offsets_of(vocabulary.lengths[numbers])[offsets_of(lengths)].tolist()
+            changed |= np.fromiter((spelled[x:y] != z for x, y, z in zip(ends[:-1], ends[1:], said, strict=True)), bool, len(chunks))
+        return [*pools, (changed, np.ones(len(chunks), np.int64))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A's ids in a row, where each text's begin, B's, where each text's begin). A text whose bytes
         either tokenizer does not keep has none."""
-        a, a_at = self.memo.runs([chunked(f" {x}") if x else [] for x in texts])
-        found = self.b.encode([x or "" for x in texts], num_threads=1)
-        b_at = offsets_of(np.fromiter(map(len, found), np.int64, len(found)))
-        b = np.array([i for ids in found for i in ids], np.int32)
-        said = [f" {x}".encode("utf-8", "surrogatepass") if x else b"" for x in texts]
-        same = np.ones(len(texts), bool)
-        for vocabulary, ids, at in ((self.a_vocabulary, a, a_at), (self.b_vocabulary, b, b_at)):
-            spelled, ends = vocabulary.spelled(ids), offsets_of(vocabulary.lengths[ids])[at]
-            for i in range(len(texts)):
-                same[i] &= ends[i + 1] - ends[i] == len(said[i]) and spelled[ends[i] : ends[i + 1]].tobytes() == said[i]
+        whole = [f" {x}" if x else "" for x in texts]
+        (a, a_at), (b, b_at), (changed, at) = self.memo.runs([[x] if x and self.whole.search(x) else chunked(x) for x in whole])
+        same = np.diff(offsets_of(changed)[at]) == 0
         return (*_kept(a, a_at, same), *_kept(b, b_at, same))
 
 
 def _kept(ids: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if which.all():
+        return ids, at
     lengths = np.diff(at)
     return ids[np.repeat(which, lengths)], offsets_of(np.where(which, lengths, 0))
 
@@ -184,7 +197,7 @@ def _parts(rows: pa.StructArray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def spelled_groups(pair: Pair, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The groups `a1,a2|b1;a3|b2,b3;` of all texts as ASCII, and where each group begins."""
-    a_group, b_group = np.searchsorted(a_cuts, np.arange(len(a))), np.searchsorted(b_cuts, np.arange(len(b)))
+    a_group, b_group = (np.repeat(np.arange(len(cuts)), np.diff(cuts, prepend=-1)) for cuts in (a_cuts, b_cuts))
     before_b, before_a = np.concatenate([[0], b_cuts + 1]), a_cuts + 1
     slots = np.concatenate([np.arange(len(a)) + before_b[a_group], np.arange(len(b)) + before_a[b_group]])
     order = np.empty(len(slots), np.int64)

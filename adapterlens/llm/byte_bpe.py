@@ -104,34 +104,41 @@ class PairTable:
 
 
 class Memo:
-    """Chunks of text -> runs of numbers in one pool, up to a total length of the chunks."""
+    """Chunks of text -> runs of numbers in pools, up to a total length of the chunks.
 
-    def __init__(self, solve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], remembered: int = REMEMBERED):
+    solve(chunks) gives, for each pool, the numbers of all chunks in a row and how many each has.
+    """
+
+    def __init__(self, solve: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]], remembered: int = REMEMBERED):
         self.solve, self.remembered = solve, remembered
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.characters = 0
-        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.characters, self.pools = 0, None
 
-    def runs(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of texts, given as chunks, and where each text's begin, and the last one's end."""
+    def runs(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each pool, the numbers of texts, given as chunks, and where each text's begin, and the last
+        one's end."""
         flat = list(chain.from_iterable(texts))
         new = [c for c in dict.fromkeys(flat) if c not in self.place]
         if self.characters + sum(map(len, new)) > self.remembered and self.place:
             self._forget()
             new = list(dict.fromkeys(flat))
-        if new:
-            numbers, lengths = self.solve(new)
+        if new or self.pools is None:
+            found = self.solve(new)
+            old = self.pools or [(np.zeros(0, np.int32), np.zeros(1, np.int64))] * len(found)
+            self.pools = [(np.concatenate([pool, numbers]), np.concatenate([ends, ends[-1] + np.cumsum(lengths)])) for (pool, ends), (numbers, lengths) in zip(old, found, strict=True)]
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.characters += sum(map(len, new))
-            self.pool = np.concatenate([self.pool, numbers])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        lengths = self.ends[at + 1] - self.ends[at]
         chunks = offsets_of(np.fromiter(map(len, texts), np.int64, len(texts)))
-        return gather(self.pool, self.ends[at], lengths), offsets_of(lengths)[chunks]
+        out = []
+        for pool, ends in self.pools:
+            starts = ends[at]
+            lengths = ends[at + 1] - starts
+            out.append((gather(pool, starts, lengths), offsets_of(lengths)[chunks]))
+        return out
 
 
 def classes_of(letters: str) -> set[str]:
@@ -203,7 +210,7 @@ class ByteBpe:
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and len(texts) + 1 places where each text's begin."""
-        return self.memo.runs([chunked(x) for x in texts])
+        return self.memo.runs([chunked(x) for x in texts])[0]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of runs of ids in a row, and where each run's begin. An unknown id is an error."""
@@ -212,14 +219,14 @@ class ByteBpe:
         lengths = self.lengths[ids]
         return gather(self.letters, self.starts[ids], lengths), offsets_of(lengths)[offsets]
 
-    def _solve(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _solve(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of all chunks in a row, and how many each has."""
         matches = [self.pattern.pieces(c) for c in chunks]
         place: dict[str, int] = {}
         at = np.array([place.setdefault(p, len(place)) for m in matches for p in m], np.int64)
         ids, starts, lengths = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in place])
         counts = np.fromiter(map(len, matches), np.int64, len(matches))
-        return gather(ids, starts[at], lengths[at]), np.diff(offsets_of(lengths[at])[offsets_of(counts)])
+        return [(gather(ids, starts[at], lengths[at]), np.diff(offsets_of(lengths[at])[offsets_of(counts)]))]
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, lengths): the ids of piece i are ids[starts[i] : starts[i] + lengths[i]]."""
