@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adapterlens.sources.shared import cut
+
 
 def hash_order(seed: int, name: str = "model_name") -> Column:
     """The shuffled order of names for a seed: the same on every engine and partitioning."""
@@ -68,7 +70,8 @@ def running(counts: DataFrame, by: list[str], score: str, sums: list[str], parts
     parted = counts.withColumn("_part", F.size(F.filter(edges, lambda e: e <= F.col(score))))
     totals = parted.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     above = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    lifted = totals.select(*[F.col(b).alias(f"_b_{b}") for b in by], F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t_{s}").over(above), F.lit(0)).alias(f"_a_{s}") for s in sums])
+    # One row per part and group; cut, so that the join below is not one of a table with itself.
+    lifted = cut(totals.select(*[F.col(b).alias(f"_b_{b}") for b in by], F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t_{s}").over(above), F.lit(0)).alias(f"_a_{s}") for s in sums]))
     inside = Window.partitionBy(*by, "_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col("_part") == F.col("_p")
     for b in by:

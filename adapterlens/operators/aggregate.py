@@ -48,10 +48,11 @@ def flat_empty_fill(agg: DataFrame, columns: DataFrame) -> DataFrame:
 
 def layer_sequence(feature: DataFrame) -> DataFrame:
     """depth_feature(model_name, arch, layer, depth_label, slot, feature, value, n): every cell at its
-    depth and slot; n over 1 marks a place taken twice."""
+    depth and slot; n over 1 marks a place taken twice. Then the block that is first by name owns it,
+    and of its repeats the least value."""
     depth, slot = N.canonical_depth(F.col("block")), N.canonical_slot(F.col("block"))
     rows = feature.withColumn("d", depth).withColumn("s", slot)
-    return rows.groupBy("model_name", "d.arch", "d.layer", F.col("d.label").alias("depth_label"), F.col("s.label").alias("slot"), "feature").agg(F.first("value").alias("value"), F.count("*").alias("n"))
+    return rows.groupBy("model_name", "d.arch", "d.layer", F.col("d.label").alias("depth_label"), F.col("s.label").alias("slot"), "feature").agg(F.min_by("value", F.struct("block", "value")).alias("value"), F.count("*").alias("n"))
 
 
 def sequence_masks(depth_feature: DataFrame) -> DataFrame:

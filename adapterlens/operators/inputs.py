@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,34 @@ def masked_feature_stats(depth_feature: DataFrame) -> DataFrame:
     return fitted_statistics(depth_feature, ["feature"])
 
 
-def masked_channel_stats(depth_feature: DataFrame) -> DataFrame:
-    """slot, feature, mean, std per value channel over the layers that have it."""
-    return fitted_statistics(depth_feature, ["slot", "feature"])
+#: Channels of a layer that are not cells: its places in its model.
+POSITIONAL = ("layer", "layer_share", "position_share", "n_layers")
+
+
+def channel_sums(depth_feature: DataFrame, positional: bool = False) -> DataFrame:
+    """slot, feature, depth_label, n, total, spread: per channel and depth over the layers that have it, how
+    many, the sum and the sum of squared distances from the mean. Those of several shards may be put
+    together. positional: also of the layers' own channels, with slot `position`."""
+    cells = depth_feature.select("depth_label", "slot", "feature", F.col("value").cast("double").alias("value"))
+    if positional:
+        own = F.inline(F.array(*[F.struct(F.lit("position").alias("slot"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in POSITIONAL]))
+        cells = cells.unionByName(layer_vectors(depth_feature).select("depth_label", own))
+    sums = cells.groupBy("slot", "feature", "depth_label").agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.var_pop("value").alias("var"))
+    return sums.select("slot", "feature", "depth_label", "n", "total", (F.col("n") * F.col("var")).alias("spread"))
+
+
+def stats_of_sums(*shards: DataFrame, by: tuple[str, ...] = ("slot", "feature")) -> DataFrame:
+    """<by>, n, mean, std of channel_sums of one or more shards; variances count as 1e-6 at least."""
+    rows = reduce(DataFrame.unionByName, shards).where("n > 0")
+    means = rows.groupBy(*by).agg((F.sum("total") / F.sum("n")).alias("mean"))
+    off = F.col("total") / F.col("n") - F.col("mean")
+    sums = rows.join(means, list(by)).groupBy(*by, "mean").agg(F.sum("n").alias("n"), F.sum(F.col("spread") + F.col("n") * off * off).alias("spread"))
+    return sums.select(*by, "n", "mean", F.sqrt(F.greatest(F.col("spread") / F.col("n"), F.lit(VAR_FLOOR))).alias("std"))
+
+
+def masked_channel_stats(depth_feature: DataFrame, positional: bool = False, by_depth: bool = False) -> DataFrame:
+    """slot, feature (and depth_label), n, mean, std per channel over the layers that have it."""
+    return stats_of_sums(channel_sums(depth_feature, positional), by=("depth_label", "slot", "feature") if by_depth else ("slot", "feature"))
 
 
 def observed_channels(depth_feature: DataFrame) -> DataFrame:
@@ -120,11 +147,22 @@ def rank_label_weights(rows: DataFrame) -> DataFrame:
     return per.join(F.broadcast(total)).select("rank", "label", "n", (F.col("_t") / (F.col("_b") * F.col("n"))).alias("weight"))
 
 
-def rank_domains(rows: DataFrame, source_rank: int = 256) -> DataFrame:
-    """rank, domain (source 0, others ascending), label, n; needs the source and another rank."""
+def rank_domains(rows: DataFrame, source_rank: int = 256, inference: DataFrame | None = None) -> DataFrame:
+    """rank, domain (source 0, others ascending), label, n, part: needs the source and another rank.
+
+    inference(rank, label): rows that are only scored. Their ranks must be none of the training rows'
+    and have no domain; they are counted apart.
+    """
     ranks = sorted(r["rank"] for r in rows.select("rank").distinct().collect())
     if source_rank not in ranks or len(ranks) < 2:
         raise ValueError("the source rank and another are needed")
     order = [source_rank, *[r for r in ranks if r != source_rank]]
     domain = (F.array_position(F.array(*map(F.lit, order)), F.col("rank")) - 1).cast("int")
-    return rows.groupBy("rank", domain.alias("domain"), "label").agg(F.count("*").alias("n"))
+    counted = rows.groupBy("rank", domain.alias("domain"), "label").agg(F.count("*").alias("n")).withColumn("part", F.lit("train"))
+    if inference is None:
+        return counted
+    shared = sorted(r["rank"] for r in inference.select("rank").distinct().where(F.col("rank").isin(ranks)).collect())
+    if shared:
+        raise ValueError(f"inference rows have ranks of training rows: {shared}")
+    apart = inference.groupBy("rank", "label").agg(F.count("*").alias("n"))
+    return counted.unionByName(apart.select("rank", F.lit(None).cast("int").alias("domain"), "label", "n", F.lit("inference").alias("part")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adapterlens.functions.rank import running
+from adapterlens.sources.shared import cut
 
 EPS = 1e-12
 
@@ -63,8 +64,11 @@ def score_counts(prediction: DataFrame, by: list[str]) -> DataFrame:
     return known.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum((1 - F.col("label")).cast("long")).alias("neg"))
 
 
-def _cumulated(prediction: DataFrame, by: list[str]) -> DataFrame:
-    return running(score_counts(prediction, by), by, "score", ["pos", "neg"])
+def _cumulated(prediction: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The counts of distinct scores and their sums from above. The counts are computed once and cut: the
+    sums read them several times, and a detector's plan may be large."""
+    counts = cut(score_counts(prediction, by))
+    return counts, running(counts, by, "score", ["pos", "neg"])
 
 
 def _grouped(df: DataFrame, by: list[str]):
@@ -74,8 +78,8 @@ def _grouped(df: DataFrame, by: list[str]):
 def auroc_auprc(prediction: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by, auroc, auprc: ties count half; average precision over distinct scores; null without both classes."""
     by = by or []
-    rows = _cumulated(prediction, by)
-    totals = _grouped(score_counts(prediction, by), by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    counts, rows = _cumulated(prediction, by)
+    totals = _grouped(counts, by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     same = F.lit(True)
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
@@ -128,8 +132,9 @@ def threshold_metrics(prediction: DataFrame, by: list[str] | None = None) -> Dat
     greatest score has above_max.
     """
     by = by or []
-    rows = _cumulated(prediction, by).select(*by, F.col("score").alias("threshold"), F.lit(False).alias("above_max"), F.col("pos_from").alias("tp"), F.col("neg_from").alias("fp"))
-    totals = _grouped(score_counts(prediction, by), by).agg(F.sum("pos").alias("n_positive"), F.sum("neg").alias("n_negative"), F.max("score").alias("_max"))
+    counts, rows = _cumulated(prediction, by)
+    rows = rows.select(*by, F.col("score").alias("threshold"), F.lit(False).alias("above_max"), F.col("pos_from").alias("tp"), F.col("neg_from").alias("fp"))
+    totals = _grouped(counts, by).agg(F.sum("pos").alias("n_positive"), F.sum("neg").alias("n_negative"), F.max("score").alias("_max"))
     top = totals.select(*by, F.col("_max").alias("threshold"), F.lit(True).alias("above_max"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     all_ = rows.unionByName(top)
     joined = all_.join(totals.drop("_max"), by) if by else all_.join(F.broadcast(totals.drop("_max")))
@@ -168,8 +173,12 @@ def apply_thresholds(prediction: DataFrame, thresholds: DataFrame, default: floa
     return out.select(F.when(F.col("accepted_fpr").isNull(), "default").otherwise("calibrated").alias("kind"), "*")
 
 
-def evaluate_binary(prediction: DataFrame, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """by, total, known, clean, backdoored, unknown, auroc, auprc, tn, fp, fn, tp at the threshold."""
+def evaluate_binary(prediction: DataFrame, by: list[str] | None = None, threshold: float = 0.5, calibrated: DataFrame | None = None) -> DataFrame:
+    """by, total, known, clean, backdoored, unknown, auroc, auprc, tn, fp, fn, tp at the threshold.
+
+    With calibrated(accepted_fpr, threshold), and no groups, one row for the threshold and one for
+    each calibrated one, with kind, accepted_fpr and threshold.
+    """
     by = by or []
     one, hit = F.col("label") == 1, F.col("score") >= threshold
     count = lambda c: F.count(F.when(c, 1))
@@ -179,7 +188,12 @@ def evaluate_binary(prediction: DataFrame, by: list[str] | None = None, threshol
         count(zero & ~hit).alias("tn"), count(zero & hit).alias("fp"), count(one & ~hit).alias("fn"), count(one & hit).alias("tp"),
     )
     areas = auroc_auprc(prediction, by)
-    return base.join(areas, by, "left") if by else base.join(areas)
+    whole = base.join(areas, by, "left") if by else base.join(areas)
+    if calibrated is None:
+        return whole
+    if by:
+        raise ValueError("calibrated thresholds go without groups")
+    return whole.drop("tn", "fp", "fn", "tp").join(apply_thresholds(prediction, calibrated, threshold))
 
 
 def evaluate_groups(prediction: DataFrame, by: str) -> DataFrame:

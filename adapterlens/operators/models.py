@@ -13,22 +13,25 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
-from pyspark.errors import PySparkException
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adapterlens.operators.metrics import auroc, backdoor_score, decision_outputs, margin_outputs, predicted_label, sigmoid, softmax
+from adapterlens.functions.rank import hash_order
+from adapterlens.operators.metrics import auroc, backdoor_score, decision_outputs, margin_outputs, predicted_label
+from adapterlens.operators.stages import KernelMap, Margins, Shares, Stacked, TreeVotes, flat_tree, load_stages, save_stages
 from adapterlens.sources.shared import cut
 
 #: Fits that run side by side.
 PARALLEL = 4
+#: Steps of an SVM fit at most.
+SVM_STEPS = 60
 # Axes of the registered candidate grids.
 GRIDS = {
     "logistic": {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "class_weight": ["none", "balanced"]},
@@ -97,29 +100,33 @@ def classes_of(train: DataFrame) -> int:
 class Scorer:
     """A fitted detector. `score(rows)` adds score (higher: more suspect) and predicted (a label).
 
-    kind `probability`: values are shares by label. `margin`: one value, whose sign decides between
-    two labels. `decision`, `softmax`: values by label, whose softmax gives the score.
+    `output` is the column that the last steps leave. kind `probability`: shares by label. `margin`:
+    one value, whose sign decides between two labels. `decision`, `softmax`: values by label, whose
+    softmax gives the score.
     """
 
-    def __init__(self, stages: list, values: Column, kind: str):
-        self.stages, self.values, self.kind = stages, values, kind
+    def __init__(self, stages: list, output: str, kind: str):
+        self.stages, self.output, self.kind = stages, output, kind
+
+    def values(self, rows: DataFrame) -> DataFrame:
+        """rows with all the columns that the steps add."""
+        return through(self.stages, rows)
 
     def score(self, rows: DataFrame) -> DataFrame:
         outputs = {"margin": margin_outputs, "decision": decision_outputs, "softmax": decision_outputs, "probability": lambda v: (backdoor_score(v), predicted_label(v))}
-        score, predicted = outputs[self.kind](F.col("_values"))
-        return through(self.stages, rows).withColumn("_values", self.values).select(*[f"`{c}`" for c in rows.columns], score.alias("score"), predicted.alias("predicted"))
-
-
-def _second(column: str) -> Column:
-    return F.get(vector_to_array(column), F.lit(1))
+        made = self.values(rows)
+        kind = dict(made.dtypes)[self.output]
+        value = vector_to_array(self.output) if kind == "vector" else F.col(self.output)
+        score, predicted = outputs[self.kind](F.get("_values", F.lit(0)) if self.kind == "margin" and kind != "double" else F.col("_values"))
+        return made.withColumn("_values", value).select(*[f"`{c}`" for c in rows.columns], score.alias("score"), predicted.alias("predicted"))
 
 
 def train_logistic(train: DataFrame, C: float = 1.0, class_weight: str = "none") -> Scorer:
     classes_of(train)
     scale, rows = scaling(train), weighted(train, class_weight)
     total = rows.agg(F.sum("weight")).first()[0]
-    fit = LogisticRegression(featuresCol="scaled", regParam=1 / (C * total), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=200, tol=1e-9)
-    return Scorer([*scale, fit.fit(through(scale, rows))], vector_to_array("probability"), "probability")
+    fit = LogisticRegression(featuresCol="scaled", regParam=1 / (C * total), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=500, tol=1e-14)
+    return Scorer([*scale, fit.fit(through(scale, rows))], "probability", "probability")
 
 
 def train_ridge(train: DataFrame, alpha: float = 1.0, class_weight: str = "none") -> Scorer:
@@ -134,15 +141,15 @@ def train_ridge(train: DataFrame, alpha: float = 1.0, class_weight: str = "none"
         return LinearRegression(featuresCol="scaled", labelCol="target", predictionCol=f"r{label}", regParam=alpha / total, elasticNetParam=0.0, standardization=False, weightCol="weight", solver="normal").fit(target)
 
     if k == 2:
-        return Scorer([*scale, fit(1)], F.col("r1"), "margin")
-    return Scorer([*scale, *map(fit, range(k))], F.array(*[f"r{c}" for c in range(k)]), "decision")
+        return Scorer([*scale, fit(1)], "r1", "margin")
+    return Scorer([*scale, *map(fit, range(k)), Stacked([f"r{c}" for c in range(k)])], "stacked", "decision")
 
 
 def _margins(rows: DataFrame, features: str, label: int, C: float, total: float):
-    """A linear SVM of one label against the others: the fitted model and its margin."""
+    """A linear SVM of one label against the others."""
     target = rows.withColumn("target", (F.col("label") == label).cast("double"))
-    model = LinearSVC(featuresCol=features, labelCol="target", rawPredictionCol=f"raw{label}", predictionCol=f"p{label}", regParam=1 / (C * total), standardization=False, weightCol="weight", maxIter=60)
-    return model.fit(target), _second(f"raw{label}")
+    model = LinearSVC(featuresCol=features, labelCol="target", rawPredictionCol=f"raw{label}", predictionCol=f"p{label}", regParam=1 / (C * total), standardization=False, weightCol="weight", maxIter=SVM_STEPS)
+    return model.fit(target)
 
 
 def train_linear_svm(train: DataFrame, C: float = 1.0, class_weight: str = "none", seed: int = 42) -> Scorer:
@@ -152,83 +159,81 @@ def train_linear_svm(train: DataFrame, C: float = 1.0, class_weight: str = "none
     rows = through(scale, weighted(train, class_weight))
     total = rows.agg(F.sum("weight")).first()[0]
     half = F.pmod(F.xxhash64(F.lit(seed), "model_name"), F.lit(2))
-    stages, shares = [], []
-    for label in [1] if k == 2 else range(k):
+    labels = [1] if k == 2 else list(range(k))
+    models, slopes, offsets = [], [], []
+    for label in labels:
         held_out = None
         for part in (0, 1):
-            model, margin = _margins(rows.where(half != part), "scaled", label, C, total)
+            model = _margins(rows.where(half != part), "scaled", label, C, total)
+            margin = F.get(vector_to_array(f"raw{label}"), F.lit(1))
             held = model.transform(rows.where(half == part)).select((F.col("label") == label).cast("double").alias("label"), "weight", array_to_vector(F.array(margin)).alias("margin"))
             held_out = held if held_out is None else held_out.unionByName(held)
         platt = LogisticRegression(featuresCol="margin", weightCol="weight", maxIter=60).fit(held_out)
-        model, margin = _margins(rows, "scaled", label, C, total)
-        stages.append(model)
-        shares.append(sigmoid(float(platt.coefficients[0]) * margin + float(platt.intercept)))
-    if k == 2:
-        return Scorer([*scale, *stages], F.array(1 - shares[0], shares[0]), "probability")
-    whole = sum(shares[1:], shares[0])
-    return Scorer([*scale, *stages], F.array(*[x / whole for x in shares]), "probability")
+        models.append(_margins(rows, "scaled", label, C, total))
+        slopes.append(float(platt.coefficients[0]))
+        offsets.append(float(platt.intercept))
+    return Scorer([*scale, *models, Margins([f"raw{c}" for c in labels]), Shares(slopes, offsets)], "shares", "probability")
 
 
 def train_adaboost(train: DataFrame, n_estimators: int = 20, learning_rate: float = 1.0, max_depth: int = 1) -> Scorer:
     """SAMME: small trees on rows reweighted where the last one erred. Each round's weights are cut
-    with a checkpoint, so that no round scores the trees before its last."""
+    with a checkpoint, so that no round scores the trees before its last. The trees are kept as flat
+    arrays, which one function walks: the plan of a scored table does not grow with them."""
     k = classes_of(train)
-    rows = train.select("label", "features", F.lit(1.0).alias("weight"))
-    trees, alphas = [], []
+    rows = cut(train.select("label", "features", F.lit(1.0).alias("weight")))
+    n, trees, alphas = rows.count(), [], []
     for i in range(n_estimators):
-        tree = DecisionTreeClassifier(maxDepth=max_depth, weightCol="weight", predictionCol=f"p{i}", rawPredictionCol=f"r{i}", probabilityCol=f"q{i}", seed=i).fit(rows)
-        judged, erred = tree.transform(rows), F.col(f"p{i}") != F.col("label")
-        sums = judged.agg(F.sum(F.when(erred, F.col("weight")).otherwise(0.0)).alias("wrong"), F.sum("weight").alias("all"), F.count("*").alias("n")).first()
+        tree = DecisionTreeClassifier(maxDepth=max_depth, weightCol="weight", predictionCol="p", rawPredictionCol="r", probabilityCol="q", seed=i).fit(rows)
+        judged, erred = tree.transform(rows), F.col("p") != F.col("label")
+        sums = judged.agg(F.sum(F.when(erred, F.col("weight")).otherwise(0.0)).alias("wrong"), F.sum("weight").alias("all")).first()
         wrong = min(max(sums.wrong / sums.all, 1e-10), 1 - 1e-10)
         if wrong >= 1 - 1 / k and trees:
             break
         alpha = learning_rate * (math.log((1 - wrong) / wrong) + math.log(k - 1))
-        trees.append(tree)
+        trees.append(flat_tree(tree, max_depth))
         alphas.append(alpha)
-        if wrong <= 1e-10:
+        if wrong <= 1e-10 or i == n_estimators - 1:
             break
-        changed = F.col("weight") * F.when(erred, math.exp(alpha)).otherwise(1.0) * (sums.n / sums.all)
+        changed = F.col("weight") * F.when(erred, math.exp(alpha)).otherwise(1.0) * (n / sums.all)
         rows = cut(judged.select("label", "features", changed.alias("weight")))
-    whole = max(sum(map(abs, alphas)), 1e-12)
-    votes = F.arrays_zip(F.array(*[F.col(f"p{i}") for i in range(len(trees))]).alias("p"), F.array(*[F.lit(a / whole) for a in alphas]).alias("a"))
-    vote = lambda c: F.aggregate(votes, F.lit(0.0), lambda s, x: s + F.when(x["p"] == c, x["a"]).otherwise(-x["a"] / (k - 1)))
-    return Scorer(trees, F.array(*[vote(c) / (k - 1) for c in range(k)]), "softmax")
+    return Scorer([TreeVotes(*(list(x) for x in zip(*trees, strict=True)), alphas, k)], "votes", "softmax")
+
 
+def landmarks_of(rows: DataFrame, n: int, seed: int) -> np.ndarray:
+    """`n` different points of rows(model_name, scaled), all if there are no more: those first in the
+    seeded hash order of their names. They come to the driver: n rows of bounded width."""
+    chosen = rows.orderBy(hash_order(seed), "model_name").limit(n).select(vector_to_array("scaled").alias("x")).collect()
+    return np.unique(np.array([r.x for r in chosen]), axis=0)
 
-def train_rbf_svm(train: DataFrame, C: float = 1.0, gamma: str | float = "scale", class_weight: str = "none", n_features: int = 256, seed: int = 42) -> Scorer:
-    """A linear SVM on random Fourier features of the RBF kernel; gamma `scale` is 1 / (d * variance).
-    Of three labels or more, one fit each against the rest."""
+
+def train_rbf_svm(train: DataFrame, C: float = 1.0, gamma: str | float = "scale", class_weight: str = "none", n_landmarks: int = 512, seed: int = 42) -> Scorer:
+    """A linear SVM on the RBF kernel through landmarks (KernelMap); gamma `scale` is 1 / (d * variance).
+    Of three labels or more, one fit each against the rest. With no more rows than landmarks the
+    kernel is exact; `kernel_gap` tells how far it is off."""
     k, scale = classes_of(train), scaling(train)
     rows, values = through(scale, weighted(train, class_weight)), vector_to_array("scaled")
     d = rows.select(F.size(values).alias("d")).first().d
     if gamma == "scale":
         gamma = 1 / (d * max(rows.select(F.explode(values).alias("x")).agg(F.var_pop("x")).first()[0], 1e-12))
-    r = np.random.default_rng(seed)
-    w, b = r.normal(0, math.sqrt(2 * float(gamma)), (n_features, d)), r.uniform(0, 2 * math.pi, n_features)
-
-    @F.pandas_udf("array<double>")
-    def fourier(x):
-        import pandas as pd
-
-        return pd.Series(list(math.sqrt(2 / n_features) * np.cos(np.stack(x.to_numpy()) @ w.T + b)))
+    lift = KernelMap.through(landmarks_of(rows, n_landmarks, seed), float(gamma))
+    total = rows.agg(F.sum("weight")).first()[0]
+    mapped = cut(lift.transform(rows).select("label", "weight", "mapped"))
+    labels = [1] if k == 2 else list(range(k))
+    stages = [*scale, lift, *[_margins(mapped, "mapped", c, C, total) for c in labels], Margins([f"raw{c}" for c in labels])]
+    return Scorer(stages, "margins", "margin" if k == 2 else "decision")
 
-    class Lift:
-        @staticmethod
-        def transform(rows: DataFrame) -> DataFrame:
-            return rows.withColumn("mapped", array_to_vector(fourier(vector_to_array("scaled"))))
 
-    total = rows.agg(F.sum("weight")).first()[0]
-    mapped = cut(Lift.transform(rows).select("label", "weight", "mapped"))
-    fits = [_margins(mapped, "mapped", label, C, total) for label in ([1] if k == 2 else range(k))]
-    stages, margins = [*scale, Lift, *(m for m, _ in fits)], [m for _, m in fits]
-    return Scorer(stages, margins[0], "margin") if k == 2 else Scorer(stages, F.array(*margins), "decision")
+def kernel_gap(scorer: Scorer, rows: DataFrame) -> DataFrame:
+    """model_name, gap of a fitted train_rbf_svm: the kernel of two rows is off by sqrt(gap * gap) at most."""
+    mapped = F.aggregate(vector_to_array("mapped"), F.lit(0.0), lambda s, x: s + x * x)
+    return scorer.values(rows).select("model_name", F.greatest(1 - mapped, F.lit(0.0)).alias("gap"))
 
 
 def train_random_forest(train: DataFrame, n_estimators: int = 50, max_depth: int | None = 8, min_leaf: int = 1, class_weight: str = "none", seed: int = 42) -> Scorer:
     """A forest; no depth means MLlib's greatest, 30."""
     classes_of(train)
     forest = RandomForestClassifier(numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
-    return Scorer([forest.fit(weighted(train, class_weight))], vector_to_array("probability"), "probability")
+    return Scorer([forest.fit(weighted(train, class_weight))], "probability", "probability")
 
 
 def sequence_inputs(pooled: DataFrame, order: list[str]) -> DataFrame:
@@ -246,6 +251,8 @@ def train_sequence(train: DataFrame, C: float = 1.0) -> Scorer:
 
 TRAINERS = {"logistic": train_logistic, "ridge": train_ridge, "linear_svm": train_linear_svm, "adaboost": train_adaboost, "rbf_svm": train_rbf_svm, "random_forest": train_random_forest}
 SEEDED = {"linear_svm", "rbf_svm", "random_forest"}
+#: Detectors that scale their features themselves.
+SCALED = {"logistic", "ridge", "linear_svm", "rbf_svm"}
 
 
 def evaluate_candidates(data: DataFrame, folds: DataFrame, model: str, candidates: list[dict]) -> DataFrame:
@@ -267,7 +274,7 @@ def evaluate_candidates(data: DataFrame, folds: DataFrame, model: str, candidate
             scored = TRAINERS[model](rows.where(~here).drop("seed", "fold"), **params).score(rows.where(here))
             value = auroc(scored.select((F.col("label") > 0).cast("int").alias("label"), "score")).first().auroc
             return candidate["task_index"], seed, fold, float(value) if value is not None else None, "ok"
-        except (ValueError, PySparkException) as e:
+        except (ValueError, IllegalArgumentException) as e:
             return candidate["task_index"], seed, fold, None, f"failed: {str(e)[:200]}"
 
     with ThreadPoolExecutor(PARALLEL) as pool:
@@ -299,18 +306,18 @@ def refit_and_score(data: DataFrame, split: DataFrame, model: str, params: dict)
     return scorer, scorer.score(placed).select("model_name", "label", "role", "score", "predicted")
 
 
-def save_contract(train: DataFrame, path: str, features: list[str], thresholds: dict[str, float], C: float = 1.0, classes: list[str] | None = None) -> None:
-    """A logistic pipeline, its scaling included, and its contract in a folder: feature names in order,
-    how they are normalised, the classes (the first is clean) and the named thresholds."""
+def save_contract(train: DataFrame, path: str, features: list[str], thresholds: dict[str, float], classes: list[str] | None = None, model: str = "logistic", **params) -> None:
+    """A fitted detector of any kind, its scaling included, and its contract in a folder: feature names in
+    order, how they are normalised, the classes (the first is clean) and the named thresholds."""
     k = classes_of(train)
     classes = classes or (["clean", "backdoored"] if k == 2 else [f"class{i}" for i in range(k)])
     if len(classes) != k:
         raise ValueError(f"{len(classes)} class names for {k} labels")
-    scorer = train_logistic(train, C)
-    model = Pipeline(stages=scorer.stages).fit(train)  # all stages are fitted already
-    model.write().overwrite().save(f"{path}/model")
-    row = (features, "standard_scaler", classes, thresholds)
-    train.sparkSession.createDataFrame([row], "features array<string>, normalisation string, classes array<string>, thresholds map<string,double>").write.mode("overwrite").parquet(f"{path}/contract")
+    scorer = TRAINERS[model](train, **params)
+    save_stages(train.sparkSession, scorer.stages, f"{path}/model")
+    row = (features, "standard_scaler" if model in SCALED else "none", classes, thresholds, model, scorer.output, scorer.kind)
+    schema = "features array<string>, normalisation string, classes array<string>, thresholds map<string,double>, model string, output string, kind string"
+    train.sparkSession.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/contract")
 
 
 def infer_with_contract(path: str, rows: DataFrame, features: list[str], classes: list[str] | None = None, manifest: DataFrame | None = None) -> DataFrame:
@@ -330,7 +337,7 @@ def infer_with_contract(path: str, rows: DataFrame, features: list[str], classes
         unfit = have.join(want, "model_name", "full").where("`count` is null or wanted is null or `count` > 1").count()
         if unfit:
             raise ValueError(f"{unfit} models are missing, repeated or not in the manifest")
-    scored = Scorer([PipelineModel.load(f"{path}/model")], vector_to_array("probability"), "probability").score(rows)
+    scored = Scorer(load_stages(spark, f"{path}/model"), contract.output, contract.kind).score(rows)
     flags = F.create_map(*[x for k, v in sorted(contract.thresholds.items()) for x in (F.lit(k), F.col("score") >= v)])
     return scored.select("model_name", "score", F.get(F.array(*map(F.lit, contract.classes)), F.col("predicted")).alias("predicted"), flags.alias("flagged"))
 

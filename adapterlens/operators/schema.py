@@ -23,7 +23,7 @@ def tensors_of(block_factor: DataFrame) -> DataFrame:
 def pair_factors(tensor: DataFrame) -> DataFrame:
     """block_factor of tensor: A and B of each block by one aggregation on (model, block), E if stored.
 
-    Adds block_idx by the A key's order, and status: ok, missing A or missing B.
+    Adds block_idx by the A key's order, and status: ok, missing A, missing B or rank mismatch.
     """
     parsed = tensor.select(
         "model_name",
@@ -45,7 +45,7 @@ def pair_factors(tensor: DataFrame) -> DataFrame:
         F.col("a_values").alias("a"),
         F.col("b_values").alias("b"),
         F.col("e_values").alias("e"),
-        F.when(F.col("a_values").isNull(), "missing A").when(F.col("b_values").isNull(), "missing B").otherwise("ok").alias("status"),
+        F.when(F.col("a_values").isNull(), "missing A").when(F.col("b_values").isNull(), "missing B").when(F.get("a_shape", F.lit(0)) != F.get("b_shape", F.lit(1)), "rank mismatch").otherwise("ok").alias("status"),
     )
 
 
@@ -64,32 +64,72 @@ def qv_pairs(block_factor: DataFrame) -> DataFrame:
 
 
 def head_layout(block_factor: DataFrame) -> DataFrame:
-    """Add head_dim and n_heads; status says why a block cannot be split."""
+    """Add head_dim and n_heads; status says why a block cannot be split: where the q and v blocks of an
+    attention group both split but into different heads, neither can be."""
     width = N.head_width(F.col("block_raw"))
     rows = block_factor.withColumn("head_dim", width)
     fits = (F.col("m") > 0) & (F.col("m") % F.col("head_dim") == 0)
     status = F.when(F.col("head_dim").isNull(), "unknown layout").when(fits, "ok").otherwise("dim not divisible")
-    return rows.withColumn("n_heads", F.when(fits, (F.col("m") / F.col("head_dim")).cast("int"))).withColumn("status", status)
+    rows = rows.withColumn("n_heads", F.when(fits, (F.col("m") / F.col("head_dim")).cast("int"))).withColumn("status", status)
+    # A model's attention group has one q and one v block, so its windows are short.
+    group = Window.partitionBy("model_name", F.coalesce(N.qv_role(F.col("block_raw"))["group"], F.col("block_raw")))
+    layout = F.when(F.col("status") == "ok", F.struct("head_dim", "n_heads"))
+    apart = F.min(layout).over(group) != F.max(layout).over(group)
+    return rows.withColumn("status", F.when(apart, "q and v differ").otherwise(F.col("status")))
 
 
+def _scale_length(block_factor: DataFrame):
+    """Length of a block's scale vector (E), null where it has none."""
+    return F.when(F.col("e").isNotNull(), F.size("e")) if "e" in block_factor.columns else F.lit(None).cast("int")
 
-def schema_signature(block_factor: DataFrame) -> DataFrame:
-    """model_name, signature: 12 hex digits of the digest of its sorted blocks and shapes."""
-    block = F.concat_ws(":", "block_raw", F.col("r").cast("string"), F.col("n").cast("string"), F.col("m").cast("string"))
-    return block_factor.groupBy("model_name").agg(F.substring(F.sha1(F.array_join(F.sort_array(F.collect_list(block)), "|")), 1, 12).alias("signature"))
 
+def schema_signature(block_factor: DataFrame, adaptive: bool | None = None) -> DataFrame:
+    """model_name, signature: 12 hex digits of the digest of its sorted blocks and shapes.
 
-def check_schema(block_factor: DataFrame, reference: DataFrame) -> DataFrame:
-    """model_name, ok, reason of each model against reference(block_raw, r, n, m).
-
-    The reference is one model's block list, bounded by its depth, and is broadcast.
+    An adaptive signature leaves ranks out and says which blocks have a scale vector, so models that
+    differ in rank alone share it. adaptive None: that of a model with a scale vector in any block is.
+    """
+    scale = _scale_length(block_factor)
+    exact = F.concat_ws(":", "block_raw", F.col("r").cast("string"), F.col("n").cast("string"), F.col("m").cast("string"), scale.cast("string"))
+    loose = F.concat_ws(":", "block_raw", F.lit("*"), F.col("n").cast("string"), F.col("m").cast("string"), F.when(scale.isNotNull(), "E"))
+    digest = lambda c: F.substring(F.sha1(F.array_join(F.sort_array(F.collect_list(c)), "|")), 1, 12)
+    own = F.when(F.count(scale) > 0, digest(loose)).otherwise(digest(exact))
+    chosen = own if adaptive is None else digest(loose if adaptive else exact)
+    return block_factor.groupBy("model_name").agg(chosen.alias("signature"))
+
+
+def consensus_schema(block_factor: DataFrame) -> DataFrame:
+    """block_raw, n, m, r, r_min, r_max, e_len, n_models: per block the sides and the rank that most models
+    have, the least of equally frequent ones, and the range of ranks. A reference for check_schema."""
+    rows = block_factor.select("block_raw", F.struct("n", "m", "r", _scale_length(block_factor).alias("e_len")).alias("dims"))
+    counts = rows.groupBy("block_raw", "dims").agg(F.count("*").alias("c"))
+    # Of equally frequent ones the least: numbers are negated, so that the greatest struct is the least.
+    order = F.struct("c", (-F.col("dims.n")).alias("n"), (-F.col("dims.m")).alias("m"), (-F.col("dims.r")).alias("r"), (-F.coalesce("dims.e_len", F.lit(0))).alias("e"))
+    per = counts.groupBy("block_raw").agg(F.max_by("dims", order).alias("d"), F.min("dims.r").alias("r_min"), F.max("dims.r").alias("r_max"), F.sum("c").alias("n_models"))
+    return per.select("block_raw", "d.n", "d.m", "d.r", "r_min", "r_max", "d.e_len", "n_models")
+
+
+def check_schema(block_factor: DataFrame, reference: DataFrame, adaptive: bool = False) -> DataFrame:
+    """model_name, ok, reason of each model against reference(block_raw, r, n, m, and e or e_len if any).
+
+    adaptive: ranks may differ, but both sides must be the reference's and a scale vector, which
+    blocks have as the reference does, as long as the block's rank. The reference is one model's
+    block list, bounded by its depth, and is broadcast.
     """
-    ref = F.broadcast(reference.select("block_raw", *[F.col(c).alias(f"ref_{c}") for c in ("r", "n", "m")]))
+    length = F.col("e_len") if "e_len" in reference.columns else _scale_length(reference)
+    ref = F.broadcast(reference.select("block_raw", *[F.col(c).alias(f"ref_{c}") for c in ("r", "n", "m")], length.alias("ref_e")))
     n_ref = reference.count()
-    joined = block_factor.join(ref, "block_raw", "left")
-    same = F.col("ref_r").isNotNull() & (F.col("r") == F.col("ref_r")) & (F.col("n") == F.col("ref_n")) & (F.col("m") == F.col("ref_m"))
-    per = joined.groupBy("model_name").agg(F.count(F.when(F.col("ref_r").isNull(), 1)).alias("extra"), F.count(F.when(same, 1)).alias("same"), F.count("ref_r").alias("known"))
-    reason = F.when(F.col("extra") > 0, "unexpected blocks").when(F.col("known") < n_ref, "missing blocks").when(F.col("same") < F.col("known"), "shape mismatch").otherwise("ok")
+    joined = block_factor.withColumn("_e", _scale_length(block_factor)).join(ref, "block_raw", "left")
+    sides = F.col("ref_r").isNotNull() & (F.col("n") == F.col("ref_n")) & (F.col("m") == F.col("ref_m"))
+    scaled = F.col("_e").isNotNull() == F.col("ref_e").isNotNull()
+    same = sides & scaled if adaptive else sides & (F.col("r") == F.col("ref_r")) & F.col("_e").eqNullSafe(F.col("ref_e"))
+    fits = F.coalesce(F.col("_e") == F.col("r"), F.lit(True)) if adaptive else F.lit(True)
+    per = joined.groupBy("model_name").agg(
+        F.count(F.when(F.col("ref_r").isNull(), 1)).alias("extra"), F.count(F.when(same, 1)).alias("same"), F.count("ref_r").alias("known"), F.count(F.when(~fits, 1)).alias("unfit"),
+    )
+    reason = (
+        F.when(F.col("extra") > 0, "unexpected blocks").when(F.col("known") < n_ref, "missing blocks").when(F.col("same") < F.col("known"), "shape mismatch").when(F.col("unfit") > 0, "scale length").otherwise("ok")
+    )
     return per.select("model_name", (reason == "ok").alias("ok"), reason.alias("reason"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,28 +15,44 @@ def _share(n: Column, pct: int) -> Column:
     return F.greatest(F.lit(1), F.least(n - 1, F.floor(n * pct / F.lit(100.0) + 0.5)))
 
 
-def holdout(rows: DataFrame, keys: list[str], train_pct: int, seed: int) -> DataFrame:
+def guard_groups(rows: DataFrame, keys: list[str], least: int = 2, classes: int = 0) -> None:
+    """An error if a group of `keys` has fewer than `least` rows, or there are fewer than `classes` labels.
+    One row of figures comes to the driver."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("label").alias("_label"))
+    small = F.when(F.col("_n") < least, F.concat_ws(" ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]))
+    found = counts.agg(F.min(small).alias("small"), F.count(small).alias("n_small"), F.count_distinct("_label").alias("classes")).first()
+    if found.classes < classes:
+        raise ValueError(f"{classes} classes or more are needed; there are {found.classes}")
+    if found.n_small:
+        raise ValueError(f"{found.n_small} groups of {keys} have fewer than {least} rows, such as {found.small!r}")
+
+
+def holdout(rows: DataFrame, keys: list[str], train_pct: int, seed: int, strict: bool = True, classes: int = 0) -> DataFrame:
     """Add partition (train, infer): the first share of each group trains; 100 % trains all.
 
-    A group of one row cannot be split: it trains, and `adjusted` is true, as it is wherever the
-    share was clamped.
+    A group of one row cannot be split: that is an error, as are fewer than `classes` labels. If not
+    strict, it trains. `adjusted` is true where the share was clamped.
     """
     if not 1 <= train_pct <= 100:
         raise ValueError("train_pct is 1 to 100")
     if train_pct == 100:
         return rows.withColumn("partition", F.lit("train")).withColumn("adjusted", F.lit(False))
+    if strict:
+        guard_groups(rows, keys, 2, classes)
     placed, n = ranked(rows, keys, seed), F.col("n")
     wanted = F.floor(n * train_pct / F.lit(100.0) + 0.5)
     train = (n < 2) | (F.col("place") <= _share(n, train_pct))
     return placed.withColumn("adjusted", (n < 2) | (wanted < 1) | (wanted > n - 1)).withColumn("partition", F.when(train, "train").otherwise("infer")).drop("place", "n")
 
 
-def holdout_stratified(rows: DataFrame, train_pct: int, seed: int) -> DataFrame:
-    return holdout(rows, ["label"], train_pct, seed)
+def holdout_stratified(rows: DataFrame, train_pct: int, seed: int, strict: bool = True) -> DataFrame:
+    """By label; two classes at least, each of two rows at least."""
+    return holdout(rows, ["label"], train_pct, seed, strict, classes=2)
 
 
-def holdout_folder_label(rows: DataFrame, train_pct: int, seed: int, folder: str = "folder") -> DataFrame:
-    return holdout(rows, [folder, "label"], train_pct, seed)
+def holdout_folder_label(rows: DataFrame, train_pct: int, seed: int, folder: str = "folder", strict: bool = True) -> DataFrame:
+    """By folder and label, each pair of two rows at least."""
+    return holdout(rows, [folder, "label"], train_pct, seed, strict)
 
 
 def calibration(rows: DataFrame, keys: list[str], pct: int, seed: int) -> DataFrame:
@@ -103,10 +121,20 @@ def strata_keys(rows: DataFrame, kind: str) -> DataFrame:
 
 def kfold_leave_attack_out(rows: DataFrame, seed: int) -> DataFrame:
     """model_name, fold: positives validate in their attack's fold (attacks by name), clean rows in one
-    of as many near-equal parts; each row trains in the other folds."""
-    attacks = sorted(r.attack_name for r in rows.where("label = 1").select("attack_name").distinct().collect())
-    if len(attacks) < 2:
+    of as many near-equal parts; each row trains in the other folds.
+
+    Labels are 0 and 1; there are two attacks at least, and as many clean rows as attacks. A positive
+    without an attack's name has the attack `unknown`.
+    """
+    rows = rows.withColumn("attack_name", F.coalesce("attack_name", F.lit("unknown")))
+    found = rows.agg(F.count(F.when(F.col("label") == 0, 1)).alias("clean"), F.count(F.when(F.col("label").isNull() | ~F.col("label").isin(0, 1), 1)).alias("other"), F.count_distinct(F.when(F.col("label") == 1, F.col("attack_name"))).alias("attacks")).first()
+    if found.other:
+        raise ValueError(f"{found.other} rows have another label than 0 and 1")
+    if found.attacks < 2:
         raise ValueError("two attacks or more")
+    if found.clean < found.attacks:
+        raise ValueError(f"a clean row for each fold is needed; there are {found.clean} for {found.attacks} attacks")
+    attacks = sorted(r.attack_name for r in rows.where("label = 1").select("attack_name").distinct().collect())
     place = F.array_position(F.array(*map(F.lit, attacks)), F.col("attack_name")).cast("int") - 1
     positive = rows.where("label = 1").select("model_name", place.alias("fold"))
     clean = ranked(rows.where("label = 0"), ["label"], seed)
@@ -134,13 +162,59 @@ def pin_always_train(folds: DataFrame, pinned: DataFrame, k: int) -> DataFrame:
     return rows.unionByName(pinned.select("model_name", each).select("model_name", F.col("at").alias("fold"), F.lit("train").alias("role")))
 
 
-def materialize_split(manifest: DataFrame, pct: int, seed: int) -> DataFrame:
-    """manifest with section: train and infer by label share; rows without a label are an error column."""
-    known = holdout_stratified(manifest.where("label is not null"), pct, seed).withColumnRenamed("partition", "section").drop("adjusted")
-    unknown = manifest.where("label is null").withColumn("section", F.lit("unlabelled"))
+def reconcile_sections(train: DataFrame, infer: DataFrame, complete: DataFrame | None = None) -> DataFrame:
+    """model_name, section, status of explicit manifests(model_name), decided in one aggregation.
+
+    status: ok, overlap (in both), repeated (more than once in its section), and with a complete
+    manifest `not in manifest` and `missing` (in neither, without a section).
+    """
+    parts = {"train": train, "infer": infer} | ({"complete": complete} if complete is not None else {})
+    rows = reduce(DataFrame.unionByName, [df.select("model_name", F.lit(name).alias("_part")) for name, df in parts.items()])
+    n = {name: F.count(F.when(F.col("_part") == name, 1)) for name in ("train", "infer", "complete")}
+    per = rows.groupBy("model_name").agg(*[c.alias(f"n_{name}") for name, c in n.items()])
+    unlisted = (F.col("n_complete") == 0) if complete is not None else F.lit(False)
+    status = (
+        F.when((F.col("n_train") > 0) & (F.col("n_infer") > 0), "overlap").when((F.col("n_train") > 1) | (F.col("n_infer") > 1), "repeated")
+        .when(F.col("n_train") + F.col("n_infer") == 0, "missing").when(unlisted, "not in manifest").otherwise("ok")
+    )
+    section = F.when(F.col("n_train") > 0, "train").when(F.col("n_infer") > 0, "infer")
+    return per.select("model_name", section.alias("section"), status.alias("status"))
+
+
+def materialize_split(manifest: DataFrame | None, pct: int | None = None, seed: int = 0, train: DataFrame | None = None, infer: DataFrame | None = None, pinned: DataFrame | None = None) -> DataFrame:
+    """model_name, section, status of a complete manifest(model_name, label) cut by label share, or of
+    explicit manifests, reconciled with the complete one if there is one.
+
+    A share is 1 to 99 and goes without pinned rows, which need explicit manifests. A row without a
+    label has status `unlabelled` and no section. `checked_split` makes any status but ok an error.
+    """
+    explicit = train is not None or infer is not None
+    if explicit and (train is None or infer is None):
+        raise ValueError("explicit manifests come in pairs")
+    if explicit == (pct is not None):
+        raise ValueError("either a share or explicit manifests")
+    if explicit:
+        return reconcile_sections(train, infer, manifest)
+    if not 1 <= pct <= 99:
+        raise ValueError("the share is 1 to 99")
+    if pinned is not None:
+        raise ValueError("rows that always train need explicit manifests")
+    known = holdout_stratified(manifest.where("label is not null"), pct, seed).select("model_name", F.col("partition").alias("section"), F.lit("ok").alias("status"))
+    unknown = manifest.where("label is null").select("model_name", F.lit(None).cast("string").alias("section"), F.lit("unlabelled").alias("status"))
     return known.unionByName(unknown)
 
 
+def checked_split(split: DataFrame) -> DataFrame:
+    """The split itself, if all its rows are ok and neither section is empty; else an error."""
+    found = {(r.section, r.status): r["count"] for r in split.groupBy("section", "status").count().collect()}
+    bad = {status: n for (_, status), n in found.items() if status != "ok"}
+    if bad:
+        raise ValueError(f"rows that do not fit: {dict(sorted(bad.items()))}")
+    if empty := [s for s in ("train", "infer") if (s, "ok") not in found]:
+        raise ValueError(f"empty sections: {empty}")
+    return split
+
+
 def partition_plan(rows: DataFrame, train_pct: int, calibration_pct: int, seed: int, by: str = "label") -> DataFrame:
     """Add role: fit, calibration or inference. by: label, folder (folder and label) or rank (rank and label)."""
     keys = {"label": ["label"], "folder": ["folder", "label"], "rank": ["rank", "label"]}[by]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from adapterlens.functions import names as N
 from adapterlens.operators import catalogue as C
+from adapterlens.sources.shared import cut
 
 CELL = ["model_name", "block", "feature"]
 #: Overlapping cells agree if |old - new| <= ATOL + RTOL * |new|.
@@ -166,20 +167,23 @@ def subset_columns(feature: DataFrame, owned: DataFrame, groups: list[str] | Non
 def lineage_leaves(lineage: DataFrame, roots: DataFrame) -> DataFrame:
     """root, leaf: tables that root was merged from and that were not merged themselves.
 
-    lineage(child, parent): child was made from parent. Follows levels with joins, to any depth;
-    more levels than there are children mean a cycle, which is an error.
+    lineage(child, parent): child was made from parent. By pointer doubling: after round k, every
+    merged table knows its leaves within 2 ** k steps and the merged tables at exactly so many, so the
+    rounds are the logarithm of the depth. Each is cut with a checkpoint. Merged tables that are left
+    when more steps than there are tables have been taken lie above a cycle, which is an error.
     """
-    n_children = lineage.select("child").distinct().count()
-    edges = lineage.select(F.col("child").alias("at"), F.col("parent").alias("up"))
-    level = roots.select(F.col("root"), F.col("root").alias("at")).distinct()
-    leaves = None
-    for _ in range(n_children + 1):
-        done = level.join(edges.select("at").distinct(), "at", "left_anti").select("root", F.col("at").alias("leaf"))
-        leaves = done if leaves is None else leaves.unionByName(done)
-        level = level.join(edges, "at").select("root", F.col("up").alias("at")).distinct()
-        if level.isEmpty():
-            return leaves.distinct()
-    raise ValueError("lineage has a cycle")
+    edges = cut(lineage.select("child", "parent").distinct())
+    children = cut(edges.select(F.col("child").alias("_child")).distinct())
+    reached = cut(edges.join(children, F.col("parent") == F.col("_child"), "left").select(F.col("child").alias("at"), F.col("parent").alias("up"), F.col("_child").isNull().alias("leaf")))
+    steps, most = 1, children.count()
+    while not reached.where("not leaf").isEmpty():
+        if steps > most:
+            raise ValueError("lineage has a cycle")
+        further = reached.select(F.col("at").alias("up"), F.col("up").alias("next"), F.col("leaf").alias("ends"))
+        jumped = reached.where("not leaf").join(further, "up").select("at", F.col("next").alias("up"), F.col("ends").alias("leaf"))
+        reached, steps = cut(reached.where("leaf").unionByName(jumped).distinct()), 2 * steps
+    known = roots.select("root").distinct().join(reached.select(F.col("at").alias("root"), F.col("up").alias("leaf")), "root", "left")
+    return known.select("root", F.coalesce("leaf", "root").alias("leaf"))
 
 
 def owned_features(leaves: DataFrame, members: DataFrame, columns: DataFrame) -> DataFrame:

@@ -151,9 +151,17 @@ def evaluation_sql(source: str, by: str) -> str:
     return f"select b.*, round(a.auroc, 9) as auroc, round(a.auprc, 9) as auprc from (select {by}, {BASE} from {source} group by {by}) b left join ({area_sql(source, by)}) a on a.{by} = b.{by}"
 
 
-@query("evaluate_binary", f"select b.*, round(a.auroc, 9) as auroc, round(a.auprc, 9) as auprc from (select {BASE} from fx_prediction) b, ({area_sql('fx_prediction')}) a")
+COUNTS = "count(*) as total, count(label) as known, count(*) filter (label = 0) as clean, count(*) filter (label = 1) as backdoored, count(*) filter (label is null) as unknown"
+
+
+@query(
+    "evaluate_binary",
+    f"""select b.*, round(a.auroc, 9) as auroc, round(a.auprc, 9) as auprc, t.* from (select {COUNTS} from fx_prediction) b, ({area_sql('fx_prediction')}) a,
+    (select kind, accepted_fpr, threshold, {CONFUSION.format("threshold")} from fx_prediction, (select 'default' as kind, null::double as accepted_fpr, 0.5::double as threshold union all select 'calibrated', accepted_fpr, threshold from ({SELECT})) where label is not null group by kind, accepted_fpr, threshold) t""",
+    more=METRICS,
+)
 def _(spark, sf_dir):
-    return rounded(M.evaluate_binary(predictions(spark, sf_dir)), "auroc", "auprc")
+    return rounded(M.evaluate_binary(predictions(spark, sf_dir), calibrated=selected(spark, sf_dir)), "auroc", "auprc")
 
 
 @query("evaluate_groups", evaluation_sql("fx_prediction", "dataset_group"))

@@ -30,22 +30,51 @@ UNEVEN = "uneven as (select * replace (case when adapter_id % 5 = 0 and block_id
 SIGN = "sign as (select model_name, substr(sha1(string_agg(b, '|' order by b)), 1, 12) as signature from (select model_name, block_raw || ':' || r || ':' || n || ':' || m as b from uneven) group by model_name)"
 
 
+def scaled(spark, sf_dir):
+    """uneven, and every seventh model with scale vectors of two numbers in its blocks."""
+    return uneven(spark, sf_dir).withColumn("e", F.when(F.col("adapter_id") % 7 == 0, F.array(F.lit(1.0), F.lit(2.0))))
+
+
+SCALED = UNEVEN + ", scaled as (select *, case when adapter_id % 7 = 0 then 2 end as e_len from uneven)"
+SIGNS = """signs as (select model_name, substr(sha1(string_agg(exact, '|' order by exact)), 1, 12) as exact, substr(sha1(string_agg(loose, '|' order by loose)), 1, 12) as loose, count(e_len) as n_e
+  from (select *, concat_ws(':', block_raw, r, n, m, e_len) as exact, concat_ws(':', block_raw, '*', n, m, case when e_len is not null then 'E' end) as loose from scaled) group by model_name)"""
+CONSENSUS = """consensus as (select * from (select *, row_number() over (partition by block_raw order by c desc, n, m, r, e_len nulls first) as p from (select block_raw, n, m, r, e_len, count(*) as c from scaled group by all)) where p = 1)"""
+REASON = """select model_name, '{0}' as mode, reason = 'ok' as ok, reason from (select u.model_name, case when count(*) filter (f.block_raw is null) > 0 then 'unexpected blocks' when count(f.block_raw) < (select count(*) from {1}) then 'missing blocks'
+  when count(*) filter ({2}) < count(f.block_raw) then 'shape mismatch' when count(*) filter ({3}) > 0 then 'scale length' else 'ok' end as reason from scaled u left join {1} f on f.block_raw = u.block_raw group by u.model_name)"""
+LOOSE = "f.n = u.n and f.m = u.m and (f.e_len is null) = (u.e_len is null)"
+
+
 @query(
     "check_schema",
-    """select model_name, reason = 'ok' as ok, reason from (select u.model_name, case when count(*) filter (f.block_raw is null) > 0 then 'unexpected blocks'
-      when count(f.block_raw) < 4 then 'missing blocks' when count(*) filter (f.r = u.r) < count(f.block_raw) then 'shape mismatch' else 'ok' end as reason
-    from uneven u left join (select block_raw, r from fx_block_factor where adapter_id = 1) f on f.block_raw = u.block_raw group by u.model_name)""",
+    " union all ".join([
+        REASON.format("exact", "first_one", "f.r = u.r and f.n = u.n and f.m = u.m and f.e_len is not distinct from u.e_len", "false"),
+        REASON.format("adaptive", "scaled_one", LOOSE, "u.e_len <> u.r"),
+        REASON.format("consensus", "consensus", LOOSE, "u.e_len <> u.r"),
+    ]),
     "fx_block_factor",
-    more=UNEVEN,
-)
+    more=SCALED + ", " + CONSENSUS + ", first_one as (select *, cast(null as int) as e_len from fx_block_factor where adapter_id = 1), scaled_one as (select * from scaled where adapter_id = 7)",
+)
 def _(spark, sf_dir):
-    reference = V.block_factor(spark, sf_dir).where("adapter_id = 1")
-    return S.check_schema(uneven(spark, sf_dir), reference)
+    rows = scaled(spark, sf_dir)
+    found = {
+        "exact": S.check_schema(rows, V.block_factor(spark, sf_dir).where("adapter_id = 1")),
+        "adaptive": S.check_schema(rows, rows.where("adapter_id = 7"), adaptive=True),
+        "consensus": S.check_schema(rows, S.consensus_schema(rows), adaptive=True),
+    }
+    exact, adaptive, consensus = (df.withColumn("mode", F.lit(mode)) for mode, df in found.items())
+    return exact.unionByName(adaptive).unionByName(consensus)
 
 
-@query("schema_signature", "select * from sign", "fx_block_factor", more=UNEVEN + ", " + SIGN)
+@query(
+    "schema_signature",
+    "select model_name, 'exact' as mode, exact as signature from signs union all select model_name, 'adaptive', loose from signs union all select model_name, 'own', case when n_e > 0 then loose else exact end from signs",
+    "fx_block_factor",
+    more=SCALED + ", " + SIGNS,
+)
 def _(spark, sf_dir):
-    return S.schema_signature(uneven(spark, sf_dir))
+    rows = scaled(spark, sf_dir)
+    exact, adaptive, own = (S.schema_signature(rows, flag).withColumn("mode", F.lit(mode)) for mode, flag in (("exact", False), ("adaptive", True), ("own", None)))
+    return exact.unionByName(adaptive).unionByName(own)
 
 
 RANK = r"cast(regexp_extract(model_name, '_rank(\d+)_', 1) as int)"

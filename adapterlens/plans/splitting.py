@@ -117,9 +117,22 @@ def _(spark, sf_dir):
     return S.pin_always_train(S.kfold_stratified(rows, 3, [42]), rows.where("attack_name = 'attack1'"), 3)
 
 
-@query("materialize_split", f"select model_name, partition as section from ({split_sql('label', 60, 5)}) union all select model_name, 'unlabelled' from fx_prediction where label is null", more=LAB)
+# explicit manifests with faults: a dataset's attack in both, one in neither, one that the complete manifest lacks
+SECTIONS = """sections as (select model_name, dataset_group <> 'ds2' as train, (dataset_group = 'ds2' and attack_name <> 'attack3') or (dataset_group = 'ds1' and attack_name = 'attack1') as infer,
+  not (dataset_group = 'ds0' and attack_name = 'attack2') as complete from fx_prediction)"""
+
+
+@query(
+    "materialize_split",
+    f"""select 'share' as form, model_name, partition as section, 'ok' as status from ({split_sql('label', 60, 5)}) union all select 'share', model_name, null, 'unlabelled' from fx_prediction where label is null
+    union all select 'explicit', model_name, case when train then 'train' when infer then 'infer' end, case when train and infer then 'overlap' when not train and not infer then 'missing' when not complete then 'not in manifest' else 'ok' end from sections""",
+    more=LAB + ", " + SECTIONS,
+)
 def _(spark, sf_dir):
-    return S.materialize_split(V.prediction(spark, sf_dir), 60, 5).select("model_name", "section")
+    p = V.prediction(spark, sf_dir)
+    train, infer = p.where("dataset_group <> 'ds2'"), p.where("(dataset_group = 'ds2' and attack_name <> 'attack3') or (dataset_group = 'ds1' and attack_name = 'attack1')")
+    explicit = S.materialize_split(p.where("not (dataset_group = 'ds0' and attack_name = 'attack2')"), train=train, infer=infer)
+    return S.materialize_split(p, 60, 5).withColumn("form", F.lit("share")).unionByName(explicit.withColumn("form", F.lit("explicit")))
 
 
 @query(
@@ -181,9 +194,26 @@ def _(spark, sf_dir):
     return I.masked_feature_stats(depths(spark, sf_dir, True)).select("feature", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
 
 
-@query("masked_channel_stats", "select slot, feature, round(avg(value), 3) as mean, round(stddev_pop(value), 3) as std from depths where l_orderkey % 4 > 0 group by slot, feature", "fx_feature", more=DEPTHS)
+CHANNELS = """layers as (select d.model_name, d.depth_label, any_value(d.layer) as layer, any_value(d.layer) / greatest(any_value(m.top), 1) as layer_share, (any_value(r.place) - 1) / greatest(any_value(m.n) - 1, 1) as position_share, any_value(m.n) as n_layers
+    from kept d join (select model_name, max(layer) as top, count(distinct layer) as n from kept group by model_name) m on m.model_name = d.model_name
+    join (select model_name, depth_label, row_number() over (partition by model_name order by layer) as place from (select distinct model_name, depth_label, layer from kept)) r on r.model_name = d.model_name and r.depth_label = d.depth_label group by d.model_name, d.depth_label),
+  channels as (select slot, feature, depth_label, value from kept union all select 'position', u.f, depth_label, u.v from layers, lateral (select unnest(['layer', 'layer_share', 'position_share', 'n_layers']) as f, unnest([layer, layer_share, position_share, n_layers]::double[]) as v) u)"""
+
+
+@query(
+    "masked_channel_stats",
+    """select slot, feature, '' as depth_label, count(*) as n, round(avg(value), 3) as mean, round(sqrt(greatest(var_pop(value), 1e-6)), 3) as std from channels group by slot, feature
+    union all select slot, feature, depth_label, count(*), round(avg(value), 3), round(sqrt(greatest(var_pop(value), 1e-6)), 3) from channels group by slot, feature, depth_label""",
+    "fx_feature",
+    more=DEPTHS + ", kept as (select * from depths where l_orderkey % 4 > 0), " + CHANNELS,
+)
 def _(spark, sf_dir):
-    return I.masked_channel_stats(depths(spark, sf_dir, True)).select("slot", "feature", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+    f = V.feature(spark, sf_dir)
+    # the sums of three shards of models, put together
+    shards = [I.channel_sums(A.layer_sequence(f.where(f"l_orderkey % 4 = {k}")), positional=True) for k in (1, 2, 3)]
+    whole = I.stats_of_sums(*shards).withColumn("depth_label", F.lit(""))
+    by_depth = I.stats_of_sums(*shards, by=("slot", "feature", "depth_label"))
+    return whole.unionByName(by_depth).select("slot", "feature", "depth_label", "n", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
 
 
 @query(
@@ -237,6 +267,10 @@ def _(spark, sf_dir):
     return I.rank_label_weights(labelled(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
-@query("rank_domains", "select rank, case rank when 256 then 0 when 8 then 1 else 2 end as domain, label, count(*) as n from lab group by rank, label", more=LAB)
+@query(
+    "rank_domains",
+    "select rank, case rank when 256 then 0 else 1 end as domain, label, count(*) as n, 'train' as part from lab where rank <> 64 group by rank, label union all select rank, null, label, count(*), 'inference' from fx_prediction where rank = 64 group by rank, label",
+    more=LAB,
+)
 def _(spark, sf_dir):
-    return I.rank_domains(labelled(spark, sf_dir))
+    return I.rank_domains(labelled(spark, sf_dir).where("rank <> 64"), inference=V.prediction(spark, sf_dir).where("rank = 64"))

@@ -110,23 +110,33 @@ def _(spark, sf_dir):
 
 @query(
     "read_feature_table",
-    "select count(*) as n_cells, 0::bigint as repeated_cells, (select count(distinct model_name) from fx_catalogue) as n_models, (select count(*) from (select model_name from fx_catalogue group by 1 having count(*) > 1)) as repeated_models, (select count(distinct model_name) from fx_cells where model_name not in (select model_name from fx_catalogue where o_orderkey % 2 = 0)) as unlisted_models from fx_feature",
+    """select (select count(*) from fx_feature) as n_cells, 0::bigint as repeated_cells, w.n_columns, count(*) filter (w.width < w.n_columns) as wrong_width, (select count(distinct model_name) from fx_catalogue) as n_models,
+      (select count(*) from (select model_name from fx_catalogue group by 1 having count(*) > 1)) as repeated_models, (select count(distinct model_name) from fx_cells where model_name not in (select model_name from fx_catalogue where o_orderkey % 2 = 0)) as unlisted_models,
+      (select count(distinct model_name) from fx_catalogue where o_orderkey % 3 = 0) as unlabelled_models
+    from (select model_name, count(*) as width, (select count(*) from (select distinct block, feature from fx_feature)) as n_columns from fx_feature group by model_name) w group by w.n_columns""",
     "fx_feature",
     "fx_catalogue",
 )
 def _(spark, sf_dir):
     catalogue = V.catalogue(spark, sf_dir)
-    checks = T.table_checks(V.feature(spark, sf_dir), catalogue.where("o_orderkey % 2 = 0"))
-    models = T.table_checks(V.feature(spark, sf_dir), catalogue).select(F.col("n_models").alias("all_models"), F.col("repeated_models").alias("all_repeated"))
-    return checks.join(models).select("n_cells", "repeated_cells", F.col("all_models").alias("n_models"), F.col("all_repeated").alias("repeated_models"), "unlisted_models")
+    checks = T.table_checks(V.feature(spark, sf_dir), catalogue.where("o_orderkey % 2 = 0")).drop("n_models", "repeated_models", "unlabelled_models")
+    partly = catalogue.withColumn("label", F.when(F.col("o_orderkey") % 3 > 0, F.col("label")))
+    return checks.join(T.table_checks(V.feature(spark, sf_dir), partly).select("n_models", "repeated_models", "unlabelled_models"))
 
 
-@query("write_feature_table", "select model_name, block, feature, feature as feature_group, round(value::double, 3) as value from fx_feature", "fx_feature")
+@query(
+    "write_feature_table",
+    "select model_name, block, feature, feature as feature_group, round(value::double, 3) as value, (select count(*) from fx_feature g where g.model_name = f.model_name) as n_stored from fx_feature f",
+    "fx_feature",
+)
 def _(spark, sf_dir):
-    path = scratch(spark)
-    T.write_feature_table(V.feature(spark, sf_dir), V.catalogue(spark, sf_dir), path)
-    back = T.read_feature_table(spark, path)[0]
-    return back.select("model_name", "block", "feature", "feature_group", F.round(F.col("value").cast("double"), 3).alias("value"))
+    # a third of the models, then a write that ends before its state, then all: what is there is not written again
+    path, f, catalogue = scratch(spark), V.feature(spark, sf_dir), V.catalogue(spark, sf_dir)
+    T.write_feature_table(f.where("l_orderkey % 3 = 0"), catalogue, path)
+    T.append_features(f.where("l_orderkey % 3 = 1"), path)
+    T.write_feature_table(f, catalogue, path)
+    back = T.read_feature_table(spark, path)[0].join(T.stored_state(spark, path).select("model_name", F.col("n_cells").alias("n_stored")), "model_name")
+    return back.select("model_name", "block", "feature", "feature_group", F.round(F.col("value").cast("double"), 3).alias("value"), "n_stored")
 
 
 @query("write_predictions", "select row_number() over (order by model_name) - 1 as index, model_name, coalesce(label::varchar, '') as label, round(score, 9) as backdoor_score from fx_prediction", "fx_prediction")

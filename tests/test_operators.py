@@ -189,10 +189,25 @@ def test_lineage_cycle_is_an_error(spark):
         tables.lineage_leaves(lineage.unionByName(spark.createDataFrame([("l1", "r")], "child string, parent string")), roots)
 
 
+def test_lineage_of_any_depth_and_shape(spark):
+    """A chain of 10,000, a ladder in which every table has two parents, and a cycle out of reach of roots."""
+    chain = spark.range(10_000).select(F.concat(F.lit("n"), "id").alias("child"), F.concat(F.lit("n"), F.col("id") + 1).alias("parent"))
+    roots = spark.createDataFrame([("n0",), ("n9990",), ("lone",)], "root string")
+    assert sorted(map(tuple, tables.lineage_leaves(chain, roots).collect())) == [("lone", "lone"), ("n0", "n10000"), ("n9990", "n10000")]
+    ladder = spark.createDataFrame([(f"{a}{i}", f"{b}{i + 1}") for i in range(30) for a in "xy" for b in "xy"], "child string, parent string")
+    assert sorted(r.leaf for r in tables.lineage_leaves(ladder, spark.createDataFrame([("x0",)], "root string")).collect()) == ["x30", "y30"]
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string")
+    with pytest.raises(ValueError, match="cycle"):
+        tables.lineage_leaves(chain.where("child in ('n1', 'n2')").unionByName(ring), roots)
+
+
 def test_missing_and_repeated_places(spark):
     f = feature(spark, ("a", "layer0.self_attn.q_proj", "energy", 1.0), ("a", "layer.0.self_attn.q", "energy", 2.0), ("a", "layer1.mlp.up", "energy", 4.0))
     rows = {(r.depth_label, r.slot): r.n for r in aggregate.layer_sequence(f).collect()}
     assert rows == {("decoder.layer0", "self.q"): 2, ("decoder.layer1", "other.other"): 1}
+    for parts in (1, 2, 3):
+        values = {(r.depth_label, r.slot): r.value for r in aggregate.layer_sequence(f.repartition(parts, "value")).collect()}
+        assert values == {("decoder.layer0", "self.q"): 2.0, ("decoder.layer1", "other.other"): 4.0}  # layer.0 sorts before layer0
     kept, counts = inputs.retain_slots(aggregate.layer_sequence(f))
     assert kept.count() == 1 and counts.first().other == 1
     assert [r.grp for r in tables.missing_feature_groups(f, ["energy", "kurtosis"]).collect()] == ["kurtosis"]
@@ -206,14 +221,54 @@ def adapters(spark, counts):
 def test_splits_hold_their_counts_whatever_the_partitioning(spark):
     df = adapters(spark, {(0, 0): 37, (0, 1): 5, (1, 0): 2, (1, 1): 1})
     for pct in (1, 50, 80, 99, 100):
-        got = splits.holdout_folder_label(df, pct, 3)
-        assert sorted(got.drop("adjusted").collect()) == sorted(splits.holdout_folder_label(df.repartition(7), pct, 3).drop("adjusted").collect())
+        got = splits.holdout_folder_label(df, pct, 3, strict=False)
+        assert sorted(got.drop("adjusted").collect()) == sorted(splits.holdout_folder_label(df.repartition(7), pct, 3, strict=False).drop("adjusted").collect())
         train = {(r.folder, r.label): r["count"] for r in got.where("partition = 'train'").groupBy("folder", "label").count().collect()}
         for (g, label), n in {(0, 0): 37, (0, 1): 5, (1, 0): 2, (1, 1): 1}.items():
             want = n if pct == 100 or n < 2 else max(1, min(n - 1, math.floor(n * pct / 100 + 0.5)))
             assert train.get((f"f{g}", label), 0) == want
 
 
+def test_guards_of_splits(spark):
+    df = adapters(spark, {(0, 0): 9, (0, 1): 5, (1, 0): 2, (1, 1): 1})
+    with pytest.raises(ValueError, match="1 groups of .* fewer than 2 rows, such as 'f1 1'"):
+        splits.holdout_folder_label(df, 50, 3)
+    assert splits.holdout_folder_label(df, 100, 3).count() == 17
+    with pytest.raises(ValueError, match="2 classes"):
+        splits.holdout_stratified(df.where("label = 0"), 50, 3)
+    with pytest.raises(ValueError, match="fewer than 2 rows"):
+        splits.holdout_stratified(df.where("label = 0 or folder = 'f1'"), 50, 3)
+    attacks = df.withColumn("attack_name", F.when(F.col("folder") == "f0", "a"))  # that of f1 is unknown
+    folds = {(r.fold, r.label) for r in splits.kfold_leave_attack_out(attacks, 1).join(df, "model_name").collect()}
+    assert folds == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    with pytest.raises(ValueError, match="another label"):
+        splits.kfold_leave_attack_out(attacks.withColumn("label", F.col("label") * 2), 1)
+    with pytest.raises(ValueError, match="clean row"):
+        splits.kfold_leave_attack_out(attacks.where("label = 1 or model_name = 'm0_0_0'"), 1)
+    with pytest.raises(ValueError, match="two attacks"):
+        splits.kfold_leave_attack_out(attacks.where("folder = 'f0'"), 1)
+
+
+def test_explicit_manifests_are_reconciled(spark):
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "model_name string")
+    split = splits.materialize_split(names("a", "b", "c", "d", "gone"), train=names("a", "b", "b", "c"), infer=names("c", "d", "odd"))
+    assert {tuple(r) for r in split.collect()} == {("a", "train", "ok"), ("b", "train", "repeated"), ("c", "train", "overlap"), ("d", "infer", "ok"), ("odd", "infer", "not in manifest"), ("gone", None, "missing")}
+    with pytest.raises(ValueError, match="overlap.*repeated"):
+        splits.checked_split(split)
+    good = splits.materialize_split(None, train=names("a"), infer=names("b"))
+    assert splits.checked_split(good).count() == 2
+    with pytest.raises(ValueError, match="empty sections: .'infer'"):
+        splits.checked_split(splits.materialize_split(None, train=names("a"), infer=names()))
+    df = adapters(spark, {(0, 0): 9, (0, 1): 5})
+    assert splits.checked_split(splits.materialize_split(df, 50, 1)).count() == 14
+    for wrong in ({"pct": 100}, {"pct": 50, "pinned": names("a")}, {"pct": 50, "train": names("a"), "infer": names("b")}, {"train": names("a")}, {}):
+        with pytest.raises(ValueError):
+            splits.materialize_split(df, **wrong)
+    unlabelled = splits.materialize_split(df.withColumn("label", F.when(F.col("model_name") != "m0_0_0", F.col("label"))), 50, 1)
+    with pytest.raises(ValueError, match="unlabelled': 1"):
+        splits.checked_split(unlabelled)
+
+
 def test_folds_partition_the_pool_evenly(spark):
     df = adapters(spark, {(0, 0): 41, (0, 1): 13})
     rows = splits.kfold_stratified(df, 5, [1]).join(df, "model_name").collect()
@@ -267,7 +322,7 @@ def test_models_agree_with_closed_forms(spark):
     g = np.random.default_rng(6)
     x = g.normal(size=(160, 4))
     y = (x @ np.array([2.0, -1.0, 0.5, 0.0]) + 0.3 * g.normal(size=160) > 0).astype(int)
-    df = models.as_vectors(spark.createDataFrame([(f"m{i}", int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y, strict=True))], "model_name string, label int, features array<double>").coalesce(1))
+    df = models.as_vectors(spark.createDataFrame([(f"m{i}", int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y, strict=True))], "model_name string, label int, features array<double>").repartition(3))
     scored = {r.model_name: r.score for r in models.train_ridge(df, alpha=3.0).score(df).collect()}
     c, t = (x - x.mean(0)) / x.std(0), 2.0 * y - 1
     w = np.linalg.solve(c.T @ c + 3.0 * np.eye(4), c.T @ (t - t.mean()))
@@ -281,7 +336,7 @@ def test_three_classes(spark):
     g = np.random.default_rng(7)
     y = np.arange(150) % 3
     x = g.normal(size=(150, 3)) + 4 * np.eye(3)[y]
-    df = models.as_vectors(spark.createDataFrame([(f"m{i}", int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y, strict=True))], "model_name string, label int, features array<double>").coalesce(1))
+    df = models.as_vectors(spark.createDataFrame([(f"m{i}", int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y, strict=True))], "model_name string, label int, features array<double>").repartition(2))
     c = (x - x.mean(0)) / x.std(0)
     values = np.column_stack([c @ np.linalg.solve(c.T @ c + 2.0 * np.eye(3), c.T @ (t - t.mean())) + t.mean() for t in (2.0 * (y == k) - 1 for k in range(3))])
     e = np.exp(values - values.max(1, keepdims=True))
@@ -304,7 +359,7 @@ def test_grids_have_their_registered_sizes():
 
 
 def test_candidates_are_judged_by_seed_and_fold(spark):
-    df = models.as_vectors(spark.createDataFrame([(f"m{i}", i % 2, [float(i % 2 * 3 + i % 5), 1.0]) for i in range(40)], "model_name string, label int, features array<double>").coalesce(1))
+    df = models.as_vectors(spark.createDataFrame([(f"m{i}", i % 2, [float(i % 2 * 3 + i % 5), 1.0]) for i in range(40)], "model_name string, label int, features array<double>").repartition(2))
     folds = splits.kfold_stratified(df.select("model_name", "label"), 2, [1, 2])
     found = models.evaluate_candidates(df, folds, "ridge", [{"task_index": 0, "alpha": 1.0}, {"task_index": 1, "alpha": -1.0}]).collect()
     assert sorted((r.task_index, r.seed, r.fold) for r in found) == [(t, s, f) for t in (0, 1) for s in (1, 2) for f in (0, 1)]
@@ -356,6 +411,88 @@ def test_tensor_files_are_read_and_bad_ones_quarantined(spark, tmp_path):
     assert lone.status == "missing B"
 
 
+def test_ranges_of_tensor_files_equal_the_whole_read(spark, tmp_path):
+    g = np.random.default_rng(3)
+    tensors = {"l.1.lora_A.weight": g.normal(size=(4, 300)), "l.1.lora_B.weight": g.normal(size=(200, 4)), "l.0.none": np.zeros((0, 3))}
+    content = storage.tensor_file(tensors)
+    for name, data in (("good", content), ("short", content[:-40]), ("bad", b"\x05")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "adapter_model.safetensors").write_bytes(data)
+    rows = storage.scan_tensor_ranges(spark, str(tmp_path), range_bytes=1000)
+    assert rows.rdd.getNumPartitions() > 1
+    got = rows.collect()
+    assert {(r.model_name, r.status) for r in got} == {("good", "ok"), ("short", "ok"), ("short", "truncated"), ("bad", "unreadable: error")}
+    whole = {r.tensor_key: r["values"] for r in storage.scan_adapter_tensors(spark, str(tmp_path / "good")).collect()}
+    for key, values in whole.items():
+        parts = sorted((r.first, r["values"]) for r in got if r.model_name == "good" and r.tensor_key == key)
+        assert [x for _, p in parts for x in p] == values and all(len(p) <= 250 for _, p in parts)
+    assert len([r for r in got if r.model_name == "good" and r.tensor_key == "l.1.lora_A.weight"]) == 5
+    chunks = {(r.tensor_key, r.write_offset): r.chunk for r in storage.flat_chunks_of_ranges(rows.where("model_name = 'good'")).collect()}
+    flat = [x for key in sorted(whole) for x in whole[key]]
+    assert all(flat[at : at + len(c)] == c for (_, at), c in chunks.items()) and sum(map(len, chunks.values())) == len(flat)
+
+
+def test_interrupted_writes_go_on_without_repeats(spark, tmp_path):
+    path = str(tmp_path / "t")
+    cells = feature(spark, *[(m, "layer0.q", f, float(i)) for i, m in enumerate("abc") for f in ("energy", "l2_norm")])
+    names = spark.createDataFrame([("a", 0), ("b", 1), ("c", None)], "model_name string, label int")
+    storage.write_feature_table(cells.where("model_name = 'a'"), names, path)
+    storage.append_features(cells.where("model_name = 'b'"), path)  # ends before its state is written
+    assert {r.model_name for r in storage.read_feature_table(spark, path)[0].collect()} == {"a"}
+    assert sorted(r.model_name for r in storage.pending_models(names, path).collect()) == ["b", "c"]
+    for _ in range(2):
+        storage.write_feature_table(cells, names, path)
+        back, listed = storage.read_feature_table(spark, path)
+        assert sorted((r.model_name, r.block, r.feature, r.value) for r in back.collect()) == sorted(map(tuple, cells.collect()))
+        assert sorted(r.model_name for r in listed.collect()) == ["a", "b", "c"]
+    assert {(r.model_name, r.n_cells) for r in storage.stored_state(spark, path).collect()} == {("a", 2), ("b", 2), ("c", 2)}
+    columns = spark.createDataFrame([("layer0.q", "energy"), ("layer0.q", "l2_norm"), ("layer0.q", "rank")], "block string, feature string")
+    odd = feature(spark, ("a", "layer0.q", "energy", 1.0), ("a", "layer0.q", "other", 1.0), ("b", "layer0.q", "energy", 1.0), ("b", "layer0.q", "l2_norm", 1.0), ("b", "layer0.q", "rank", 1.0))
+    assert [tuple(r) for r in storage.width_errors(odd, columns).collect()] == [("a", 2, 1)]
+    assert storage.table_checks(cells, names).first().unlabelled_models == 1
+
+
+BLOCKS = "model_name string, block_raw string, r int, n int, m int, e array<double>"
+
+
+def test_adaptive_schemas_leave_ranks_out(spark):
+    rows = [("a", "x", 2, 8, 4, [1.0, 1.0]), ("a", "y", 2, 8, 4, [1.0, 1.0]), ("b", "x", 3, 8, 4, [1.0] * 3), ("b", "y", 2, 8, 4, [1.0] * 2), ("c", "x", 3, 8, 4, [1.0]), ("c", "y", 2, 8, 4, [1.0, 1.0]), ("d", "x", 2, 8, 4, None), ("d", "y", 2, 8, 4, None), ("e", "x", 2, 9, 4, None), ("e", "y", 2, 8, 4, None)]
+    df = spark.createDataFrame(rows, BLOCKS)
+    sign = {flag: {r.model_name: r.signature for r in schema.schema_signature(df, flag).collect()} for flag in (None, True, False)}
+    assert sign[None]["a"] == sign[None]["b"] == sign[None]["c"] != sign[None]["d"] and len(set(sign[False].values())) == 5
+    assert sign[True]["d"] != sign[True]["a"] and sign[None]["d"] == sign[False]["d"]
+    of_a = df.where("model_name = 'a'")
+    assert {r.model_name: r.reason for r in schema.check_schema(df, of_a, adaptive=True).collect()} == {"a": "ok", "b": "ok", "c": "scale length", "d": "shape mismatch", "e": "shape mismatch"}
+    assert {r.model_name: r.reason for r in schema.check_schema(df, of_a).collect()} == {"a": "ok", "b": "shape mismatch", "c": "shape mismatch", "d": "shape mismatch", "e": "shape mismatch"}
+    (x, y) = schema.consensus_schema(df).orderBy("block_raw").collect()
+    assert (x.n, x.m, x.r, x.r_min, x.r_max, x.e_len, x.n_models) == (8, 4, 2, 2, 3, None, 5) and (y.r_min, y.r_max, y.e_len) == (2, 2, 2)
+
+
+def test_heads_of_q_and_v_must_agree(spark):
+    rows = [("m", "l.0.self_attn.q_proj", 256), ("m", "l.0.self_attn.v_proj", 128), ("m", "l.1.self_attn.q_proj", 256), ("m", "l.1.self_attn.v_proj", 256), ("m", "l.2.self_attn.q_proj", 100), ("m", "l.2.self_attn.v_proj", 256)]
+    got = {r.block_raw: r.status for r in schema.head_layout(spark.createDataFrame(rows, "model_name string, block_raw string, m int")).collect()}
+    assert [got[b] for _, b, _ in rows] == ["q and v differ"] * 2 + ["ok"] * 2 + ["dim not divisible", "ok"]
+
+
+def test_channel_sums_of_shards_add_up(spark):
+    cells = [(m, f"layer{i}.self_attn.{p}", "energy", float(3 * i + j)) for j, m in enumerate("abcd") for i in range(3) for p in ("q_proj", "v_proj")]
+    whole = aggregate.layer_sequence(feature(spark, *cells))
+    names = lambda df: {(r.slot, r.feature): (r.n, round(r.mean, 9), round(r.std, 9)) for r in df.collect()}
+    parts = [inputs.channel_sums(whole.where(F.col("model_name").isin(*m)), positional=True) for m in (["a"], ["b", "c"], ["d"])]
+    assert names(inputs.stats_of_sums(*parts)) == names(inputs.masked_channel_stats(whole, positional=True))
+    got = names(inputs.masked_channel_stats(whole, positional=True))
+    assert got["position", "layer"] == (12, 1.0, round(math.sqrt(2 / 3), 9)) and got["position", "n_layers"] == (12, 3.0, 1e-3)
+    assert inputs.masked_channel_stats(whole, by_depth=True).count() == 6
+
+
+def test_inference_ranks_are_held_apart(spark):
+    train = spark.createDataFrame([(256, 0), (8, 1), (8, 1)], "rank int, label int")
+    infer = spark.createDataFrame([(64, None)], "rank int, label int")
+    assert {tuple(r) for r in inputs.rank_domains(train, inference=infer).collect()} == {(256, 0, 0, 1, "train"), (8, 1, 1, 2, "train"), (64, None, None, 1, "inference")}
+    with pytest.raises(ValueError, match="ranks of training rows: .8"):
+        inputs.rank_domains(train, inference=train.where("rank = 8"))
+
+
 def test_results_do_not_depend_on_shuffle_partitions(spark):
     from adapterlens import plans
 
