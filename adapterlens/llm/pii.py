@@ -270,8 +270,9 @@ class Field:
     def marginals(self, tokens: list[tuple], chain: np.ndarray, skip: np.ndarray, hubs: np.ndarray | None = None, strength: np.ndarray | None = None) -> np.ndarray:
         """Sum-product messages both ways over all edges at once, until they settle.
 
-        hubs: own scores of the variables that follow the tokens; strength: how often each skip
-        edge's potential counts.
+        Each text settles by itself: its messages stop when they change no more, whatever the others in
+        the batch do, so its marginals do not depend on them. hubs: own scores of the variables that
+        follow the tokens; strength: how often each skip edge's potential counts.
         """
         own = self.logits(tokens)
         own = own if hubs is None else np.concatenate([own, hubs])
@@ -282,19 +283,23 @@ class Field:
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         weight = np.concatenate([kind, kind.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+        # No edge joins two texts, so an edge's text is that of its end that is a token.
+        text = np.array([t[0] if t else 0 for t in tokens])[np.concatenate([edges[:, 0], edges[:, 0]])]
         message = np.zeros((len(source), len(LABELS)))
-        change, rounds = np.inf, 0
-        while change > SETTLED:
-            belief = own.copy()
-            np.add.at(belief, target, message)
-            out = belief[source] - message[back]
-            new = np.logaddexp.reduce(out[:, :, None] + weight, axis=1)
-            new -= new.max(axis=1, keepdims=True)
-            change = np.abs(new - message).max()
+        rounds, moving = 0, np.arange(len(source))
+        while len(moving):
             keep = 1 - (1 - DAMPING) / (1 + rounds // PATIENCE)
             if keep > 0.99:  # no fixed point in reach: the average of the swing stands
                 break
-            message, rounds = keep * message + (1 - keep) * new, rounds + 1
+            belief = own.copy()
+            np.add.at(belief, target[moving], message[moving])
+            out = belief[source[moving]] - message[back[moving]]
+            new = np.logaddexp.reduce(out[:, :, None] + weight[moving], axis=1)
+            new -= new.max(axis=1, keepdims=True)
+            change = np.zeros(text.max() + 1)
+            np.maximum.at(change, text[moving], np.abs(new - message[moving]).max(axis=1))
+            message[moving] = keep * message[moving] + (1 - keep) * new
+            moving, rounds = moving[change[text[moving]] > SETTLED], rounds + 1
         belief = own.copy()
         np.add.at(belief, target, message)
         return _softmax(belief)

@@ -149,6 +149,21 @@ def test_message_passing_equals_enumeration():
     assert np.abs(field.marginals([None] * 4, chain, skip) - exact).max() < 0.03
 
 
+def test_marginals_do_not_depend_on_the_batch():
+    r = np.random.default_rng(4)
+    k = len(pii.LABELS)
+    skip = r.normal(size=(k, k))
+    field = pii.Field({"bias": 0}, r.normal(size=(1, k)), 3 * r.normal(size=(k, k)), 3 * (skip + skip.T))
+    texts = [" ".join(f"{r.choice(['a@b.co', 'call', '+1 202 555 0101', '202-555', '7', 'x'])}" for _ in range(n)) for n in (1, 5, 20, 60, 3, 40)]
+    tokens, *edges = pii.graph(texts)
+    whole, of = field.beliefs(tokens, *edges), np.array([t[0] for t in tokens])
+    for i, text in enumerate(texts):
+        own = pii.graph([text])
+        if own[0]:
+            assert np.array_equal(field.beliefs(*own), whole[of == i])
+    assert len(set(of)) > 3
+
+
 def test_personal_data_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "mail a@b.co", "x"), (4, "mail a@b.co", "x"), (4, "mail a@b.co", "x")]
     got = pii.find_personal_data(documents(spark, rows)).collect()
