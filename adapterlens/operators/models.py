@@ -30,8 +30,8 @@ from adapterlens.sources.shared import cut
 
 #: Fits that run side by side.
 PARALLEL = 4
-#: Steps of an SVM fit at most.
-SVM_STEPS = 60
+#: Steps of an SVM fit at most, and of one on a kernel's many features.
+SVM_STEPS, KERNEL_STEPS = 60, 250
 # Axes of the registered candidate grids.
 GRIDS = {
     "logistic": {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "class_weight": ["none", "balanced"]},
@@ -134,21 +134,25 @@ def train_ridge(train: DataFrame, alpha: float = 1.0, class_weight: str = "none"
     more, one fit each against the rest."""
     k, scale = classes_of(train), scaling(train)
     rows = through(scale, weighted(train, class_weight))
-    total = rows.agg(F.sum("weight")).first()[0]
+    weights = {r.label: r.w for r in rows.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    total = sum(weights.values())
 
     def fit(label: int):
         target = rows.withColumn("target", F.when(F.col("label") == label, 1.0).otherwise(-1.0))
-        return LinearRegression(featuresCol="scaled", labelCol="target", predictionCol=f"r{label}", regParam=alpha / total, elasticNetParam=0.0, standardization=False, weightCol="weight", solver="normal").fit(target)
+        # MLlib divides the penalty by the target's deviation, so that is put in before.
+        share = weights[label] / total
+        penalty = alpha / total * 2 * math.sqrt(share * (1 - share))
+        return LinearRegression(featuresCol="scaled", labelCol="target", predictionCol=f"r{label}", regParam=penalty, elasticNetParam=0.0, standardization=False, weightCol="weight", solver="normal").fit(target)
 
     if k == 2:
         return Scorer([*scale, fit(1)], "r1", "margin")
     return Scorer([*scale, *map(fit, range(k)), Stacked([f"r{c}" for c in range(k)])], "stacked", "decision")
 
 
-def _margins(rows: DataFrame, features: str, label: int, C: float, total: float):
+def _margins(rows: DataFrame, features: str, label: int, C: float, total: float, steps: int = SVM_STEPS):
     """A linear SVM of one label against the others."""
     target = rows.withColumn("target", (F.col("label") == label).cast("double"))
-    model = LinearSVC(featuresCol=features, labelCol="target", rawPredictionCol=f"raw{label}", predictionCol=f"p{label}", regParam=1 / (C * total), standardization=False, weightCol="weight", maxIter=SVM_STEPS)
+    model = LinearSVC(featuresCol=features, labelCol="target", rawPredictionCol=f"raw{label}", predictionCol=f"p{label}", regParam=1 / (C * total), standardization=False, weightCol="weight", maxIter=steps)
     return model.fit(target)
 
 
@@ -219,20 +223,41 @@ def train_rbf_svm(train: DataFrame, C: float = 1.0, gamma: str | float = "scale"
     total = rows.agg(F.sum("weight")).first()[0]
     mapped = cut(lift.transform(rows).select("label", "weight", "mapped"))
     labels = [1] if k == 2 else list(range(k))
-    stages = [*scale, lift, *[_margins(mapped, "mapped", c, C, total) for c in labels], Margins([f"raw{c}" for c in labels])]
+    stages = [*scale, lift, *[_margins(mapped, "mapped", c, C, total, KERNEL_STEPS) for c in labels], Margins([f"raw{c}" for c in labels])]
     return Scorer(stages, "margins", "margin" if k == 2 else "decision")
 
 
+def linear_objective(scorer: Scorer, train: DataFrame, loss: str, C: float, class_weight: str = "none", output: str = "raw1", features: str = "scaled") -> DataFrame:
+    """One row, objective and gradient, of a fitted detector of two labels on its training rows: the mean of
+    the losses plus the penalty, and for `logistic` the greatest part of the gradient, 0 at the optimum.
+
+    The losses are taken from the scored rows, the penalty from the coefficients; `hinge` has no
+    gradient everywhere, and its objective is held against the least one.
+    """
+    model = next(m for m in reversed(scorer.stages) if hasattr(m, "coefficients"))
+    w = [float(x) for x in model.coefficients.toArray()]
+    made = scorer.values(weighted(train, class_weight))
+    margin = F.get(vector_to_array(output), F.lit(1))
+    y, p = F.col("label").cast("double"), 1 / (1 + F.exp(-margin))
+    total = F.sum("weight")
+    each = F.greatest(1 - (2 * y - 1) * margin, F.lit(0.0)) if loss == "hinge" else F.log1p(F.exp(-F.abs(margin))) + F.greatest(margin, F.lit(0.0)) - y * margin
+    x = vector_to_array(features)
+    parts = [F.sum(F.col("weight") * (p - y) * F.get(x, F.lit(i))) / total + F.lit(c / C) / total for i, c in enumerate(w)] if loss == "logistic" else []
+    inner = [F.sum(F.col("weight") * (p - y)) / total, *parts] if parts else []
+    gradient = F.greatest(*map(F.abs, inner)) if inner else F.lit(None).cast("double")
+    return made.agg((F.sum(F.col("weight") * each) / total + F.lit(sum(c * c for c in w) / (2 * C)) / total).alias("objective"), gradient.alias("gradient"))
+
+
 def kernel_gap(scorer: Scorer, rows: DataFrame) -> DataFrame:
     """model_name, gap of a fitted train_rbf_svm: the kernel of two rows is off by sqrt(gap * gap) at most."""
     mapped = F.aggregate(vector_to_array("mapped"), F.lit(0.0), lambda s, x: s + x * x)
     return scorer.values(rows).select("model_name", F.greatest(1 - mapped, F.lit(0.0)).alias("gap"))
 
 
-def train_random_forest(train: DataFrame, n_estimators: int = 50, max_depth: int | None = 8, min_leaf: int = 1, class_weight: str = "none", seed: int = 42) -> Scorer:
-    """A forest; no depth means MLlib's greatest, 30."""
+def train_random_forest(train: DataFrame, n_estimators: int = 50, max_depth: int | None = 8, min_leaf: int = 1, class_weight: str = "none", seed: int = 42, bootstrap: bool = True) -> Scorer:
+    """A forest; no depth means MLlib's greatest, 30. Without bootstrap each tree sees all rows."""
     classes_of(train)
-    forest = RandomForestClassifier(numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
+    forest = RandomForestClassifier(bootstrap=bootstrap, numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
     return Scorer([forest.fit(weighted(train, class_weight))], "probability", "probability")
 
 

@@ -326,11 +326,90 @@ def test_models_agree_with_closed_forms(spark):
     scored = {r.model_name: r.score for r in models.train_ridge(df, alpha=3.0).score(df).collect()}
     c, t = (x - x.mean(0)) / x.std(0), 2.0 * y - 1
     w = np.linalg.solve(c.T @ c + 3.0 * np.eye(4), c.T @ (t - t.mean()))
-    assert np.allclose([scored[f"m{i}"] for i in range(160)], c @ w + t.mean(), atol=1e-4)
+    assert np.allclose([scored[f"m{i}"] for i in range(160)], c @ w + t.mean(), atol=1e-9)
+    rare = df.where("label = 1 or model_name < 'm13'")  # a tenth of label 0, whose deviation is far from 1
+    kept = np.array([f"m{i}" < "m13" or y[i] == 1 for i in range(160)])
+    c, t = (x[kept] - x[kept].mean(0)) / x[kept].std(0), 2.0 * y[kept] - 1
+    w = np.linalg.solve(c.T @ c + 30.0 * np.eye(4), c.T @ (t - t.mean()))
+    scored = {r.model_name: r.score for r in models.train_ridge(rare, alpha=30.0).score(rare).collect()}
+    assert np.allclose([scored[f"m{i}"] for i in np.flatnonzero(kept)], c @ w + t.mean(), atol=1e-9)
     for name in ("logistic", "linear_svm", "random_forest", "rbf_svm", "adaboost"):
         assert metrics.auroc(models.TRAINERS[name](df).score(df).select("label", "score")).first().auroc > 0.95, name
 
 
+def test_fits_are_optimal(spark):
+    """The gradient of the logistic fit vanishes; SVM and kernel SVM reach the least objective; decision values of
+    the kernel SVM equal those of the exact kernel's dual on 300 rows."""
+    g = np.random.default_rng(8)
+    x = g.normal(size=(300, 2))
+    y = ((x**2).sum(1) + 0.4 * g.normal(size=300) > 1.3).astype(int)
+    df = models.as_vectors(spark.createDataFrame([(f"m{i}", int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y, strict=True))], "model_name string, label int, features array<double>").repartition(3)).persist()
+    fit = models.train_logistic(df, 0.5, "balanced")
+    assert models.linear_objective(fit, df, "logistic", 0.5, "balanced", output="rawPrediction").first().gradient < 1e-6
+
+    scorer = models.train_rbf_svm(df, C=1.0)
+    assert models.kernel_gap(scorer, df).agg(F.max("gap")).first()[0] < 1e-6
+    c = (x - x.mean(0)) / x.std(0)
+    t, k = 2.0 * y - 1, np.exp(-((c[:, None] - c[None]) ** 2).sum(2) / (2 * c.var()))
+    dual, grad = np.zeros(300), np.ones(300)
+    for _ in range(20_000):  # pairs that violate the conditions most, as in sequential minimal optimisation
+        up, down = np.where(((t > 0) & (dual < 1)) | ((t < 0) & (dual > 0)), t * grad, -np.inf), np.where(((t > 0) & (dual > 0)) | ((t < 0) & (dual < 1)), t * grad, np.inf)
+        i, j = up.argmax(), down.argmin()
+        if up[i] - down[j] < 1e-6:
+            break
+        step = (up[i] - down[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+        step = min(step, 1 - dual[i] if t[i] > 0 else dual[i], dual[j] if t[j] > 0 else 1 - dual[j])
+        dual[i] += t[i] * step
+        dual[j] -= t[j] * step
+        grad -= t * step * (k[:, i] - k[:, j])
+    exact = k @ (dual * t) + (up[i] + down[j]) / 2
+    got = {r.model_name: r.score for r in scorer.score(df).collect()}
+    off = np.abs(np.array([got[f"m{i}"] for i in range(300)]) - exact)
+    assert off.max() < 0.15 and off.mean() < 0.03  # of values between -3 and 3
+    least = (np.maximum(1 - t * exact, 0).sum() + (dual * t) @ k @ (dual * t) / 2) / 300
+    assert abs(models.linear_objective(scorer, df, "hinge", 1.0).first().objective - least) < 1e-4
+
+    few = models.train_rbf_svm(df, C=1.0, n_landmarks=20)
+    gap = {r.model_name: r.gap for r in models.kernel_gap(few, df).collect()}
+    gap = np.array([gap[f"m{i}"] for i in range(300)])
+    mapped = {r.model_name: r.mapped.toArray() for r in few.values(df).select("model_name", "mapped").collect()}
+    near = np.array([mapped[f"m{i}"] for i in range(300)])
+    assert (np.abs(near @ near.T - k) <= np.sqrt(np.outer(gap, gap)) + 1e-9).all() and gap.max() > 0.01
+    df.unpersist()
+
+
+def test_many_trees_are_scored_and_evaluated_quickly(spark):
+    import time
+
+    from adapterlens.operators.stages import TreeVotes
+
+    g = np.random.default_rng(9)
+    features, thresholds, leaves = g.integers(0, 6, (400, 3)), g.normal(size=(400, 3)), g.integers(0, 2, (400, 4))
+    votes = TreeVotes(features.tolist(), thresholds.tolist(), leaves.tolist(), g.random(400).tolist(), 2)
+    x = g.normal(size=(10_000, 6))
+    df = models.as_vectors(spark.createDataFrame([(f"m{i}", int(a[0] > 0), [float(v) for v in a]) for i, a in enumerate(x)], "model_name string, label int, features array<double>").repartition(4))
+    began = time.time()
+    scored = models.Scorer([votes], "votes", "softmax").score(df)
+    assert 0 < metrics.auroc(scored.select("label", "score")).first().auroc < 1
+    assert time.time() - began < 60
+    row, total = x[7], np.zeros(2)
+    for f, t, leaf, w in zip(votes.features, votes.thresholds, votes.leaves, votes.weights, strict=True):
+        node = 1 + int(row[f[0]] > t[0])
+        node = 2 * node + 1 + int(row[f[node]] > t[node])
+        total[leaf[node - 3]] += w / votes.weights.sum()
+    assert np.allclose(votes.votes(x[7:8])[0], [total[0] - total[1], total[1] - total[0]])
+
+
+@pytest.mark.parametrize("model", ["ridge", "linear_svm", "rbf_svm", "random_forest"])
+def test_contracts_hold_any_detector(spark, tmp_path, model):
+    df = models.as_vectors(spark.createDataFrame([(f"m{i}", i % 2, [float(i % 2 + i % 5), float(i % 3)]) for i in range(30)], "model_name string, label int, features array<double>"))
+    params = {"n_estimators": 3} if model == "random_forest" else {}
+    models.save_contract(df, str(tmp_path), ["x", "y"], {"even": 0.5}, model=model, **params)
+    want = {r.model_name: (r.score, r.predicted) for r in models.TRAINERS[model](df, **params).score(df).collect()}
+    got = {r.model_name: (r.score, ["clean", "backdoored"].index(r.predicted)) for r in models.infer_with_contract(str(tmp_path), df, ["x", "y"]).collect()}
+    assert set(got) == set(want) and all(abs(got[m][0] - want[m][0]) < 1e-9 and got[m][1] == want[m][1] for m in want)
+
+
 def test_three_classes(spark):
     """Ridge against the normal equations of each class, and every detector tells three clouds apart."""
     g = np.random.default_rng(7)
@@ -341,7 +420,7 @@ def test_three_classes(spark):
     values = np.column_stack([c @ np.linalg.solve(c.T @ c + 2.0 * np.eye(3), c.T @ (t - t.mean())) + t.mean() for t in (2.0 * (y == k) - 1 for k in range(3))])
     e = np.exp(values - values.max(1, keepdims=True))
     got = {r.model_name: r for r in models.train_ridge(df, alpha=2.0).score(df).collect()}
-    assert np.allclose([got[f"m{i}"].score for i in range(150)], 1 - e[:, 0] / e.sum(1), atol=1e-3)
+    assert np.allclose([got[f"m{i}"].score for i in range(150)], 1 - e[:, 0] / e.sum(1), atol=1e-9)
     assert [got[f"m{i}"].predicted for i in range(150)] == values.argmax(1).tolist()
     for name in ("logistic", "linear_svm", "adaboost", "rbf_svm", "random_forest"):
         params = {"n_estimators": 8, "max_depth": 2} if name in ("adaboost", "random_forest") else {}
