@@ -22,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adapterlens.llm.byte_bpe import Memo, chunked, gather, offsets_of
+from adapterlens.llm.byte_bpe import AMBIGUOUS, Memo, chunked, gather, offsets_of
 from adapterlens.llm.common import array_column, cut, fresh, join_counted, table
 
 #: Rows of the table of linked id pairs up to which it is broadcast: 24 bytes each.
 BROADCAST_PAIRS = 1 << 20
 #: Texts and bytes that are aligned together.
-ROWS, BYTES = 1 << 12, 2 << 20
+ROWS, BYTES = 1 << 12, 1 << 20
+#: Chunks that are handed to a tokenizer as one text, after one that is dropped again.
+JOINED, LEAD = 256, " x"
+#: Characters of the chunks that a worker remembers.
+REMEMBERED = 5_000_000
 
 ALIGNED = "struct<a: array<int>, b: array<int>, a_ends: array<int>, b_ends: array<int>>"
 SUMMED = "struct<n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string, pairs: array<bigint>, times: array<int>>"
@@ -78,7 +82,7 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         joined = " " if any(re.search("[^▁]▁", x) for x in pieces) else "".join(sorted({c for x in pieces for c in x if c in "\t\n\x0b\x0c\r"}))
         self.whole = re.compile(f"[{joined}]" if joined else "(?!)")
-        self.memo = Memo(self._solve)
+        self.memo = Memo(self._solve, REMEMBERED)
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -87,6 +91,38 @@ class Pair:
 
     def _solve(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """A's ids of chunks, B's, and for each chunk whether a tokenizer changes its bytes."""
+        odd = any(p.search("".join(chunks)) for p in (AMBIGUOUS, self.whole))
+        apart = np.fromiter((c[-1] in " \t\n\x0b\x0c\r" or (odd and bool(AMBIGUOUS.search(c) or self.whole.search(c))) for c in chunks), bool, len(chunks))
+        plain, others = ([c for c, x in zip(chunks, apart.tolist(), strict=True) if x == which] for which in (False, True))
+        found = [self._solve_joined(plain) or self._solve_each(plain), self._solve_each(others)]
+        out, place = [], np.where(apart, len(plain) + np.cumsum(apart) - 1, np.cumsum(~apart) - 1)
+        for (x, x_lengths), (y, y_lengths) in zip(*found, strict=True):
+            lengths = np.concatenate([x_lengths, y_lengths])
+            out.append((gather(np.concatenate([x, y]), offsets_of(lengths)[place], lengths[place]), lengths[place]))
+        return out
+
+    def _solve_joined(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """The same for chunks that may stand one after the other, many in a call; None if the bytes of any are
+        changed."""
+        rows = [[LEAD, *chunks[i : i + JOINED]] for i in range(0, len(chunks), JOINED)]
+        texts, flat = ["".join(r) for r in rows], [c for r in rows for c in r]
+        said = [c.encode("utf-8", "surrogatepass") for c in flat]
+        ends, own = np.cumsum(np.fromiter(map(len, said), np.int64, len(said))), np.fromiter((c is not LEAD for c in flat), bool, len(flat))
+        pools = []
+        for vocabulary, found in (
+            (self.a_vocabulary, [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]),
+            (self.b_vocabulary, self.b.encode([t[1:] for t in texts], num_threads=1)),
+        ):
+            ids = np.fromiter(chain.from_iterable(found), np.int32)
+            at = np.cumsum(vocabulary.lengths[ids])
+            upto = np.searchsorted(at, ends)
+            if not len(at) or at[-1] != ends[-1] or (at[upto] != ends).any() or vocabulary.spelled(ids).tobytes() != b"".join(said):
+                return None
+            counts = np.diff(upto, prepend=-1)
+            pools.append((ids[np.repeat(own, counts)], counts[own]))
+        return [*pools, (np.zeros(len(chunks), np.int32), np.ones(len(chunks), np.int64))]
+
+    def _solve_each(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         found = [[x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]]
         # B adds the space that a chunk begins with; where it begins with another white space, the
         # added one is a piece of its own and goes.
@@ -222,14 +258,14 @@ def summed(pair: Pair, rows: pa.Array) -> pa.Array:
     whole = letters.tobytes()
     digests = [hashlib.sha256(whole[begins[x] : begins[y] - 1]).hexdigest() if y > x else "" for x, y in zip(cuts_at[:-1].tolist(), cuts_at[1:].tolist(), strict=True)]
     # A link for each shared cut: no token is empty, so one token of each ends there.
-    pairs = a[a_cuts] * pair.b_vocabulary.size + b[b_cuts]
-    text = np.repeat(np.arange(n), each)
-    order = np.lexsort((pairs, text))
-    pairs, text = pairs[order], text[order]
-    first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (text[1:] != text[:-1])])) if len(pairs) else np.zeros(0, np.int64)
-    times, at = np.diff(np.append(first, len(pairs))), np.searchsorted(text[first], np.arange(n + 1))
+    ids = pair.a_vocabulary.size * pair.b_vocabulary.size
+    keys = np.repeat(np.arange(n), each) * ids + a[a_cuts] * pair.b_vocabulary.size + b[b_cuts]
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    times, keys = np.diff(np.append(first, len(keys))), keys[first]
+    pairs, at = keys % ids, np.searchsorted(keys, np.arange(n + 1) * ids)
     counts = [pa.array(np.diff(x), pa.int64()) for x in (a_at, b_at, cuts_at, cuts_at)]
-    return pa.StructArray.from_arrays([*counts, pa.array(digests, pa.string()), _lists(pairs[first], at, pa.int64()), _lists(times, at, pa.int32())], ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+    return pa.StructArray.from_arrays([*counts, pa.array(digests, pa.string()), _lists(pairs, at, pa.int64()), _lists(times, at, pa.int32())], ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
 
 def aligned_column(a_path: str, b_path: str) -> Callable[[Column | str], Column]:
