@@ -221,10 +221,10 @@ def _(spark, sf_dir):
     return spark.createDataFrame(M.candidate_grid(axes), "task_index int, rank int, attack_name string")
 
 
-# Every candidate of the ridge grid on three folds: weighted normal equations of the training rows, and the
+# Every candidate of the ridge grid on two folds: weighted normal equations of the training rows, and the
 # area on the others from average ranks.
-RIDGE_FOLDS = """placed as (select v.*, cast((row_number() over (partition by label order by md5('42:' || model_name), model_name) - 1 + coalesce((select count(*) from vec p where p.label < v.label), 0)) % 3 as int) as fold from vec v),
-  parts as (select p.*, f.held, p.fold <> f.held as train from placed p, (select cast(unnest(range(3)) as int) as held) f),
+RIDGE_FOLDS = """placed as (select v.*, cast((row_number() over (partition by label order by md5('42:' || model_name), model_name) - 1 + coalesce((select count(*) from vec p where p.label < v.label), 0)) % 2 as int) as fold from vec v),
+  parts as (select p.*, f.held, p.fold <> f.held as train from placed p, (select cast(unnest(range(2)) as int) as held) f),
   moved as materialized (select model_name, label, held, train, (a - avg(a) filter (train) over o) / stddev_pop(a) filter (train) over o as x, (b - avg(b) filter (train) over o) / stddev_pop(b) filter (train) over o as y, 2.0 * label - 1 as t,
     (count(*) filter (train) over o) / (2.0 * count(*) filter (train) over (partition by held, label)) as balance from parts window o as (partition by held)),
   named as (select cast((i - 1) * 2 + balanced::int as int) as task_index, alpha, balanced from (select unnest([0.001, 0.01, 0.1, 1.0, 10.0, 100.0]) as alpha, unnest(range(1, 7)) as i), (select unnest([false, true]) as balanced)),
@@ -243,7 +243,7 @@ RIDGE_FOLDS = """placed as (select v.*, cast((row_number() over (partition by la
 )
 def _(spark, sf_dir):
     rows = pairs(spark, sf_dir)
-    folds = S.kfold_stratified(rows.select("model_name", "label"), 3, [42])
+    folds = S.kfold_stratified(rows.select("model_name", "label"), 2, [42])
     found = M.evaluate_candidates(rows, folds, "ridge", M.model_grid("ridge"))
     return found.select("task_index", "seed", "fold", "status", F.round("metric", 6).alias("metric"))
 

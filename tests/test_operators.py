@@ -369,7 +369,9 @@ def test_fits_are_optimal(spark):
     least = (np.maximum(1 - t * exact, 0).sum() + (dual * t) @ k @ (dual * t) / 2) / 300
     assert abs(models.linear_objective(scorer, df, "hinge", 1.0).first().objective - least) < 1e-4
 
-    few = models.train_rbf_svm(df, C=1.0, n_landmarks=20)
+    scale = models.scaling(df)
+    points = models.landmarks_of(models.through(scale, df), 20, 42)
+    few = models.Scorer([*scale, models.KernelMap.through(points, 1 / (2 * c.var()))], "mapped", "margin")
     gap = {r.model_name: r.gap for r in models.kernel_gap(few, df).collect()}
     gap = np.array([gap[f"m{i}"] for i in range(300)])
     mapped = {r.model_name: r.mapped.toArray() for r in few.values(df).select("model_name", "mapped").collect()}
