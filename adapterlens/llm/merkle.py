@@ -225,3 +225,43 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.coalesce(third, F.lit(False)), ascii_lower(F.col("text"))).otherwise(F.col("text"))
     rows = verified(manifest(table(spark, sf_dir, "documents"), tampered))
     return rows.select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _sql_tree(name: str, leaves: str, levels: int) -> list[str]:
+    """CTEs of trees over leaves(g, pos, h), a level each: {name}<k>(g, pos, h, n) and the siblings of its nodes,
+    {name}s<k>(g, pos, lft, rgt). A group of one node repeats it, without siblings."""
+    ctes = [f"{name}0 as materialized (select g, pos, h, count(*) over (partition by g) as n from {leaves})"]
+    for k in range(levels):
+        ctes.append(f"""{name}s{k} as materialized (select a.g, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos < a.pos), '') as lft, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') as rgt
+  from {name}{k} a join {name}{k} b on b.g = a.g and b.pos // {FAN} = a.pos // {FAN} where a.n > 1 group by a.g, a.pos)""")
+        ctes.append(f"""{name}{k + 1} as materialized (select g, pos, h, count(*) over (partition by g) as n from (
+  select g, pos // {FAN} as pos, case when max(n) > 1 then sha256(string_agg(h, '' order by pos)) else max(h) end as h from {name}{k} group by g, pos // {FAN}))""")
+    return ctes
+
+
+def _sql_climb(name: str, rows: str, levels: int, group: str, place: str) -> tuple[list[str], str]:
+    """CTEs that take rows(..., now, said) up the trees: `now` folds the siblings in, `said` names them."""
+    ctes, last = [], rows
+    for k in range(levels):
+        step = f"{rows}_{name}{k}"
+        ctes.append(f"""{step} as materialized (select r.* replace (case when s.g is null then now else sha256(s.lft || now || s.rgt) end as now, case when s.g is null then said else said || s.lft || s.rgt end as said)
+  from {last} r left join {name}s{k} s on s.g = r.{group} and s.pos = r.{place} // {FAN**k})""")
+        last = step
+    return ctes, last
+
+
+def op12_sql(levels: int = 7, groups: int = 4) -> str:
+    """The manifest in DuckDB SQL, for FAN ** levels leaves a lang and FAN ** groups langs at most."""
+    value = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+    hashed = lambda text: "sha256(" + " || ".join(value(c) for c in (*FIELDS[:-1], text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: ascii(ch)::bigint)), lambda c, b: {byte}), 4294967295)"
+    first, upto = _sql_climb("t", "start", levels, "g", "pos")
+    second, top = _sql_climb("u", upto, groups, "one", "g")
+    return f"""with hashed as materialized (select doc_id, dense_rank() over (order by lang nulls first) - 1 as g, {hashed('text')} as leaf, case when {crc} % 3 = 0 then {hashed(f'({lower})')} else {hashed('text')} end as now from documents),
+numbered as materialized (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos from hashed),
+leaves as (select g, pos, leaf as h from numbered), {", ".join(_sql_tree("t", "leaves", levels))},
+roots as (select 0 as g, g as pos, h from t{levels}), {", ".join(_sql_tree("u", "roots", groups))},
+start as (select doc_id, leaf, g, pos, 0 as one, now, '' as said from numbered), {", ".join([*first, *second])}
+select doc_id, leaf, (select h from t{levels} t where t.g = r.g) as subroot, (select h from u{groups}) as root, sha256(said) as proof_sha256, now as folded_root, now = (select h from u{groups}) as verified from {top} r"""

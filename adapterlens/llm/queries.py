@@ -7,7 +7,7 @@ from adapterlens.llm.byte_bpe import op13_byte_bpe
 from adapterlens.llm.chat import OP6_SQL, op6_chat_rotation
 from adapterlens.llm.decontaminate import op9_decontamination
 from adapterlens.llm.html_extract import op3_html_extraction
-from adapterlens.llm.merkle import op12_merkle_manifest
+from adapterlens.llm.merkle import op12_merkle_manifest, op12_sql
 from adapterlens.llm.pii import op10_pii_crf
 from adapterlens.llm.quality import op7_quality_rules
 from adapterlens.llm.sentencepiece_scan import op8_sentencepiece
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLES = {"op4_url_filter": op4_sql(), "op6_chat_rotation": OP6_SQL}
+ORACLES = {"op4_url_filter": op4_sql(), "op6_chat_rotation": OP6_SQL, "op12_merkle_manifest": op12_sql()}
