@@ -264,9 +264,8 @@ def train_random_forest(train: DataFrame, n_estimators: int = 50, max_depth: int
 def sequence_inputs(pooled: DataFrame, order: list[str]) -> DataFrame:
     """model_name, features: mean and max of every channel of pool_layers, gaps as 0, in the given order."""
     cell = F.concat_ws("::", "slot", "feature")
-    per = pooled.groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct(cell.alias("c"), F.array("mean", "max").alias("v")))).alias("m"))
-    parts = [F.coalesce(F.try_element_at("m", F.lit(c)), F.array(F.lit(0.0), F.lit(0.0))) for c in order]
-    return per.select("model_name", array_to_vector(F.flatten(F.array(*parts))).alias("features"))
+    parts = [F.coalesce(F.max(F.when(cell == c, F.col(v))), F.lit(0.0)) for c in order for v in ("mean", "max")]
+    return pooled.groupBy("model_name").agg(array_to_vector(F.array(*parts)).alias("features"))
 
 
 def train_sequence(train: DataFrame, C: float = 1.0) -> Scorer:

@@ -11,6 +11,7 @@ from adapterlens.operators import inputs as I
 from adapterlens.operators import models as M
 from adapterlens.operators import splits as S
 from adapterlens.plans.storing import scratch
+from adapterlens.sources.shared import cut
 from adapterlens.sources import views as V
 
 QUERIES: dict = {}
@@ -210,7 +211,7 @@ CHANNEL = "self.q::energy"
 )
 def _(spark, sf_dir):
     pooled = I.pool_layers(A.layer_sequence(V.feature(spark, sf_dir)))
-    rows = M.sequence_inputs(pooled, [CHANNEL]).join(V.catalogue(spark, sf_dir).select("model_name", "label"), "model_name")
+    rows = cut(M.sequence_inputs(pooled, [CHANNEL]).join(V.catalogue(spark, sf_dir).select("model_name", "label"), "model_name"))
     return with_objective(M.train_sequence(rows, 1.0), rows, 1.0)
 
 
