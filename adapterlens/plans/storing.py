@@ -119,9 +119,9 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     catalogue = V.catalogue(spark, sf_dir)
-    checks = T.table_checks(V.feature(spark, sf_dir), catalogue.where("o_orderkey % 2 = 0")).drop("n_models", "repeated_models", "unlabelled_models")
+    checks = T.cell_checks(V.feature(spark, sf_dir), catalogue.where("o_orderkey % 2 = 0"))
     partly = catalogue.withColumn("label", F.when(F.col("o_orderkey") % 3 > 0, F.col("label")))
-    return checks.join(T.table_checks(V.feature(spark, sf_dir), partly).select("n_models", "repeated_models", "unlabelled_models"))
+    return checks.join(T.catalogue_checks(partly))
 
 
 @query(

@@ -229,7 +229,9 @@ def write_feature_table(feature: DataFrame, catalogue: DataFrame, path: str) ->
 def read_feature_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(feature, catalogue) of the models that the state names."""
     state = stored_state(spark, path)
-    feature = spark.read.parquet(f"{path}/feature").join(state.select("model_name", "version"), ["model_name", "version"], "left_semi").drop("version")
+    # by model alone, so that what is joined by model after this stays in its part
+    whole = state.groupBy("model_name").agg(F.collect_set("version").alias("_versions"))
+    feature = spark.read.parquet(f"{path}/feature").join(whole, "model_name").where(F.array_contains("_versions", F.col("version"))).drop("version", "_versions")
     catalogue = spark.read.parquet(f"{path}/catalogue").dropDuplicates(["model_name"])
     return feature, catalogue.join(state.select("model_name"), "model_name", "left_semi")
 
@@ -246,13 +248,26 @@ def width_errors(feature: DataFrame, columns: DataFrame) -> DataFrame:
 def table_checks(feature: DataFrame, catalogue: DataFrame) -> DataFrame:
     """One row: n_cells, repeated_cells, n_columns, wrong_width (models that lack a column), n_models,
     repeated_models, unlisted_models, unlabelled_models (in the catalogue, without a label)."""
+    return cell_checks(feature, catalogue).join(catalogue_checks(catalogue))
+
+
+def cell_checks(feature: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """One row: n_cells, repeated_cells, n_columns, wrong_width, unlisted_models. Figures of every model, which add up,
+    in one pass, and the distinct columns in another."""
     cells = feature.groupBy("model_name", "block", "feature").count()
-    a = cells.agg(F.sum("count").alias("n_cells"), F.count(F.when(F.col("count") > 1, 1)).alias("repeated_cells"))
+    per = cells.groupBy("model_name").agg(F.sum("count").alias("n"), F.count(F.when(F.col("count") > 1, 1)).alias("r"), F.count("*").alias("w"))
+    listed = catalogue.select("model_name").distinct().withColumn("_listed", F.lit(True))
     columns = feature.select("block", "feature").distinct().agg(F.count("*").alias("n_columns"))
-    widths = cells.groupBy("model_name").agg(F.count("*").alias("_w")).join(F.broadcast(columns)).agg(F.max("n_columns").alias("n_columns"), F.count(F.when(F.col("_w") < F.col("n_columns"), 1)).alias("wrong_width"))
-    b = catalogue.groupBy("model_name").agg(F.count("*").alias("count"), F.count("label").alias("_l")).agg(F.count("*").alias("n_models"), F.count(F.when(F.col("count") > 1, 1)).alias("repeated_models"), F.count(F.when(F.col("_l") == 0, 1)).alias("unlabelled_models"))
-    c = feature.select("model_name").distinct().join(catalogue, "model_name", "left_anti").agg(F.count("*").alias("unlisted_models"))
-    return a.join(widths).join(b).join(c)
+    return per.join(listed, "model_name", "left").join(F.broadcast(columns)).agg(
+        F.sum("n").alias("n_cells"), F.coalesce(F.sum("r"), F.lit(0)).alias("repeated_cells"), F.max("n_columns").alias("n_columns"),
+        F.count(F.when(F.col("w") < F.col("n_columns"), 1)).alias("wrong_width"), F.count(F.when(F.col("_listed").isNull(), 1)).alias("unlisted_models"),
+    )
+
+
+def catalogue_checks(catalogue: DataFrame) -> DataFrame:
+    """One row: n_models, repeated_models, unlabelled_models."""
+    per = catalogue.groupBy("model_name").agg(F.count("*").alias("count"), F.count("label").alias("_l"))
+    return per.agg(F.count("*").alias("n_models"), F.count(F.when(F.col("count") > 1, 1)).alias("repeated_models"), F.count(F.when(F.col("_l") == 0, 1)).alias("unlabelled_models"))
 
 
 def numbered_predictions(prediction: DataFrame) -> DataFrame:
