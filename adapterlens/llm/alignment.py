@@ -278,6 +278,25 @@ def summed_column(a_path: str, b_path: str) -> Callable[[Column | str], Column]:
     return array_column(lambda rows: summed(Pair.load(a_path, b_path), rows), SUMMED, ROWS)
 
 
+def linked_column(a_path: str, b_path: str) -> Callable[[Column | str], Column]:
+    """Texts -> SUMMED: aligned and summed in one worker, which holds the tokenizers once, so that no ids go out
+    and in again."""
+
+    def linked(texts: pa.Array) -> pa.Array:
+        pair = Pair.load(a_path, b_path)
+        return summed(pair, align_texts(pair, texts.to_pylist()))
+
+    return array_column(linked, SUMMED, ROWS, BYTES)
+
+
+def link_documents(docs: DataFrame, a_path: str, b_path: str, linked: str = "linked") -> DataFrame:
+    """All rows and columns of docs(text, ...) with column `linked`: the counts, the groups' digest and the linked
+    pairs of what `align_documents` finds, without the ids."""
+    if linked.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {linked}")
+    return docs.withColumn(linked, linked_column(a_path, b_path)("text"))
+
+
 def align_documents(docs: DataFrame, a_path: str, b_path: str, aligned: str = "aligned") -> DataFrame:
     """All rows and columns of docs(text, ...) with column `aligned`: the ids of both tokenizers and the
     shared cuts, as counts of tokens of each that end at a cut or before.
@@ -329,6 +348,6 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    docs = align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths)
-    documents = docs.select("doc_id", summed_column(*paths)("aligned").alias("s")).select("doc_id", "s.*")
+    docs = link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths)
+    documents = docs.select("doc_id", "linked").select("doc_id", "linked.*")
     return scored(documents, Pair.load(*paths).b_vocabulary.size)

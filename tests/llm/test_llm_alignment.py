@@ -134,3 +134,15 @@ def test_cuts_are_all_common_ends(seed):
     a_at, b_at = (np.array([0, *np.cumsum([len(x) for x in rows])]) for rows in (a_rows, b_rows))
     i, j = A.shared_cuts(a, b, a_at, b_at)
     assert a[i].tolist() == b[j].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+
+
+def test_links_come_out_of_one_worker_a_task(spark, sf_dir, capsys):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    linked = A.link_documents(docs, *PATHS).select("doc_id", "linked.*")
+    apart = A.align_documents(docs, *PATHS).select("doc_id", A.summed_column(*PATHS)("aligned").alias("s")).select("doc_id", "s.*")
+    assert sorted(linked.collect()) == sorted(apart.collect())
+    capsys.readouterr()
+    linked.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    with pytest.raises(ValueError, match="has a column"):
+        A.link_documents(docs.withColumnRenamed("doc_id", "linked"), *PATHS)
