@@ -585,3 +585,22 @@ def test_results_do_not_depend_on_shuffle_partitions(spark):
             seen.append(sorted(map(str, query(spark, sf).collect())))
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert seen[0] == seen[1], name
+
+
+def test_features_are_spread_by_size_and_stay_with_their_model(spark, sf_dir, monkeypatch, capsys):
+    from adapterlens.sources import views
+
+    monkeypatch.setattr(views, "PART_ROWS", 1000)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert views.n_parts(spark, sf_dir) == -(-rows // 1000) > 4
+    capsys.readouterr()
+    inputs.pool_layers(aggregate.layer_sequence(views.feature(spark, sf_dir))).explain()
+    plan = capsys.readouterr().out
+    # one shuffle of the line items, none of the cells
+    assert plan.count("Exchange hashpartitioning(model_name") == 1 and "SortAggregate" not in plan
+
+
+def test_block_names_are_joined_for_null_blocks_and_least_cells_win(spark):
+    rows = [("m", "layer1.self_attn.q_proj", "f", 2.0), ("m", "layer1.self_attn.q_proj", "f", None), ("m", None, "f", 3.0), ("m", "layer1.self_attn.query", "f", 0.5)]
+    found = aggregate.layer_sequence(spark.createDataFrame(rows, "model_name string, block string, feature string, value double")).collect()
+    assert {(r.layer, r.slot, r.value, r.n) for r in found} == {(1, "self.q", None, 3), (None, None, 3.0, 1)}
