@@ -210,7 +210,7 @@ CHANNEL = "self.q::energy"
     ]),
 )
 def _(spark, sf_dir):
-    pooled = I.pool_layers(A.layer_sequence(V.feature(spark, sf_dir)))
+    pooled = I.pool_layers(A.layer_sequence(V.feature(spark, sf_dir), V.columns(spark, sf_dir)))
     rows = cut(M.sequence_inputs(pooled, [CHANNEL]).join(V.catalogue(spark, sf_dir).select("model_name", "label"), "model_name"))
     return with_objective(M.train_sequence(rows, 1.0), rows, 1.0)
 

@@ -604,3 +604,16 @@ def test_block_names_are_joined_for_null_blocks_and_least_cells_win(spark):
     rows = [("m", "layer1.self_attn.q_proj", "f", 2.0), ("m", "layer1.self_attn.q_proj", "f", None), ("m", None, "f", 3.0), ("m", "layer1.self_attn.query", "f", 0.5)]
     found = aggregate.layer_sequence(spark.createDataFrame(rows, "model_name string, block string, feature string, value double")).collect()
     assert {(r.layer, r.slot, r.value, r.n) for r in found} == {(1, "self.q", None, 3), (None, None, 3.0, 1)}
+
+
+def test_layer_sequences_sum_up_once_where_no_place_is_shared(spark, sf_dir, capsys):
+    from adapterlens.sources import views
+
+    cells = views.feature(spark, sf_dir)
+    columns = views.columns(spark, sf_dir)
+    assert sorted(columns.collect()) == sorted(cells.select("block", "feature").distinct().collect())
+    found = aggregate.layer_sequence(cells, columns)
+    assert found.exceptAll(aggregate.layer_sequence(cells)).isEmpty() and found.count() == cells.count()
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.count("HashAggregate(keys=[model_name") == 4  # cells and places, not also blocks
