@@ -617,3 +617,21 @@ def test_layer_sequences_sum_up_once_where_no_place_is_shared(spark, sf_dir, cap
     capsys.readouterr()
     found.explain()
     assert capsys.readouterr().out.count("HashAggregate(keys=[model_name") == 4  # cells and places, not also blocks
+
+
+def test_names_of_sequences_come_from_columns(spark):
+    rows = feature(spark, ("a", "layer0.self_attn.q_proj", "energy", 1.0), ("b", "layer.0.self_attn.q", "energy", 2.0), ("b", "layer1.mlp.up", "l2_norm", 4.0), ("c", "odd", "energy", 4.0))
+    names, whole = aggregate.depth_names(rows), aggregate.layer_sequence(rows)
+    assert sorted(names.collect(), key=str) == sorted(whole.select(*names.columns).distinct().collect(), key=str)
+    assert sorted(aggregate.sequence_axes(names).collect(), key=str) == sorted(aggregate.sequence_axes(whole).collect(), key=str)
+
+
+def test_tables_are_read_in_parts_of_bounded_rows(spark, monkeypatch):
+    from adapterlens.sources import views
+
+    sf, before = "/root/testdata/sf0.1", spark.conf.get("spark.sql.files.minPartitionNum", None)
+    monkeypatch.setattr(views, "READ_ROWS", 75_000)
+    table = views.read_evenly(spark, sf, "lineitem")
+    whole = views.read(spark, sf, "lineitem")
+    assert table.rdd.getNumPartitions() >= 8 > whole.rdd.getNumPartitions()
+    assert table.count() == whole.count() and spark.conf.get("spark.sql.files.minPartitionNum", None) == before
