@@ -635,3 +635,14 @@ def test_tables_are_read_in_parts_of_bounded_rows(spark, monkeypatch):
     whole = views.read(spark, sf, "lineitem")
     assert table.rdd.getNumPartitions() >= 8 > whole.rdd.getNumPartitions()
     assert table.count() == whole.count() and spark.conf.get("spark.sql.files.minPartitionNum", None) == before
+
+
+def test_layers_are_pooled_in_tables_of_few_cells(spark, sf_dir, monkeypatch):
+    from adapterlens import plans
+    from adapterlens.sources import views
+
+    # a part's hash tables hold the cells of 2^15 line items; smaller parts give the same rows
+    assert views.PART_ROWS * 3 <= 100_000
+    want = sorted(plans.queries()["pool_layers"](spark, sf_dir).collect())
+    monkeypatch.setattr(views, "PART_ROWS", 500)
+    assert views.n_parts(spark, sf_dir) > 10 and sorted(plans.queries()["pool_layers"](spark, sf_dir).collect()) == want
