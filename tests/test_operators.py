@@ -646,3 +646,14 @@ def test_layers_are_pooled_in_tables_of_few_cells(spark, sf_dir, monkeypatch):
     want = sorted(plans.queries()["pool_layers"](spark, sf_dir).collect())
     monkeypatch.setattr(views, "PART_ROWS", 500)
     assert views.n_parts(spark, sf_dir) > 10 and sorted(plans.queries()["pool_layers"](spark, sf_dir).collect()) == want
+
+
+def test_more_channels_than_bits_are_observed(spark):
+    have = {("m", 0): range(0, 130, 3), ("m", 1): range(63, 66), ("k", 0): [129]}
+    cells = [(m, f"layer{i}.self_attn.q_proj", f"f{c}", None if c % 2 else 1.0) for (m, i), cs in have.items() for c in cs]
+    rows = aggregate.layer_sequence(spark.createDataFrame(cells, "model_name string, block string, feature string, value double"))
+    used = sorted({c for cs in have.values() for c in cs})
+    want = sorted((m, f"decoder.layer{i}", f"self.q::f{c}", int(c in cs)) for (m, i), cs in have.items() for c in used)
+    names = rows.select("slot", "feature").distinct()
+    for found in (inputs.observed_channels(rows), inputs.observed_channels(rows, names)):
+        assert sorted(map(tuple, found.collect())) == want
