@@ -212,6 +212,8 @@ CHANNEL = "self.q::energy"
 def _(spark, sf_dir):
     pooled = I.pool_layers(A.layer_sequence(V.feature(spark, sf_dir), V.columns(spark, sf_dir)))
     rows = cut(M.sequence_inputs(pooled, [CHANNEL]).join(V.catalogue(spark, sf_dir).select("model_name", "label"), "model_name"))
+    # parts of cells are small; the fit, which sums up part by part, takes four of them at a time
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, V.n_parts(spark, sf_dir) // 4))
     return with_objective(M.train_sequence(rows, 1.0), rows, 1.0)
 
 
